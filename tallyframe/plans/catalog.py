@@ -1,4 +1,4 @@
 """All registered queries; importing a query module registers its queries."""
 
-from . import queries_checks, queries_curation, queries_functions, queries_review, queries_stats, queries_traces  # noqa: F401
+from . import queries_checks, queries_curation, queries_functions, queries_review, queries_stats, queries_traces, queries_worlds  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
