@@ -92,8 +92,9 @@ def ratio_interval(units: DataFrame, unit: str, iterations: int, seed: int, meth
     replicate = {"draws": draw_replicates, "poisson": poisson_replicates}[method]
     point = units.agg(F.count("*").alias("units"), F.try_divide(F.sum("num"), F.sum("den")).alias("estimate"))
     bounds = _interval(replicate(units, unit, iterations, seed), [])
-    one = F.lit(1).alias("_one")
-    return point.select("*", one).join(bounds.select("*", one), "_one").drop("_one")
+    # Two single rows become one by aggregation; a join of them would have no key.
+    both = point.unionByName(bounds, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("units", "estimate", "low", "high", "replicates")])
 
 
 def bootstrap_ci(df: DataFrame, unit: str, value: str, iterations: int, seed: int, method: str = "auto") -> DataFrame:

@@ -26,7 +26,7 @@ def first_per_group(df: DataFrame, group: Sequence[str], digest: Column, limit:
         return hash_ranked(df, group, digest, "rank", tie).filter(F.col("rank") <= limit)
     window = W.partitionBy(*group).orderBy("_digest", *tie)
     ranked = df.withColumn("_digest", digest).withColumn("rank", F.row_number().over(window))
-    return ranked.filter(F.col("rank") <= limit).drop("_digest")
+    return ranked.filter(F.col("rank") <= limit).drop("_digest").withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def expand_variants(families: DataFrame, withheld: str = "withheld") -> DataFrame:

@@ -351,6 +351,6 @@ def score_search(episodes: DataFrame, worlds: DataFrame, keys: list[str], cap: i
         "unsupported_decision": verdict.isNotNull() & definite & ~chain,
     }
     return base.select(
-        *keys, "audit_error", F.when(ok, F.bit_count(left)).alias("compatible_worlds"), F.when(ok, F.size(acquired)).alias("acquired"),
+        *keys, "audit_error", F.when(ok, F.bit_count(left)).alias("compatible_worlds"), F.when(ok, F.size(acquired).cast("bigint")).alias("acquired"),
         *[F.coalesce(c, F.lit(False)).alias(n) for n, c in flags.items()],
     )

@@ -55,6 +55,8 @@ def compare(spark, con, sf_dir, fn, sql):
         return f"{len(bad)} rows differ: spark {only[0]} duck {only[1]}"
     if left[1] != right[1]:
         return f"types {left[1]} != {right[1]}"
+    if not left[2]:
+        print("empty result", fn.__module__, left[0], flush=True)
     return ""
 
 
@@ -78,11 +80,11 @@ if __name__ == "__main__":
             if name in sqls:
                 problem = compare(spark, con, sf, fn, sqls[name])
             else:
-                problem = f"" if fn(spark, sf).count() >= 0 else ""
+                problem = "" if fn(spark, sf).count() > 0 else "no rows"
                 name += " (rows only)"
         except Exception as error:  # report and go on
             problem = f"{type(error).__name__}: {str(error)[:600]}"
         failed += bool(problem)
-        if problem or time.time() - start > 4:
+        if problem or time.time() - start > 6:
             print(f"{'FAIL' if problem else 'ok  '} {name} {time.time() - start:.1f}s {problem}", flush=True)
-    print("failed", failed)
+    print("failed", failed, "of", len(entry.queries()), "with oracle", len(sqls))
