@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..skew import let
+
 # Price of each action in budget units.
 ACTION_COSTS = {
     "inspect": 1, "crop": 1, "zoom": 1, "ocr": 2, "compare": 2, "request_photo": 3, "assess_quality": 1,
@@ -67,27 +71,36 @@ def action_errors(name: Column, arguments: Column) -> Column:
 
     ``arguments`` is JSON text. The rule table is a constant, so the check is one projection without any join.
     """
-    parsed = F.try_parse_json(arguments)
-    keys = F.coalesce(F.json_object_keys(arguments), F.array().cast("array<string>"))
-    checks = None
-    for action, rules in ACTION_ARGUMENTS.items():
-        codes, known = [], []
-        for rule in rules:
-            field, kind = rule.lstrip("?").split(":")
-            known.append(field)
-            present = F.array_contains(keys, field)
-            value = F.try_variant_get(parsed, f"$.{field}", "variant")
-            if not rule.startswith("?"):
-                codes.append(F.when(~present, F.lit(f"missing:{field}")))
-            wrong = present & ~F.coalesce(_kind_ok(kind, value), F.lit(False))
-            codes.append(F.when(wrong, F.lit(f"invalid:{field}")))
-        extra = F.transform(F.array_except(keys, F.array(*[F.lit(k) for k in known])), lambda k: F.concat(F.lit("unknown:"), k))
-        found = F.array_sort(F.concat(F.array_compact(F.array(*codes)), extra))
-        checks = F.when(name == action, found) if checks is None else checks.when(name == action, found)
-    return (
-        F.when(parsed.isNull(), F.array(F.lit("not_json")))
-        .otherwise(checks.otherwise(F.array(F.lit("unknown_action"))))
-    )
+    none = F.array().cast("array<string>")
+
+    def check(call: Column) -> Column:
+        checks = None
+        for action, rules in ACTION_ARGUMENTS.items():
+            found = _argument_errors(rules, call["parsed"], call["keys"])
+            checks = F.when(call["name"] == action, found) if checks is None else checks.when(call["name"] == action, found)
+        known = checks.otherwise(F.array(F.lit("unknown_action")))
+        return F.when(call["parsed"].isNull(), F.array(F.lit("not_json"))).otherwise(known)
+
+    keys = F.coalesce(F.json_object_keys(arguments), none)
+    return let(F.struct(name.alias("name"), F.try_parse_json(arguments).alias("parsed"), keys.alias("keys")), check)
+
+
+def _accepts(kind: str, value: Column) -> Column:
+    return F.coalesce(_kind_ok(kind, value), F.lit(False))
+
+
+def _argument_errors(rules: list[str], parsed: Column, keys: Column) -> Column:
+    codes, known = [], []
+    for rule in rules:
+        field, kind = rule.lstrip("?").split(":")
+        known.append(field)
+        present = F.array_contains(keys, field)
+        if not rule.startswith("?"):
+            codes.append(F.when(~present, F.lit(f"missing:{field}")))
+        valid = let(F.try_variant_get(parsed, f"$.{field}", "variant"), partial(_accepts, kind))
+        codes.append(F.when(present & ~valid, F.lit(f"invalid:{field}")))
+    extra = F.transform(F.array_except(keys, F.array(*[F.lit(k) for k in known])), lambda k: F.concat(F.lit("unknown:"), k))
+    return F.array_sort(F.concat(F.array_compact(F.array(*codes)), extra))
 
 
 def action_price(name: Column) -> Column:

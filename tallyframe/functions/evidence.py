@@ -65,26 +65,29 @@ def chain_report(annotation: Column, verdict: Column, citations: Column, links:
 
     Support needs every subclaim covered, refutation needs one; every given link must match an annotated one.
     """
-    covered = F.transform(
-        annotation["subclaims"],
-        lambda s: (s["truth"] == verdict)
-        & alternatives_met(F.try_element_at(s["minimal_evidence_sets"], verdict), citations, links),
-    )
-    expected = F.filter(requirements(annotation), lambda r: r["relation"].isNotNull())
+    def audit(a: Column) -> Column:
+        covered = F.transform(
+            a["annotation"]["subclaims"],
+            lambda s: (s["truth"] == verdict)
+            & alternatives_met(F.try_element_at(s["minimal_evidence_sets"], verdict), a["citations"], a["links"]),
+        )
+        expected = F.filter(requirements(a["annotation"]), lambda r: r["relation"].isNotNull())
+        valid = F.size(F.filter(a["links"], lambda link: F.exists(expected, lambda e: link_match(e, link))))
+        return let(F.struct(covered.alias("covered"), valid.alias("valid"), F.size(a["links"]).alias("given")), report)
 
-    def report(seen: Column) -> Column:
-        valid = F.size(F.filter(links, lambda link: F.exists(expected, lambda e: link_match(e, link))))
+    def report(r: Column) -> Column:
+        seen, valid, given = r["covered"], r["valid"], r["given"]
         enough = (
             F.when(verdict == SUPPORTED, F.forall(seen, lambda c: c))
             .when(verdict == REFUTED, F.exists(seen, lambda c: c))
             .otherwise(False)
         )
         return F.struct(
-            (enough & (valid == F.size(links))).alias("sufficient"), seen.alias("covered"),
-            valid.alias("valid_links"), F.size(links).alias("predicted_links"),
+            (enough & (valid == given)).alias("sufficient"), seen.alias("covered"),
+            valid.alias("valid_links"), given.alias("predicted_links"),
         )
 
-    return let(covered, report)
+    return let(F.struct(annotation.alias("annotation"), citations.alias("citations"), links.alias("links")), audit)
 
 
 def derived_verdict(truths: Column) -> Column:
@@ -103,44 +106,54 @@ def _endpoints(req: Column) -> Column:
 
 def annotation_errors(annotation: Column) -> Column:
     """Codes of every violated rule of a chain annotation; an empty array for a sound one."""
-    parts = annotation["subclaims"]
-    truths = F.transform(parts, lambda s: s["truth"])
-    groups = F.flatten(F.transform(parts, lambda s: _groups(s["minimal_evidence_sets"])))
-    reqs = F.flatten(groups)
-    relations = F.filter(reqs, lambda r: r["relation"].isNotNull())
-    ends = F.flatten(F.transform(reqs, _endpoints))
-    determinate_without_sets = F.exists(
-        parts,
-        lambda s: (s["truth"] != "uncertain")
-        & (F.coalesce(F.size(F.try_element_at(s["minimal_evidence_sets"], s["truth"])), F.lit(0)) <= 0),
-    )
-    rules = [
-        (F.size(parts) <= 0, "no_subclaims"),
-        (F.size(F.array_distinct(F.transform(parts, lambda s: s["id"]))) != F.size(parts), "duplicate_subclaims"),
-        (F.exists(truths, lambda t: ~t.isin(SUPPORTED, REFUTED, "uncertain")), "invalid_truth"),
-        (annotation["verdict"] != derived_verdict(truths), "verdict_disagrees"),
-        (determinate_without_sets, "determinate_without_sets"),
-        (F.exists(groups, lambda g: F.size(g) == 0), "empty_group"),
-        (F.exists(reqs, lambda r: r["relation"].isNull() & r["bbox"].isNull()), "plain_image_requirement"),
-        (F.exists(relations, lambda r: ~r["relation"].isin(*RELATIONS)), "unknown_relation"),
-        (
-            F.exists(relations, lambda r: ~F.coalesce(r["min_iou"], F.lit(0.5)).between(1e-12, 1.0)),
-            "invalid_min_iou",
-        ),
-        (F.exists(relations, lambda r: r["left"]["image_id"] == r["right"]["image_id"]), "same_image_relation"),
-        (
-            F.exists(
-                ends,
-                lambda e: ~box_valid(e["bbox"]) | (F.coalesce(e["image_id"], F.lit("")) == "")
-                | (F.coalesce(e["time"], F.lit("")) == ""),
-            ),
-            "invalid_region",
-        ),
-    ]
-    codes = F.array(*[F.when(F.coalesce(bad, F.lit(False)), code) for bad, code in rules])
-    return F.when(annotation["protocol"] == CHAIN_PROTOCOL, F.array_compact(codes)).otherwise(
-        F.array().cast("array<string>")
-    )
+    none = F.array().cast("array<string>")
+
+    def structure(a: Column) -> Column:
+        parts = a["subclaims"]
+        truths = F.transform(parts, lambda s: s["truth"])
+        bare = F.exists(
+            parts,
+            lambda s: (s["truth"] != "uncertain")
+            & (F.coalesce(F.size(F.try_element_at(s["minimal_evidence_sets"], s["truth"])), F.lit(0)) <= 0),
+        )
+        return _broken([
+            (F.size(parts) <= 0, "no_subclaims"),
+            (F.size(F.array_distinct(F.transform(parts, lambda s: s["id"]))) != F.size(parts), "duplicate_subclaims"),
+            (F.exists(truths, lambda t: ~t.isin(SUPPORTED, REFUTED, "uncertain")), "invalid_truth"),
+            (a["verdict"] != derived_verdict(truths), "verdict_disagrees"), (bare, "determinate_without_sets"),
+        ])
+
+    def groups_of(a: Column) -> Column:
+        return F.flatten(F.transform(a["subclaims"], lambda s: _groups(s["minimal_evidence_sets"])))
+
+    def content(groups: Column) -> Column:
+        empty = _broken([(F.exists(groups, lambda g: F.size(g) == 0), "empty_group")])
+        return F.concat(empty, let(F.flatten(groups), _requirement_errors))
+
+    def check(a: Column) -> Column:
+        return F.when(a["protocol"] == CHAIN_PROTOCOL, F.concat(structure(a), let(groups_of(a), content))).otherwise(none)
+
+    return let(annotation, check)
+
+
+def _broken(rules: list[tuple[Column, str]]) -> Column:
+    return F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), code) for bad, code in rules]))
+
+
+def _requirement_errors(reqs: Column) -> Column:
+    def related(r: Column) -> Column:
+        return r["relation"].isNotNull()
+
+    def bad_end(e: Column) -> Column:
+        return ~box_valid(e["bbox"]) | (F.coalesce(e["image_id"], F.lit("")) == "") | (F.coalesce(e["time"], F.lit("")) == "")
+
+    return _broken([
+        (F.exists(reqs, lambda r: ~related(r) & r["bbox"].isNull()), "plain_image_requirement"),
+        (F.exists(reqs, lambda r: related(r) & ~r["relation"].isin(*RELATIONS)), "unknown_relation"),
+        (F.exists(reqs, lambda r: related(r) & ~F.coalesce(r["min_iou"], F.lit(0.5)).between(1e-12, 1.0)), "invalid_min_iou"),
+        (F.exists(reqs, lambda r: related(r) & (r["left"]["image_id"] == r["right"]["image_id"])), "same_image_relation"),
+        (F.exists(reqs, lambda r: F.exists(_endpoints(r), bad_end)), "invalid_region"),
+    ])
 
 
 def requirement_images(req: Column) -> Column:
@@ -157,13 +170,16 @@ def pool_verdict(annotation: Column, available: Column) -> Column:
             & F.forall(g, lambda r: F.forall(requirement_images(r), lambda i: F.array_contains(available, i))),
         )
         return (s["truth"] == verdict) & F.coalesce(ready, F.lit(False))
-    parts = annotation["subclaims"]
-    return (
-        F.when(annotation["protocol"] != CHAIN_PROTOCOL, annotation["verdict"])
-        .when(F.exists(parts, lambda s: reachable(s, REFUTED)), REFUTED)
-        .when(F.forall(parts, lambda s: reachable(s, SUPPORTED)), SUPPORTED)
-        .otherwise(UNDECIDED)
-    )
+
+    def verdict_of(a: Column) -> Column:
+        return (
+            F.when(a["protocol"] != CHAIN_PROTOCOL, a["verdict"])
+            .when(F.exists(a["subclaims"], lambda s: reachable(s, REFUTED)), REFUTED)
+            .when(F.forall(a["subclaims"], lambda s: reachable(s, SUPPORTED)), SUPPORTED)
+            .otherwise(UNDECIDED)
+        )
+
+    return let(annotation, verdict_of)
 
 
 def required_images(annotation: Column) -> Column:

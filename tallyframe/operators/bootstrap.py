@@ -50,6 +50,8 @@ def poisson_replicates(units: DataFrame, unit: str, iterations: int, seed: int,
     """Weighted ``num`` and ``den`` per replicate."""
     blocks = -(-iterations // PER_DIGEST)
     key = F.concat_ws("|", F.lit(str(seed)), F.col("_block").cast("string"), F.col(unit).cast("string"))
+    # Units are few bytes and much work each: spread them over all cores before they multiply.
+    units = units.repartition(units.sparkSession.sparkContext.defaultParallelism, unit)
     rows = units.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_d", F.sha2(key, 256))
     for s in range(PER_DIGEST):
         rows = rows.withColumn(f"_w{s}", _weight(F.col("_d"), s))

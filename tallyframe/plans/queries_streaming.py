@@ -75,10 +75,8 @@ def _(spark, sf):
         F.expr("CASE WHEN o_orderkey % 29 > 0 THEN CAST(floor(o_totalprice * 80) AS BIGINT) END").alias("charge"),
     ).selectExpr("ledger", "o_orderkey * 2 + side AS seq", "CASE side WHEN 0 THEN 'reserve' ELSE 'settle' END AS op", "key", "stage", "bound", "charge")
     out = scratch_path(spark, "ledger")
-    table_ = streams.BatchTable(spark, out)
-    results = streams.stream_ledger(streams.staged_stream(calls, "seq", 3, "calls", "ledger"), CAP, STAGE_CAP)
-    streams.run_available(results, table_.write, scratch_path(spark, "checkpoint"))
-    return table_.read(streams.LEDGER_OUT)
+    streams.stream_ledger(streams.staged_stream(calls, "seq", 3, "calls", "ledger"), CAP, STAGE_CAP, out, scratch_path(spark, "checkpoint"))
+    return streams.ledger_outcomes(spark, out)
 
 
 @query("stream_live_counters", f"""WITH {EPISODES_SQL}

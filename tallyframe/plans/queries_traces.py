@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import traces
 from ..schemas import GENERATION
+from ..session import spread
 from . import standins
 from .registry import query, table
 from .standins import MESSAGES_SQL
@@ -204,7 +205,7 @@ SELECT ok, ln, q * 10 + CASE WHEN ln % 3 = 0 THEN 0 ELSE q END AS input_tokens,
   CASE WHEN ln % 3 = 0 THEN 1 ELSE 0 END AS rejected_calls,
   CASE WHEN d = 9 THEN 'invalid_measure' WHEN q = 7 THEN 'latency_mismatch' END AS problem FROM base""")
 def _(spark, sf):
-    df = table(spark, sf, "lineitem").selectExpr(
+    df = spread(table(spark, sf, "lineitem")).selectExpr(
         "l_orderkey AS ok", "l_linenumber AS ln", "CAST(l_quantity AS BIGINT) AS q", "CAST(round(l_discount*100) AS BIGINT) AS d"
     )
     generation = F.expr(

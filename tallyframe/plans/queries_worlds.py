@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.evidence import annotation_image_sets, links_complete
 from ..functions.geometry import box_coverage, region_match
 from ..operators import worlds as ops
+from ..session import materialize
 from . import standins
 from .queries_functions import DECISIONS_SQL, H, _area, _inter, _iou, _union
 from .queries_stats import rounded
@@ -208,7 +209,7 @@ SELECT ok, ln, pk, err AS audit_error, CASE WHEN good THEN worlds END AS compati
   coalesce(target, false) AS episode_target_correct, coalesce(good AND cited AND v = cur, false) AS decision_matches_current_evidence, enough AS evidence_found, coalesce(chain, false) AS chain_grounded_correct, coalesce(chain AND (localized OR v = 'Need more evidence'), false) AS localized_grounded_correct,
   coalesce(chain AND v <> 'Need more evidence' AND NOT localized, false) AS unlocalized_definite, coalesce(v <> 'Need more evidence' AND NOT chain, false) AS unsupported_decision FROM n""")
 def _(spark, sf):
-    w = worlds(spark, sf)
+    w = materialize(worlds(spark, sf), "worlds")
     region = F.struct(F.lit("img-a").alias("image_id"), F.col("t").alias("bbox"), F.lit("before").alias("time"))
     cite = F.get("citations", F.lit(0))
     decided = standins.decisions(spark, sf).select(

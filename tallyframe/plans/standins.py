@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import CITATION, EVIDENCE, LINK, REQ, SUBCLAIM
+from ..session import spread
 from .registry import table
 
 ARMS = ("initial_text", "full_available_text", "interactive_agent")
@@ -152,7 +153,7 @@ def claims(spark: SparkSession, sf: str) -> DataFrame:
         "l_orderkey AS ok", "l_linenumber AS ln", "l_partkey AS pk", "l_suppkey AS sk", "l_partkey % 20 AS a",
         "l_suppkey % 20 AS b", "CAST(l_quantity AS BIGINT) AS q", "CAST(round(l_discount*100) AS BIGINT) AS d",
     )
-    return base.select("*", *[F.expr(e).cast("array<bigint>").alias(n) for n, e in _BOXES.items()])
+    return spread(base).select("*", *[F.expr(e).cast("array<bigint>").alias(n) for n, e in _BOXES.items()])
 
 
 def shifted(name: str) -> str:
@@ -270,7 +271,7 @@ def cases(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(F.lit("s2").alias("id"), F.lit("identity").alias("kind"), F.col("t2").alias("truth"),
                  F.when(F.col("t2") == "uncertain", none).otherwise(F.create_map("t2", second)).alias("minimal_evidence_sets")),
     )
-    return part.withColumn("evidence", F.expr(f"array({evidence})").cast(f"array<{EVIDENCE}>")).withColumn(
+    return spread(part).withColumn("evidence", F.expr(f"array({evidence})").cast(f"array<{EVIDENCE}>")).withColumn(
         "initial", F.expr("CASE WHEN pk % 6 = 1 THEN array('ref', 'b-preview', 'c') ELSE array('ref', 'b-preview') END")
     ).withColumn("verdict", F.expr(
         "CASE WHEN t1 = 'Refuted' OR t2 = 'Refuted' THEN 'Refuted' WHEN t2 = 'uncertain' THEN 'Need more evidence' ELSE 'Supported' END"
