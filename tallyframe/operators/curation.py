@@ -13,8 +13,9 @@ from ..functions.hashing import row_digest, stable_hash
 from ..functions.text import path_errors
 from ..skew import hash_ranked, ordered_index
 
-# A per-group limit up to this size is applied before the shuffle; a larger one uses a distributed rank.
-SMALL_LIMIT = 10_000
+# A per-group limit up to this size is applied per task before the shuffle, and the survivors of all tasks meet in one
+# task per group; a larger limit uses a distributed rank.
+SMALL_LIMIT = 200
 
 
 def first_per_group(df: DataFrame, group: Sequence[str], digest: Column, limit: int, tie: Sequence[str] = ()) -> DataFrame:

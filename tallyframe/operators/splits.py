@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions.hashing import hash_fraction, stable_hash
 from ..session import materialize
@@ -52,11 +51,10 @@ def component_split(edges: DataFrame, family: str, asset: str, seed: str, cuts:
 
 def category_split(df: DataFrame, category: str, held_out: int, seed: int) -> DataFrame:
     """Whole categories held out: the first ``held_out`` in hash order go to validation."""
-    order = W.orderBy(stable_hash(F.col(category), str(seed)))
-    # The table of distinct categories is small; ranking it needs no partitioning.
-    names = df.select(category).distinct().withColumn("_n", F.row_number().over(order))
-    part = F.when(F.col("_n") <= held_out, "validation").otherwise("train")
-    return df.join(names.select(category, part.alias("split")), category)
+    names = df.select(category).distinct()
+    held = names.orderBy(stable_hash(F.col(category), str(seed)), category).limit(held_out).withColumn("_held", F.lit(True))
+    part = F.when(F.col("_held"), "validation").otherwise("train")
+    return df.join(held, category, "left").withColumn("split", part).drop("_held")
 
 
 def shard_families(df: DataFrame, family: str, shards: int) -> DataFrame:

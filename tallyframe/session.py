@@ -17,6 +17,8 @@ def build_session(app: str = "tallyframe", master: str | None = None, conf: dict
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # A hot key is split even where that costs one more shuffle.
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         # Small shuffles of CPU-heavy rows keep their parallelism.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
         .config("spark.ui.enabled", "false")

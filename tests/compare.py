@@ -39,9 +39,11 @@ def rows(columns, data):
     return [columns[i] for i in order], kinds, sorted(tuple(normal(r[i]) for i in order) for r in data)
 
 
-def compare(spark, con, sf_dir, fn, sql):
-    """Empty string when equal, else what differs."""
+def compare(spark, con, sf_dir, fn, sql, inspect=None):
+    """Empty string when equal, else what differs; ``inspect`` sees the planned result first."""
     out = fn(spark, sf_dir)
+    if inspect:
+        inspect(out)
     left = rows(out.columns, [tuple(r) for r in out.collect()])
     cursor = con.execute(sql)
     right = rows([d[0] for d in cursor.description], cursor.fetchall())
