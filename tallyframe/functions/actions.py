@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..skew import let
+from .text import strict_json
 
 # Price of each action in budget units.
 ACTION_COSTS = {
@@ -22,7 +23,7 @@ ACTION_ARGUMENTS = {
     "ocr": ["image_id:text"],
     "compare": ["image_ids:pair"],
     "request_photo": ["query:query"],
-    "finish": ["verdict:verdict", "citations:list", "?links:list"],
+    "finish": ["verdict:verdict", "citations:citations", "?links:links"],
     "assess_quality": ["image_id:text"],
     "read_metadata": ["image_id:text"],
     "ground_text_to_image": ["image_id:text", "text:phrase"],
@@ -31,6 +32,28 @@ ACTION_ARGUMENTS = {
 }
 
 
+# Shapes of a citation and a link as variant schemas, and the relations.
+CITATION_SHAPE = "OBJECT<bbox: ARRAY<BIGINT>, image_id: STRING, time: STRING>"
+LINK_SHAPE = f"OBJECT<left: {CITATION_SHAPE}, relation: STRING, right: {CITATION_SHAPE}>"
+RELATION_NAMES = ("same_object", "different_object", "earlier_than", "same_time")
+
+
+def _cited(value: Column, path: str) -> Column:
+    box = F.try_variant_get(value, f"{path}.bbox", "array<bigint>")
+    names = [F.length(F.try_variant_get(value, f"{path}.{k}", "string")) > 0 for k in ("image_id", "time")]
+    return (F.size(box) == 4) & names[0] & names[1]
+
+
+def _citation_ok(value: Column) -> Column:
+    return F.coalesce((F.schema_of_variant(value) == CITATION_SHAPE) & _cited(value, "$"), F.lit(False))
+
+
+def _link_ok(value: Column) -> Column:
+    relation = F.try_variant_get(value, "$.relation", "string").isin(*RELATION_NAMES)
+    shaped = F.schema_of_variant(value) == LINK_SHAPE
+    return F.coalesce(shaped & relation & _cited(value, "$.left") & _cited(value, "$.right"), F.lit(False))
+
+
 def _kind_ok(kind: str, value: Column) -> Column:
     """Rule of one argument kind over its variant value."""
     text = F.try_variant_get(value, "$", "string")
@@ -50,15 +73,15 @@ def _kind_ok(kind: str, value: Column) -> Column:
         return is_number & number.between(0.125, 4.0)
     if kind == "top":
         return schema.startswith("BIGINT") & number.between(1, 5)
-    if kind == "list":
-        return schema.startswith("ARRAY")
+    if kind in ("citations", "links"):
+        items = F.try_variant_get(value, "$", "array<variant>")
+        return schema.startswith("ARRAY") & F.forall(items, _citation_ok if kind == "citations" else _link_ok)
     if kind == "pair":
         return all_texts & (F.size(texts) == 2) & (F.size(F.array_distinct(texts)) == 2)
     if kind == "phrases":
         return all_texts & F.size(texts).between(1, 32) & F.forall(texts, lambda t: F.length(t).between(1, 500))
     if kind == "box":
-        numbers = F.try_variant_get(value, "$", "array<double>")
-        return schema.rlike("^ARRAY<(BIGINT|DOUBLE|DECIMAL)") & (F.size(numbers) == 4)
+        return (schema == "ARRAY<BIGINT>") & (F.size(F.try_variant_get(value, "$", "array<bigint>")) == 4)
     if kind == "query":
         fields = [F.try_variant_get(value, f"$.{k}", "string") for k in ("object", "time", "view")]
         filled = (F.length(fields[0]) > 0) & (F.length(fields[1]) > 0) & (F.length(fields[2]) > 0)
@@ -82,7 +105,7 @@ def action_errors(name: Column, arguments: Column) -> Column:
         return F.when(call["parsed"].isNull(), F.array(F.lit("not_json"))).otherwise(known)
 
     keys = F.coalesce(F.json_object_keys(arguments), none)
-    return let(F.struct(name.alias("name"), F.try_parse_json(arguments).alias("parsed"), keys.alias("keys")), check)
+    return let(F.struct(name.alias("name"), strict_json(arguments).alias("parsed"), keys.alias("keys")), check)
 
 
 def _accepts(kind: str, value: Column) -> Column:

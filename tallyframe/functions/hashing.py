@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strict_json
+
 
 def stable_hash(value: Column, salt: str, n: int = 64, separator: str = "|") -> Column:
     """First ``n`` hex digits of SHA-256 over salt, separator and value."""
@@ -29,7 +31,7 @@ def family_seed(family: Column, seed: int | str, separator: str = "|") -> Column
 
 def canonical_json(text: Column) -> Column:
     """JSON text with sorted keys and no spaces; null when the text is not JSON."""
-    return F.to_json(F.try_parse_json(text))
+    return F.to_json(strict_json(text))
 
 
 def row_digest(*columns: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..skew import let
+
 # The accepted answer and call patterns.
 VERDICT_PATTERN = r"^\s*(?:VERDICT:\s*)?(Supported|Refuted|Need more evidence)\s*[.!]?\s*$"
 CALL_PATTERN = r"(?s)<tool_call>\s*(.*?)\s*</tool_call>"
@@ -13,41 +15,75 @@ PARAMETER_PATTERN = r"(?s)<parameter=([A-Za-z_][A-Za-z0-9_]*)>(.*?)</parameter>"
 VARIANT_SUFFIX = r"(-(Sufficient|Obtainable|Missing|Unavailable))+$"
 
 
+def strict_json(text: Column) -> Column:
+    """Variant of a text that is exactly one JSON value; null otherwise.
+
+    Spark's parser stops after the first value; inside brackets anything that follows breaks the document or adds a
+    second item.
+    """
+    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    return let(items, lambda v: F.when(F.size(v) == 1, F.get(v, F.lit(0))))
+
+
 def parse_verdict(text: Column) -> Column:
     """The single explicit answer of a text; null for anything else."""
     return F.nullif(F.regexp_extract(text, VERDICT_PATTERN, 1), F.lit(""))
 
 
-def parse_tool_call(text: Column) -> Column:
-    """Struct(name, arguments JSON) of exactly one call block with a name and object arguments; else null."""
-    blocks = F.regexp_extract_all(text, F.lit(CALL_PATTERN), 1)
-    body = F.get(blocks, F.lit(0))
-    parsed = F.try_parse_json(body)
-    name = F.try_variant_get(parsed, "$.name", "string")
-    arguments = F.get_json_object(body, "$.arguments")
-    keys = F.array_sort(F.json_object_keys(body))
-    sound = (
-        (F.size(blocks) == 1) & parsed.isNotNull()
-        & (keys == F.array(F.lit("arguments"), F.lit("name")))
-        & F.schema_of_variant(F.variant_get(parsed, "$.name", "variant")).eqNullSafe("STRING")
-        & F.schema_of_variant(F.variant_get(parsed, "$.arguments", "variant")).startswith("OBJECT")
-    )
-    return F.when(F.coalesce(sound, F.lit(False)), F.struct(name.alias("name"), arguments.alias("arguments")))
-
-
-def parse_xml_call(text: Column) -> Column:
-    """Struct(name, parameters map of raw strings) of exactly one XML call; null on repeats or stray content."""
+def parse_tool_call(text: Column, allow_bare: bool = False, allow_unclosed: bool = False) -> Column:
+    """Struct(name, arguments JSON) of exactly one call block with a name and object arguments; else null.
+
+    Two transports may be allowed on top: a bare JSON object that is the whole text, and an opening tag without its
+    closing one. Delimiters are transport; the JSON itself must be complete.
+    """
     blocks = F.regexp_extract_all(text, F.lit(CALL_PATTERN), 1)
-    body = F.get(blocks, F.lit(0))
-    name = F.regexp_extract(body, FUNCTION_PATTERN, 1)
-    inner = F.regexp_extract(body, FUNCTION_PATTERN, 2)
-    keys = F.regexp_extract_all(inner, F.lit(PARAMETER_PATTERN), 1)
-    values = F.transform(F.regexp_extract_all(inner, F.lit(PARAMETER_PATTERN), 2), lambda v: F.btrim(v, F.lit(" \t\r\n")))
-    stray = F.btrim(F.regexp_replace(inner, PARAMETER_PATTERN, ""), F.lit(" \t\r\n"))
-    sound = (F.size(blocks) == 1) & (name != "") & (stray == "") & (F.size(F.array_distinct(keys)) == F.size(keys))
-    return F.when(
-        F.coalesce(sound, F.lit(False)), F.struct(name.alias("name"), F.map_from_arrays(keys, values).alias("parameters"))
-    )
+    if allow_unclosed:
+        open_only = text.startswith("<tool_call>") & ~text.contains("</tool_call>")
+        blocks = F.when(open_only, F.array(F.substring(text, len("<tool_call>") + 1, 1_000_000_000))).otherwise(blocks)
+    if allow_bare:
+        bare = F.btrim(text, F.lit(" \t\r\n"))
+        blocks = F.when(bare.startswith("{"), F.array(bare)).otherwise(blocks)
+
+    def read(found: Column) -> Column:
+        body = F.get(found, F.lit(0))
+        parsed = strict_json(body)
+        keys = F.array_sort(F.json_object_keys(body))
+        sound = (
+            (F.size(found) == 1) & parsed.isNotNull() & (keys == F.array(F.lit("arguments"), F.lit("name")))
+            & F.schema_of_variant(F.variant_get(parsed, "$.name", "variant")).eqNullSafe("STRING")
+            & F.schema_of_variant(F.variant_get(parsed, "$.arguments", "variant")).startswith("OBJECT")
+        )
+        call = F.struct(
+            F.try_variant_get(parsed, "$.name", "string").alias("name"), F.get_json_object(body, "$.arguments").alias("arguments")
+        )
+        return F.when(F.coalesce(sound, F.lit(False)), call)
+
+    return let(blocks, read)
+
+
+def parse_xml_call(text: Column, known: dict[str, list[str]] | None = None) -> Column:
+    """Struct(name, parameters map of raw strings) of exactly one XML call.
+
+    Null for repeated parameters, stray content and, with ``known`` (parameters by function), unknown names.
+    """
+    def read(found: Column) -> Column:
+        body = F.get(found, F.lit(0))
+        name = F.regexp_extract(body, FUNCTION_PATTERN, 1)
+        inner = F.regexp_extract(body, FUNCTION_PATTERN, 2)
+        keys = F.regexp_extract_all(inner, F.lit(PARAMETER_PATTERN), 1)
+        values = F.transform(F.regexp_extract_all(inner, F.lit(PARAMETER_PATTERN), 2), lambda v: F.btrim(v, F.lit(" \t\r\n")))
+        stray = F.btrim(F.regexp_replace(inner, PARAMETER_PATTERN, ""), F.lit(" \t\r\n"))
+        sound = (F.size(found) == 1) & (name != "") & (stray == "") & (F.size(F.array_distinct(keys)) == F.size(keys))
+        if known is not None:
+            listed = F.lit(False)
+            for function, parameters in known.items():
+                allowed = F.size(F.array_except(keys, F.array(*[F.lit(p) for p in parameters]))) == 0
+                listed = listed | ((name == function) & allowed)
+            sound = sound & listed
+        call = F.struct(name.alias("name"), F.map_from_arrays(keys, values).alias("parameters"))
+        return F.when(F.coalesce(sound, F.lit(False)), call)
+
+    return let(F.regexp_extract_all(text, F.lit(CALL_PATTERN), 1), read)
 
 
 def strip_variant(case_id: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.actions import action_price
 from ..functions.hashing import row_digest
+from ..functions.text import strict_json
 from ..schemas import PART
 from ..skew import multiset_digest, ordered_index, replay_states
 
@@ -25,7 +26,7 @@ def content_parts(df: DataFrame, keys: list[str], content: str = "content") -> D
 
     Text that is no JSON array of objects is one text part.
     """
-    parsed = F.try_parse_json(content)
+    parsed = strict_json(F.col(content))
     is_list = F.coalesce(F.schema_of_variant(parsed).startswith("ARRAY<OBJECT"), F.lit(False))
     plain = F.array(F.struct(
         F.lit("text").alias("type"), F.col(content).alias("text"), F.lit(None).cast("string").alias("image_ref")
@@ -84,7 +85,7 @@ def tool_errors(messages: DataFrame, text: str = "text") -> DataFrame:
     """Counts per episode and error code found in JSON lines of tool responses, plus format corrections."""
     lines = (
         messages.filter("role = 'tool'").select("episode", F.explode(F.split(text, "\n")).alias("line"))
-        .select("episode", F.try_variant_get(F.try_parse_json("line"), "$.error", "string").alias("code"))
+        .select("episode", F.try_variant_get(strict_json(F.col("line")), "$.error", "string").alias("code"))
         .filter("code IS NOT NULL")
     )
     corrections = messages.filter((F.col("role") == "user") & F.col(text).startswith("Invalid tool format.")).select(

@@ -306,8 +306,25 @@ def _(spark, sf):
     )
 
 
+@query("parse_tool_call_transports", """
+WITH base AS (SELECT l_orderkey AS ok, l_linenumber AS ln, CAST(l_quantity AS BIGINT) % 4 AS v, l_partkey AS pk FROM lineitem)
+SELECT ok, ln, CASE WHEN v < 2 THEN 'crop' END AS name, CASE WHEN v < 2 THEN '{"image_id":"i' || pk || '"}' END AS arguments FROM base""")
+def _(spark, sf):
+    raw = F.expr(
+        """array(
+        concat(' {"name": "crop", "arguments": {"image_id": "i', l_partkey, '"}} '),
+        concat('<tool_call>{"name": "crop", "arguments": {"image_id": "i', l_partkey, '"}}'),
+        concat('{"name": "crop", "arguments": {"image_id": "i', l_partkey, '"}} and more'),
+        concat('<tool_call>{"name": "crop", "arguments": {"image_id": "i', l_partkey))[CAST(l_quantity AS BIGINT) % 4]"""
+    )
+    call = text.parse_tool_call(raw, allow_bare=True, allow_unclosed=True)
+    return table(spark, sf, "lineitem").withColumn("call", call).select(
+        F.col("l_orderkey").alias("ok"), F.col("l_linenumber").alias("ln"), "call.name", "call.arguments"
+    )
+
+
 @query("parse_xml_call", """
-WITH base AS (SELECT l_orderkey AS ok, l_linenumber AS ln, CAST(l_quantity AS BIGINT) % 5 AS v, l_partkey AS pk FROM lineitem)
+WITH base AS (SELECT l_orderkey AS ok, l_linenumber AS ln, CAST(l_quantity AS BIGINT) % 7 AS v, l_partkey AS pk FROM lineitem)
 SELECT ok, ln, CASE WHEN v < 2 THEN 'zoom' END AS name, CASE WHEN v < 2 THEN 'i' || pk END AS image_id, CASE v WHEN 0 THEN '2' END AS factor FROM base""")
 def _(spark, sf):
     raw = F.expr(
@@ -316,9 +333,11 @@ def _(spark, sf):
         concat('text <tool_call>\n<function=zoom>\n<parameter=image_id>\ni', l_partkey, '\n</parameter>\n</function>\n</tool_call>'),
         '<tool_call><function=zoom>stray<parameter=image_id>i</parameter></function></tool_call>',
         '<tool_call><function=zoom><parameter=image_id>i</parameter><parameter=image_id>j</parameter></function></tool_call>',
-        '<tool_call>zoom</tool_call>')[CAST(l_quantity AS BIGINT) % 5]"""
+        '<tool_call>zoom</tool_call>',
+        '<tool_call><function=paint><parameter=image_id>i</parameter></function></tool_call>',
+        '<tool_call><function=zoom><parameter=colour>i</parameter></function></tool_call>')[CAST(l_quantity AS BIGINT) % 7]"""
     )
-    return table(spark, sf, "lineitem").withColumn("call", text.parse_xml_call(raw)).select(
+    return table(spark, sf, "lineitem").withColumn("call", text.parse_xml_call(raw, {"zoom": ["image_id", "factor"]})).select(
         F.col("l_orderkey").alias("ok"), F.col("l_linenumber").alias("ln"), "call.name",
         F.try_element_at("call.parameters", F.lit("image_id")).alias("image_id"),
         F.try_element_at("call.parameters", F.lit("factor")).alias("factor"),
@@ -326,11 +345,12 @@ def _(spark, sf):
 
 
 @query("validate_action", """
-WITH base AS (SELECT l_orderkey AS ok, l_linenumber AS ln, CAST(l_quantity AS BIGINT) % 12 AS v FROM lineitem)
-SELECT ok, ln, CASE v WHEN 1 THEN 'missing:bbox' WHEN 2 THEN 'invalid:bbox' WHEN 3 THEN 'invalid:factor' WHEN 4 THEN 'unknown:note'
+WITH base AS (SELECT l_orderkey AS ok, l_linenumber AS ln, CAST(l_quantity AS BIGINT) % 16 AS v FROM lineitem)
+SELECT ok, ln, CASE v WHEN 13 THEN 'invalid:citations' WHEN 14 THEN 'invalid:links' WHEN 15 THEN 'invalid:bbox' WHEN 1 THEN 'missing:bbox' WHEN 2 THEN 'invalid:bbox' WHEN 3 THEN 'invalid:factor' WHEN 4 THEN 'unknown:note'
   WHEN 5 THEN 'invalid:image_ids' WHEN 6 THEN 'invalid:query' WHEN 8 THEN 'invalid:verdict,missing:citations' WHEN 9 THEN 'unknown_action'
   WHEN 10 THEN 'not_json' WHEN 11 THEN 'invalid:top_k' ELSE '' END AS errors FROM base""")
 def _(spark, sf):
+    cite = '{"image_id": "a", "bbox": [0, 0, 4, 4], "time": "t"}'
     calls = [
         ("crop", '{"image_id": "a", "bbox": [0, 0, 4, 4]}'), ("crop", '{"image_id": "a"}'),
         ("crop", '{"image_id": "a", "bbox": [0, 0, 4]}'), ("zoom", '{"image_id": "a", "factor": 9}'),
@@ -339,8 +359,12 @@ def _(spark, sf):
         ("request_photo", '{"query": {"object": "o", "time": "t", "view": "v"}}'), ("finish", '{"verdict": "Yes"}'),
         ("paint", '{"image_id": "a"}'), ("ocr", '{"image_id"'),
         ("ground_image_to_image", '{"query_image_id": "a", "target_image_id": "b", "top_k": 9}'),
+        ("finish", f'{{"verdict": "Supported", "citations": [{cite}], "links": [{{"relation": "same_time", "left": {cite}, "right": {cite}}}]}}'),
+        ("finish", '{"verdict": "Supported", "citations": [{"image_id": "a", "bbox": [0, 0, 4, 4]}]}'),
+        ("finish", f'{{"verdict": "Refuted", "citations": [], "links": [{{"relation": "near", "left": {cite}, "right": {cite}}}]}}'),
+        ("crop", '{"image_id": "a", "bbox": [0, 0, 4.5, 4]}'),
     ]
-    pick = F.expr("CAST(l_quantity AS BIGINT) % 12").cast("int")
+    pick = F.expr("CAST(l_quantity AS BIGINT) % 16").cast("int")
     df = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")).select(
         F.col("l_orderkey").alias("ok"), F.col("l_linenumber").alias("ln"),
         F.get(F.array(*[F.lit(n) for n, _ in calls]), pick).alias("name"),
