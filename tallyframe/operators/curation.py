@@ -163,11 +163,11 @@ def evenly_spaced_valid(df: DataFrame, group: Sequence[str], order: Sequence[str
 
 def cyclic_partner(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """Each row with the next row of its group; the last one wraps to the first."""
-    indexed = ordered_index(df, group, order, "rank", "size")
-    partners = indexed.select(*group, F.col("rank").alias("_next"), F.col(value).alias("partner"))
+    indexed = ordered_index(df, group, order, "rank", "size").withColumn("_group", F.struct(*group))
+    partners = indexed.select("_group", F.col("rank").alias("_next"), F.col(value).alias("partner"))
     return (
         indexed.withColumn("_next", F.col("rank") % F.col("size") + 1)
-        .join(partners, [*group, "_next"]).drop("_next", "rank", "size")
+        .join(partners, ["_group", "_next"]).drop("_group", "_next", "rank", "size")
     )
 
 

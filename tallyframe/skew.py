@@ -29,9 +29,10 @@ def hash_ranked(
     and an offset from the bucket counts. The counts combine before their shuffle, and the join reuses the
     partitioning of the bucket sort.
     """
-    keys = [*group, "_bucket"]
-    rows = df.withColumn("_digest", digest).withColumn("_bucket", F.substring("_digest", 1, digits))
-    before = W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    rows, whole = _with_group(df, group)
+    keys = [*whole, "_bucket"]
+    rows = rows.withColumn("_digest", digest).withColumn("_bucket", F.substring("_digest", 1, digits))
+    before = W.partitionBy(*whole).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         rows.groupBy(*keys).agg(F.count("*").alias("_rows"))
         .withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
@@ -40,10 +41,15 @@ def hash_ranked(
     return (
         rows.withColumn("_local", F.row_number().over(local)).join(offsets, keys)
         .withColumn(rank, F.col("_offset") + F.col("_local"))
-        .drop("_digest", "_bucket", "_local", "_offset")
+        .drop("_digest", "_bucket", "_local", "_offset", *whole)
     )
 
 
+def _with_group(df: DataFrame, group: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """The group as one struct column: structs compare equal where fields are null, so joins on it keep null groups."""
+    return (df.withColumn("_group", F.struct(*group)), ["_group"]) if group else (df, [])
+
+
 def ordered_index(
     df: DataFrame, group: Sequence[str], order: Sequence[str], rank: str = "rank", size: str | None = None
 ) -> DataFrame:
@@ -55,17 +61,18 @@ def ordered_index(
     """
     keys = [*group, *order]
     spot = F.monotonically_increasing_id()
-    rows = materialize(
+    numbered = materialize(
         df.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).withColumn("_spot", spot), "index"
-    ).withColumn("_part", F.shiftright("_spot", 33))
-    runs = rows.groupBy(*group, "_part").agg(F.min("_spot").alias("_first"), F.count("*").alias("_rows"))
-    before = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    )
+    rows, whole = _with_group(numbered.withColumn("_part", F.shiftright("_spot", 33)), group)
+    runs = rows.groupBy(*whole, "_part").agg(F.min("_spot").alias("_first"), F.count("*").alias("_rows"))
+    before = W.partitionBy(*whole).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     runs = runs.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
     if size:
-        runs = runs.withColumn(size, F.sum("_rows").over(W.partitionBy(*group)))
-    out = rows.join(runs, [*group, "_part"])
+        runs = runs.withColumn(size, F.sum("_rows").over(W.partitionBy(*whole)))
+    out = rows.join(runs, [*whole, "_part"])
     out = out.withColumn(rank, F.col("_spot") - F.col("_first") + F.col("_offset") + 1)
-    return out.drop("_spot", "_part", "_first", "_rows", "_offset")
+    return out.drop("_spot", "_part", "_first", "_rows", "_offset", *whole)
 
 
 def replay_states(
@@ -78,9 +85,8 @@ def replay_states(
     long log is cut into segments of at most ``segment`` rows; each segment becomes one composed array, segments of
     segments compose again, and entry states flow back down. No task ever holds more than one segment.
     """
-    group = list(group)
-    rows = ordered_index(df, group, order, "_rank")
     payload = [c for c in df.columns if c not in group]
+    rows, group = _with_group(ordered_index(df, group, order, "_rank"), group)
     longest = rows.agg(F.max("_rank")).first()[0] or 0
 
     def cut(position: str) -> Column:
@@ -134,7 +140,7 @@ def replay_states(
     return (
         opened.select(*group, F.explode(walk(F.col("_items"), F.col("_enter"))).alias("z"))
         .select(
-            *group, "z.item._row.*", F.col("z.enter").alias(before),
+            *[f"{g}.*" for g in group], "z.item._row.*", F.col("z.enter").alias(before),
             F.get(F.col("z.item._step"), F.col("z.enter")).alias(after),
         )
     )

@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from tallyframe.functions.hashing import row_digest, stable_hash
+from tallyframe.operators.curation import cyclic_partner
 from tallyframe.operators.traces import replay_actions, replay_summary
 from tallyframe.skew import hash_ranked, multiset_digest, ordered_index, replay_states
 
@@ -75,3 +76,14 @@ def test_multiset_digest_ignores_order_not_content(spark):
     assert one == two
     changed = {r.g: r.digest for r in multiset_digest(df.filter("k <> (SELECT 1)").union(df.limit(1)), ["g"], F.col("d")).collect()}
     assert changed != one
+
+
+def test_rows_of_null_groups_are_kept(spark):
+    rows = [(None if i % 3 else "g", i) for i in range(90)]
+    df = spark.createDataFrame(rows, "g string, k bigint").repartition(4)
+    for out in (hash_ranked(df, ["g"], stable_hash(F.col("k"), "s"), "rank", ["k"]), ordered_index(df, ["g"], ["k"], "rank")):
+        ranks = sorted(r["rank"] for r in out.filter("g IS NULL").collect())
+        assert ranks == list(range(1, 61)) and out.count() == 90
+    assert cyclic_partner(df, ["g"], ["k"], "k").count() == 90
+    step = F.transform(F.sequence(F.lit(0), F.lit(1)), lambda s: (1 - s).cast("int"))
+    assert replay_states(df, ["g"], ["k"], step, 2, 0, segment=5).filter("g IS NULL AND state_after = 1").count() == 30
