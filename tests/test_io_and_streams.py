@@ -75,7 +75,7 @@ def test_sessions_do_not_depend_on_batches(spark):
 
 
 def ledger(spark, steps):
-    ops = [("a", "reserve", 800, None), ("a", "settle", None, 700), ("b", "reserve", 310, None), ("b", "settle", None, 300), ("c", "reserve", 100, None),
+    ops = [("a", "reserve", 800, None), ("a", "settle", None, 700), ("b", "reserve", 310, None), ("b", "settle", None, 300), ("a", "reserve", 5, None), ("c", "reserve", 100, None),
            ("d", "reserve", 10, None), ("c", "settle", None, 500), ("d", "reserve", 10, None)]
     rows = [(1, i, op, key, "paper", bound, charge) for i, (key, op, bound, charge) in enumerate(ops)]
     calls = spark.createDataFrame(rows, "ledger bigint, seq bigint, op string, key string, stage string, bound bigint, charge bigint")
@@ -85,7 +85,7 @@ def ledger(spark, steps):
 
 
 def test_ledger_blocks_and_caps(spark):
-    want = [("a", "reserved", 800), ("a", "settled", 700), ("b", "over_cap", 700), ("b", "no_reservation", 700), ("c", "reserved", 800), ("d", "blocked", 800),
+    want = [("a", "reserved", 800), ("a", "settled", 700), ("b", "over_cap", 700), ("b", "no_reservation", 700), ("a", "reused", 700), ("c", "reserved", 800), ("d", "blocked", 800),
             ("c", "unresolved", 800), ("d", "blocked", 800)]
     assert ledger(spark, 1) == want
     assert ledger(spark, 3) == want
