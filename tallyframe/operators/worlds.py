@@ -11,7 +11,7 @@ from itertools import combinations, permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.evidence import REFUTED, SUPPORTED, UNDECIDED, VARIANTS
+from ..functions.evidence import REFUTED, SUPPORTED, UNDECIDED
 from ..functions.hashing import digest_int, stable_hash
 from ..functions.text import strip_variant
 from ..skew import let, ordered_index
@@ -305,6 +305,7 @@ def schedules_equal(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- scoring
 
+# Share of the diagnostic region that citations must cover.
 COVERAGE = {"defect": 0.5, "panel": 0.9}
 
 

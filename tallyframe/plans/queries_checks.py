@@ -9,7 +9,7 @@ from ..operators import checks
 from ..operators.splits import split_by_fraction
 from ..schemas import GENERATION
 from . import standins
-from .queries_curation import STUDY_ARMS, TASKS_SQL, assigned  # noqa: F401
+from .queries_curation import TASKS_SQL, assigned
 from .queries_functions import frac_sql
 from .queries_traces import word_sums_sql
 from .registry import query, table

@@ -8,7 +8,7 @@ from ..functions import actions, evidence, geometry, hashing, text
 from ..session import spread
 from . import standins
 from .registry import query, table
-from .standins import CASES_SQL, CLAIM_BOXES_SQL, EPISODES_SQL, RELATION_SQL, pool_sql
+from .standins import CASES_SQL, CLAIM_BOXES_SQL, EPISODES_SQL, pool_sql
 
 H = "sha256('{salt}|' || {x})"
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bootstrap, reports, stats
 from . import standins
-from .queries_curation import CELLS, COHORT_SQL, cohort  # noqa: F401
+from .queries_curation import COHORT_SQL, cohort
 from .registry import query, table
 from .standins import EPISODES_SQL, VARIANT_EPISODES_SQL
 
