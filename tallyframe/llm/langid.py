@@ -21,7 +21,8 @@ GAP = 0  # code of everything between two runs of letters
 OTHER = 1  # code of a letter that no sample has
 LETTERS = 254
 LANE = 2048  # letters parsed together; phrases end at a lane's end
-BATCH_LETTERS = 4 << 20
+BATCH_LETTERS = 2 << 20
+ROWS = 200
 
 
 @dataclass
@@ -86,7 +87,7 @@ def suffix_automaton(codes: np.ndarray, width: int) -> np.ndarray:
 
 
 def fit_language_model(
-    labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", sample_chars: int = 32_768,
+    labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", sample_chars: int = 16_384,
     total_chars: int = 1 << 20,
 ) -> LanguageModel:
     """Fit on at most ``sample_chars`` characters per language and ``total_chars`` over all languages.
@@ -190,16 +191,15 @@ def language_column(df: DataFrame, text: Column, model: LanguageModel) -> Column
 
     @F.arrow_udf("lang_pred string, score double")
     def identify(values: pa.Array) -> pa.Array:
-        texts = values.to_pylist()
-        names, scores, batch, letters = [], [], [], 0
-        for at, value in enumerate(texts):
-            batch.append(value)
-            letters += len(value or "")
-            if letters >= BATCH_LETTERS or at == len(texts) - 1:
+        names, scores, batch = [], [], []
+        for at in range(0, len(values), ROWS):
+            batch += values.slice(at, ROWS).to_pylist()
+            letters = sum(len(t or "") for t in batch)
+            if letters >= BATCH_LETTERS or at + ROWS >= len(values):
                 some, marks = predict(batch, shared.value)
                 names += some
                 scores += marks.tolist()
-                batch, letters = [], 0
+                batch = []
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     return identify(text)

@@ -11,6 +11,8 @@ from .line_dedup import dedup_lines
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
+from .secret_scan import BASE_KINDS, KINDS, SCOPE, find_secrets, span_text
+from .substring_dedup import dedup_substrings
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -55,6 +57,43 @@ def op3(spark, sf_dir):
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("estimate")
 
 
+def sql_text(value: str) -> str:
+    return value.replace("'", "''")
+
+
+SECRET_SQL = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+kinds AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{k[0]}', {k[1] == 'secret'}, {k[3]}, {k[4]})" for i, k in enumerate(KINDS))}) AS k(kind, name, secret, grp, least)),
+found AS ({" UNION ALL ".join(f"SELECT doc_id, {i} AS kind, string_split_regex(text, '{sql_text(k[2])}') AS gaps, regexp_extract_all(text, '{sql_text(k[2])}') AS hits, regexp_extract_all(text, '{sql_text(k[2])}', {k[3]}) AS vals FROM docs" for i, k in enumerate(KINDS))}),
+rows AS (SELECT doc_id, kind, unnest(hits) AS hit, unnest(vals) AS val, unnest(gaps[1 : len(hits)]) AS gap, generate_subscripts(hits, 1) AS turn FROM found WHERE len(hits) > 0),
+placed AS (SELECT doc_id, kind, hit, val, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY turn) AS BIGINT) AS e FROM rows),
+parts AS (SELECT doc_id, kind, name, secret, e - length(hit) AS s, e FROM placed JOIN kinds USING (kind) WHERE length(val) >= least),
+weak AS (SELECT * FROM parts w WHERE kind >= {BASE_KINDS}
+  AND EXISTS (SELECT 1 FROM parts o WHERE o.doc_id = w.doc_id AND o.secret <> w.secret AND abs(o.s - w.s) <= {SCOPE})
+  AND NOT (kind = {len(KINDS) - 1} AND EXISTS (SELECT 1 FROM parts o WHERE o.doc_id = w.doc_id AND o.kind < {BASE_KINDS} AND o.s < w.e AND w.s < o.e))),
+spans AS (SELECT * FROM parts WHERE kind < {BASE_KINDS} UNION ALL SELECT * FROM weak),
+lists AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (kind < {BASE_KINDS}) AS base, string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) AS spans
+  FROM spans GROUP BY 1)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs d LEFT JOIN lists l ON l.doc_id = d.doc_id
+"""
+
+
+@query("op4_secret_scan", SECRET_SQL)
+def op4(spark, sf_dir):
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, F.lit(i)))).cast("long").alias(f"n_{k[0]}") for i, k in enumerate(KINDS[:BASE_KINDS])]
+    base = F.filter("spans", lambda s: s["kind"] < BASE_KINDS)
+    return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
+@query("op5_substring_dedup")
+def op5(spark, sf_dir):
+    return dedup_substrings(table(spark, sf_dir, "documents")).drop("kept")
+
+
 @query("op7_language_id")
 def op7(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

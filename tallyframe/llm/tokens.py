@@ -8,8 +8,8 @@ import types
 
 import numpy as np
 
-# Words kept per worker process; beyond that the memory starts anew. About 150 MB.
-REMEMBERED = 600_000
+# Words kept per worker process; beyond that the memory starts anew. About 60 MB.
+REMEMBERED = 250_000
 # Letters whose lower case is one letter, with at most one full stop or comma behind them.
 PLAIN_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?")
 # White space to Python but not to every tokenizer.
