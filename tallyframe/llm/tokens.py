@@ -8,12 +8,10 @@ import types
 
 import numpy as np
 
-# Words kept per worker process; beyond that the memory starts anew. About 60 MB.
-REMEMBERED = 250_000
-# Letters whose lower case is one letter, with at most one full stop or comma behind them.
-PLAIN_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?")
-# White space to Python but not to every tokenizer.
-UNSURE = re.compile("[\x1c-\x1f\x85]")
+# Words kept per worker process; beyond that the memory starts anew. About 150 MB.
+REMEMBERED = 800_000
+# Anything but letters whose lower case is one letter, single full stops and commas, and white space.
+UNEVEN = re.compile("[^A-Za-zÀ-ÖØ-öø-ÿ., \n]|[.,][.,]")
 SURE_SPACE = re.compile("[ \t\n\r\f\v]+")
 
 
@@ -24,8 +22,14 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_word = not self._ids("  \n\t") and self._ids("ab cd") == self._ids("ab") + self._ids("cd")
+        self.by_word = not self._ids("  \n\t") and self._ids("ab cd.") == self._ids("ab") + self._ids("CD") + self._ids(".")
         self.known: dict[str, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = None
+        if self.by_word and suffix:
+            vocabulary = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[n for token, n in vocabulary.items() if token.endswith(suffix)]] = True
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -35,30 +39,39 @@ class WordEncoder:
         if not self.by_word:
             found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
             return [np.array(e.ids, "<u4").tobytes() for e in found]
-        words = [SURE_SPACE.split(t) if UNSURE.search(t) else t.split() for t in texts]
-        known = self.known
+        known, words, even, odd = self.known, [], set(), set()
         if len(known) > REMEMBERED:
             known.clear()
-        self._learn({w for text in words for w in text if w not in known})
-        return [b"".join(map(known.__getitem__, text)) for text in words]
+        for text in texts:
+            own: list[str] = []
+            for part in [text] if not UNEVEN.search(text) else text.split("\n"):
+                if UNEVEN.search(part):
+                    some = SURE_SPACE.split(part)
+                    odd.update(w for w in some if w not in known)
+                else:
+                    # Case is dropped, and a mark is a token of its own: fewer distinct words.
+                    some = part.lower().replace(".", " . ").replace(",", " , ").split()
+                    even.update(w for w in some if w not in known)
+                own += some
+            words.append(own)
+        self._learn_even([*even])
+        self._learn([w for w in odd if w not in known])
+        return [b"".join(map(known.__getitem__, own)) for own in words]
 
-    def _learn(self, words: set[str]) -> None:
-        known, plain, stems = self.known, [], {}
-        for word in words:
-            if PLAIN_WORD.fullmatch(word):
-                stem, mark = (word[:-1], word[-1]) if word[-1] in ".," else (word, "")
-                stem = stem.lower()
-                plain.append((word, stem, mark))
-                stems[stem] = None
-                if mark:
-                    stems[mark] = None
-            else:
-                stems[word] = None
-        self._encode_new([s for s in stems if s not in known])
-        for word, stem, mark in plain:
-            known[word] = known[stem] + (known[mark] if mark else b"")
+    def _learn_even(self, words: list[str], together: int = 1000) -> None:
+        """Words of letters, and marks: each ends with the only token in it that can end a word."""
+        if self.last is None:
+            return self._learn(words)
+        for at in range(0, len(words), together):
+            some = words[at : at + together]
+            ids = np.array(self._ids(" ".join(some)), "<u4")
+            cuts = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            data, begin = ids.tobytes(), 0
+            for word, cut in zip(some, cuts, strict=True):
+                self.known[word] = data[begin:cut]
+                begin = cut
 
-    def _encode_new(self, words: list[str], together: int = 1000) -> None:
+    def _learn(self, words: list[str], together: int = 1000) -> None:
         for at in range(0, len(words), together):
             some = words[at : at + together]
             encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
