@@ -5,16 +5,20 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from .ann import nearest_neighbours
+from .chat import LEARNED, format_conversations, read_back
 from .decontam import find_leaks
 from .langid import fit_language_model, identify_language
 from .line_dedup import dedup_lines
 from .minhash import near_duplicates
 from .packing import pack_documents
+from .quality import fit_quality, score_quality
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 from .secret_scan import BASE_KINDS, KINDS, SCOPE, find_secrets, span_text
 from .substring_dedup import dedup_substrings
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+CHAT_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 # Words as in the contract: A-Z lower-cased, ASCII white space between them.
 SQL_WORDS = """
@@ -94,6 +98,15 @@ def op5(spark, sf_dir):
     return dedup_substrings(table(spark, sf_dir, "documents")).drop("kept")
 
 
+@query("op6_quality_classifier")
+def op6(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    part = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = fit_quality(docs, labels.where(part != 1))
+    scored = score_quality(docs, model).withColumn("held_out", F.coalesce(part == 1, F.lit(False)))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 @query("op7_language_id")
 def op7(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -102,6 +115,35 @@ def op7(spark, sf_dir):
     return identify_language(docs, model).withColumn("held_out", F.coalesce(part == 0, F.lit(False)))
 
 
+@query("op8_chat_formatting", """
+WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, n, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS x(n, r))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(23 + length(role) + length(text) + 2 * length(role || text) - length(replace(replace(role || text, chr(92), ''), '<', '')) - length(replace(role || text, '[', ''))) AS BIGINT) AS formatted_chars
+FROM rows GROUP BY conv_id
+""")
+def op8(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    told = read_back(*format_conversations(rows.unionByName(extra), CHAT_TOKENIZER))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learned = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LEARNED), lambda t: t["text"]), "")
+    return told.select(
+        F.col("conv").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
+        F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"),
+        F.length(F.array_join(F.col("turns.formatted"), "")).cast("long").alias("formatted_chars"),
+    )
+
+
+@query("op9_nearest_neighbours")
+def op9(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(rows, rows.where("vec_id % 100 = 0"))
+
+
 @query("op10_line_dedup", """
 WITH lines AS (SELECT doc_id, pos - 1 AS pos, line, length(line) >= 20 AS strong
   FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)),
