@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions.actions import action_price
 from ..functions.hashing import row_digest
@@ -35,19 +36,32 @@ def content_parts(df: DataFrame, keys: list[str], content: str = "content") -> D
     return df.select(*keys, F.posexplode(parts).alias("part", "p")).select(*keys, "part", "p.*")
 
 
-def call_definitions(messages: DataFrame) -> DataFrame:
-    """The last definition of each call id of an episode."""
-    calls = messages.filter("role = 'assistant' AND call_id IS NOT NULL")
-    return (
-        calls.groupBy("episode", "call_id").agg(F.max(F.struct("pos", "name", "k")).alias("c"))
-        .select("episode", "call_id", F.col("c.pos").alias("call_pos"), F.col("c.name").alias("call_name"), F.col("c.k").alias("call_k"))
+def call_responses(messages: DataFrame) -> DataFrame:
+    """Tool responses with the call they answer: the last definition of their call id before them in the episode.
+
+    A response without such a call keeps nulls. Id, name and arguments (JSON text) of a call are in its own row; the status
+    of a response is read from its JSON text.
+    """
+    calls = F.when(F.col("role") == "assistant", F.struct("pos", "name", "arguments"))
+    before = W.partitionBy("episode", "call_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    known = messages.filter("role IN ('assistant', 'tool') AND call_id IS NOT NULL")
+    answered = known.withColumn("_call", F.last(calls, ignorenulls=True).over(before))
+    # Responses without an id answer nothing and need no window.
+    alone = messages.filter("role = 'tool' AND call_id IS NULL").withColumn("_call", F.lit(None).cast(answered.schema["_call"].dataType))
+    return answered.filter("role = 'tool'").unionByName(alone).select(
+        "episode", "pos", "call_id", "name", json_field("text", "$.status").alias("status"), "image",
+        F.col("_call.pos").alias("call_pos"), F.col("_call.name").alias("call_name"), F.col("_call.arguments").alias("call_arguments"),
     )
 
 
-def call_responses(messages: DataFrame) -> DataFrame:
-    """Tool responses with the call they answer; a response without a known call keeps nulls."""
-    responses = messages.filter("role = 'tool'").select("episode", "pos", "call_id", "status", "image")
-    return responses.join(call_definitions(messages), ["episode", "call_id"], "left")
+def json_field(text: str, path: str) -> Column:
+    """A field of a JSON object in a text column; null for other texts."""
+    return F.try_variant_get(strict_json(F.col(text)), path, "string")
+
+
+def answered_requests(messages: DataFrame, action: str) -> DataFrame:
+    """Responses to one action, by the call they answer or by their own name."""
+    return call_responses(messages).filter((F.col("call_name") == action) | (F.col("name") == action))
 
 
 def image_novelty(parts: DataFrame, fingerprint: str = "image") -> DataFrame:
@@ -62,12 +76,12 @@ def image_novelty(parts: DataFrame, fingerprint: str = "image") -> DataFrame:
 
 
 def request_records(messages: DataFrame, action: str = "request_photo") -> DataFrame:
-    """Per response to a photo request: status, view asked for, images returned and new."""
-    requests = call_responses(messages).filter(F.col("call_name") == action)
+    """Per response to a photo request: status, view asked for (``query.view`` of the call's arguments), images returned and new."""
+    requests = answered_requests(messages, action)
     novelty = image_novelty(messages)
     joined = requests.join(novelty, ["episode", "pos"], "left")
     return joined.select(
-        "episode", "pos", "status", (F.col("call_k") % 5).alias("view"),
+        "episode", "pos", "status", json_field("call_arguments", "$.query.view").alias("view"),
         F.coalesce("returned", F.lit(0)).alias("returned"), F.coalesce("novel", F.lit(0)).alias("novel"),
         F.coalesce("repeated_only", F.lit(False)).alias("repeated_only"),
     )
@@ -215,18 +229,23 @@ def visible_images(events: DataFrame, keys: list[str], image: str, rank: Column,
     return ordered_index(first, keys, ["_class", "_pos", image], "ordinal").select(*keys, image, "ordinal")
 
 
+def finite(value: Column) -> Column:
+    """Not negative, and neither NaN nor infinite: in comparisons NaN counts as larger than any number."""
+    return (value >= 0) & (value < float("inf"))
+
+
 def generation_usage(generation: Column, wall: Column, stored: Column, strict: bool = False) -> Column:
     """Usage struct of one episode's generation array.
 
-    Halted calls ran no generation and count as rejected. A missing or negative measure, a halted call with output
+    Halted calls ran no generation and count as rejected. A missing, negative or non-finite measure, a halted call with output
     tokens, or a wall time that differs from the stored one is a problem, never a silent zero; ``strict`` raises it.
     """
     made = F.filter(generation, lambda g: g["halt"].isNull())
     halted = F.filter(generation, lambda g: g["halt"].isNotNull())
 
     def bad(g: Column) -> Column:
-        measures = [g["input_tokens"], g["output_tokens"], g["latency_s"]]
-        return F.lit(False) | ~F.coalesce((measures[0] >= 0) & (measures[1] >= 0) & (measures[2] >= 0), F.lit(False))
+        sound = (g["input_tokens"] >= 0) & (g["output_tokens"] >= 0) & finite(g["latency_s"])
+        return ~F.coalesce(sound, F.lit(False))
 
     def total(field: str, kind: str) -> Column:
         return F.aggregate(F.transform(made, lambda g: g[field]), F.lit(0).cast(kind), lambda a, v: a + v)
@@ -234,7 +253,7 @@ def generation_usage(generation: Column, wall: Column, stored: Column, strict: b
     problem = (
         F.when(F.exists(halted, lambda g: g["output_tokens"].isNotNull()), "halted_call_with_tokens")
         .when(F.exists(made, bad), "invalid_measure")
-        .when(~F.coalesce((wall >= 0) & (F.abs(wall - stored) <= 1e-6), F.lit(False)), "latency_mismatch")
+        .when(~F.coalesce(finite(wall) & (F.abs(wall - stored) <= 1e-6), F.lit(False)), "latency_mismatch")
     )
     if strict:
         problem = F.when(problem.isNotNull(), F.raise_error(problem).cast("string"))
@@ -273,19 +292,22 @@ def image_refs(df: DataFrame, keys: list[str], document: str) -> DataFrame:
 
 
 def trace_excerpt(messages: DataFrame) -> DataFrame:
-    """Calls of each episode with the outcome of the last response to them, without pixels."""
-    answers = messages.filter("role = 'tool'").groupBy("episode", "call_id").agg(
+    """Calls of each episode with the outcome of the last response to them, without pixels.
+
+    The responses to a call are those up to the next use of its id.
+    """
+    answers = call_responses(messages).filter("call_pos IS NOT NULL").groupBy("episode", "call_id", F.col("call_pos").alias("pos")).agg(
         F.max_by("status", "pos").alias("status"), F.count("*").alias("responses")
     )
     calls = messages.filter("role = 'assistant'").select("episode", "pos", "call_id", "name")
-    return calls.join(answers, ["episode", "call_id"], "left").select(
+    return calls.join(answers, ["episode", "call_id", "pos"], "left").select(
         "episode", "pos", "name", "status", F.coalesce("responses", F.lit(0)).alias("responses")
     )
 
 
 def request_events(messages: DataFrame, action: str = "request_photo") -> DataFrame:
     """Status and returned image of each answered request."""
-    return call_responses(messages).filter(F.col("call_name") == action).select("episode", "pos", "status", F.col("image").alias("returned"))
+    return answered_requests(messages, action).select("episode", "pos", "status", F.col("image").alias("returned"))
 
 
 def episode_rows(records: DataFrame, cases: DataFrame, key: str) -> DataFrame:

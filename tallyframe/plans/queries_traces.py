@@ -34,16 +34,14 @@ def _(spark, sf):
     return traces.content_parts(df, ["event_id"])
 
 
-CALLS_SQL = MESSAGES_SQL + """, defs AS (
-  SELECT episode, call_id, pos AS call_pos, name AS call_name, k AS call_k FROM messages WHERE role = 'assistant'
-  QUALIFY row_number() OVER (PARTITION BY episode, call_id ORDER BY pos DESC) = 1), answered AS (
-  SELECT m.episode, m.pos, m.call_id, m.status, m.image, d.call_pos, d.call_name, d.call_k
-  FROM messages m LEFT JOIN defs d USING (episode, call_id) WHERE m.role = 'tool'), novelty AS (
+CALLS_SQL = MESSAGES_SQL + """, calls AS (SELECT episode, call_id, pos, name, arguments FROM messages WHERE role = 'assistant'), answered AS (
+  SELECT m.episode, m.pos, m.call_id, m.name, m.status, m.image, d.pos AS call_pos, d.name AS call_name, d.arguments AS call_arguments
+  FROM (SELECT * FROM messages WHERE role = 'tool') m ASOF LEFT JOIN calls d ON m.episode = d.episode AND m.call_id = d.call_id AND m.pos > d.pos), novelty AS (
   SELECT episode, pos, 1::BIGINT AS returned, CASE WHEN pos = min(pos) OVER (PARTITION BY episode, image) THEN 1::BIGINT ELSE 0::BIGINT END AS novel
-  FROM messages WHERE image IS NOT NULL), requests AS (
-  SELECT a.episode, a.pos, a.status, a.call_k % 5 AS view, coalesce(n.returned, 0) AS returned, coalesce(n.novel, 0) AS novel,
-    coalesce(n.novel = 0, false) AS repeated_only
-  FROM answered a LEFT JOIN novelty n USING (episode, pos) WHERE a.call_name = 'request_photo')"""
+  FROM messages WHERE image IS NOT NULL), asked AS (SELECT * FROM answered WHERE call_name = 'request_photo' OR name = 'request_photo'), requests AS (
+  SELECT a.episode, a.pos, a.status, CASE WHEN json_valid(a.call_arguments) THEN json_extract_string(a.call_arguments, '$.query.view') END AS view,
+    coalesce(n.returned, 0) AS returned, coalesce(n.novel, 0) AS novel, coalesce(n.novel = 0, false) AS repeated_only
+  FROM asked a LEFT JOIN novelty n USING (episode, pos))"""
 
 
 @query("call_responses", f"WITH {CALLS_SQL} SELECT * FROM answered")
@@ -203,7 +201,7 @@ WITH base AS (SELECT l_orderkey AS ok, l_linenumber AS ln, CAST(l_quantity AS BI
 SELECT ok, ln, q * 10 + CASE WHEN ln % 3 = 0 THEN 0 ELSE q END AS input_tokens, CASE WHEN d = 9 THEN NULL ELSE q END + CASE WHEN ln % 3 = 0 THEN 0 ELSE d END AS output_tokens,
   d / 8.0 + CASE WHEN ln % 3 = 0 THEN 0 ELSE 0.5 END AS model_s, CASE WHEN ln % 3 = 0 THEN 1 ELSE 2 END AS model_calls,
   CASE WHEN ln % 3 = 0 THEN 1 ELSE 0 END AS rejected_calls,
-  CASE WHEN d = 9 THEN 'invalid_measure' WHEN q = 7 THEN 'latency_mismatch' END AS problem FROM base""")
+  CASE WHEN d = 9 THEN 'invalid_measure' WHEN q IN (7, 8) THEN 'latency_mismatch' END AS problem FROM base""")
 def _(spark, sf):
     df = spread(table(spark, sf, "lineitem")).selectExpr(
         "l_orderkey AS ok", "l_linenumber AS ln", "CAST(l_quantity AS BIGINT) AS q", "CAST(round(l_discount*100) AS BIGINT) AS d"
@@ -214,6 +212,7 @@ def _(spark, sf):
         "'halt', CASE WHEN ln % 3 = 0 THEN 'context' END, 'reasoning_tokens', null))"
     ).cast(f"array<{GENERATION}>")
     wall = F.expr("CAST(d AS DOUBLE)")
+    wall = F.when(F.col("q") == 8, float("nan")).otherwise(wall)
     usage = traces.generation_usage(generation, wall, F.when(F.col("q") == 7, wall + 1).otherwise(wall))
     return df.withColumn("u", usage).select("ok", "ln", "u.*")
 
@@ -244,14 +243,14 @@ def _(spark, sf):
     return traces.image_refs(table(spark, sf, "documents").withColumn("doc", doc), ["doc_id"], "doc")
 
 
-@query("trace_excerpt", f"""WITH {MESSAGES_SQL}, answers AS (
-  SELECT episode, call_id, arg_max(status, pos) AS status, count(*) AS responses FROM messages WHERE role = 'tool' GROUP BY 1, 2)
-SELECT m.episode, m.pos, m.name, a.status, coalesce(a.responses, 0) AS responses FROM messages m LEFT JOIN answers a USING (episode, call_id) WHERE m.role = 'assistant'""")
+@query("trace_excerpt", f"""WITH {CALLS_SQL}, answers AS (
+  SELECT episode, call_id, call_pos AS pos, arg_max_null(status, pos) AS status, count(*) AS responses FROM answered WHERE call_pos IS NOT NULL GROUP BY 1, 2, 3)
+SELECT m.episode, m.pos, m.name, a.status, coalesce(a.responses, 0) AS responses FROM messages m LEFT JOIN answers a USING (episode, call_id, pos) WHERE m.role = 'assistant'""")
 def _(spark, sf):
     return traces.trace_excerpt(standins.messages(spark, sf))
 
 
-@query("request_events", f"WITH {CALLS_SQL} SELECT episode, pos, status, image AS returned FROM answered WHERE call_name = 'request_photo'")
+@query("request_events", f"WITH {CALLS_SQL} SELECT episode, pos, status, image AS returned FROM asked")
 def _(spark, sf):
     return traces.request_events(standins.messages(spark, sf))
 

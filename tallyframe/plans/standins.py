@@ -109,10 +109,12 @@ def variant_episodes(spark: SparkSession, sf: str) -> DataFrame:
 MESSAGES_SQL = """messages AS (
   SELECT user_id AS episode, event_id AS pos, k, value,
     CASE event_type WHEN 'signup' THEN 'system' WHEN 'view' THEN 'user' WHEN 'click' THEN 'assistant' ELSE 'tool' END AS role,
-    CASE WHEN event_type = 'click' THEN ['request_photo', 'crop', 'ocr', 'finish'][k % 4 + 1] END AS name,
+    CASE WHEN event_type = 'click' THEN ['request_photo', 'crop', 'ocr', 'finish'][k % 4 + 1] WHEN event_type = 'error' AND k % 11 = 0 THEN 'request_photo' END AS name,
+    CASE WHEN event_type = 'click' THEN CASE WHEN k % 7 = 6 THEN '{"query": broken' ELSE '{"query": {"view": "v' || (k % 5) || '"}, "why": ' || k || '}' END END AS arguments,
+    CASE event_type WHEN 'purchase' THEN '{"status": "provided", "images": 1}' WHEN 'error' THEN CASE WHEN k % 6 = 5 THEN 'status: none' ELSE '{"status": "unable_to_provide"}' END END AS text,
     CASE WHEN event_type IN ('click', 'purchase', 'error') THEN 'c' || (k // 4) END AS call_id,
     CASE WHEN event_type IN ('view', 'purchase') THEN 'img-' || (k % 30) END AS image,
-    CASE event_type WHEN 'purchase' THEN 'provided' WHEN 'error' THEN 'unable_to_provide' END AS status
+    CASE event_type WHEN 'purchase' THEN 'provided' WHEN 'error' THEN CASE WHEN k % 6 < 5 THEN 'unable_to_provide' END END AS status
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))"""
 
 
@@ -122,10 +124,12 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
     return events.selectExpr(
         "user_id AS episode", "event_id AS pos", "k", "value",
         "CASE event_type WHEN 'signup' THEN 'system' WHEN 'view' THEN 'user' WHEN 'click' THEN 'assistant' ELSE 'tool' END AS role",
-        "CASE WHEN event_type = 'click' THEN array('request_photo', 'crop', 'ocr', 'finish')[k % 4] END AS name",
+        "CASE WHEN event_type = 'click' THEN array('request_photo', 'crop', 'ocr', 'finish')[k % 4] WHEN event_type = 'error' AND k % 11 = 0 THEN 'request_photo' END AS name",
+        """CASE WHEN event_type = 'click' THEN CASE WHEN k % 7 = 6 THEN '{"query": broken' ELSE '{"query": {"view": "v' || (k % 5) || '"}, "why": ' || k || '}' END END AS arguments""",
+        """CASE event_type WHEN 'purchase' THEN '{"status": "provided", "images": 1}' WHEN 'error' THEN CASE WHEN k % 6 = 5 THEN 'status: none' ELSE '{"status": "unable_to_provide"}' END END AS text""",
         "CASE WHEN event_type IN ('click', 'purchase', 'error') THEN 'c' || (k div 4) END AS call_id",
         "CASE WHEN event_type IN ('view', 'purchase') THEN 'img-' || (k % 30) END AS image",
-        "CASE event_type WHEN 'purchase' THEN 'provided' WHEN 'error' THEN 'unable_to_provide' END AS status",
+        "CASE event_type WHEN 'purchase' THEN 'provided' WHEN 'error' THEN CASE WHEN k % 6 < 5 THEN 'unable_to_provide' END END AS status",
     )
 
 
