@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,15 +99,16 @@ def signatures(docs: DataFrame, text: str, id_col: str) -> DataFrame:
 
 
 def estimate(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
-    """Jaccard similarity from registers (last axis), less the registers expected to agree by chance."""
+    """Jaccard similarity from registers (last axis), less the registers expected to agree by chance.
+
+    Two registers of different sets agree by chance with a probability of about 0.34 divided by the number of mantissas,
+    less where the sets differ in size or leave registers empty.
+    """
     either = (left != 0) | (right != 0)
     total = either.sum(-1)
     agree = ((left == right) & either).sum(-1)
     a, b = n_left / REGISTERS, n_right / REGISTERS
-    chance = np.zeros(np.broadcast(a, b).shape)
-    for zeros in range(24):
-        width = 2.0 ** -(zeros + 1 + MANTISSA)
-        chance += width * a * b / (a + b) * (np.exp(-(a + b) * 2.0 ** -(zeros + 1)) - np.exp(-(a + b) * 2.0**-zeros))
+    chance = 2 * 0.169919 / (1 << MANTISSA) * 4 * a * b / (a + b) ** 2 * (1 - np.exp(-a)) * (1 - np.exp(-b))
     by_chance = chance * REGISTERS
     return np.clip((agree - by_chance) / np.maximum(total - by_chance, 1e-9), 0, 1)
 
@@ -152,52 +154,110 @@ def confirmed(pairs: DataFrame, docs: DataFrame, text: str, id_col: str, percent
     ).select("a", "b")
 
 
-def open_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a band and pass the estimate, for bands of any size.
+def paired_blocks(members: DataFrame, key: str, size: str) -> DataFrame:
+    """Members of each group dealt to blocks of about 256, and a unit of work per pair of blocks: ``key``, ``low``, ``high``.
 
-    ``members`` has ``key``, ``id``, ``root``, ``n``, ``marks``, ``size``. A band's members are dealt to blocks of about 256,
-    and each pair of blocks is one small unit of work, so that no task holds a band.
+    A unit holds two blocks at most, so that no task holds a group, however large.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    rows = rows.select("key", "low", "high", "block", "id", "root", "n", "marks")
-    units = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    kind = members.schema["id"].dataType.simpleString()
-
-    def compare(unit) -> list[tuple]:
-        if len(unit) < 2:
-            return []
-        marks, n = mark_matrix(unit["marks"]), unit["n"].to_numpy(np.float64)
-        root, block, ids = unit["root"].to_numpy(), unit["block"].to_numpy(), unit["id"].to_numpy()
-        out = []
-        for row in range(len(unit) - 1):
-            after = slice(row + 1, None)
-            able = (root[after] != root[row]) & (np.minimum(n[after], n[row]) * 100 >= np.maximum(n[after], n[row]) * percent)
-            if unit["low"].iat[0] != unit["high"].iat[0]:
-                able &= block[after] != block[row]
-            at = np.flatnonzero(able) + row + 1
-            if len(at):
-                near = at[estimate(marks[at], marks[row], n[at], n[row]) >= ESTIMATE]
-                out += [(max(ids[row], ids[i]), min(ids[row], ids[i])) for i in near]
-        return out
+    rows = members.withColumn("_blocks", F.ceil(F.col(size) / BLOCK).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), "_blocks").cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    rows = rows.withColumns({"low": F.least("block", "_other"), "high": F.greatest("block", "_other")}).drop("_blocks", "_other")
+    return rows.repartition(key, "low", "high").sortWithinPartitions(key, "low", "high")
+
+
+def whole_units(batches, key: str):
+    """Frames of whole units with the bounds of each unit, from batches that may cut through units."""
+    rest = None
+    for batch in batches:
+        rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        spots = rest[[key, "low", "high"]].to_numpy()
+        cut = np.flatnonzero((spots[1:] != spots[:-1]).any(axis=1)) + 1
+        if len(cut):
+            yield rest.iloc[: cut[-1]], np.concatenate([[0], cut])
+            rest = rest.iloc[cut[-1] :].reset_index(drop=True)
+    if rest is not None and len(rest):
+        spots = rest[[key, "low", "high"]].to_numpy()
+        yield rest, np.concatenate([[0], np.flatnonzero((spots[1:] != spots[:-1]).any(axis=1)) + 1, [len(rest)]])
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> list[tuple]:
+    """Pairs that suffice to join what all pairs join."""
+    parent: dict = {}
+
+    def top(x):
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
 
-    def scan(batches):
-        import pandas as pd
+    out = []
+    for x, y in set(zip(a.tolist(), b.tolist())):
+        p, q = top(x), top(y)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            out.append((max(x, y), min(x, y)))
+    return out
 
-        rest = None
-        for batch in batches:
-            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            code = rest[["key", "low", "high"]].to_numpy()
-            cut = np.concatenate([[0], np.flatnonzero((code[1:] != code[:-1]).any(axis=1)) + 1]) if len(rest) else np.zeros(1, int)
-            found = [pair for lo, hi in zip(cut[:-1], cut[1:]) for pair in compare(rest.iloc[lo:hi])]
-            rest = rest.iloc[cut[-1] :]
-            yield pd.DataFrame(found, columns=["a", "b"])
-        if rest is not None:
-            yield pd.DataFrame(compare(rest), columns=["a", "b"])
 
-    return units.mapInPandas(scan, f"a {kind}, b {kind}").distinct()
+def close_roots(frame: pd.DataFrame, bounds: np.ndarray, percent: int) -> list[tuple]:
+    """Pairs of components with members that share a unit and pass the estimate, as a forest per unit."""
+    marks, n = mark_matrix(frame["marks"]), frame["n"].to_numpy(np.float64)
+    root, block = frame["root"].to_numpy(), frame["block"].to_numpy()
+    inside = (frame["low"] == frame["high"]).to_numpy()
+    sizes, out = np.diff(bounds), []
+
+    def passing(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        able = (root[i] != root[j]) & (inside[i] | (block[i] != block[j]))
+        able &= np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
+        i, j = i[able], j[able]
+        near = [estimate(marks[i[at : at + 50_000]], marks[j[at : at + 50_000]], n[i[at : at + 50_000]], n[j[at : at + 50_000]]) for at in range(0, len(i), 50_000)]
+        good = np.concatenate(near) >= ESTIMATE if near else np.zeros(0, bool)
+        return root[i[good]], root[j[good]]
+
+    for size in range(2, 9):
+        starts, (i, j) = bounds[:-1][sizes == size], np.triu_indices(size, 1)
+        for at in range(0, len(starts), 5000):
+            some = starts[at : at + 5000, None]
+            out += forest(*passing((some + i).ravel(), (some + j).ravel()))
+    for low, high in zip(bounds[:-1][sizes > 8].tolist(), bounds[1:][sizes > 8].tolist()):
+        i, j = np.triu_indices(high - low, 1)
+        out += forest(*passing(low + i, low + j))
+    return out
+
+
+def linked_roots(frame: pd.DataFrame, bounds: np.ndarray, percent: int) -> list[tuple]:
+    """Pairs of components that a link joins, by the exact intersections of all pairs of a unit, as a forest per unit."""
+    out = []
+    ids, n = frame["root"].to_numpy(), frame["n"].to_numpy(np.float64)
+    for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        root, size = ids[low:high], n[low:high]
+        if high - low < 2 or (root == root[0]).all():
+            continue
+        own = frame["shingles"].iloc[low:high].tolist()
+        owner = np.repeat(np.arange(high - low), [len(s) for s in own])
+        _, column, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        shared = times[column] > 1
+        owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+        both = np.zeros((high - low, high - low), np.float32)
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            part = slice(*np.searchsorted(column, [at, at + 4096]))
+            held = np.zeros((high - low, 4096), np.float32)
+            held[owner[part], column[part] - at] = 1
+            both += held @ held.T
+        linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+        i, j = np.nonzero(np.triu(linked & (root[:, None] != root[None, :]), 1))
+        out += forest(root[i], root[j])
+    return out
+
+
+def scan_units(rows: DataFrame, key: str, compare, percent: int, kind: str) -> DataFrame:
+    def scan(batches):
+        for frame, bounds in whole_units(batches, key):
+            yield pd.DataFrame(compare(frame, bounds, percent), columns=["a", "b"])
+
+    return rows.mapInPandas(scan, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", percent: int = 85) -> DataFrame:
@@ -209,8 +269,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     of them gets its own row. Other columns are ignored; an empty table gives an empty result. ``percent`` may not be
     below 85, for which the bands are made.
 
-    Equal sets are one node from the start. In each band, members are first compared with the smallest one; only
-    members of bands that then still join several components are compared among themselves.
+    Equal sets are one node from the start. In each band, members are first compared with the smallest one. Where a band
+    then still joins several components, all its members are estimated against each other, and components that come near
+    each other form a cluster, in which every pair is settled by exact intersections.
     """
     if percent < 85:
         raise ValueError("the bands find similarities of 0.85 and more")
@@ -237,8 +298,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     placed = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     torn = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     rest = placed.join(materialize(torn, "torn"), "key").join(facts, "id").select("key", "id", "root", "n", "marks", "size")
-    tried = materialize(open_pairs(rest, percent).join(best, ["a", "b"], "left_anti"), "pairs")
-    more = confirmed(tried, docs, text, id_col, percent)
+    kind = docs.schema[id_col].dataType.simpleString()
+    close = scan_units(paired_blocks(rest, "key", "size"), "key", close_roots, percent, kind)
+    clusters = connected_components(close).withColumnsRenamed({"root": "cluster", "node": "root"})
+    # Components whose members come near each other: all members of such a cluster are compared, each pair once.
+    inside = nodes.select("id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    inside = materialize(inside.join(clusters, "root"), "clusters")
+    inside = inside.join(inside.groupBy("cluster").agg(F.count("*").alias("size")), "cluster")
+    few = lookup(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), inside.select(F.col("id").alias("_id")), inside.count(), "_id", "left_semi")
+    sets = shingle_table(few, "_text", "_id").dropDuplicates(["id"])
+    units = paired_blocks(inside.join(sets, "id"), "cluster", "size")
+    more = materialize(scan_units(units, "cluster", linked_roots, percent, kind), "more-links")
     roots = connected_components(linked.union(more))
 
     nodes_of = signed.select("id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left")
