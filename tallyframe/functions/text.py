@@ -39,7 +39,7 @@ def parse_tool_call(text: Column, allow_bare: bool = False, allow_unclosed: bool
     blocks = F.regexp_extract_all(text, F.lit(CALL_PATTERN), 1)
     if allow_unclosed:
         open_only = text.startswith("<tool_call>") & ~text.contains("</tool_call>")
-        blocks = F.when(open_only, F.array(F.substring(text, len("<tool_call>") + 1, 1_000_000_000))).otherwise(blocks)
+        blocks = F.when(open_only, F.array(F.substring(text, F.lit(len("<tool_call>") + 1), F.length(text)))).otherwise(blocks)
     if allow_bare:
         bare = F.btrim(text, F.lit(" \t\r\n"))
         blocks = F.when(bare.startswith("{"), F.array(bare)).otherwise(blocks)

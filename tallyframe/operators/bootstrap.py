@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from ..functions.hashing import digest_int
 from ..skew import ordered_index
 
-# Above this many draws the automatic choice is the Poisson scheme.
-MAX_DRAWS = 50_000_000
 # Replicates served by one digest: eight 32-bit fractions.
 PER_DIGEST = 8
 
@@ -50,8 +48,6 @@ def poisson_replicates(units: DataFrame, unit: str, iterations: int, seed: int,
     """Weighted ``num`` and ``den`` per replicate."""
     blocks = -(-iterations // PER_DIGEST)
     key = F.concat_ws("|", F.lit(str(seed)), F.col("_block").cast("string"), F.col(unit).cast("string"))
-    # Units are few bytes and much work each: spread them over all cores before they multiply.
-    units = units.repartition(units.sparkSession.sparkContext.defaultParallelism, unit)
     rows = units.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_d", F.sha2(key, 256))
     for s in range(PER_DIGEST):
         rows = rows.withColumn(f"_w{s}", _weight(F.col("_d"), s))
@@ -87,10 +83,11 @@ def _interval(replicates: DataFrame, by: Sequence[str]) -> DataFrame:
     return bounds
 
 
-def ratio_interval(units: DataFrame, unit: str, iterations: int, seed: int, method: str = "auto") -> DataFrame:
-    """Ratio of sums over units with its 95 % percentile interval; ``units`` has ``unit``, ``num`` and ``den``."""
-    if method == "auto":
-        method = "draws" if units.count() * iterations <= MAX_DRAWS else "poisson"
+def ratio_interval(units: DataFrame, unit: str, iterations: int, seed: int, method: str) -> DataFrame:
+    """Ratio of sums over units with its 95 % percentile interval; ``units`` has ``unit``, ``num`` and ``den``.
+
+    ``method`` is draws or poisson: the interval depends on it, so no size chooses it.
+    """
     replicate = {"draws": draw_replicates, "poisson": poisson_replicates}[method]
     point = units.agg(F.count("*").alias("units"), F.try_divide(F.sum("num"), F.sum("den")).alias("estimate"))
     bounds = _interval(replicate(units, unit, iterations, seed), [])
@@ -99,13 +96,13 @@ def ratio_interval(units: DataFrame, unit: str, iterations: int, seed: int, meth
     return both.agg(*[F.max(c).alias(c) for c in ("units", "estimate", "low", "high", "replicates")])
 
 
-def bootstrap_ci(df: DataFrame, unit: str, value: str, iterations: int, seed: int, method: str = "auto") -> DataFrame:
+def bootstrap_ci(df: DataFrame, unit: str, value: str, iterations: int, seed: int, method: str) -> DataFrame:
     """Mean over units of the per-unit mean, with its interval: the unit is the family, not the row."""
     means = unit_sums(df, unit, value).select(unit, (F.col("num") / F.col("den")).alias("num"), F.lit(1.0).alias("den"))
     return ratio_interval(means, unit, iterations, seed, method)
 
 
-def cluster_ratio_bootstrap(df: DataFrame, cluster: str, value: str, iterations: int, seed: int, method: str = "auto") -> DataFrame:
+def cluster_ratio_bootstrap(df: DataFrame, cluster: str, value: str, iterations: int, seed: int, method: str) -> DataFrame:
     """Resample whole clusters; the statistic is the ratio of their sums to their sizes."""
     return ratio_interval(unit_sums(df, cluster, value), cluster, iterations, seed, method)
 
@@ -121,6 +118,6 @@ def paired_units(df: DataFrame, unit: str, pair: Sequence[str], arm: str, a: str
 
 
 def paired_delta(
-    df: DataFrame, unit: str, pair: Sequence[str], arm: str, a: str, b: str, value: str, iterations: int, seed: int, method: str = "auto"
+    df: DataFrame, unit: str, pair: Sequence[str], arm: str, a: str, b: str, value: str, iterations: int, seed: int, method: str
 ) -> DataFrame:
     return ratio_interval(paired_units(df, unit, pair, arm, a, b, value).drop("pairs"), unit, iterations, seed, method)

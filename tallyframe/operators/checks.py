@@ -69,9 +69,9 @@ def check_matches_cases(episodes: DataFrame, cases: DataFrame, key: str, fields:
 
 
 def match_traces(results: DataFrame, traces: DataFrame, on: Sequence[str], trace_id: str) -> DataFrame:
-    """The first trace that agrees with each result on every matched column; null when there is none."""
-    first = traces.groupBy(*on).agg(F.min(trace_id).alias(trace_id))
-    return results.join(first, list(on), "left")
+    """The first trace that agrees with each result on every matched column, null values included; null when there is none."""
+    first = traces.groupBy(F.struct(*on).alias("_on")).agg(F.min(trace_id).alias(trace_id))
+    return results.withColumn("_on", F.struct(*on)).join(first, "_on", "left").drop("_on")
 
 
 def check_config(manifests: DataFrame, run: str, config: str, ignore: Sequence[str]) -> DataFrame:
@@ -109,16 +109,12 @@ def check_preserved(before: DataFrame, after: DataFrame, key: str, columns: Sequ
 def leakage(members: DataFrame, splits: Sequence[str]) -> DataFrame:
     """Values (of a kind: source group, content hash, ...) present in more than one split.
 
-    ``members`` has split, kind and value. One bit per split replaces a join per pair of splits.
+    ``members`` has split, kind and value. One flag per split replaces a join per pair of splits.
     """
-    bit = None
-    for i, name in enumerate(splits):
-        rule = F.col("split") == name
-        bit = F.when(rule, 1 << i) if bit is None else bit.when(rule, 1 << i)
-    masks = members.groupBy("kind", "value").agg(F.bit_or(bit.cast("long")).alias("_mask"), F.count("*").alias("rows"))
-    shared = F.bit_count("_mask") > 1
-    names = F.array_compact(F.array(*[F.when(F.col("_mask").bitwiseAND(F.lit(1 << i)) > 0, n) for i, n in enumerate(splits)]))
-    return masks.filter(shared).select("kind", "value", F.array_join(names, ",").alias("splits"), "rows")
+    flags = [F.coalesce(F.bool_or(F.col("split") == name), F.lit(False)).alias(f"_in{i}") for i, name in enumerate(splits)]
+    found = members.groupBy("kind", "value").agg(*flags, F.count("*").alias("rows"))
+    names = F.array_compact(F.array(*[F.when(F.col(f"_in{i}"), n) for i, n in enumerate(splits)]))
+    return found.filter(F.size(names) > 1).select("kind", "value", F.array_join(names, ",").alias("splits"), "rows")
 
 
 def dedupe_replays(df: DataFrame, keys: Sequence[str], sig: Column, source: Column) -> DataFrame:
@@ -266,9 +262,9 @@ def access_audit(cases: DataFrame, poses: DataFrame, first: str, second: str, an
     )
 
 
-def check_assignment(slots: DataFrame, task: str, family: str, source: str, repeats: int) -> DataFrame:
+def check_assignment(slots: DataFrame, task: str, family: str, source: str, repeats: int, people: int) -> DataFrame:
     """Problems of an assignment: a person who meets a source twice in different families or a family twice, slots
-    without the exact repeats, and uneven quotas of (task, arm) between people."""
+    without the exact repeats, and uneven quotas of (task, arm) between all ``people``, those without a slot included."""
     per_person = slots.groupBy("person", source).agg(F.count("*").alias("n"))
     met = per_person.filter("n > 1").select(
         F.concat_ws(":", F.lit("person"), "person", source).alias("key"), F.lit("source_repeated").alias("rule")
@@ -277,7 +273,7 @@ def check_assignment(slots: DataFrame, task: str, family: str, source: str, repe
         F.concat_ws(":", F.lit("family"), family, "arm").alias("key"), F.lit("wrong_repeats").alias("rule")
     )
     quota = slots.groupBy(task, "arm", "person").agg(F.count("*").alias("n")).groupBy(task, "arm").agg(
-        F.min("n").alias("low"), F.max("n").alias("high")
+        F.when(F.count("*") < people, 0).otherwise(F.min("n")).alias("low"), F.max("n").alias("high")
     ).filter("high > low + 1").select(F.concat_ws(":", F.lit("quota"), task, "arm").alias("key"), F.lit("uneven_quota").alias("rule"))
     return met.unionByName(cells).unionByName(quota)
 
@@ -309,7 +305,7 @@ def config_diff(a: DataFrame, b: DataFrame, key: str, fields: Sequence[str]) ->
     return rows.filter(~F.col("base").eqNullSafe(F.col("other")))
 
 
-def check_requests(episodes: DataFrame, keys: Sequence[str], max_requests: int = 2) -> DataFrame:
+def check_requests(episodes: DataFrame, keys: Sequence[str], max_requests: int) -> DataFrame:
     """Executed requests outside the public options, without a known status, or not as many as stored.
 
     ``requests`` is an array of (object, time, view, status, error) and ``request_options`` the allowed values.

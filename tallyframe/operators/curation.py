@@ -13,21 +13,11 @@ from ..functions.hashing import row_digest, stable_hash
 from ..functions.text import path_errors
 from ..skew import hash_ranked, ordered_index
 
-# A per-group limit up to this size is applied per task before the shuffle, and the survivors of all tasks meet in one
-# task per group; a larger limit uses a distributed rank.
-SMALL_LIMIT = 200
 
 
 def first_per_group(df: DataFrame, group: Sequence[str], digest: Column, limit: int, tie: Sequence[str] = ()) -> DataFrame:
-    """The first ``limit`` rows of each group in digest order.
-
-    For a small limit Spark keeps only that many rows per group and task before the shuffle.
-    """
-    if limit > SMALL_LIMIT:
-        return hash_ranked(df, group, digest, "rank", tie).filter(F.col("rank") <= limit)
-    window = W.partitionBy(*group).orderBy("_digest", *tie)
-    ranked = df.withColumn("_digest", digest).withColumn("rank", F.row_number().over(window))
-    return ranked.filter(F.col("rank") <= limit).drop("_digest").withColumn("rank", F.col("rank").cast("bigint"))
+    """The first ``limit`` rows of each group in digest order."""
+    return hash_ranked(df, group, digest, "rank", tie).filter(F.col("rank") <= limit)
 
 
 def expand_variants(families: DataFrame, withheld: str = "withheld") -> DataFrame:
@@ -207,14 +197,17 @@ def common_cohort(episodes: DataFrame, family: str, cells: Sequence[Column]) ->
     """Families with at least one row in every cell (model and arm).
 
     Each cell is one bit, so the test is a bitwise OR that combines before its shuffle; no distinct count is needed.
+    Every 62 cells share a mask.
     """
-    if len(cells) > 62:
-        raise ValueError("at most 62 cells fit one mask")
-    bits = None
-    for i, cell in enumerate(cells):
-        bits = F.when(cell, F.lit(1 << i)) if bits is None else bits.when(cell, F.lit(1 << i))
-    masks = episodes.groupBy(family).agg(F.bit_or(bits.otherwise(F.lit(0)).cast("long")).alias("_mask"))
-    return masks.filter(F.col("_mask") == (1 << len(cells)) - 1).select(family)
+    masks, full = [], F.lit(True)
+    for at in range(0, len(cells), 62):
+        some = cells[at : at + 62]
+        bits = F.lit(0).cast("long")
+        for i, cell in enumerate(some):
+            bits = bits.bitwiseOR(F.when(cell, F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
+        masks.append(F.bit_or(bits).alias(f"_mask{at}"))
+        full = full & (F.col(f"_mask{at}") == (1 << len(some)) - 1)
+    return episodes.groupBy(family).agg(*masks).filter(full).select(family)
 
 
 def exclude_with_reason(df: DataFrame, rules: Sequence[tuple[str, Column]]) -> DataFrame:
@@ -374,8 +367,7 @@ def select_cohort(
     chosen = cases.filter(F.col("variant").isin(*variants)).join(wanted, "family_id", "left_semi")
     if pilot is not None:
         families = chosen.filter(F.col("variant") == variants[0]).select("task", "family_id")
-        window = W.partitionBy("task").orderBy("family_id")
-        few = families.withColumn("_n", F.row_number().over(window)).filter(F.col("_n") <= pilot).select("family_id")
+        few = ordered_index(families.distinct(), ["task"], ["family_id"], "_n").filter(F.col("_n") <= pilot).select("family_id")
         chosen = chosen.join(few, "family_id", "left_semi")
     return chosen.withColumn("variant_order", rank.cast("int"))
 
@@ -391,7 +383,3 @@ def cohort_problems(cases: DataFrame, plan: DataFrame, cohort: DataFrame, varian
         "family_id", F.concat(F.when(F.col("n").isNull(), "missing_").otherwise("repeated_"), F.col("variant")).alias("problem")
     )
     return outside.unionByName(cells)
-
-
-def content_digest(df: DataFrame, columns: Sequence[str]) -> Column:
-    return row_digest(*[F.col(c) for c in columns])

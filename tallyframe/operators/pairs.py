@@ -35,12 +35,14 @@ def signature_partner(df: DataFrame, sig: str, category: str, key: str, salt: st
     return wanted.join(offered, [sig, "partner_category", "_rank"], "left").select(sig, category, key, "partner_category", "partner")
 
 
-def positive_pairs(df: DataFrame, sequence: str, position: str, min_gap: int, frames: int = 12) -> DataFrame:
+def positive_pairs(df: DataFrame, sequence: str, position: str, min_gap: int, frames: int) -> DataFrame:
     """Unordered pairs of one sequence at least ``min_gap`` apart, among ``frames`` evenly spread rows of it.
 
-    The spread bounds a sequence to ``frames`` rows before rows meet, whatever its length.
+    The spread bounds a sequence to ``frames`` rows before rows meet, whatever its length; a sequence with fewer rows
+    than that gives no pairs.
     """
-    spread = evenly_spaced(df, [sequence], [position], frames).select(sequence, position)
+    long = df.groupBy(sequence).agg(F.count("*").alias("_n")).filter(F.col("_n") >= frames).select(sequence)
+    spread = evenly_spaced(df.join(long, sequence, "left_semi"), [sequence], [position], frames).select(sequence, position)
     left, right = spread.withColumnRenamed(position, "first"), spread.withColumnRenamed(position, "second")
     return left.join(right, sequence).filter(F.col("second") - F.col("first") >= min_gap)
 

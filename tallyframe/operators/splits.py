@@ -8,44 +8,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_fraction, stable_hash
-from ..session import materialize
+from ..graphs import connected_components
 from ..skew import ordered_index
 
 
-def connected_components(edges: DataFrame, family: str, asset: str, max_rounds: int = 60) -> DataFrame:
-    """Smallest family id of the component of each family; families are linked through shared assets.
-
-    Each round takes the minimum label over assets, hooks the old root below it and jumps pointers, so labels converge
-    in logarithmically many rounds. Minima combine before their shuffles, so an asset shared by a large part of all
-    families is no hot task. The label table is written once per round.
-    """
-    edges = materialize(edges.select(F.col(family).alias("f"), F.col(asset).alias("a")).distinct(), "edges")
-    labels = edges.select("f").distinct().withColumn("l", F.col("f"))
-    for _ in range(max_rounds):
-        at_asset = edges.join(labels, "f").groupBy("a").agg(F.min("l").alias("m"))
-        reached = edges.join(at_asset, "a").groupBy("f").agg(F.min("m").alias("m"))
-        near = labels.join(reached, "f").select("f", "l", F.least("l", "m").alias("m"))
-        hooks = near.groupBy(F.col("l").alias("f")).agg(F.min("m").alias("hook"))
-        hooked = near.join(hooks, "f", "left").select("f", "l", F.least("m", F.coalesce("hook", "m")).alias("m"))
-        parents = hooked.select(F.col("f").alias("m"), F.col("m").alias("up"))
-        jumped = materialize(hooked.join(parents, "m", "left").select("f", F.col("l").alias("old"), F.coalesce("up", "m").alias("l")), "labels")
-        labels = jumped.select("f", "l")
-        if jumped.filter("old <> l").limit(1).count() == 0:
-            return labels.select(F.col("f").alias(family), F.col("l").alias("component"))
-    raise RuntimeError("components did not converge")
-
-
 def split_by_fraction(fraction: Column, cuts: Sequence[float] = (0.7, 0.8)) -> Column:
     return F.when(fraction < cuts[0], "train").when(fraction < cuts[1], "val").otherwise("test")
 
 
-def component_split(edges: DataFrame, family: str, asset: str, seed: str, cuts: Sequence[float] = (0.7, 0.8)) -> DataFrame:
-    """Families that share any asset, directly or through others, get the same split.
+def component_split(
+    families: DataFrame, edges: DataFrame, family: str, asset: str, seed: str, cuts: Sequence[float] = (0.7, 0.8)
+) -> DataFrame:
+    """Families that share any asset, directly or through others, get the same split; one without assets is on its own.
 
-    The split hashes the smallest family id of a component: the full sorted key list of a giant component would be one
-    huge value on one task.
+    Every asset links its families to the smallest of them, so an asset shared by a large part of all families adds one
+    edge per family. The split hashes the smallest family id of a component: the full sorted key list of a giant component
+    would be one huge value on one task.
     """
-    parts = connected_components(edges, family, asset)
+    held = edges.select(F.col(family).alias("a"), F.col(asset).alias("asset")).filter("asset IS NOT NULL").distinct()
+    hubs = held.groupBy("asset").agg(F.min("a").alias("b"))
+    roots = connected_components(held.join(hubs, "asset").select("a", "b")).withColumnsRenamed({"node": family})
+    every = families.select(family).union(edges.select(family)).distinct()
+    parts = every.join(roots, family, "left").select(family, F.coalesce("root", family).alias("component"))
     return parts.withColumn("split", split_by_fraction(hash_fraction(F.col("component"), seed), cuts))
 
 

@@ -6,6 +6,8 @@ aggregation combines before its shuffle.
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.evidence import REFUTED, SUPPORTED, UNDECIDED, transition
-from ..skew import ordered_index
+from ..skew import running_total
 
 NO_VERDICT = "No submitted verdict"
 DEFINITE = (SUPPORTED, REFUTED)
@@ -106,37 +108,59 @@ def risk_coverage(df: DataFrame, by: Sequence[str], thresholds: Sequence[float])
 
 
 def nearest_rank(df: DataFrame, by: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles per group: the value at rank ``ceil(share * n)``, exact for groups of any size."""
-    ranked = ordered_index(df.filter(F.col(value).isNotNull()).select(*by, value), by, [value], "_rank", "_n")
-    picks = [
-        F.max(F.when(F.col("_rank") == F.ceil(F.lit(share) * F.col("_n")), F.col(value))).alias(name) for name, share in shares.items()
-    ]
+    """Nearest-rank percentiles per group: the value at rank ``ceil(share * n)``, exact for groups of any size.
+
+    Rows are counted per value first, so one very frequent value is one row.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_rows"))
+    ranked = running_total(counts, by, [value], "_rows", "_rank", "_n")
+    picks = [F.min(F.when(F.col("_rank") >= F.ceil(F.lit(share) * F.col("_n")), F.col(value))).alias(name) for name, share in shares.items()]
     return ranked.groupBy(*by).agg(*picks)
 
 
 def efficiency(df: DataFrame, by: Sequence[str], wall: str, measures: Sequence[str]) -> DataFrame:
-    """Mean cost per episode with median and 90th percentile of the wall time; all attempts stay in the denominator."""
+    """Mean cost per episode with median and 90th percentile of the wall time; all attempts stay in the denominator.
+
+    Null group values are a group; a group without any wall time has null percentiles.
+    """
     means = df.groupBy(*by).agg(
         F.count("*").alias("episodes"), F.count_if(is_correct()).alias("correct"), F.avg(wall).alias(f"mean_{wall}"),
         *[F.avg(m).alias(f"mean_{m}") for m in measures],
     )
-    return means.join(nearest_rank(df, by, wall, {f"p50_{wall}": 0.5, f"p90_{wall}": 0.9}), list(by))
+    names = {f"p50_{wall}": 0.5, f"p90_{wall}": 0.9}
+    ranks = nearest_rank(df, by, wall, names).select(F.struct(*by).alias("_group"), *names)
+    return means.withColumn("_group", F.struct(*by)).join(ranks, "_group", "left").drop("_group")
+
+
+def log_factorial(n: Column) -> Column:
+    """Natural logarithm of n!, to double precision: Stirling's series eight places further on."""
+    x = n.cast("double") + 1
+    ahead = x + 8
+    series = (ahead - 0.5) * F.log(ahead) - ahead + 0.5 * math.log(2 * math.pi) + 1 / (12 * ahead) - 1 / (360 * F.pow(ahead, 3.0)) + 1 / (1260 * F.pow(ahead, 5.0))
+    product = x
+    for i in range(1, 8):
+        product = product * (x + i)
+    return series - F.log(product)
 
 
 def mcnemar_p(gain: Column, loss: Column) -> Column:
     """Two-sided exact binomial test on discordant pairs; 1 when there are none.
 
-    Terms are accumulated from their logarithms, so a large number of pairs does not underflow the whole sum.
+    The sum runs downwards from its largest term. Ten standard deviations further terms are below double precision, so
+    it takes about ten square roots of the number of pairs.
     """
     n, k = (gain + loss).cast("double"), F.least(gain, loss)
-    start = F.struct((-n * F.log(F.lit(2.0))).alias("log"), F.exp(-n * F.log(F.lit(2.0))).alias("total"))
-    steps = F.when(k > 0, F.sequence(F.lit(1).cast("bigint"), F.greatest(k, F.lit(1)).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    largest = log_factorial(n) - log_factorial(k) - log_factorial(n - k.cast("double")) - n * math.log(2)
+    width = F.least(k, F.ceil(10 * F.sqrt(n)).cast("bigint") + 100)
+    steps = F.when(width > 0, F.sequence(F.lit(0).cast("bigint"), F.greatest(width, F.lit(1)).cast("bigint") - 1)).otherwise(F.array().cast("array<bigint>"))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
 
     def add(acc: Column, i: Column) -> Column:
-        term = acc["log"] + F.log(n - i + 1) - F.log(i.cast("double"))
-        return F.struct(term.alias("log"), (acc["total"] + F.exp(term)).alias("total"))
+        term = acc["term"] * (k - i) / (n - k + i + 1)
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
 
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.aggregate(steps, start, add, lambda acc: acc["total"])))
+    tail = F.aggregate(steps, start, add, lambda acc: acc["total"])
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.exp(largest) * tail))
 
 
 def paired(df: DataFrame, keys: Sequence[str], arm: str, a: str, b: str, columns: Sequence[str]) -> DataFrame:

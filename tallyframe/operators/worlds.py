@@ -1,6 +1,6 @@
 """Finite-world identifiability over a long table ``worlds(bank, world_id, label, target, view, sig, meta)``.
 
-A bank has at most 62 worlds, so any set of its worlds is one 64-bit mask. The worlds that show a signature in a view
+A bank has 48 worlds, so any set of its worlds is one 64-bit mask. The worlds that show a signature in a view
 become a mask once; what a history leaves possible is then a bitwise AND, and no history ever meets single worlds.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.evidence import REFUTED, SUPPORTED, UNDECIDED
 from ..functions.hashing import digest_int, stable_hash
 from ..functions.text import strip_variant
+from ..session import materialize
 from ..skew import let, ordered_index
 
 # Views of a bank.
@@ -55,7 +56,11 @@ def grid_problems(worlds: DataFrame) -> DataFrame:
 
 
 def _bit(world: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), world.cast("int"))
+    """The bit of a world; an id outside the grid would fall on another world's bit and is an error."""
+    known = F.when((world >= 0) & (world < WORLDS), world.cast("int")).otherwise(
+        F.raise_error(F.concat(F.lit("world id outside the grid: "), world.cast("string"))).cast("int")
+    )
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), known)
 
 
 def world_masks(worlds: DataFrame) -> DataFrame:
@@ -91,9 +96,11 @@ def compatible_worlds(history: DataFrame, worlds: DataFrame, keys: list[str]) ->
 
 
 def world_views(worlds: DataFrame) -> DataFrame:
-    """Per actual world: the mask left by each single view, by view name, with the bank's label masks."""
+    """Per actual world: the mask left by each single view, by view name, its signatures (``_sigs``), and the bank's label masks."""
     masked = worlds.join(world_masks(worlds), ["bank", "view", "sig"])
     columns = [F.max(F.when(F.col("view") == v, F.col("mask"))).alias(v) for v in VIEWS]
+    shown = [c for v in VIEWS for c in (F.lit(v), F.max(F.when(F.col("view") == v, F.col("sig"))))]
+    columns.append(F.create_map(*shown).alias("_sigs"))
     wide = masked.groupBy("bank", "world_id", "label", "target").agg(*columns)
     return wide.join(label_masks(worlds), "bank")
 
@@ -125,9 +132,11 @@ def min_requests(views: DataFrame, available: Column | None = None) -> DataFrame
     return views.withColumn("min_requests", F.array_min(F.transform(ready, lambda s: s["size"])))
 
 
-def certify_bank(worlds: DataFrame) -> DataFrame:
-    """Rules that a bank breaks: leaks in metadata or views, states seen in the wrong place, and requests that decide
-    too early or too late. A bank without any row here needs two requests for every world."""
+def certify_bank(worlds: DataFrame, wide: DataFrame | None = None) -> DataFrame:
+    """Rules that a bank breaks: worlds or views missing or repeated, leaks in metadata or views, states seen in the wrong
+    place, and requests that decide too early or too late. A bank without any row here needs two requests for every world.
+
+    ``wide`` is the output of ``world_views`` where a caller has it already."""
     def broken(grouped: DataFrame, rule: str) -> DataFrame:
         return grouped.select("bank", F.lit(rule).alias("rule")).distinct()
 
@@ -144,7 +153,7 @@ def certify_bank(worlds: DataFrame) -> DataFrame:
     rear = worlds.filter(F.col("view").isin(*REAR_VIEWS)).groupBy("bank", "view", bit.alias("state")).agg(varies("sig").alias("bad"), F.min("sig").alias("sig"))
     sided = rear.groupBy("bank", "view").agg(F.bool_or("bad").alias("bad"), varies("sig").alias("differs")).filter(F.col("bad") | ~F.col("differs"))
 
-    wide = world_views(worlds)
+    wide = world_views(worlds) if wide is None else wide
     initial = F.col("reference").bitwiseAND(F.col("initial"))
     def decided(mask: Column) -> Column:
         return F.coalesce(verdict_of(mask, F.col("supported")) != UNDECIDED, F.lit(True))
@@ -160,7 +169,7 @@ def certify_bank(worlds: DataFrame) -> DataFrame:
     out = summary.select("bank", F.explode(flags).alias("rule"))
     for grouped, rule in ((meta, "metadata_leak"), (still, "static_view_varies"), (mixed, "front_view_leak"), (sided, "rear_view_leak")):
         out = out.unionByName(broken(grouped, rule))
-    return out
+    return out.unionByName(grid_problems(worlds))
 
 
 def fixed_view_rate(worlds: DataFrame) -> DataFrame:
@@ -242,7 +251,7 @@ def request_schedule(cases: DataFrame, policy: str, seed: int, keys: list[str])
     return cases.select(*keys, F.posexplode(calls).alias("ordinal", "c")).select(*keys, "ordinal", "c.*")
 
 
-def shortest_requests(targets: Column, budget: Column, price: int = 3, max_turns: int = 8) -> Column:
+def shortest_requests(targets: Column, budget: Column, price: int, max_turns: int) -> Column:
     """Struct(reachable, requests, images) of the cheapest way to hold some target image set.
 
     A query names object, time and view, and each request of it releases its smallest image not yet shown. To hold an
@@ -284,9 +293,9 @@ def shortest_requests(targets: Column, budget: Column, price: int = 3, max_turns
     return let(placed, plan)
 
 
-def schedule_audit(cases: DataFrame, targets: Column, budgets: list[int], by: list[str]) -> DataFrame:
+def schedule_audit(cases: DataFrame, targets: Column, budgets: list[int], by: list[str], price: int, max_turns: int) -> DataFrame:
     """Per budget: cases whose annotated image set is reachable, and the requests that takes."""
-    plans = F.array(*[F.struct(F.lit(b).alias("budget"), shortest_requests(targets, F.lit(b)).alias("plan")) for b in budgets])
+    plans = F.array(*[F.struct(F.lit(b).alias("budget"), shortest_requests(targets, F.lit(b), price, max_turns).alias("plan")) for b in budgets])
     rows = cases.select(*by, F.explode(plans).alias("p"))
     return rows.groupBy(*by, F.col("p.budget").alias("budget")).agg(
         F.count("*").alias("cases"), F.count_if("p.plan.reachable").alias("reachable"), F.sum("p.plan.requests").alias("requests"), F.max("p.plan.requests").alias("most_requests")
@@ -309,29 +318,32 @@ def schedules_equal(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 COVERAGE = {"defect": 0.5, "panel": 0.9}
 
 
-def score_search(episodes: DataFrame, worlds: DataFrame, keys: list[str], cap: int = 2) -> DataFrame:
+def score_search(episodes: DataFrame, worlds: DataFrame, keys: list[str]) -> DataFrame:
     """Full scoring of search episodes; a failed audit keeps the row with every score false.
 
-    ``episodes`` has the keys, bank, world_id, observed (array of view and sig), verdict (null without a finish),
-    citations_valid, links_complete, coverage (share of the diagnostic region) and localized.
+    ``episodes`` has the keys, bank, world_id, ``cap`` (requests allowed), ``available_views`` (array of request views that
+    exist for the case, null for all), observed (array of view and sig), verdict (null without a finish), citations_valid,
+    links_complete, coverage (share of the diagnostic region) and localized.
     """
-    broken = certify_bank(worlds).select("bank").distinct().withColumn("_broken", F.lit(True))
-    signatures = worlds.groupBy("bank", "world_id").agg(F.map_from_entries(F.collect_list(F.struct("view", "sig"))).alias("_actual"))
-    facts = min_requests(world_views(worlds)).join(signatures, ["bank", "world_id"]).join(broken, "bank", "left")
-    masks = world_masks(worlds).groupBy("bank").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "view", "sig"), "mask"))).alias("_masks")
-    )
-    joined = episodes.join(facts, ["bank", "world_id"], "left").join(masks, "bank", "left")
+    wide = materialize(world_views(worlds), "world-views")
+    broken = certify_bank(worlds, wide).select("bank").distinct().withColumn("_broken", F.lit(True))
+    every = F.array(*[F.lit(v) for v in REQUEST_VIEWS])
+    asked = episodes.withColumn("_available", F.array_sort(F.coalesce("available_views", every)))
+    # Cases of one world with the same views available share their facts.
+    kinds = asked.select("bank", "world_id", "_available").distinct()
+    facts = min_requests(kinds.join(wide, ["bank", "world_id"]), F.col("_available")).join(broken, "bank", "left")
+    joined = asked.join(facts, ["bank", "world_id", "_available"], "left")
     views = F.array_distinct(F.transform("observed", lambda o: o["view"]))
     acquired = F.array_except(views, F.array(*[F.lit(v) for v in INITIAL_VIEWS]))
     initial_seen = F.size(F.array_except(F.array(*[F.lit(v) for v in INITIAL_VIEWS]), views)) == 0
-    true_sigs = F.forall("observed", lambda o: F.coalesce(F.try_element_at("_actual", o["view"]) == o["sig"], F.lit(False)))
-    left = F.aggregate(
-        "observed", F.col("all_worlds"),
-        lambda m, o: m.bitwiseAND(F.coalesce(F.try_element_at("_masks", F.concat_ws("|", o["view"], o["sig"])), F.lit(0).cast("bigint"))),
-    )
+    true_sigs = F.forall("observed", lambda o: F.coalesce(F.try_element_at("_sigs", o["view"]) == o["sig"], F.lit(False)))
+    # What is observed is what the actual world shows, so its own masks say which worlds are left.
+    masks = F.create_map(*[c for v in VIEWS for c in (F.lit(v), F.col(v))])
+    left = F.aggregate(views, F.col("all_worlds"), lambda m, v: m.bitwiseAND(F.coalesce(F.try_element_at(masks, v), F.lit(0).cast("bigint"))))
+    cap = F.col("cap")
     error = (
         F.when(F.col("label").isNull(), "unknown_world").when(F.col("_broken"), "bank_not_certified").when(~true_sigs, "observation_mismatch")
+        .when(F.size(F.array_except(acquired, "_available")) > 0, "unavailable_observation")
         .when(~initial_seen, "initial_missing").when(F.size(acquired) > cap, "too_many_requests")
     )
     base = joined.withColumn("audit_error", error).withColumn("_ok", error.isNull()).withColumn("_current", verdict_of(left, F.col("supported")))
@@ -349,7 +361,7 @@ def score_search(episodes: DataFrame, worlds: DataFrame, keys: list[str], cap: i
         "schema_valid_finish": finished, "source_label_correct": cited & (verdict == F.col("label")), "episode_target_correct": target,
         "decision_matches_current_evidence": cited & (verdict == F.col("_current")), "evidence_found": enough, "chain_grounded_correct": chain,
         "localized_grounded_correct": strict, "unlocalized_definite": chain & definite & ~strict,
-        "unsupported_decision": verdict.isNotNull() & definite & ~chain,
+        "unsupported_decision": finished & definite & ~F.coalesce(chain, F.lit(False)),
     }
     return base.select(
         *keys, "audit_error", F.when(ok, F.bit_count(left)).alias("compatible_worlds"), F.when(ok, F.size(acquired).cast("bigint")).alias("acquired"),

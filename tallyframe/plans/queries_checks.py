@@ -264,12 +264,12 @@ def _(spark, sf):
 
 
 @query("check_assignment", f"""WITH {TASKS_SQL}, moved AS (SELECT * REPLACE (CASE WHEN family % 50 = 0 AND arm = 'agent' THEN 0 ELSE person END AS person) FROM assigned),
-q AS (SELECT task, arm, min(n) AS low, max(n) AS high FROM (SELECT task, arm, person, count(*) AS n FROM moved GROUP BY ALL) GROUP BY 1, 2)
+q AS (SELECT task, arm, CASE WHEN count(*) < 25 THEN 0 ELSE min(n) END AS low, max(n) AS high FROM (SELECT task, arm, person, count(*) AS n FROM moved GROUP BY ALL) GROUP BY 1, 2)
 SELECT 'person:' || person || ':' || source AS key, 'source_repeated' AS rule FROM moved GROUP BY person, source HAVING count(*) > 1
 UNION ALL SELECT 'quota:' || task || ':' || arm, 'uneven_quota' FROM q WHERE high > low + 1""")
 def _(spark, sf):
     moved = assigned(spark, sf).withColumn("person", F.expr("CASE WHEN family % 50 = 0 AND arm = 'agent' THEN 0 ELSE person END"))
-    return checks.check_assignment(moved, "task", "family", "source", 2)
+    return checks.check_assignment(moved, "task", "family", "source", 2, people=25)
 
 
 @query("reuse_subset", """

@@ -118,10 +118,10 @@ def _(spark, sf):
 
 @query("positive_pairs", """
 WITH numbered AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
-spread AS (SELECT user_id, event_id FROM numbered WHERE list_contains([round_even(j * (n - 1) / 11.0, 0)::BIGINT for j in range(12)], i))
+spread AS (SELECT user_id, event_id FROM numbered WHERE n >= 12 AND list_contains([round_even(j * (n - 1) / 11.0, 0)::BIGINT for j in range(12)], i))
 SELECT a.user_id, a.event_id AS first, b.event_id AS second FROM spread a JOIN spread b ON a.user_id = b.user_id AND b.event_id - a.event_id >= 30""")
 def _(spark, sf):
-    return pairs.positive_pairs(table(spark, sf, "events"), "user_id", "event_id", 30)
+    return pairs.positive_pairs(table(spark, sf, "events"), "user_id", "event_id", 30, frames=12)
 
 
 NEGATIVE_SQL = f"""base AS (SELECT vec_id, label, vec_id % 3 AS split, {h('vec_id', 'neg')} AS hh FROM embeddings),
@@ -175,11 +175,11 @@ def _(spark, sf):
 
 EDGES_SQL = """edges AS (SELECT o_orderkey AS family, 'c' || o_custkey AS asset FROM orders
   UNION ALL SELECT o_orderkey, 'p' || ((o_custkey + CASE WHEN o_orderkey % 16 = 0 THEN 1 ELSE 0 END) // 5) FROM orders)"""
-COMPONENTS_SQL = f"""WITH RECURSIVE {EDGES_SQL}, links AS (SELECT DISTINCT a.asset AS x, b.asset AS y FROM edges a JOIN edges b USING (family)),
+COMPONENTS_SQL = f"""WITH RECURSIVE {EDGES_SQL.replace('edges AS', 'all_edges AS', 1)}, edges AS (SELECT * FROM all_edges WHERE family % 10 > 0), links AS (SELECT DISTINCT a.asset AS x, b.asset AS y FROM edges a JOIN edges b USING (family)),
 reach AS (SELECT x, x AS y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
 mins AS (SELECT asset, min(family) AS m FROM edges GROUP BY 1),
 roots AS (SELECT r.x AS asset, min(m) AS component FROM reach r JOIN mins ON mins.asset = r.y GROUP BY 1),
-comps AS (SELECT DISTINCT family, component FROM edges JOIN roots USING (asset))"""
+comps AS (SELECT o_orderkey AS family, coalesce(min(component), o_orderkey) AS component FROM orders LEFT JOIN edges ON family = o_orderkey LEFT JOIN roots USING (asset) GROUP BY o_orderkey)"""
 
 
 def edges(spark, sf):
@@ -190,7 +190,9 @@ def edges(spark, sf):
 @query("component_split", COMPONENTS_SQL + f"""
 SELECT family, component, CASE WHEN {frac_sql('component', 'split-v1')} < 0.7 THEN 'train' WHEN {frac_sql('component', 'split-v1')} < 0.8 THEN 'val' ELSE 'test' END AS split FROM comps""")
 def _(spark, sf):
-    return splits.component_split(edges(spark, sf), "family", "asset", "split-v1")
+    links = edges(spark, sf)
+    families = table(spark, sf, "orders").select(F.col("o_orderkey").alias("family"))
+    return splits.component_split(families, links.filter("family % 10 > 0"), "family", "asset", "split-v1")
 
 
 @query("category_split", f"""WITH names AS (SELECT source, row_number() OVER (ORDER BY {h('source', '17')}) AS n FROM (SELECT DISTINCT source FROM documents))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import actions, evidence, geometry, hashing, text
-from ..session import spread
 from . import standins
 from .registry import query, table
 from .standins import CASES_SQL, CLAIM_BOXES_SQL, EPISODES_SQL, pool_sql
@@ -365,7 +364,7 @@ def _(spark, sf):
         ("crop", '{"image_id": "a", "bbox": [0, 0, 4.5, 4]}'),
     ]
     pick = F.expr("CAST(l_quantity AS BIGINT) % 16").cast("int")
-    df = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")).select(
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").select(
         F.col("l_orderkey").alias("ok"), F.col("l_linenumber").alias("ln"),
         F.get(F.array(*[F.lit(n) for n, _ in calls]), pick).alias("name"),
         F.get(F.array(*[F.lit(a) for _, a in calls]), pick).alias("arguments"),

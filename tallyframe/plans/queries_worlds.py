@@ -25,7 +25,7 @@ GRID_SQL = """grid AS (SELECT bank, world_id, permutation, states, slot, CASE WH
     ['rear_left', 'rear_center', 'rear_right'][slot + 1] AS target
   FROM (SELECT s_suppkey AS bank, w::INTEGER AS world_id, (w // 8)::INTEGER AS permutation, (w % 8)::INTEGER AS states, [0, 0, 1, 2, 1, 2][w // 8 + 1] AS slot FROM supplier, unnest(range(48)) AS t(w)))"""
 WORLDS_SQL = GRID_SQL + f""", worlds AS (SELECT bank, world_id, label, target, view, {SIG.format(div='//')} AS sig, {META} AS meta
-  FROM (SELECT *, {FLAW} AS flaw FROM grid), unnest({VIEW_LIST}) AS t(view))"""
+  FROM (SELECT *, {FLAW} AS flaw FROM grid), unnest({VIEW_LIST}) AS t(view) WHERE NOT (flaw = 6 AND world_id = 7))"""
 # World pairs that a set of views cannot tell apart, counted directly instead of with masks.
 IDENT_SQL = WORLDS_SQL + """, subsets AS (SELECT s, list_filter(['original', 'front_survey', 'rear_left', 'rear_center', 'rear_right'], lambda v, i: (s >> (i - 1)) % 2 = 1) AS vs FROM unnest(range(32)) AS t(s)),
 obs AS (SELECT bank, world_id, label, target, list(sig ORDER BY view) AS sigs, list(view ORDER BY view) AS vw FROM worlds GROUP BY ALL),
@@ -34,7 +34,7 @@ ident AS (SELECT *, count(DISTINCT label) OVER (PARTITION BY bank, s, k) = 1 AS
 
 
 def worlds(spark, sf):
-    grid = ops.world_grid(table(spark, sf, "supplier"), "s_suppkey").withColumn("flaw", F.expr(FLAW))
+    grid = ops.world_grid(table(spark, sf, "supplier"), "s_suppkey").withColumn("flaw", F.expr(FLAW)).filter("NOT (flaw = 6 AND world_id = 7)")
     full = grid.withColumn("view", F.explode(F.array(*[F.lit(v) for v in ops.VIEWS])))
     return full.select("bank", "world_id", "label", "target", "view", F.expr(SIG.format(div="div")).alias("sig"), F.expr(META).alias("meta"))
 
@@ -44,7 +44,7 @@ def _(spark, sf):
     return ops.world_grid(table(spark, sf, "supplier"), "s_suppkey")
 
 
-@query("grid_problems", "SELECT s_suppkey AS bank, CASE WHEN s_nationkey = 3 THEN 'wrong_world_count' WHEN s_nationkey = 4 THEN 'missing_view' ELSE 'repeated_view' END AS rule FROM supplier WHERE s_nationkey IN (3, 4, 5)")
+@query("grid_problems", "SELECT s_suppkey AS bank, CASE WHEN s_suppkey % 9 = 6 OR s_nationkey = 3 THEN 'wrong_world_count' WHEN s_nationkey = 4 THEN 'missing_view' ELSE 'repeated_view' END AS rule FROM supplier WHERE s_nationkey IN (3, 4, 5) OR s_suppkey % 9 = 6")
 def _(spark, sf):
     nation = table(spark, sf, "supplier").selectExpr("s_suppkey AS bank", "s_nationkey AS n")
     full = worlds(spark, sf).join(nation, "bank")
@@ -84,6 +84,7 @@ CERTIFY_SQL = f"""flawed AS (SELECT s_suppkey AS bank, s_suppkey % 9 AS flaw FRO
   UNION SELECT bank, 'front_view_leak' FROM worlds WHERE view = 'front_survey' GROUP BY bank HAVING count(DISTINCT sig) <> 6
   UNION SELECT bank, 'rear_view_leak' FROM (SELECT *, ((world_id % 8) >> (CASE view WHEN 'rear_left' THEN 0 WHEN 'rear_center' THEN 1 ELSE 2 END)) % 2 AS st FROM worlds WHERE view LIKE 'rear%') GROUP BY bank, view, st HAVING count(DISTINCT sig) > 1
   UNION SELECT bank, 'rear_view_leak' FROM worlds WHERE view LIKE 'rear%' GROUP BY bank, view HAVING count(DISTINCT sig) < 2
+  UNION SELECT bank, 'wrong_world_count' FROM worlds GROUP BY bank HAVING count(DISTINCT world_id) <> 48
   UNION SELECT bank, 'initial_identifies' FROM ident WHERE s = 0 AND one
   UNION SELECT bank, 'single_request_identifies' FROM ident WHERE size = 1 AND one
   UNION SELECT bank, 'second_view_is_not_target' FROM (SELECT bank, world_id, target, list(coalesce(vs[1], '') || '+' || coalesce(vs[2], '') ORDER BY s) FILTER (one) AS good, bool_or(one AND len(vs) = 1) AS single FROM ident WHERE list_contains(vs, 'front_survey') AND size <= 2 GROUP BY 1, 2, 3)
@@ -175,13 +176,13 @@ best AS (SELECT family_id, min(n) AS n FROM sets GROUP BY 1), plan AS (SELECT fa
 @query("shortest_request_path", f"WITH {PATH_SQL} SELECT family_id, coalesce(n <= 1, false) AS reachable, CASE WHEN n <= 1 THEN n END::INTEGER AS requests FROM plan")
 def _(spark, sf):
     cases = schedule_cases(spark, sf)
-    plan = ops.shortest_requests(annotation_image_sets(F.col("annotation")), F.lit(5))
+    plan = ops.shortest_requests(annotation_image_sets(F.col("annotation")), F.lit(5), price=3, max_turns=8)
     return cases.withColumn("p", plan).select("family_id", "p.reachable", "p.requests")
 
 
 @query("schedule_audit", f"WITH {PATH_SQL} SELECT task, b AS budget, count(*) AS cases, count(*) FILTER (n <= b // 3) AS reachable, sum(n) FILTER (n <= b // 3)::BIGINT AS requests, max(n) FILTER (n <= b // 3)::INTEGER AS most_requests FROM plan, unnest([0, 3, 6]) AS t(b) GROUP BY 1, 2")
 def _(spark, sf):
-    return ops.schedule_audit(schedule_cases(spark, sf), annotation_image_sets(F.col("annotation")), [0, 3, 6], ["task"])
+    return ops.schedule_audit(schedule_cases(spark, sf), annotation_image_sets(F.col("annotation")), [0, 3, 6], ["task"], price=3, max_turns=8)
 
 
 @query("schedules_equal", f"WITH {CASES_SQL} SELECT family_id, false AS equal_calls FROM cases")
@@ -193,21 +194,21 @@ def _(spark, sf):
 
 # ---------------------------------------------------------------- scoring
 
-SCORE_SQL = IDENT_SQL + ", " + HISTORY_SQL.replace(WORLDS_SQL + ", ", "") + f""", {CERTIFY_SQL}, mins AS (SELECT bank, world_id, label, min(size) FILTER (one) AS m FROM ident GROUP BY 1, 2, 3), {DECISIONS_SQL}, facts AS (
+SCORE_SQL = IDENT_SQL + ", " + HISTORY_SQL.replace(WORLDS_SQL + ", ", "") + f""", {CERTIFY_SQL}, mins AS (SELECT bank, world_id, label, min(size) FILTER (one) AS m_all, min(size) FILTER (one AND NOT list_contains(vs, 'rear_center') AND NOT list_contains(vs, 'rear_right')) AS m_few FROM ident GROUP BY 1, 2, 3), {DECISIONS_SQL}, facts AS (
   SELECT ok, ln, pk, sk AS bank, (pk % 48)::INTEGER AS world_id, q, d, CASE WHEN q % 11 = 0 THEN NULL ELSE verdict END AS v, d <> 8 AS cited, has_link AND link_ok AS links, {_union('t')} / ({_area('t')} + 0.0) AS cov,
     {_iou('t', 'p')} >= 0.25 AND {_inter('t', 'p')} / ({_area('p')} + 0.0) >= 0.25 AND {_inter('t', 'p')} / ({_area('t')} + 0.0) >= 0.5 AS localized,
     list_filter(['reference', 'initial', CASE WHEN d % 2 = 1 THEN 'front_survey' END, CASE q % 4 WHEN 1 THEN 'rear_left' WHEN 2 THEN 'rear_center' WHEN 3 THEN 'rear_right' END, CASE WHEN d = 9 THEN 'original' END], lambda x: x IS NOT NULL) AS vs FROM decisions),
-j AS (SELECT f.*, m.label, m.m, c.worlds, c.verdict AS cur, CASE WHEN f.bank IN (SELECT bank FROM certified) THEN 'bank_not_certified' WHEN d = 10 THEN 'observation_mismatch' WHEN len(f.vs) > 4 THEN 'too_many_requests' END AS err
-  FROM facts f JOIN mins m USING (bank, world_id) JOIN compat c ON c.bank = f.bank AND c.world_id = f.world_id AND c.vs = list_filter(f.vs, lambda x: x <> 'original')),
-k AS (SELECT *, err IS NULL AS good, CASE WHEN m <= 2 THEN label ELSE 'Need more evidence' END AS expected FROM j),
-l AS (SELECT *, good AND v IS NOT NULL AND cited AND v = expected AS target, good AND cur <> 'Need more evidence' AS enough FROM k),
+j AS (SELECT f.*, m.label, CASE WHEN q % 6 = 0 THEN m_few ELSE m_all END AS m, CASE WHEN d = 7 THEN 1 ELSE 2 END AS cap, c.worlds, c.verdict AS cur, CASE WHEN m.label IS NULL THEN 'unknown_world' WHEN f.bank IN (SELECT bank FROM certified) THEN 'bank_not_certified' WHEN d = 10 THEN 'observation_mismatch' WHEN q % 6 = 0 AND (q % 4 = 2 OR q % 4 = 3) THEN 'unavailable_observation' WHEN len(f.vs) - 2 > CASE WHEN d = 7 THEN 1 ELSE 2 END THEN 'too_many_requests' END AS err
+  FROM facts f LEFT JOIN mins m USING (bank, world_id) LEFT JOIN compat c ON c.bank = f.bank AND c.world_id = f.world_id AND c.vs = list_filter(f.vs, lambda x: x <> 'original')),
+k AS (SELECT *, err IS NULL AS good, CASE WHEN m <= cap THEN label ELSE 'Need more evidence' END AS expected FROM j),
+l AS (SELECT *, good AND v IS NOT NULL AND cited AND v = expected AS target, coalesce(good AND cur <> 'Need more evidence', false) AS enough FROM k),
 n AS (SELECT *, target AND (v = 'Need more evidence' OR (enough AND links AND cov >= CASE WHEN label = 'Supported' THEN 0.5 ELSE 0.9 END)) AS chain FROM l)"""
 
 
 @query("score_search", f"""WITH {SCORE_SQL}
 SELECT ok, ln, pk, err AS audit_error, CASE WHEN good THEN worlds END AS compatible_worlds, CASE WHEN good THEN len(vs) - 2 END AS acquired, good AND v IS NOT NULL AS schema_valid_finish, coalesce(good AND cited AND v = label, false) AS source_label_correct,
   coalesce(target, false) AS episode_target_correct, coalesce(good AND cited AND v = cur, false) AS decision_matches_current_evidence, enough AS evidence_found, coalesce(chain, false) AS chain_grounded_correct, coalesce(chain AND (localized OR v = 'Need more evidence'), false) AS localized_grounded_correct,
-  coalesce(chain AND v <> 'Need more evidence' AND NOT localized, false) AS unlocalized_definite, coalesce(v <> 'Need more evidence' AND NOT chain, false) AS unsupported_decision FROM n""")
+  coalesce(chain AND v <> 'Need more evidence' AND NOT localized, false) AS unlocalized_definite, coalesce(good AND v <> 'Need more evidence' AND NOT coalesce(chain, false), false) AS unsupported_decision FROM n""")
 def _(spark, sf):
     w = materialize(worlds(spark, sf), "worlds")
     region = F.struct(F.lit("img-a").alias("image_id"), F.col("t").alias("bbox"), F.lit("before").alias("time"))
@@ -219,7 +220,9 @@ def _(spark, sf):
         region_match(region, cite, F.lit("defect")).alias("localized"),
         F.expr("array_compact(array('reference', 'initial', CASE WHEN d % 2 = 1 THEN 'front_survey' END, CASE q % 4 WHEN 1 THEN 'rear_left' WHEN 2 THEN 'rear_center' WHEN 3 THEN 'rear_right' END, CASE WHEN d = 9 THEN 'original' END))").alias("views"),
     )
+    few = F.expr("CASE WHEN q % 6 = 0 THEN array('original', 'front_survey', 'rear_left') END")
+    decided = decided.withColumn("available_views", few).withColumn("cap", F.when(F.col("d") == 7, 1).otherwise(2))
     sigs = w.groupBy("bank", "world_id").agg(F.map_from_entries(F.collect_list(F.struct("view", "sig"))).alias("sigs"))
     observed = F.transform("views", lambda v: F.struct(v.alias("view"), F.when(F.col("d") == 10, "odd").otherwise(F.try_element_at("sigs", v)).alias("sig")))
-    out = ops.score_search(decided.join(sigs, ["bank", "world_id"]).withColumn("observed", observed), w, ["ok", "ln", "pk"])
+    out = ops.score_search(decided.join(sigs, ["bank", "world_id"], "left").withColumn("observed", observed), w, ["ok", "ln", "pk"])
     return out.withColumn("compatible_worlds", F.col("compatible_worlds").cast("bigint"))

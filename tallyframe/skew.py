@@ -21,11 +21,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def hash_ranked(
-    df: DataFrame, group: Sequence[str], digest: Column, rank: str = "rank", tie: Sequence[str] = (), digits: int = 2
+    df: DataFrame, group: Sequence[str], digest: Column, rank: str = "rank", tie: Sequence[str] = (), digits: int = 4
 ) -> DataFrame:
     """1-based rank of each row inside its group in the order of a hex digest.
 
-    The digest is uniform, so its first hex digits cut every group into even buckets: one sort per (group, bucket)
+    The digest is uniform, so its first four hex digits cut every group into 65,536 even buckets: one sort per (group, bucket)
     and an offset from the bucket counts. The counts combine before their shuffle, and the join reuses the
     partitioning of the bucket sort.
     """
@@ -75,6 +75,24 @@ def ordered_index(
     return out.drop("_spot", "_part", "_first", "_rows", "_offset", *whole)
 
 
+def running_total(df: DataFrame, group: Sequence[str], order: Sequence[str], weight: str, name: str, total: str) -> DataFrame:
+    """Sum of ``weight`` up to and with each row of its group, and over the whole group, for groups of any size.
+
+    As in ``ordered_index``, rows are range-partitioned by group and order, which must be unique inside a group.
+    """
+    keys = [*group, *order]
+    numbered = materialize(
+        df.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).withColumn("_spot", F.monotonically_increasing_id()), "totals"
+    )
+    rows, whole = _with_group(numbered.withColumn("_part", F.shiftright("_spot", 33)), group)
+    before = W.partitionBy(*whole).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = rows.groupBy(*whole, "_part").agg(F.sum(weight).alias("_sum"))
+    parts = parts.withColumn("_offset", F.coalesce(F.sum("_sum").over(before), F.lit(0))).withColumn(total, F.sum("_sum").over(W.partitionBy(*whole)))
+    local = W.partitionBy(*whole, "_part").orderBy("_spot").rowsBetween(W.unboundedPreceding, 0)
+    out = rows.withColumn("_local", F.sum(weight).over(local)).join(parts.drop("_sum"), [*whole, "_part"])
+    return out.withColumn(name, F.col("_local") + F.col("_offset")).drop("_spot", "_part", "_local", "_offset", *whole)
+
+
 def replay_states(
     df: DataFrame, group: Sequence[str], order: Sequence[str], step: Column, states: int, initial: int,
     before: str = "state_before", after: str = "state_after", segment: int = 256,
@@ -88,7 +106,6 @@ def replay_states(
     payload = [c for c in df.columns if c not in group]
     rows, group = _with_group(ordered_index(df, group, order, "_rank"), group)
     longest = rows.agg(F.max("_rank")).first()[0] or 0
-
     def cut(position: str) -> Column:
         return F.floor((F.col(position) - 1) / segment).cast("long") + 1
 
@@ -97,8 +114,7 @@ def replay_states(
         .groupBy(*group, "_node")
         .agg(F.array_sort(F.collect_list(F.struct("_rank", "_step", F.struct(*payload).alias("_row")))).alias("_items"))
     )
-    if longest > segment:
-        leaf = materialize(leaf, "replay")
+    leaf = materialize(leaf, "replay")
     identity = F.sequence(F.lit(0), F.lit(states - 1))
 
     def composed(items: Column) -> Column:

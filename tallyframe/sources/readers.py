@@ -78,7 +78,7 @@ def hash_assets(spark: SparkSession, path: str | Sequence[str], root: str, glob:
     prefix = root.rstrip("/") + "/"
     full = F.regexp_replace("path", r"^file:/+", "/")
     inside = full.startswith(prefix)
-    relative = F.when(inside, F.substring(full, len(prefix) + 1, 1_000_000)).otherwise(
+    relative = F.when(inside, F.substring(full, F.lit(len(prefix) + 1), F.length(full))).otherwise(
         F.raise_error(F.concat(F.lit("asset outside the root: "), full)).cast("string")
     )
     return files.select(relative.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))

@@ -105,6 +105,13 @@ def test_clean_bank_needs_two_requests(spark):
     assert {r.min_requests for r in out if r.world_id % 8 not in (0, 7)} == {None}
 
 
+def test_an_incomplete_bank_is_not_certified(spark):
+    rules = {r.rule for r in worlds.certify_bank(clean_worlds(spark).filter("world_id <> 9")).collect()}
+    assert "wrong_world_count" in rules
+    with pytest.raises(Exception, match="outside the grid"):
+        worlds.world_masks(clean_worlds(spark).withColumn("world_id", F.col("world_id") + 30)).collect()
+
+
 @pytest.mark.parametrize("view, rule", [("initial", "static_view_varies"), ("front_survey", "front_view_leak"), ("rear_left", "rear_view_leak")])
 def test_leaks_are_found(spark, view, rule):
     leaked = clean_worlds(spark).withColumn("sig", F.when(F.col("view") == view, F.col("world_id").cast("string")).otherwise(F.col("sig")))
@@ -142,5 +149,54 @@ def test_shortest_requests_equal_search(spark):
         rows.append((i, evidence, initial, options, targets))
     ddl = f"i int, evidence array<{EVIDENCE}>, initial array<string>, request_options struct<objects:array<string>,times:array<string>,views:array<string>>, targets array<array<string>>"
     df = spark.createDataFrame(rows, ddl)
-    got = df.select("i", worlds.shortest_requests(F.col("targets"), F.lit(9)).alias("p")).collect()
+    got = df.select("i", worlds.shortest_requests(F.col("targets"), F.lit(9), price=3, max_turns=8).alias("p")).collect()
     assert {r.i: r.p.requests for r in got} == want
+
+
+def test_a_reused_call_id_answers_the_last_call_before(spark):
+    ask = '{{"query": {{"view": "{}"}}}}'
+    rows = [
+        ("e", 1, "assistant", "request_photo", ask.format("side"), "c", None, None), ("e", 2, "tool", None, None, "c", '{"status": "provided"}', "i1"),
+        ("e", 3, "assistant", "request_photo", "not json", "c", None, None), ("e", 4, "tool", None, None, "c", "text", "i1"),
+        ("e", 5, "tool", None, None, "d", '{"status": "odd"}', None), ("e", 6, "assistant", "crop", "{}", "d", None, None), ("e", 7, "tool", "request_photo", None, None, '{"status": "x"}', None),
+    ]
+    log = spark.createDataFrame(rows, "episode string, pos long, role string, name string, arguments string, call_id string, text string, image string")
+    got = {r.pos: (r.call_pos, r.call_name) for r in traces.call_responses(log).collect()}
+    assert got == {2: (1, "request_photo"), 4: (3, "request_photo"), 5: (None, None), 7: (None, None)}
+    records = {r.pos: (r.status, r.view, r.returned, r.novel, r.repeated_only) for r in traces.request_records(log).collect()}
+    assert records == {2: ("provided", "side", 1, 1, False), 4: (None, None, 1, 0, True), 7: ("x", None, 0, 0, False)}
+    excerpt = {r.pos: (r.status, r.responses) for r in traces.trace_excerpt(log).collect()}
+    assert excerpt == {1: ("provided", 1), 3: (None, 1), 6: (None, 0)}
+
+
+def test_exact_test_of_many_pairs(spark):
+    from math import comb, erfc, sqrt
+
+    cases = [(0, 0), (1, 0), (3, 9), (40, 55), (500, 430), (0, 1100), (1_500_000_000, 1_500_100_000)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, gain long, loss long")
+    got = {r.i: r.p for r in df.select("i", stats.mcnemar_p(F.col("gain"), F.col("loss")).alias("p")).collect()}
+    for i, (a, b) in enumerate(cases[:-1]):
+        n = a + b
+        want = min(1.0, 2 * sum(comb(n, k) for k in range(min(a, b) + 1)) / 2**n) if n else 1.0
+        assert got[i] == pytest.approx(want, rel=1e-9)
+    # The normal limit with continuity correction.
+    assert got[6] == pytest.approx(erfc((100_000 - 1) / sqrt(3_000_100_000) / sqrt(2)), rel=1e-3)
+
+
+def test_efficiency_keeps_groups_without_times(spark):
+    rows = [("a", "Supported", 1.0), ("a", "Refuted", 3.0), ("a", None, 3.0), ("b", None, None), (None, "Supported", 5.0)]
+    df = spark.createDataFrame(rows, "g string, verdict string, s double").withColumn("source_label", F.lit("Supported"))
+    got = {r.g: (r.episodes, r.p50_s, r.p90_s) for r in stats.efficiency(df, ["g"], "s", []).collect()}
+    assert got == {"a": (3, 3.0, 3.0), "b": (1, None, None), None: (1, 5.0, 5.0)}
+
+
+def test_idle_people_make_a_quota_uneven(spark):
+    slots = spark.createDataFrame([("t", "f1", "s1", "x", 1), ("t", "f2", "s2", "x", 1), ("t", "f3", "s3", "x", 2), ("t", "f4", "s4", "x", 2)], "task string, family string, source string, arm string, person int")
+    rules = lambda n: [r.rule for r in checks.check_assignment(slots, "task", "family", "source", 1, people=n).collect()]
+    assert rules(2) == [] and rules(3) == ["uneven_quota"]
+
+
+def test_missing_verdicts_match_their_trace(spark):
+    results = spark.createDataFrame([(1, None), (2, "a")], "case int, verdict string")
+    found = spark.createDataFrame([(1, None, 7), (2, "b", 8)], "case int, verdict string, trace long")
+    assert {r.case: r.trace for r in checks.match_traces(results, found, ["case", "verdict"], "trace").collect()} == {1: 7, 2: None}

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyframe.functions.hashing import stable_hash
 from tallyframe.operators import checks, curation, pairs, splits
 
 
@@ -41,7 +42,7 @@ def test_components_ignore_row_order_and_follow_chains(spark):
     out = []
     for data in (rows, rows[::-1]):
         df = spark.createDataFrame(data, "family string, asset string").repartition(3)
-        out.append({r.family: (r.component, r.split) for r in splits.component_split(df, "family", "asset", "s").collect()})
+        out.append({r.family: (r.component, r.split) for r in splits.component_split(df.select("family"), df, "family", "asset", "s").collect()})
     assert out[0] == out[1]
     assert {out[0][f"f{i:03}"][0] for i in range(60)} == {"f000"}
     assert len({out[0][f"h{i}"] for i in range(200)}) == 1 and out[0]["solo"][0] == "solo"
@@ -52,7 +53,7 @@ def test_assignment_meets_quota_and_sources(spark):
     df = spark.createDataFrame(rows, "family string, task string, source string")
     slots = curation.assign_tasks(df, "task", "source", "family", ["a", "b", "c"], 2, 24, 7)
     assert slots.count() == 48 * 6
-    assert checks.check_assignment(slots, "task", "family", "source", 2).count() == 0
+    assert checks.check_assignment(slots, "task", "family", "source", 2, people=slots.select("person").distinct().count()).count() == 0
     quota = slots.groupBy("task", "arm", "person").count().agg(F.min("count"), F.max("count")).first()
     assert tuple(quota) == (2, 2)
     with pytest.raises(ValueError):
@@ -81,8 +82,21 @@ def test_balanced_sample_needs_two_labels(spark):
         curation.balanced_sample(df, "label", "k", 2, 1)
 
 
-def test_large_limits_use_the_distributed_rank(spark, monkeypatch):
-    df = spark.createDataFrame([(i, i % 2) for i in range(40)], "k bigint, g int")
-    small = {r.k for r in curation.stratified_hash_sample(df, ["g"], "k", "s", 7).collect()}
-    monkeypatch.setattr(curation, "SMALL_LIMIT", 3)
-    assert {r.k for r in curation.stratified_hash_sample(df, ["g"], "k", "s", 7).collect()} == small
+def test_samples_take_the_first_rows_in_hash_order(spark):
+    df = spark.createDataFrame([(i, i % 2) for i in range(40)], "k bigint, g int").withColumn("h", stable_hash(F.col("k"), "s"))
+    order = sorted(df.collect(), key=lambda r: r.h)
+    want = {r.k for g in (0, 1) for r in [r for r in order if r.g == g][:7]}
+    assert {r.k for r in curation.stratified_hash_sample(df, ["g"], "k", "s", 7).collect()} == want
+
+
+def test_families_without_assets_are_split_on_their_own(spark):
+    families = spark.createDataFrame([(c,) for c in "abcd"], "f string")
+    edges = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "y"), ("c", "y")], "f string, asset string")
+    got = {r.f: r.component for r in splits.component_split(families, edges, "f", "asset", "s").collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "d": "d"}
+
+
+def test_common_cohort_of_many_cells(spark):
+    df = spark.createDataFrame([(f, c) for f in range(3) for c in range(70) if not (f == 1 and c == 66)], "f int, c int")
+    got = curation.common_cohort(df, "f", [F.col("c") == c for c in range(70)]).collect()
+    assert sorted(r.f for r in got) == [0, 2]
