@@ -61,26 +61,35 @@ def parse_tool_call(text: Column, allow_bare: bool = False, allow_unclosed: bool
     return let(blocks, read)
 
 
-def parse_xml_call(text: Column, known: dict[str, list[str]] | None = None) -> Column:
-    """Struct(name, parameters map of raw strings) of exactly one XML call.
+def parse_xml_call(text: Column, known: dict[str, dict[str, str]]) -> Column:
+    """Struct(name, arguments JSON, content) of exactly one XML call; ``known`` has the type of each parameter by function.
 
-    Null for repeated parameters, stray content and, with ``known`` (parameters by function), unknown names.
+    String parameters stay text; any other type must be valid JSON and keeps it. ``content`` is the text around the call.
+    Null for repeated parameters, stray content and unknown names.
     """
+    blank = F.lit(" \t\r\n")
+
     def read(found: Column) -> Column:
         body = F.get(found, F.lit(0))
         name = F.regexp_extract(body, FUNCTION_PATTERN, 1)
         inner = F.regexp_extract(body, FUNCTION_PATTERN, 2)
         keys = F.regexp_extract_all(inner, F.lit(PARAMETER_PATTERN), 1)
-        values = F.transform(F.regexp_extract_all(inner, F.lit(PARAMETER_PATTERN), 2), lambda v: F.btrim(v, F.lit(" \t\r\n")))
-        stray = F.btrim(F.regexp_replace(inner, PARAMETER_PATTERN, ""), F.lit(" \t\r\n"))
-        sound = (F.size(found) == 1) & (name != "") & (stray == "") & (F.size(F.array_distinct(keys)) == F.size(keys))
-        if known is not None:
-            listed = F.lit(False)
-            for function, parameters in known.items():
-                allowed = F.size(F.array_except(keys, F.array(*[F.lit(p) for p in parameters]))) == 0
-                listed = listed | ((name == function) & allowed)
-            sound = sound & listed
-        call = F.struct(name.alias("name"), F.map_from_arrays(keys, values).alias("parameters"))
+        values = F.transform(F.regexp_extract_all(inner, F.lit(PARAMETER_PATTERN), 2), lambda v: F.btrim(v, blank))
+        stray = F.btrim(F.regexp_replace(inner, PARAMETER_PATTERN, ""), blank)
+        kinds = F.create_map(*[F.lit(x) for f, own in known.items() for p, kind in own.items() for x in (f"{f} {p}", kind)])
+        pairs = F.transform(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda p: F.struct(
+            p["k"].alias("k"), p["v"].alias("v"), F.try_element_at(kinds, F.concat_ws(" ", name, p["k"])).alias("kind")
+        ))
+        # A JSON string literal is what to_json writes behind the name of a one-field object.
+        def literal(p: Column) -> Column:
+            quoted = F.to_json(F.struct(p["v"].alias("s")))
+            return F.when(p["kind"] == "string", F.substring(quoted, F.lit(6), F.length(quoted) - 6)).otherwise(p["v"])
+
+        typed = F.forall(pairs, lambda p: p["kind"].isNotNull() & ((p["kind"] == "string") | strict_json(p["v"]).isNotNull()))
+        sound = (F.size(found) == 1) & name.isin(*known) & (stray == "") & (F.size(F.array_distinct(keys)) == F.size(keys)) & typed
+        fields = F.array_join(F.transform(pairs, lambda p: F.concat(F.lit('"'), p["k"], F.lit('": '), literal(p))), ", ")
+        around = F.btrim(F.regexp_replace(text, CALL_PATTERN, ""), blank)
+        call = F.struct(name.alias("name"), F.concat(F.lit("{"), fields, F.lit("}")).alias("arguments"), around.alias("content"))
         return F.when(F.coalesce(sound, F.lit(False)), call)
 
     return let(F.regexp_extract_all(text, F.lit(CALL_PATTERN), 1), read)

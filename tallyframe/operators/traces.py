@@ -14,7 +14,7 @@ from ..functions.actions import action_price
 from ..functions.hashing import row_digest
 from ..functions.text import strict_json
 from ..schemas import PART
-from ..skew import multiset_digest, ordered_index, replay_states
+from ..skew import composed_log, multiset_digest, ordered_index, replay_states
 
 
 def explode_messages(traces: DataFrame, keys: list[str], messages: str = "messages") -> DataFrame:
@@ -194,29 +194,36 @@ def resolve_requests(requests: DataFrame, evidence: DataFrame, keys: list[str])
     )
 
 
-# Display scales reachable by doubling and halving inside the allowed range.
-SCALES = (0.25, 0.5, 1.0, 2.0, 4.0)
+# Range of the display scale.
+SCALE_LOW, SCALE_HIGH = 0.25, 4.0
 
 
-def replay_sessions(events: DataFrame, keys: list[str], order: str = "pos", kind: str = "kind") -> DataFrame:
+def replay_sessions(events: DataFrame, keys: list[str], order: str = "pos", kind: str = "kind", factor: str = "factor") -> DataFrame:
     """Final display scale of every source of a session, with counts of acts and presentation-only events.
 
-    ``kind`` is enlarge, shrink (presentation only), show (an inspect or crop that resets the scale) or anything else.
+    ``kind`` is zoom (presentation only: the scale is multiplied by ``factor`` and kept in its range), show (an inspect or
+    crop that resets the scale to 1) or anything else.
     """
-    top = len(SCALES) - 1
-    states = F.sequence(F.lit(0), F.lit(top))
-    step = F.transform(
-        states,
-        lambda s: F.when(F.col(kind) == "enlarge", F.least(s + 1, F.lit(top)))
-        .when(F.col(kind) == "shrink", F.greatest(s - 1, F.lit(0)))
-        .when(F.col(kind) == "show", SCALES.index(1.0)).otherwise(s).cast("int"),
+    zoom, show = F.col(kind) == "zoom", F.col(kind) == "show"
+    # x -> min(high, max(low, by * x)): such steps compose to one of their kind, and a reset is the step by zero onto 1.
+    step = F.struct(
+        F.when(show, 0.0).when(zoom, F.col(factor).cast("double")).otherwise(1.0).alias("by"),
+        F.when(show, 1.0).otherwise(SCALE_LOW).alias("low"), F.when(show, 1.0).otherwise(SCALE_HIGH).alias("high"),
     )
-    rows = replay_states(events, keys, [order], step, len(SCALES), SCALES.index(1.0))
-    presentation = F.col(kind).isin("enlarge", "shrink")
-    return rows.groupBy(*keys).agg(
-        F.max_by("state_after", order).alias("_state"), F.count_if(~presentation).alias("turns"),
-        F.count_if(presentation).alias("presentation_events"), F.count_if(F.col(kind) == "request").alias("requests"),
-    ).select(*keys, F.get(F.array(*[F.lit(s) for s in SCALES]), F.col("_state")).alias("display_scale"), "turns", "presentation_events", "requests")
+
+    def after(first: Column, second: Column) -> Column:
+        def bounded(x: Column) -> Column:
+            return F.least(second["high"], F.greatest(second["low"], second["by"] * x))
+        return F.struct((first["by"] * second["by"]).alias("by"), bounded(first["low"]).alias("low"), bounded(first["high"]).alias("high"))
+
+    start = F.struct(F.lit(1.0).alias("by"), F.lit(SCALE_LOW).alias("low"), F.lit(SCALE_HIGH).alias("high"))
+    scales = composed_log(events.withColumn("_step", step), keys, [order], "_step", start, after)
+    counts = events.groupBy(F.struct(*keys).alias("_keys")).agg(
+        F.count_if(~F.coalesce(zoom, F.lit(False))).alias("turns"), F.count_if(zoom).alias("presentation_events"),
+        F.count_if(F.col(kind) == "request").alias("requests"),
+    )
+    final = F.least(F.col("_step.high"), F.greatest(F.col("_step.low"), F.col("_step.by")))
+    return counts.join(scales, "_keys").select("_keys.*", final.alias("display_scale"), "turns", "presentation_events", "requests")
 
 
 def visible_images(events: DataFrame, keys: list[str], image: str, rank: Column, order: str) -> DataFrame:

@@ -56,6 +56,21 @@ def preference_pairs(branches: DataFrame, origin: str, allow_proxy: bool = False
     )
 
 
+def preference_examples(branches: DataFrame, prompts: DataFrame, origin: str, allow_proxy: bool = False) -> DataFrame:
+    """Training examples of ``preference_pairs``: ``prompt`` and ``tools`` of the origin, ``chosen`` and ``rejected`` message.
+
+    ``branches`` has a ``tools`` column and its first action is the first message after the fork, which must come from the
+    assistant (``first_role``). Branches compare only if their tools are equal. ``prompts`` has one row per origin with its
+    ``prompt``; it is joined to the finished pairs, so that no prompt is copied per branch.
+    """
+    spoken = branches.filter(F.col("first_role") == "assistant").withColumn("prefix_digest", F.struct("prefix_digest", F.to_json(F.array("tools")).alias("tools")))
+    pairs = preference_pairs(spoken, origin, allow_proxy)
+    tools = spoken.groupBy(origin).agg(F.first("tools").alias("tools"))
+    return pairs.join(prompts.select(origin, "prompt"), origin).join(tools, origin).select(
+        origin, "prompt", "tools", F.col("chosen_action").alias("chosen"), F.col("rejected_action").alias("rejected"), "pairs"
+    )
+
+
 def branch_problems(branches: DataFrame, origin: str) -> DataFrame:
     """Origins whose branches do not share world, prefix length or prefix."""
     def differ(c: str) -> Column:

@@ -323,23 +323,26 @@ def _(spark, sf):
 
 
 @query("parse_xml_call", """
-WITH base AS (SELECT l_orderkey AS ok, l_linenumber AS ln, CAST(l_quantity AS BIGINT) % 7 AS v, l_partkey AS pk FROM lineitem)
-SELECT ok, ln, CASE WHEN v < 2 THEN 'zoom' END AS name, CASE WHEN v < 2 THEN 'i' || pk END AS image_id, CASE v WHEN 0 THEN '2' END AS factor FROM base""")
+WITH base AS (SELECT l_orderkey AS ok, l_linenumber AS ln, CAST(l_quantity AS BIGINT) % 9 AS v, l_partkey AS pk FROM lineitem)
+SELECT ok, ln, CASE WHEN v < 2 THEN 'zoom' END AS name, CASE WHEN v < 2 THEN 'i"' || pk END AS image_id, CASE v WHEN 0 THEN '2.5' END AS factor,
+  CASE v WHEN 0 THEN '{"image_id": "i\\"' || pk || '", "factor": 2.5}' WHEN 1 THEN '{"image_id": "i\\"' || pk || '"}' END AS arguments, CASE v WHEN 0 THEN '' WHEN 1 THEN 'text' END AS content FROM base""")
 def _(spark, sf):
     raw = F.expr(
         """array(
-        concat('<tool_call><function=zoom><parameter=image_id> i', l_partkey, ' </parameter><parameter=factor>2</parameter></function></tool_call>'),
-        concat('text <tool_call>\n<function=zoom>\n<parameter=image_id>\ni', l_partkey, '\n</parameter>\n</function>\n</tool_call>'),
+        concat('<tool_call><function=zoom><parameter=image_id> i"', l_partkey, ' </parameter><parameter=factor>2.5</parameter></function></tool_call>'),
+        concat('text <tool_call>\n<function=zoom>\n<parameter=image_id>\ni"', l_partkey, '\n</parameter>\n</function>\n</tool_call>'),
         '<tool_call><function=zoom>stray<parameter=image_id>i</parameter></function></tool_call>',
         '<tool_call><function=zoom><parameter=image_id>i</parameter><parameter=image_id>j</parameter></function></tool_call>',
         '<tool_call>zoom</tool_call>',
         '<tool_call><function=paint><parameter=image_id>i</parameter></function></tool_call>',
-        '<tool_call><function=zoom><parameter=colour>i</parameter></function></tool_call>')[CAST(l_quantity AS BIGINT) % 7]"""
+        '<tool_call><function=zoom><parameter=colour>i</parameter></function></tool_call>',
+        '<tool_call><function=zoom><parameter=factor>abc</parameter></function></tool_call>',
+        '<tool_call><function=zoom><parameter=factor>1</parameter></function></tool_call> <tool_call><function=zoom></function></tool_call>')[CAST(l_quantity AS BIGINT) % 9]"""
     )
-    return table(spark, sf, "lineitem").withColumn("call", text.parse_xml_call(raw, {"zoom": ["image_id", "factor"]})).select(
+    call = text.parse_xml_call(raw, {"zoom": {"image_id": "string", "factor": "number"}})
+    return table(spark, sf, "lineitem").withColumn("call", call).select(
         F.col("l_orderkey").alias("ok"), F.col("l_linenumber").alias("ln"), "call.name",
-        F.try_element_at("call.parameters", F.lit("image_id")).alias("image_id"),
-        F.try_element_at("call.parameters", F.lit("factor")).alias("factor"),
+        F.get_json_object("call.arguments", "$.image_id").alias("image_id"), F.get_json_object("call.arguments", "$.factor").alias("factor"), "call.arguments", "call.content",
     )
 
 

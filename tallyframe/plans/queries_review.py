@@ -280,6 +280,22 @@ def _(spark, sf):
     return training.preference_pairs(branches(spark, sf), "origin")
 
 
+@query("preference_examples", f"""WITH {BRANCH_SQL}, u AS (SELECT *, (g, NOT unsupported, -rc, -tc) AS score FROM branches WHERE fl <> 'R' AND st = 'O' AND action <> 'a3'),
+p AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS prompt FROM conversations WHERE role <> 'assistant' GROUP BY 1)
+SELECT a.origin, prompt, 'zoom,crop' AS tools, a.action AS chosen, b.action AS rejected, count(*) AS pairs FROM u a JOIN u b USING (origin) JOIN p ON conv_id = a.origin
+WHERE a.g AND a.score > b.score AND a.action <> b.action AND NOT (a.verdict = 'Need more evidence' AND b.verdict = 'Need more evidence' AND b.g AND NOT a.seen) GROUP BY ALL""")
+def _(spark, sf):
+    role = F.when(F.col("first_action") == "a3", "tool").otherwise("assistant")
+    forks = branches(spark, sf).withColumn("first_role", role).withColumn("tools", F.array(F.lit("zoom"), F.lit("crop")))
+    said = table(spark, sf, "conversations").filter("role <> 'assistant'").groupBy(F.col("conv_id").alias("origin")).agg(
+        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t")
+    )
+    prompts = said.select("origin", F.transform("t", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"))).alias("prompt"))
+    out = training.preference_examples(forks, prompts, "origin")
+    text = F.array_join(F.transform("prompt", lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n")
+    return out.withColumn("prompt", text).withColumn("tools", F.array_join("tools", ","))
+
+
 @query("branch_problems", "SELECT l_orderkey AS origin, 'different_world' AS rule FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linestatus) > 1")
 def _(spark, sf):
     return training.branch_problems(branches(spark, sf).withColumn("world", F.col("l_linestatus")), "origin")

@@ -167,24 +167,24 @@ def _(spark, sf):
     return traces.resolve_requests(requests, evidence, ["episode", "view"])
 
 
-@query("replay_sessions", """WITH RECURSIVE acts AS (
-  SELECT user_id AS actor, k % 3 AS source, row_number() OVER (PARTITION BY user_id, k % 3 ORDER BY event_id) AS rn,
-    CASE event_type WHEN 'click' THEN 'enlarge' WHEN 'view' THEN 'shrink' WHEN 'purchase' THEN 'show' WHEN 'error' THEN 'request' ELSE 'other' END AS kind
+ZOOMS = "CASE event_type WHEN 'click' THEN 'zoom' WHEN 'view' THEN 'zoom' WHEN 'purchase' THEN 'show' WHEN 'error' THEN 'request' ELSE 'other' END AS kind, CAST([0.125, 0.5, 0.75, 1.5, 2.0, 4.0][k % 6 + 1] AS DOUBLE) AS factor"
+
+
+@query("replay_sessions", f"""WITH RECURSIVE acts AS (
+  SELECT user_id AS actor, k % 3 AS source, row_number() OVER (PARTITION BY user_id, k % 3 ORDER BY event_id) AS rn, {ZOOMS}
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)), run AS (
   SELECT actor, source, 0::BIGINT AS rn, NULL::VARCHAR AS kind, 1.0::DOUBLE AS scale FROM acts WHERE rn = 1
   UNION ALL
-  SELECT a.actor, a.source, a.rn, a.kind, CASE a.kind WHEN 'enlarge' THEN least(4.0, r.scale * 2) WHEN 'shrink' THEN greatest(0.25, r.scale / 2)
-    WHEN 'show' THEN 1.0 ELSE r.scale END::DOUBLE FROM run r JOIN acts a ON a.actor = r.actor AND a.source = r.source AND a.rn = r.rn + 1)
-SELECT actor, source, arg_max(scale, rn) AS display_scale, count(*) FILTER (kind NOT IN ('enlarge', 'shrink')) AS turns,
-  count(*) FILTER (kind IN ('enlarge', 'shrink')) AS presentation_events, count(*) FILTER (kind = 'request') AS requests
+  SELECT a.actor, a.source, a.rn, a.kind, CASE a.kind WHEN 'zoom' THEN least(4.0, greatest(0.25, r.scale * a.factor)) WHEN 'show' THEN 1.0 ELSE r.scale END::DOUBLE
+  FROM run r JOIN acts a ON a.actor = r.actor AND a.source = r.source AND a.rn = r.rn + 1)
+SELECT actor, source, round(arg_max(scale, rn), 9) AS display_scale, count(*) FILTER (kind <> 'zoom') AS turns,
+  count(*) FILTER (kind = 'zoom') AS presentation_events, count(*) FILTER (kind = 'request') AS requests
 FROM run WHERE rn > 0 GROUP BY 1, 2""")
 def _(spark, sf):
     k = F.get_json_object("props", "$.k").cast("long")
-    log = table(spark, sf, "events").withColumn("k", k).selectExpr(
-        "user_id AS actor", "k % 3 AS source", "event_id AS pos",
-        "CASE event_type WHEN 'click' THEN 'enlarge' WHEN 'view' THEN 'shrink' WHEN 'purchase' THEN 'show' WHEN 'error' THEN 'request' ELSE 'other' END AS kind",
-    )
-    return traces.replay_sessions(log, ["actor", "source"])
+    zooms = ZOOMS.replace("[0.125, 0.5, 0.75, 1.5, 2.0, 4.0][k % 6 + 1]", "array(0.125, 0.5, 0.75, 1.5, 2.0, 4.0)[k % 6]").split(", CAST")
+    log = table(spark, sf, "events").withColumn("k", k).selectExpr("user_id AS actor", "k % 3 AS source", "event_id AS pos", zooms[0], "CAST" + zooms[1])
+    return traces.replay_sessions(log, ["actor", "source"]).withColumn("display_scale", F.round("display_scale", 9))
 
 
 @query("visible_images", f"""WITH {MESSAGES_SQL}, first AS (

@@ -162,6 +162,25 @@ def replay_states(
     )
 
 
+def composed_log(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], step: str, start: Column, after: Callable[[Column, Column], Column], segment: int = 256,
+) -> DataFrame:
+    """All steps of each group composed in order: ``_keys`` (struct of the group) and ``step``.
+
+    ``after(first, second)`` composes two steps and is associative, ``start`` is neutral. A long log is cut into segments,
+    whose compositions are cut into segments again, so that no task ever holds more than one segment.
+    """
+    level = ordered_index(df.select(*group, *order, step), group, order, "_rank").select(F.struct(*group).alias("_keys"), "_rank", step)
+    longest = level.agg(F.max("_rank")).first()[0] or 0
+    while longest > 1:
+        cut = F.floor((F.col("_rank") - 1) / segment).cast("long") + 1
+        items = F.array_sort(F.collect_list(F.struct("_rank", step)))
+        folded = F.aggregate(F.transform("_items", lambda i: i[step]), start, after)
+        level = level.groupBy("_keys", cut.alias("_rank2")).agg(items.alias("_items")).select("_keys", F.col("_rank2").alias("_rank"), folded.alias(step))
+        longest = -(-longest // segment)
+    return level.drop("_rank")
+
+
 # Words of a digest used by multiset digests: start of each 15-hex-digit word (60 bits).
 DIGEST_WORDS = (1, 16, 31, 46)
 
