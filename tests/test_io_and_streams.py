@@ -89,3 +89,15 @@ def test_ledger_blocks_and_caps(spark):
             ("c", "unresolved", 800), ("d", "blocked", 800)]
     assert ledger(spark, 1) == want
     assert ledger(spark, 3) == want
+
+
+def test_ledger_keeps_responses_and_seals(spark):
+    ops = [("a", "reserve", 500, None), ("a", "respond", None, None), ("b", "reserve", 10, None), ("b", "respond", None, None), ("a", "settle", None, 400),
+           ("", "seal", None, None), ("a", "reserve", 5, None), ("c", "reserve", 5, None)]
+    rows = [(1, i, op, key, "paper", bound, charge) for i, (key, op, bound, charge) in enumerate(ops)]
+    calls = spark.createDataFrame(rows, "ledger bigint, seq bigint, op string, key string, stage string, bound bigint, charge bigint")
+    for steps in (1, 4):
+        out = scratch_path(spark, "l")
+        streams.stream_ledger(streams.staged_stream(calls, "seq", steps, "calls", "ledger"), 1000, 1000, out, scratch_path(spark, "c"))
+        got = [r.outcome for r in streams.ledger_outcomes(spark, out).orderBy("seq").collect()]
+        assert got == ["reserved", "responded", "blocked", "no_reservation", "settled", "sealed", "reused", "ledger_sealed"]
