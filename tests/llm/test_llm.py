@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
+from tallyframe.graphs import connected_components
 from tallyframe.llm.ann import nearest_neighbours
 from tallyframe.llm.chat import format_conversations, read_back
-from tallyframe.llm.components import connected_components
 from tallyframe.llm.decontam import find_leaks
 from tallyframe.llm.langid import fit_language_model, identify_language, suffix_automaton
 from tallyframe.llm.line_dedup import dedup_lines
