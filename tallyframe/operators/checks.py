@@ -120,7 +120,7 @@ def leakage(members: DataFrame, splits: Sequence[str]) -> DataFrame:
 def dedupe_replays(df: DataFrame, keys: Sequence[str], sig: Column, source: Column) -> DataFrame:
     """One row per key: the copy from the first source, how many copies there were, and whether they disagree.
 
-    Provenance is kept as first source, last source and count: a full list could hold any number of copies.
+    Provenance is kept as first source, last source and count here, and row by row by ``replay_sources``.
     """
     rows = df.withColumn("_sig", sig).withColumn("_source", source)
     rest = [c for c in df.columns if c not in keys]
@@ -132,6 +132,11 @@ def dedupe_replays(df: DataFrame, keys: Sequence[str], sig: Column, source: Colu
     return out.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest], "copies", "first_source", "last_source", "conflict")
 
 
+def replay_sources(df: DataFrame, keys: Sequence[str], source: Column) -> DataFrame:
+    """The whole provenance of ``dedupe_replays``: one row per key and source, with the copies that came from it."""
+    return df.withColumn("source", source).groupBy(*keys, "source").agg(F.count("*").alias("copies"))
+
+
 def check_trace_totals(df: DataFrame, keys: Sequence[str], budget: int, max_turns: int) -> DataFrame:
     """Stored token sums differ from the generation array, costs exceed the budget, or turns exceed the cap."""
     def total(field: str) -> Column:

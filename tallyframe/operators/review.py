@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.evidence import (
     CHAIN_PROTOCOL, UNDECIDED, VARIANTS, VERDICTS, annotation_errors, availability_class, chain_report, pool_verdict,
 )
+from ..functions.geometry import box_inside
 
 # Protocol names of stored reviews.
 REVIEW_PROTOCOL = "visual-review-v1"
@@ -175,6 +176,43 @@ def packet_problems(answers: DataFrame, assigned: DataFrame) -> DataFrame:
     ).unionByName(units)
 
 
+# Judgments of a blind review.
+SUFFICIENCIES = ("sufficient", "insufficient", "uncertain")
+ANSWERS = ("Supported", "Refuted", UNDECIDED)
+
+
+def answer_problems(answers: DataFrame, units: DataFrame) -> DataFrame:
+    """Answers of a blind review that may not count, by the first rule they break.
+
+    ``answers`` has packet_id, unit_id, sufficiency, answer, claim_clear, citations (image ids) and regions (image_id and
+    bbox as shares of the image); ``units`` has unit_id and ``image_ids``. A null list counts as empty.
+    """
+    cited, regions = F.coalesce("citations", F.array().cast("array<string>")), F.col("regions")
+    definite = F.col("answer") != UNDECIDED
+
+    def inside(r: Column) -> Column:
+        box = r["bbox"]
+        low, high = F.get(box, F.lit(0)), F.get(box, F.lit(2))
+        left, right = F.get(box, F.lit(1)), F.get(box, F.lit(3))
+        return F.coalesce((F.size(box) == 4) & (low >= 0) & (low < high) & (high <= 1) & (left >= 0) & (left < right) & (right <= 1), F.lit(False))
+
+    def known(r: Column) -> Column:
+        return F.array_contains("image_ids", r["image_id"])
+
+    rule = (
+        F.when(F.col("image_ids").isNull(), "unknown_unit")
+        .when(~F.coalesce(F.col("sufficiency").isin(*SUFFICIENCIES) & F.col("answer").isin(*ANSWERS), F.lit(False)), "invalid_judgment")
+        .when(F.col("claim_clear").isNull(), "claim_clear_missing")
+        .when((F.size(F.array_distinct(cited)) < F.size(cited)) | (F.size(F.array_except(cited, "image_ids")) > 0), "invalid_citation")
+        .when(definite != (F.col("sufficiency") == "sufficient"), "answer_contradicts_sufficiency")
+        .when(definite & (F.size(cited) == 0), "definite_without_citation")
+        .when(F.exists(regions, lambda r: ~F.coalesce(known(r), F.lit(False))), "unknown_region")
+        .when(F.exists(regions, lambda r: ~inside(r)), "region_outside_image")
+    )
+    joined = answers.join(units.select("unit_id", "image_ids"), "unit_id", "left")
+    return joined.select("packet_id", "unit_id", rule.alias("rule")).filter("rule IS NOT NULL")
+
+
 def blind_consensus(answers: DataFrame, adjudications: DataFrame) -> DataFrame:
     """State of every unit: consensus of two, adjudicated by a third person, queued, or not yet answered twice.
 
@@ -286,12 +324,15 @@ def export_answers(answers: DataFrame, order: Sequence[str], vote: str, votes_on
 def grade_episodes(episodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Correctness, grounding and support of each decision against its annotated case.
 
-    ``episodes`` has annotation, available (ids), released (ids), verdict, citations and links. A citation of an image
-    that was not released makes a decision invalid, not correct.
+    ``episodes`` has annotation, available (ids), released (ids), images (id, time and source_bbox of each), verdict,
+    citations and links. A decision is invalid, not correct, if it cites an image that was not released, another time than
+    the image's, or a box outside of what the image shows, or if both ends of a link lie on one image.
     """
     def seen(c: Column) -> Column:
-        return F.array_contains("released", c["image_id"])
-    valid = F.forall("citations", seen) & F.forall("links", lambda link: seen(link["left"]) & seen(link["right"]))
+        shown = F.exists("images", lambda i: (i["id"] == c["image_id"]) & (i["time"] == c["time"]) & box_inside(i["source_bbox"], c["bbox"]))
+        return F.array_contains("released", c["image_id"]) & F.coalesce(shown, F.lit(False))
+    apart = F.forall("links", lambda link: seen(link["left"]) & seen(link["right"]) & (link["left"]["image_id"] != link["right"]["image_id"]))
+    valid = F.forall("citations", seen) & apart
     report = chain_report(F.col("annotation"), F.col("verdict"), F.col("citations"), F.col("links"))
     base = episodes.withColumn("_valid", valid).withColumn("_grounded", valid & report["sufficient"]).withColumn(
         "expected_verdict", pool_verdict(F.col("annotation"), F.col("available"))

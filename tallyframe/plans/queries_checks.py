@@ -144,6 +144,12 @@ def _(spark, sf):
     return out.drop("l_suppkey")
 
 
+@query("replay_sources", "SELECT l_orderkey, l_linenumber, l_partkey % 7 AS source, count(*) AS copies FROM lineitem GROUP BY 1, 2, 3")
+def _(spark, sf):
+    items = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return checks.replay_sources(items, ["l_orderkey", "l_linenumber"], F.col("l_partkey") % 7)
+
+
 @query("check_trace_totals", f"""WITH {BASE_SQL}
 {rules_sql('ok, ln, pk', 'base', [('input_tokens', 'd = 4'), ('output_tokens', 'q = 9'), ('over_budget', 'q + ln > 50'), ('too_many_turns', 'ln * 3 > 16')])}""")
 def _(spark, sf):

@@ -168,6 +168,21 @@ def _(spark, sf):
     return review.packet_problems(moved, assigned)
 
 
+@query("answer_problems", """WITH a AS (SELECT l_orderkey AS unit_id, l_linenumber AS packet_id, l_partkey % 9 AS v, l_suppkey % 2 AS w FROM lineitem)
+SELECT packet_id, unit_id, CASE WHEN unit_id % 50 = 0 THEN 'unknown_unit' ELSE CASE v WHEN 1 THEN 'invalid_judgment' WHEN 2 THEN 'claim_clear_missing' WHEN 3 THEN 'invalid_citation' WHEN 4 THEN 'answer_contradicts_sufficiency'
+  WHEN 5 THEN 'definite_without_citation' WHEN 6 THEN 'unknown_region' ELSE 'region_outside_image' END END AS rule FROM a WHERE unit_id % 50 = 0 OR v BETWEEN 1 AND 7""")
+def _(spark, sf):
+    region = "named_struct('image_id', CASE WHEN v = 6 THEN 'z' ELSE 'i0' END, 'bbox', CASE WHEN v <> 7 THEN array(0.1D, 0.2D, 0.5D, 1.0D) WHEN w = 0 THEN array(0.1D, 0.2D, 0.5D, 1.1D) ELSE array(0.1D, 0.2D) END)"
+    answers = table(spark, sf, "lineitem").selectExpr("l_orderkey AS unit_id", "l_linenumber AS packet_id", "l_partkey % 9 AS v", "l_suppkey % 2 AS w").selectExpr(
+        "unit_id", "packet_id", "CASE v WHEN 1 THEN CASE w WHEN 0 THEN 'maybe' END WHEN 4 THEN 'uncertain' WHEN 8 THEN 'insufficient' ELSE 'sufficient' END AS sufficiency",
+        "CASE v WHEN 8 THEN 'Need more evidence' ELSE 'Refuted' END AS answer", "CASE WHEN v <> 2 THEN w = 0 END AS claim_clear",
+        "CASE v WHEN 3 THEN CASE w WHEN 0 THEN array('i0', 'i0') ELSE array('q') END WHEN 5 THEN CASE w WHEN 0 THEN array() END ELSE array('i0') END AS citations",
+        f"array({region}) AS regions",
+    )
+    units = table(spark, sf, "orders").filter("o_orderkey % 50 > 0").selectExpr("o_orderkey AS unit_id", "array('i0', 'i1') AS image_ids")
+    return review.answer_problems(answers, units)
+
+
 KINDS = "['initial', 'candidate_pool', 'resolution_control', 'blocked_pool']"
 
 
@@ -241,7 +256,8 @@ def _(spark, sf):
     return review.export_answers(answers, ["family_id", "ln"], "verdict", votes_only=True)
 
 
-@query("grade_episodes", f"""WITH {DECISIONS_SQL}, s AS (SELECT *, t1 = verdict AND region_ok AS s1, t2 = verdict AND has_link AND link_ok AS s2, q % 7 > 0 OR NOT has_link AS valid,
+@query("grade_episodes", f"""WITH {DECISIONS_SQL}, s AS (SELECT *, t1 = verdict AND region_ok AS s1, t2 = verdict AND has_link AND link_ok AS s2, (q % 7 > 0 OR NOT has_link) AND pk % 13 > 0 AND px1 <= 40 AND py1 <= 40 AND sx1 <= 40 AND sy1 <= 40
+    AND (NOT has_link OR (rx1 + q % 3 <= 40 AND ry1 + q % 3 <= 40 AND px1 + q % 3 <= 40 AND py1 + q % 3 <= 40)) AS valid,
   CASE WHEN t1 = 'Refuted' OR (t2 = 'Refuted' AND d % 4 > 0) THEN 'Refuted' WHEN t1 = 'Supported' AND t2 = 'Supported' AND d % 4 > 0 THEN 'Supported' ELSE 'Need more evidence' END AS expected FROM decisions),
 g AS (SELECT *, valid AND CASE verdict WHEN 'Supported' THEN s1 AND s2 WHEN 'Refuted' THEN s1 OR s2 ELSE false END AND (NOT has_link OR link_ok) AS grounded, verdict = 'Need more evidence' AS abstains FROM s)
 SELECT ok, ln, pk, expected AS expected_verdict, verdict = expected AS correct, verdict = expected AND valid AND (abstains OR grounded) AS grounded_correct, NOT abstains AND NOT grounded AS unsupported_decision, NOT abstains AS coverage FROM g""")
@@ -249,7 +265,9 @@ def _(spark, sf):
     df = standins.decisions(spark, sf).withColumn("available", F.expr("CASE WHEN d % 4 > 0 THEN array('img-a', 'img-b') ELSE array('img-a') END")).withColumn(
         "released", F.expr("CASE WHEN q % 7 > 0 THEN array('img-a', 'img-b') ELSE array('img-a') END")
     )
-    return review.grade_episodes(df, ["ok", "ln", "pk"])
+    shown = "named_struct('id', '{}', 'time', CASE WHEN pk % 13 = 0 AND '{}' = 'img-a' THEN 'after' ELSE 'before' END, 'source_bbox', array(0L, 0L, 40L, 40L))"
+    images = F.expr(f"array({shown.format('img-a', 'img-a')}, {shown.format('img-b', 'img-b')})")
+    return review.grade_episodes(df.withColumn("images", images), ["ok", "ln", "pk"])
 
 
 # ---------------------------------------------------------------- training tables
