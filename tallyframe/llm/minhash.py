@@ -28,7 +28,7 @@ MANTISSA = 10
 # Estimates below this are dropped. At a similarity of 0.85 the estimate's deviation is 0.032, so that this lies eight
 # deviations away; in sets with fewer shingles than registers each differing shingle spoils one register at most.
 ESTIMATE = 0.6
-BLOCK = 256
+BLOCK = 128
 
 
 def registers(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -155,7 +155,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, text: str, id_col: str, percent
 
 
 def paired_blocks(members: DataFrame, key: str, size: str) -> DataFrame:
-    """Members of each group dealt to blocks of about 256, and a unit of work per pair of blocks: ``key``, ``low``, ``high``.
+    """Members of each group dealt to blocks of about 128, and a unit of work per pair of blocks: ``key``, ``low``, ``high``.
 
     A unit holds two blocks at most, so that no task holds a group, however large.
     """
