@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyframe.llm.decontam import find_leaks
 from tallyframe.llm.keys import lookup
 from tallyframe.llm.langid import UNDETERMINED, fit_language_model, language_column
-from tallyframe.llm.line_dedup import dedup_lines
+from tallyframe.llm.line_dedup import with_kept_lines
 from tallyframe.llm.minhash import near_duplicates
 from tallyframe.llm.packing import pack_documents
 from tallyframe.llm.queries import TOKENIZER
@@ -31,11 +31,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated line runs; a document goes if no line of it is left. ``n_chars`` follows."""
-    rows = docs.select(*COLUMNS).dropDuplicates(["doc_id"])
-    kept = dedup_lines(rows).where("n_removed < n_lines").select(F.col("doc_id").alias("_id"), "kept_text", "n_removed")
-    out = kept.join(rows.drop("text"), kept["_id"].eqNullSafe(rows["doc_id"]))
-    text = F.col("kept_text")
-    return out.withColumn("text", text).withColumn("n_chars", F.length(text).cast("long")).select(*COLUMNS)
+    out = with_kept_lines(docs.select(*COLUMNS)).where("n_removed < n_lines")
+    return out.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long")).select(*COLUMNS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

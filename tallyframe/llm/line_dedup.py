@@ -85,6 +85,23 @@ def removed_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", m
     return alone.union(linked.select("key", "pos"))
 
 
+def with_kept_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_chars: int = 20) -> DataFrame:
+    """All columns of ``docs`` with ``kept_text``, ``n_lines``, ``n_removed`` and ``n_runs`` of ``dedup_lines``."""
+    gone = removed_lines(docs, text, id_col, min_chars)
+    gone = gone.groupBy("key").agg(F.collect_set("pos").alias("_gone")).withColumnRenamed("key", "_key")
+    out = docs.withColumn("_key", document_key(id_col, text)).join(gone, "_key", "left").withColumn("_lines", split_lines(F.col(text)))
+    every = F.sequence(F.lit(0), F.size("_lines") - 1)
+    out = out.withColumn("_stay", F.when(F.col("_gone").isNotNull(), F.array_except(every, F.col("_gone"))))
+    whole, changed = F.coalesce(F.col(text), F.lit("")), F.col("_gone").isNotNull()
+    kept = F.array_join(F.transform("_stay", lambda i: F.get("_lines", i)), "\n")
+    runs = F.size("_gone") - F.size(F.array_intersect("_gone", F.transform("_gone", lambda i: i + 1)))
+    out = out.withColumns({
+        "kept_text": F.when(changed, kept).otherwise(whole), "n_lines": F.size("_lines"),
+        "n_removed": F.when(changed, F.size("_gone")).otherwise(0), "n_runs": F.when(changed, runs).otherwise(0),
+    })
+    return out.drop("_key", "_gone", "_lines", "_stay")
+
+
 def dedup_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_chars: int = 20) -> DataFrame:
     """Texts without later copies of repeated line runs: ``id_col``, ``kept_text``, ``n_lines``, ``n_removed``, ``n_runs``.
 
@@ -96,19 +113,5 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min
     One row per input row; rows that repeat id and text are one document and get the same result. A null or empty text is
     one empty line and stays (null becomes empty). Other columns are ignored; an empty table gives an empty result.
     """
-    gone = removed_lines(docs, text, id_col, min_chars)
-    gone = gone.groupBy("key").agg(F.collect_set("pos").alias("gone"))
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text), F.lit("")).alias("_text"), document_key(id_col, text).alias("key"))
-    out = rows.join(gone, "key", "left").withColumn("_lines", split_lines(F.col("_text")))
-    every = F.sequence(F.lit(0), F.size("_lines") - 1)
-    stay = F.array_except(every, F.col("gone"))
-    out = out.withColumn("_stay", F.when(F.col("gone").isNotNull(), stay))
-    kept = F.array_join(F.transform("_stay", lambda i: F.get("_lines", i)), "\n")
-    cuts = F.size("gone") - F.size(F.array_intersect("gone", F.transform("gone", lambda i: i + 1)))
-    return out.select(
-        F.col(id_col),
-        F.when(F.col("gone").isNull(), F.col("_text")).otherwise(kept).alias("kept_text"),
-        F.size("_lines").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"),
-        F.when(F.col("gone").isNull(), F.lit(0)).otherwise(cuts).alias("n_runs"),
-    )
+    out = with_kept_lines(docs.select(F.col(id_col), F.col(text).alias("_text")), "_text", id_col, min_chars)
+    return out.drop("_text")
