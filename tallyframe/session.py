@@ -43,9 +43,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+# Paths handed out in this process, for ``drop_staged``.
+STAGED: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder; nothing is created."""
-    return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    STAGED.append(os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}"))
+    return STAGED[-1]
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete all tables staged so far. Results that were not written elsewhere cannot be read afterwards."""
+    jvm = spark._jvm
+    for name in STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    STAGED.clear()
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -65,7 +65,7 @@ def compare(spark, con, sf_dir, fn, sql, inspect=None):
 if __name__ == "__main__":
     sys.path.insert(0, "/root/repo")
     import __spark_entry__ as entry
-    from tallyframe.session import build_session
+    from tallyframe.session import build_session, drop_staged
 
     sf = sys.argv[1]
     prefix = sys.argv[2:]
@@ -87,6 +87,7 @@ if __name__ == "__main__":
         except Exception as error:  # report and go on
             problem = f"{type(error).__name__}: {str(error)[:600]}"
         failed += bool(problem)
+        drop_staged(spark)
         if problem or time.time() - start > 6:
             print(f"{'FAIL' if problem else 'ok  '} {name} {time.time() - start:.1f}s {problem}", flush=True)
     print("failed", failed, "of", len(entry.queries()), "with oracle", len(sqls))
