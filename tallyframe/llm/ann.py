@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .shared import share
+
 BITS = 128
 SUBSTRINGS = 16
 SHARD = 8192
@@ -136,7 +138,7 @@ def shard_search(base: DataFrame, asked: DataFrame, count: int, questions: int,
     drawn = base.where(F.pmod(F.xxhash64("id"), F.lit(space)) < min(space, space * sample_rows // count + 1)).select("id", "v").collect()
     drawn.sort(key=lambda r: str(r["id"]))
     sample = np.array([r["v"] for r in drawn] or [base.select("v").first()["v"]])
-    shared = base.sparkSession.sparkContext.broadcast(learn_codes(sample, k))
+    shared = share(base.sparkSession, learn_codes(sample, k))
     shards, groups = -(-count // SHARD), -(-questions // QUERIES)
     left = base.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("long").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
     right = asked.select("id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int").alias("part"))
@@ -144,7 +146,7 @@ def shard_search(base: DataFrame, asked: DataFrame, count: int, questions: int,
     def search(own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(own) and len(ask):
-            codes = shared.value
+            codes = shared()
             x, q = np.stack(own["v"].to_numpy()), np.stack(ask["v"].to_numpy())
             ids = own["id"].to_numpy()
             shard, asked_codes = Shard(codes.encode(x)), codes.encode(q)

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import share
+
 UNDETERMINED = "und"
 GAP = 0  # code of everything between two runs of letters
 OTHER = 1  # code of a letter that no sample has
@@ -187,7 +189,7 @@ def predict(texts: list[str], model: LanguageModel) -> tuple[list[str], np.ndarr
 
 def language_column(df: DataFrame, text: Column, model: LanguageModel) -> Column:
     """Column ``struct<lang_pred string, score double>`` of a text column."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = share(df.sparkSession, model)
 
     @F.arrow_udf("lang_pred string, score double")
     def identify(values: pa.Array) -> pa.Array:
@@ -196,7 +198,7 @@ def language_column(df: DataFrame, text: Column, model: LanguageModel) -> Column
             batch += values.slice(at, ROWS).to_pylist()
             letters = sum(len(t or "") for t in batch)
             if letters >= BATCH_LETTERS or at + ROWS >= len(values):
-                some, marks = predict(batch, shared.value)
+                some, marks = predict(batch, shared())
                 names += some
                 scores += marks.tolist()
                 batch = []

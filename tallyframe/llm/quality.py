@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .blocks import powers, row_blocks, text_bytes
 from .keys import lookup
+from .shared import share
 from .words import BASE, BLOCK, word_hashes
 
 FEATURES = [
@@ -207,11 +208,11 @@ def fit_quality(
 
 
 def quality_column(df: DataFrame, text: Column, model: QualityModel) -> Column:
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = share(df.sparkSession, model)
 
     @F.arrow_udf("double")
     def scored(values: pa.Array) -> pa.Array:
-        return pa.array(shared.value.score(features(values)))
+        return pa.array(shared().score(features(values)))
 
     return scored(text)
 
