@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..session import materialize
 from .keys import document_key
 
 
@@ -79,7 +80,8 @@ def find_secrets(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     One row per input row; rows that repeat id and text are one document with one result. Null, empty and clean texts have
     an empty array. Other columns are ignored; an empty table gives an empty result.
     """
-    parts = part_rows(docs, text, id_col)
+    # Three inputs follow from the matches; written once, the texts are scanned once.
+    parts = materialize(part_rows(docs, text, id_col), "parts")
     base, weak = parts.where(F.col("kind") < BASE_KINDS), parts.where(F.col("kind") >= BASE_KINDS)
     others = parts.select("key", F.floor(F.col("start") / SCOPE).alias("scope"), F.col("kind").alias("k"), F.col("start").alias("s"), F.col("end").alias("e"))
     complement = (role(F.col("kind")) == "secret") != (role(F.col("k")) == "secret")
