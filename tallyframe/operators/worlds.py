@@ -222,7 +222,7 @@ def request_schedule(cases: DataFrame, policy: str, seed: int, keys: list[str])
 
     fixed_order is the product of objects, times and views; fixed_original asks for originals only; random_order sorts
     the product by a hash that all variants of a family share; restore_preview asks for the original of every shown
-    image whose display is smaller than its source.
+    image whose display is smaller than its source, or for its camera's view where originals are not offered.
     """
     options = F.col("request_options")
     views = options["views"] if policy != "fixed_original" else F.filter(options["views"], lambda v: v == "original")
@@ -241,7 +241,7 @@ def request_schedule(cases: DataFrame, policy: str, seed: int, keys: list[str])
             box = e["source_bbox"]
             return F.array_contains("initial", e["id"]) & (e["display_size"][0] * e["display_size"][1] < (box[2] - box[0]) * (box[3] - box[1]))
         def asked(e: Column) -> Column:
-            view = F.when(F.array_contains(options["views"], "original"), "original").otherwise(e["view"])
+            view = F.when(F.array_contains(options["views"], "original"), "original").otherwise(e["camera_view"])
             return F.struct(e["object"].alias("object"), e["time"].alias("time"), view.alias("view"))
         wanted = F.transform(F.filter("evidence", reduced), asked)
         public = F.filter(wanted, lambda c: F.array_contains(options["objects"], c["object"]) & F.array_contains(options["times"], c["time"]) & F.array_contains(options["views"], c["view"]))

@@ -162,9 +162,11 @@ def _(spark, sf):
     return ops.request_schedule(schedule_cases(spark, sf), "random_order", 5, ["family_id"])
 
 
-@query("request_schedule_restore_preview", f"WITH {CASES_SQL} SELECT family_id, 0 AS ordinal, 'target' AS object, 'before' AS time, 'original' AS view FROM cases WHERE pk % 4 = 1")
+@query("request_schedule_restore_preview", f"WITH {CASES_SQL} SELECT family_id, 0 AS ordinal, 'target' AS object, 'before' AS time, CASE WHEN pk % 8 = 1 THEN 'side' ELSE 'original' END AS view FROM cases WHERE pk % 4 = 1")
 def _(spark, sf):
-    return ops.request_schedule(schedule_cases(spark, sf), "restore_preview", 0, ["family_id"])
+    fewer = F.when(F.col("pk") % 8 == 1, F.array(F.lit("side"), F.lit("rear"))).otherwise(F.col("request_options.views"))
+    cases = schedule_cases(spark, sf).withColumn("request_options", F.col("request_options").withField("views", fewer))
+    return ops.request_schedule(cases, "restore_preview", 0, ["family_id"])
 
 
 # Requests for each target set, infinite when an image of it is unavailable.

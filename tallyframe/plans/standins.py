@@ -245,7 +245,8 @@ def cases(spark: SparkSession, sf: str) -> DataFrame:
     def row(i: str, view: str, ok: str, source: str | None = None) -> str:
         return (
             f"named_struct('id', '{i}', 'source_id', '{source or i}', 'object', 'target', 'time', 'before', "
-            f"'view', '{view}', 'available', {ok}, 'source_size', array(100L, 80L), 'source_bbox', array(0L, 0L, 100L, 80L))"
+            f"'view', '{view}', 'available', {ok}, 'source_size', array(100L, 80L), 'source_bbox', array(0L, 0L, 100L, 80L), "
+            f"'camera_view', CASE WHEN '{view}' = 'preview' THEN 'side' END)"
         )
 
     evidence = ", ".join([

@@ -11,7 +11,7 @@ SUBCLAIM = f"struct<id:string,kind:string,truth:string,minimal_evidence_sets:{SE
 ANNOTATION = f"struct<protocol:string,status:string,verdict:string,subclaims:array<{SUBCLAIM}>,minimal_evidence_sets:{SETS}>"
 EVIDENCE = (
     "struct<id:string,source_id:string,object:string,time:string,view:string,available:boolean,"
-    f"source_size:array<bigint>,source_bbox:{BOX}>"
+    f"source_size:array<bigint>,source_bbox:{BOX},camera_view:string>"
 )
 DECISION = f"struct<verdict:string,citations:array<{CITATION}>,links:array<{LINK}>>"
 PART = "struct<type:string,text:string,image_ref:string>"

@@ -142,7 +142,7 @@ def test_shortest_requests_equal_search(spark):
     options = (["o1", "o2"], ["t"], ["v1", "v2"])
     for i in range(60):
         ids = [f"i{j}" for j in range(6)]
-        evidence = [(j, j, rng.choice(["o1", "o2", "o3"]), "t", rng.choice(["v1", "v2"]), rng.random() < 0.8, None, None) for j in ids]
+        evidence = [(j, j, rng.choice(["o1", "o2", "o3"]), "t", rng.choice(["v1", "v2"]), rng.random() < 0.8, None, None, None) for j in ids]
         initial = rng.sample(ids, rng.randrange(3))
         targets = [sorted(rng.sample(ids, rng.randrange(0, 4))) for _ in range(3)]
         want[i] = brute_requests(evidence, initial, options, targets, 3)

@@ -83,8 +83,8 @@ def test_directed_relation_does_not_swap(spark):
 
 
 def test_availability_follows_the_evidence(spark):
-    shown = [("x", "x", "o", "t", "v", True, None, None)]
-    hidden = [("x", "x", "o", "t", "v", False, None, None)]
+    shown = [("x", "x", "o", "t", "v", True, None, None, None)]
+    hidden = [("x", "x", "o", "t", "v", False, None, None, None)]
     need = "Need more evidence"
     rows = [("Supported", need, need, shown, "Sufficient"), (need, "Refuted", "Refuted", hidden, "Obtainable"), (need, need, need, hidden, "Underdetermined"),
             (need, need, "Supported", hidden, "Unavailable"), (need, need, "Supported", shown, "Missing")]
