@@ -15,6 +15,7 @@ from tallyframe.llm.line_dedup import with_kept_lines
 from tallyframe.llm.minhash import near_duplicates
 from tallyframe.llm.packing import pack_documents
 from tallyframe.llm.queries import TOKENIZER
+from tallyframe.llm.shared import small_batches
 from tallyframe.session import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,6 +25,7 @@ ORACLE_SQL = None
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; those without a letter go. A missing language label gets the predicted one."""
+    small_batches(spark)
     found = docs.select(*COLUMNS).withColumn("_lang", language_column(docs, F.col("text"), fit_language_model(docs))["lang_pred"])
     kept = found.where(F.col("_lang") != UNDETERMINED)
     return kept.withColumn("lang", F.coalesce("lang", "_lang")).select(*COLUMNS)
@@ -37,6 +39,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest id."""
+    small_batches(spark)
     gone = materialize(near_duplicates(docs).where("NOT kept").select("doc_id"), "gone")
     return lookup(docs.select(*COLUMNS), gone, gone.count(), "doc_id", "left_anti")
 
@@ -50,6 +53,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces in sequences of at most 4,096 tokens."""
+    small_batches(spark)
     return pack_documents(docs, TOKENIZER)
 
 

@@ -8,8 +8,8 @@ import types
 
 import numpy as np
 
-# Words kept per worker process; beyond that the memory starts anew. About 100 MB.
-REMEMBERED = 500_000
+# Words kept per worker process; beyond that the memory starts anew. About 60 MB.
+REMEMBERED = 300_000
 # Anything but letters whose lower case is one letter, single full stops and commas, and white space.
 UNEVEN = re.compile("[^A-Za-zÀ-ÖØ-öø-ÿ., \n]|[.,][.,]")
 SURE_SPACE = re.compile("[ \t\n\r\f\v]+")
