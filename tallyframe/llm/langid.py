@@ -17,13 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import share
+from .tokens import forget_encoders
 
 UNDETERMINED = "und"
 GAP = 0  # code of everything between two runs of letters
 OTHER = 1  # code of a letter that no sample has
 LETTERS = 254
 LANE = 2048  # letters parsed together; phrases end at a lane's end
-BATCH_LETTERS = 2 << 20
+BATCH_LETTERS = 1 << 20
 ROWS = 200
 
 
@@ -193,6 +194,7 @@ def language_column(df: DataFrame, text: Column, model: LanguageModel) -> Column
 
     @F.arrow_udf("lang_pred string, score double")
     def identify(values: pa.Array) -> pa.Array:
+        forget_encoders()
         names, scores, batch = [], [], []
         for at in range(0, len(values), ROWS):
             batch += values.slice(at, ROWS).to_pylist()

@@ -21,6 +21,7 @@ from ..graphs import connected_components
 from ..session import materialize
 from .blocks import mix
 from .keys import lookup
+from .tokens import forget_encoders
 from .words import shingle_sets
 
 REGISTERS = 128
@@ -78,6 +79,7 @@ def signatures(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for batch in batches:
             for row, stop, sets, sizes in shingle_sets(batch.column(1)):
                 marks = registers(sets, sizes)

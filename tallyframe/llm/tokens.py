@@ -90,3 +90,8 @@ def encoder(path: str) -> WordEncoder:
     if path not in kept.__dict__:
         kept.__dict__[path] = WordEncoder(path)
     return kept.__dict__[path]
+
+
+def forget_encoders() -> None:
+    """Free what ``encoder`` keeps: a worker process that turns to other work needs the memory for it."""
+    sys.modules.pop("_kept_encoders", None)
