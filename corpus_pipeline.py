@@ -19,6 +19,8 @@ from tallyframe.llm.shared import small_batches
 from tallyframe.session import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+# Documents are near copies from this similarity of their shingle sets on; the 85 percent of op1 are that query's own.
+NEAR_PERCENT = 80
 # One stage has no SQL form (a fitted language model, a tokenizer), so the whole run has none; tests/llm has brute force.
 ORACLE_SQL = None
 
@@ -40,7 +42,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest id."""
     small_batches(spark)
-    gone = materialize(near_duplicates(docs).where("NOT kept").select("doc_id"), "gone")
+    gone = materialize(near_duplicates(docs, percent=NEAR_PERCENT).where("NOT kept").select("doc_id"), "gone")
     return lookup(docs.select(*COLUMNS), gone, gone.count(), "doc_id", "left_anti")
 
 

@@ -26,12 +26,20 @@ from .words import shingle_sets
 
 REGISTERS = 128
 MANTISSA = 10
-# Estimates below this are dropped. At a similarity of 0.85 the estimate's deviation is 0.032, so that this lies eight
-# deviations away; in sets with fewer shingles than registers each differing shingle spoils one register at most.
-ESTIMATE = 0.6
+# The bands and size classes are proven from this similarity on.
+LEAST_PERCENT = 80
 BLOCK = 128
 
 
+def least_estimate(percent: int) -> float:
+    """Estimates below this are dropped: eight deviations of the estimate at a similarity of ``percent``, 0.60 for 85 and 0.52 for 80.
+
+    In sets with fewer shingles than registers each differing shingle spoils one register at most.
+    """
+    share = percent / 100
+    return share - 8 * (share * (1 - share) / REGISTERS) ** 0.5
+
+
 def registers(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """``[text, register]`` of sorted distinct hashes; 0 where no shingle fell."""
     out = np.zeros((len(sizes), REGISTERS), np.uint16)
@@ -50,11 +58,11 @@ def registers(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(marks: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+def band_keys(marks: np.ndarray, sizes: np.ndarray, percent: int) -> list[np.ndarray]:
     """Band keys of each text.
 
     From 64 shingles on there are 32 bands of 4 registers. At a similarity of 0.85 a band agrees with probability 0.52, and
-    none of 32 agrees with 6e-11. Smaller sets have fewer, wider bands of two to four shingles each. Sets of such sizes
+    none of 32 agrees with 6e-11; at 0.80 these are 0.41 and 5e-8. Smaller sets have fewer, wider bands of two to four shingles each. Sets of such sizes
     differ in fewer shingles than there are bands, so one band agrees for certain. A set near the next size class is put
     into both.
     """
@@ -68,13 +76,13 @@ def band_keys(marks: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
         found[bands] = np.where(group.any(axis=2), key, np.uint64(0))
     out = []
     for row, size in enumerate(sizes.tolist()):
-        low, high = (next((b for top, b in ((8, 2), (16, 4), (32, 8), (64, 16)) if n < top), 32) for n in (size, size / 0.85))
+        low, high = (next((b for top, b in ((8, 2), (16, 4), (32, 8), (64, 16)) if n < top), 32) for n in (size, size * 100 / percent))
         keys = found[low][row] if low == high else np.concatenate([found[low][row], found[high][row]])
         out.append(keys[keys != 0].view(np.int64))
     return out
 
 
-def signatures(docs: DataFrame, text: str, id_col: str) -> DataFrame:
+def signatures(docs: DataFrame, text: str, id_col: str, percent: int) -> DataFrame:
     """Per row: ``id``, ``n`` shingles, set digest ``d1``, ``d2``, ``marks`` (registers) and ``keys`` (bands)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -86,7 +94,7 @@ def signatures(docs: DataFrame, text: str, id_col: str) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 sums = [np.concatenate([[0], np.cumsum(mix(sets ^ np.uint64(salt)))]).astype(np.uint64) for salt in (0x5851F42D, 0x14057B7E)]
                 d1, d2 = ((s[ends[1:]] - s[ends[:-1]]).view(np.int64) for s in sums)
-                keys = band_keys(marks, sizes)
+                keys = band_keys(marks, sizes, percent)
                 flat = pa.array(marks.view(np.uint8).reshape(-1), pa.uint8()).buffers()[1]
                 spots = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * 2 * REGISTERS).buffers()[1]
                 lists = pa.ListArray.from_arrays(
@@ -213,7 +221,7 @@ def close_roots(frame: pd.DataFrame, bounds: np.ndarray, percent: int) -> list[t
         able &= np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
         i, j = i[able], j[able]
         near = [estimate(marks[i[at : at + 50_000]], marks[j[at : at + 50_000]], n[i[at : at + 50_000]], n[j[at : at + 50_000]]) for at in range(0, len(i), 50_000)]
-        good = np.concatenate(near) >= ESTIMATE if near else np.zeros(0, bool)
+        good = np.concatenate(near) >= least_estimate(percent) if near else np.zeros(0, bool)
         return root[i[good]], root[j[good]]
 
     for size in range(2, 9):
@@ -269,15 +277,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     smallest id that links lead to, and ``kept`` marks its row. Null, empty and blank texts have no shingles and link with
     nothing, nor does a row with a null id (its component is null and it is kept). Rows that share an id are one node; each
     of them gets its own row. Other columns are ignored; an empty table gives an empty result. ``percent`` may not be
-    below 85, for which the bands are made.
+    below 80, for which the bands are made.
 
     Equal sets are one node from the start. In each band, members are first compared with the smallest one. Where a band
     then still joins several components, all its members are estimated against each other, and components that come near
     each other form a cluster, in which every pair is settled by exact intersections.
     """
-    if percent < 85:
-        raise ValueError("the bands find similarities of 0.85 and more")
-    signed = materialize(signatures(docs, text, id_col), "signatures")
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"the bands find similarities of {LEAST_PERCENT} percent and more")
+    signed = materialize(signatures(docs, text, id_col, percent), "signatures")
     able = signed.where("n > 0 AND id IS NOT NULL")
     classes = materialize(able.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")), "classes")
     nodes = able.join(classes, ["d1", "d2", "n"]).where("id = rep").dropDuplicates(["id"]).select("id", "n", "marks", "keys")
@@ -292,7 +300,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
     stars = members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     stars = stars.join(named("a"), "a").join(named("b"), "b").where(similar_sizes(F.col("n_a"), F.col("n_b"), percent))
-    stars = stars.withColumn("estimate", estimated("marks_a", "marks_b", "n_a", "n_b")).where(F.col("estimate") >= ESTIMATE)
+    stars = stars.withColumn("estimate", estimated("marks_a", "marks_b", "n_a", "n_b")).where(F.col("estimate") >= least_estimate(percent))
     best = materialize(stars.groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b")), "stars")
     linked = materialize(confirmed(best, docs, text, id_col, percent), "links")
     roots = connected_components(linked)

@@ -40,7 +40,7 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, root AS component_id, d.doc_id =
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN roots r ON r.node = d.doc_id
 """)
 def op1(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 @query("op2_best_fit_packing")

@@ -118,6 +118,23 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     assert [(r.component_id, r.kept) for r in found if r.doc_id is None] == [(None, True)] * 2
 
 
+def test_near_duplicates_at_eighty_percent(spark, tmp_path):
+    """The pipeline's stage removes a copy at a similarity of 0.82, which op1 keeps."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(21)
+    base = sentence(rng, 304).split(" ")
+    changed = [*base]
+    for at in range(20, 260, 40):
+        changed[at] = "changed"
+    texts = [(1, " ".join(base)), (2, " ".join(changed)), (3, sentence(rng, 90))]
+    a, b = shingles(texts[0][1]), shingles(texts[1][1])
+    assert round(len(a & b) / len(a | b), 2) == 0.82
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in cp.near_dedup_stage(spark, frame, str(tmp_path)).collect()} == {1, 3}
+    assert near_duplicates(table(spark, texts), percent=85).where("kept").count() == 3
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 1), (9, 8), (8, 7), (2, 2), (20, 21), (21, 22), (22, 23), (23, 24), (24, 20)], "a long, b long")
     assert {r.node: r.root for r in connected_components(edges).collect()} == {5: 1, 4: 1, 3: 1, 1: 1, 9: 7, 8: 7, 7: 7, 20: 20, 21: 20, 22: 20, 23: 20, 24: 20}
