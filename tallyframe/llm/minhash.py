@@ -8,7 +8,7 @@ what passes is confirmed on the full shingle sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,14 +28,14 @@ REGISTERS = 128
 MANTISSA = 10
 # The bands and size classes are proven from this similarity on.
 LEAST_PERCENT = 80
+# Links of sets with fewer shingles are found for certain.
+SMALL = 64
+PREFIX = 0x3C6EF372FE94F82B
 BLOCK = 128
 
 
 def least_estimate(percent: int) -> float:
-    """Estimates below this are dropped: eight deviations of the estimate at a similarity of ``percent``, 0.60 for 85 and 0.52 for 80.
-
-    In sets with fewer shingles than registers each differing shingle spoils one register at most.
-    """
+    """Estimates below this are dropped: eight deviations of the estimate at a similarity of ``percent``, 0.60 for 85 and 0.52 for 80."""
     share = percent / 100
     return share - 8 * (share * (1 - share) / REGISTERS) ** 0.5
 
@@ -58,13 +58,15 @@ def registers(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(marks: np.ndarray, sizes: np.ndarray, percent: int) -> list[np.ndarray]:
+def band_keys(marks: np.ndarray, sets: np.ndarray, sizes: np.ndarray, percent: int) -> list[np.ndarray]:
     """Band keys of each text.
 
     From 64 shingles on there are 32 bands of 4 registers. At a similarity of 0.85 a band agrees with probability 0.52, and
-    none of 32 agrees with 6e-11; at 0.80 these are 0.41 and 5e-8. Smaller sets have fewer, wider bands of two to four shingles each. Sets of such sizes
-    differ in fewer shingles than there are bands, so one band agrees for certain. A set near the next size class is put
-    into both.
+    none of 32 agrees with 6e-11; at 0.80 these are 0.41 and 5e-8. Smaller sets have fewer, wider bands of two to four
+    shingles each, and a set near the next size class is put into both. An empty band has no key. A set with fewer than 64
+    shingles, or one that may link with such a set, has a band in common with each set it links with if more of its bands
+    hold shingles than shingles can differ. Where they do not, it also gets prefix keys, its smallest hashes, one more than
+    can be missing from the other set: of two linked sets without a common band both have them, and they share one.
     """
     packed = np.ascontiguousarray(marks).view(np.uint64)
     found: dict[int, np.ndarray] = {}
@@ -75,10 +77,16 @@ def band_keys(marks: np.ndarray, sizes: np.ndarray, percent: int) -> list[np.nda
             key = mix(key ^ group[:, :, k])
         found[bands] = np.where(group.any(axis=2), key, np.uint64(0))
     out = []
+    begin = 0
     for row, size in enumerate(sizes.tolist()):
         low, high = (next((b for top, b in ((8, 2), (16, 4), (32, 8), (64, 16)) if n < top), 32) for n in (size, size * 100 / percent))
-        keys = found[low][row] if low == high else np.concatenate([found[low][row], found[high][row]])
-        out.append(keys[keys != 0].view(np.int64))
+        classes = [found[b][row][found[b][row] != 0] for b in ((low,) if low == high else (low, high))]
+        differing = size * (100 - percent) // percent
+        if size * percent < SMALL * 100 and min(len(c) for c in classes) <= differing:
+            prefix = size - -(-size * percent // 100) + 1
+            classes.append(mix(sets[begin : begin + min(prefix, size)] ^ np.uint64(PREFIX)))
+        out.append(np.concatenate(classes).view(np.int64))
+        begin += size
     return out
 
 
@@ -94,7 +102,7 @@ def signatures(docs: DataFrame, text: str, id_col: str, percent: int) -> DataFra
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 sums = [np.concatenate([[0], np.cumsum(mix(sets ^ np.uint64(salt)))]).astype(np.uint64) for salt in (0x5851F42D, 0x14057B7E)]
                 d1, d2 = ((s[ends[1:]] - s[ends[:-1]]).view(np.int64) for s in sums)
-                keys = band_keys(marks, sizes, percent)
+                keys = band_keys(marks, sets, sizes, percent)
                 flat = pa.array(marks.view(np.uint8).reshape(-1), pa.uint8()).buffers()[1]
                 spots = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * 2 * REGISTERS).buffers()[1]
                 lists = pa.ListArray.from_arrays(
@@ -108,11 +116,12 @@ def signatures(docs: DataFrame, text: str, id_col: str, percent: int) -> DataFra
     return docs.select(F.col(id_col), F.col(text)).mapInArrow(sign, f"id {kind}, n long, d1 long, d2 long, marks binary, keys array<long>")
 
 
-def estimate(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
+def estimate(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, percent: int) -> np.ndarray:
     """Jaccard similarity from registers (last axis), less the registers expected to agree by chance.
 
     Two registers of different sets agree by chance with a probability of about 0.34 divided by the number of mantissas,
-    less where the sets differ in size or leave registers empty.
+    less where the sets differ in size or leave registers empty. Each differing shingle spoils one register at most: where one
+    set is small and no more registers differ than linked sets may differ in shingles, the result is ``least_estimate`` at least.
     """
     either = (left != 0) | (right != 0)
     total = either.sum(-1)
@@ -120,17 +129,22 @@ def estimate(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: n
     a, b = n_left / REGISTERS, n_right / REGISTERS
     chance = 2 * 0.169919 / (1 << MANTISSA) * 4 * a * b / (a + b) ** 2 * (1 - np.exp(-a)) * (1 - np.exp(-b))
     by_chance = chance * REGISTERS
-    return np.clip((agree - by_chance) / np.maximum(total - by_chance, 1e-9), 0, 1)
+    out = np.clip((agree - by_chance) / np.maximum(total - by_chance, 1e-9), 0, 1)
+    near = (np.minimum(n_left, n_right) < SMALL) & ((total - agree) * (100 + percent) <= (n_left + n_right) * (100 - percent))
+    return np.where(near, np.maximum(out, least_estimate(percent)), out)
 
 
 def mark_matrix(marks) -> np.ndarray:
     return np.frombuffer(b"".join(marks), np.uint16).reshape(-1, REGISTERS)
 
 
-@F.arrow_udf(T.DoubleType())
-def estimated(left: pa.Array, right: pa.Array, n_left: pa.Array, n_right: pa.Array) -> pa.Array:
-    sizes = [np.asarray(n.to_numpy(zero_copy_only=False), np.float64) for n in (n_left, n_right)]
-    return pa.array(estimate(mark_matrix(left.to_pylist()), mark_matrix(right.to_pylist()), *sizes))
+def estimated(percent: int) -> Callable:
+    @F.arrow_udf(T.DoubleType())
+    def compare(left: pa.Array, right: pa.Array, n_left: pa.Array, n_right: pa.Array) -> pa.Array:
+        sizes = [np.asarray(n.to_numpy(zero_copy_only=False), np.float64) for n in (n_left, n_right)]
+        return pa.array(estimate(mark_matrix(left.to_pylist()), mark_matrix(right.to_pylist()), *sizes, percent))
+
+    return compare
 
 
 def similar_sizes(a: Column, b: Column, percent: int) -> Column:
@@ -220,7 +234,8 @@ def close_roots(frame: pd.DataFrame, bounds: np.ndarray, percent: int) -> list[t
         able = (root[i] != root[j]) & (inside[i] | (block[i] != block[j]))
         able &= np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
         i, j = i[able], j[able]
-        near = [estimate(marks[i[at : at + 50_000]], marks[j[at : at + 50_000]], n[i[at : at + 50_000]], n[j[at : at + 50_000]]) for at in range(0, len(i), 50_000)]
+        parts = [(i[at : at + 50_000], j[at : at + 50_000]) for at in range(0, len(i), 50_000)]
+        near = [estimate(marks[p], marks[q], n[p], n[q], percent) for p, q in parts]
         good = np.concatenate(near) >= least_estimate(percent) if near else np.zeros(0, bool)
         return root[i[good]], root[j[good]]
 
@@ -300,7 +315,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
     stars = members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     stars = stars.join(named("a"), "a").join(named("b"), "b").where(similar_sizes(F.col("n_a"), F.col("n_b"), percent))
-    stars = stars.withColumn("estimate", estimated("marks_a", "marks_b", "n_a", "n_b")).where(F.col("estimate") >= least_estimate(percent))
+    stars = stars.withColumn("estimate", estimated(percent)("marks_a", "marks_b", "n_a", "n_b")).where(F.col("estimate") >= least_estimate(percent))
     best = materialize(stars.groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b")), "stars")
     linked = materialize(confirmed(best, docs, text, id_col, percent), "links")
     roots = connected_components(linked)

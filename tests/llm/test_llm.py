@@ -17,7 +17,7 @@ from tallyframe.llm.chat import format_conversations, read_back
 from tallyframe.llm.decontam import find_leaks
 from tallyframe.llm.langid import fit_language_model, identify_language, suffix_automaton
 from tallyframe.llm.line_dedup import dedup_lines
-from tallyframe.llm.minhash import near_duplicates
+from tallyframe.llm.minhash import band_keys, estimate, least_estimate, near_duplicates, registers
 from tallyframe.llm.packing import CAPACITY, bin_patterns, pack_documents, packed_sequences
 from tallyframe.llm.quality import fit_quality, fit_tables, score_quality
 from tallyframe.llm.secret_scan import BASE_KINDS, find_secrets
@@ -118,6 +118,33 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     assert [(r.component_id, r.kept) for r in found if r.doc_id is None] == [(None, True)] * 2
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_linked_small_sets_always_share_a_key(percent):
+    """Texts of random words and their copies with words added at an end; the shingles may all fall into a few bands."""
+    def sign(sets):
+        sizes = np.array([len(s) for s in sets], np.int64)
+        flat = np.concatenate(sets)
+        marks = registers(flat, sizes)
+        return marks, sizes, band_keys(marks, flat, sizes, percent)
+
+    rng = np.random.default_rng(22)
+    for size in (*range(4, 20), 31, 33, 51, 63):
+        for _ in range(150):
+            extra = max(1, size * (100 - percent) // percent)
+            whole = np.unique(rng.integers(0, 1 << 63, size + extra, dtype=np.uint64) * np.uint64(2))
+            if 100 * size < percent * len(whole):
+                continue
+            part = np.sort(rng.permutation(whole)[:size])
+            marks, sizes, (a, b) = sign([part, whole])
+            assert set(a.tolist()) & set(b.tolist())
+            near = estimate(marks[:1], marks[1:], sizes[:1].astype(float), sizes[1:].astype(float), percent)
+            assert near[0] >= least_estimate(percent)
+    # All seven shingles of 10 and 11 words in one half of the registers: one band differs and the other is empty.
+    low = np.arange(1, 8, dtype=np.uint64) << np.uint64(57)
+    _, _, (a, b) = sign([low[:6], low])
+    assert set(a.tolist()) & set(b.tolist())
+
+
 def test_near_duplicates_at_eighty_percent(spark, tmp_path):
     """The pipeline's stage removes a copy at a similarity of 0.82, which op1 keeps."""
     import corpus_pipeline as cp
