@@ -34,8 +34,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of repeated line runs; a document goes if no line of it is left. ``n_chars`` follows."""
-    out = with_kept_lines(docs.select(*COLUMNS)).where("n_removed < n_lines")
+    """Documents without later copies of repeated line runs of 20 characters or more, short lines or long; a document goes if
+    no line of it is left. ``n_chars`` follows."""
+    out = with_kept_lines(docs.select(*COLUMNS), short_runs=True).where("n_removed < n_lines")
     return out.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long")).select(*COLUMNS)
 
 

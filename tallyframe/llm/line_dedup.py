@@ -42,14 +42,45 @@ def doubled(level: DataFrame, width: int) -> DataFrame | None:
     return materialize(pairs.join(classes, ["left", "right"]).select("key", "pos", "rank"), "line-level")
 
 
-def removed_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_chars: int = 20) -> DataFrame:
+def shortest_windows(lines: DataFrame, min_chars: int) -> DataFrame:
+    """``after`` and ``before``: the ends of the shortest runs with ``min_chars`` characters that begin, and end, with each line.
+
+    Each run of so many characters is a union of such runs. Frames grow from the partition's start, so a text costs its lines once.
+    """
+    rows = lines.withColumn("upto", F.sum("chars").over(W.partitionBy("key").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.withColumn("from", F.col("upto") - F.col("chars")).withColumn("total", F.max("upto").over(W.partitionBy("key")))
+    rows = rows.withColumn("last", F.max("pos").over(W.partitionBy("key")))
+    ahead = W.partitionBy("key").orderBy(F.col("from").desc()).rangeBetween(W.unboundedPreceding, -min_chars)
+    behind = W.partitionBy("key").orderBy("upto").rangeBetween(W.unboundedPreceding, -min_chars)
+    rows = rows.withColumn("after", F.coalesce(F.min("pos").over(ahead) - 1, F.when(F.col("total") - F.col("from") >= min_chars, F.col("last"))))
+    rows = rows.withColumn("before", F.coalesce(F.max("pos").over(behind) + 1, F.when(F.col("upto") >= min_chars, F.lit(0))))
+    return rows.drop("upto", "from", "total", "last")
+
+
+def covered(runs: DataFrame) -> DataFrame:
+    """``key``, ``pos``: each line of the runs (``key``, ``start``, ``run``) once, however they overlap."""
+    runs = runs.distinct().withColumn("stop", F.col("start") + F.col("run"))
+    order = W.partitionBy("key").orderBy("start", "stop")
+    runs = runs.withColumn("reached", F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1)))
+    opens = F.when(F.col("start") <= F.col("reached"), 0).otherwise(1)
+    islands = runs.withColumn("island", F.sum(opens).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    islands = islands.groupBy("key", "island").agg(F.min("start").alias("low"), F.max("stop").alias("high"))
+    return islands.select("key", F.explode(F.sequence("low", F.col("high") - 1)).alias("pos"))
+
+
+def removed_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_chars: int = 20, short_runs: bool = False) -> DataFrame:
     """Positions (from 0) of all lines to delete: ``key`` (id and text hash), ``pos``."""
     keyed = docs.select(document_key(id_col, text).alias("key"), F.posexplode(split_lines(F.col(text))).alias("pos", "line"))
     order = W.partitionBy("key").orderBy("pos")
-    lines = keyed.select("key", "pos", (F.length("line") >= min_chars).alias("strong"), fingerprint(F.col("line")).alias("line"))
-    lines = lines.withColumn("after", F.min(F.when(F.col("strong"), F.col("pos"))).over(order.rowsBetween(1, W.unboundedFollowing)))
-    lines = lines.withColumn("before", F.max(F.when(F.col("strong"), F.col("pos"))).over(order.rowsBetween(W.unboundedPreceding, -1)))
-    lines = materialize(lines, "lines")
+    lines = keyed.select(
+        "key", "pos", (F.length("line") >= min_chars).alias("strong"), F.length("line").cast("long").alias("chars"), fingerprint(F.col("line")).alias("line")
+    )
+    if short_runs:
+        lines = shortest_windows(lines, min_chars)
+    else:
+        lines = lines.withColumn("after", F.min(F.when(F.col("strong"), F.col("pos"))).over(order.rowsBetween(1, W.unboundedFollowing)))
+        lines = lines.withColumn("before", F.max(F.when(F.col("strong"), F.col("pos"))).over(order.rowsBetween(W.unboundedPreceding, -1)))
+    lines = materialize(lines.drop("chars"), "lines")
     classes = ranked_classes(lines.select("key", "pos", "line"), ["line"], "line-ranks")
     active = materialize(lines.join(classes, "line"), "line-level").drop("line")
     levels, level, width = [], active.select("key", "pos", "rank"), 1
@@ -62,7 +93,8 @@ def removed_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", m
     alone = active.where(F.col("strong") & (F.col("first") < F.struct("key", "pos"))).select("key", "pos")
     if not levels:
         return alone
-    # A short line goes with the run that links it to the nearest long line on either side, if an earlier run equals it.
+    # A short line goes with the run that links it to the nearest long line on either side, if an earlier run equals it. With
+    # short_runs it is the shortest run of min_chars characters on either side, and all lines of it go.
     short = active.where(~F.col("strong"))
     runs = (
         short.where("after IS NOT NULL").select("key", "pos", F.col("pos").alias("start"), (F.col("after") - F.col("pos") + 1).alias("run"))
@@ -82,12 +114,16 @@ def removed_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", m
     same = begin.join(ranks.withColumnRenamed("rank", "right"), ["key", "width", "at", "right"])
     first = same.groupBy("run", "left", "right").agg(F.min(F.struct("key", F.col("start").alias("pos"))).alias("first"))
     linked = runs.join(first, ["run", "left", "right"]).where(F.col("first") < F.struct("key", F.col("start").alias("pos")))
-    return alone.union(linked.select("key", "pos"))
+    gone = covered(linked.select("key", "start", "run")) if short_runs else linked.select("key", "pos")
+    return alone.union(gone)
 
 
-def with_kept_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_chars: int = 20) -> DataFrame:
-    """All columns of ``docs`` with ``kept_text``, ``n_lines``, ``n_removed`` and ``n_runs`` of ``dedup_lines``."""
-    gone = removed_lines(docs, text, id_col, min_chars)
+def with_kept_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_chars: int = 20, short_runs: bool = False) -> DataFrame:
+    """All columns of ``docs`` with ``kept_text``, ``n_lines``, ``n_removed`` and ``n_runs`` of ``dedup_lines``.
+
+    With ``short_runs`` a repeated run goes as soon as its lines have ``min_chars`` characters together, line feeds not counted.
+    """
+    gone = removed_lines(docs, text, id_col, min_chars, short_runs)
     gone = gone.groupBy("key").agg(F.collect_set("pos").alias("_gone")).withColumnRenamed("key", "_key")
     out = docs.withColumn("_key", document_key(id_col, text)).join(gone, "_key", "left").withColumn("_lines", split_lines(F.col(text)))
     every = F.sequence(F.lit(0), F.size("_lines") - 1)

@@ -16,7 +16,7 @@ from tallyframe.llm.ann import nearest_neighbours
 from tallyframe.llm.chat import format_conversations, read_back
 from tallyframe.llm.decontam import find_leaks
 from tallyframe.llm.langid import fit_language_model, identify_language, suffix_automaton
-from tallyframe.llm.line_dedup import dedup_lines
+from tallyframe.llm.line_dedup import dedup_lines, with_kept_lines
 from tallyframe.llm.minhash import band_keys, estimate, least_estimate, near_duplicates, registers
 from tallyframe.llm.packing import CAPACITY, bin_patterns, pack_documents, packed_sequences
 from tallyframe.llm.quality import fit_quality, fit_tables, score_quality
@@ -197,6 +197,28 @@ def test_line_dedup(spark):
     assert sum(v[2] for v in want.values()) > 30
 
 
+def test_line_dedup_of_short_lines(spark):
+    """With short_runs the threshold is the run's: menus of short lines that repeat with other neighbours go."""
+    menu = "tea\ncoffee\n\ncake\njuice\nwater"
+    texts = [x for x in corpus(3) if x[0] is not None and len((x[1] or "").split("\n")) < 30]
+    texts += [(1000, "one\n" + menu + "\ntwo"), (1001, "three\n" + menu + "\nfour"), (1002, "\n".join(["Was eran."] * 9)), (1003, "a\n\n\nb"), (1004, "c\n\n\nb")]
+    want, before = {}, []
+    for i, t in texts:
+        lines, gone = (t or "").split("\n"), set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                run = lines[a:b]
+                if not any(o[s : s + b - a] == run for o in [*before, lines[: b - 1]] for s in range(a if o == lines[: b - 1] else len(o))):
+                    break
+                if sum(map(len, run)) >= 20:
+                    gone.update(range(a, b))
+        before.append(lines)
+        want[i] = ("\n".join(x for p, x in enumerate(lines) if p not in gone), len(gone))
+    got = {r.doc_id: (r.kept_text, r.n_removed) for r in with_kept_lines(table(spark, texts), short_runs=True).collect()}
+    assert got == want
+    assert got[1001] == ("three\nfour", 6) and got[1002][1] == 8 and got[1004][1] == 0
+
+
 def test_line_dedup_edge_rows(spark):
     long = "a line of more than twenty characters"
     got = dedup_lines(table(spark, [(None, long), (3, long), (3, long), (3, long + "\nx"), (4, None)])).collect()
