@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .ann import nearest_neighbours
 from .chat import LEARNED, format_conversations, read_back
 from .decontam import find_leaks
+from .divergence import audit_sources
+from .exact_dedup import exact_duplicates
 from .langid import fit_language_model, identify_language
 from .line_dedup import dedup_lines
 from .minhash import near_duplicates
@@ -16,6 +18,7 @@ from .quality import fit_quality, score_quality
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 from .secret_scan import BASE_KINDS, KINDS, SCOPE, find_secrets, span_text
 from .substring_dedup import dedup_substrings
+from .vector_codes import compress_vectors
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 CHAT_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -166,3 +169,57 @@ SELECT k.doc_id, n_lines, n_removed, coalesce(n_runs, 0) AS n_runs, sha256(coale
 def op10(spark, sf_dir):
     out = dedup_lines(table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("kept_text", 256)).drop("kept_text")
     return out.withColumns({c: F.col(c).cast("long") for c in ("n_lines", "n_removed", "n_runs")})
+
+
+@query("op11_exact_dedup", """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+""")
+def op11(spark, sf_dir):
+    path = f"{sf_dir}/documents.parquet"
+    return exact_duplicates(spark, path, spark.read.parquet(path).schema).drop("spot")
+
+
+def assigned(n: int) -> str:
+    """SQL: nearest entry of codebook ``n`` for each part; then codebook ``n + 1``."""
+    return f"""
+a{n} AS (SELECT vec_id, label, p, x, min((d, e)) AS best FROM
+  (SELECT vec_id, label, r.p, x, e, CAST(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - y[i]) * (x[i] - y[i]))) AS BIGINT) AS d FROM parts r JOIN b{n} USING (p)) GROUP BY 1, 2, 3, 4),
+c{n} AS (SELECT vec_id, label, p, x, best[1] AS d, best[2] AS e FROM a{n}),
+m{n} AS (SELECT p, e, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS y FROM c{n}, (SELECT unnest(range(1, w + 1)) AS i FROM width) GROUP BY 1, 2, 3),
+u{n} AS (SELECT p, e, list(y ORDER BY i) AS y FROM m{n} GROUP BY 1, 2),
+b{n + 1} AS (SELECT b.p, b.e, coalesce(u.y, b.y) AS y FROM b{n} b LEFT JOIN u{n} u ON u.p = b.p AND u.e = b.e)"""
+
+
+@query("op12_vector_codes", f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+width AS (SELECT max(len(v)) // 16 AS w FROM kept),
+parts AS (SELECT vec_id, label, p, v[p * w + 1 : p * w + w] AS x FROM kept, width, (SELECT unnest(range(16)) AS p)),
+b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS y FROM parts QUALIFY e < 64),
+{assigned(0)}, {assigned(1)}, {assigned(2)},
+coded AS (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM c2 GROUP BY 1, 2),
+digest AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, label, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, digest
+""")
+def op12(spark, sf_dir):
+    return compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_source_divergence", """
+WITH docs AS (SELECT row_number() OVER () AS d, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+found AS (SELECT d, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM docs),
+kept AS (SELECT lang, t, count(*) AS ln FROM found GROUP BY 1, 2 HAVING count(DISTINCT d) >= 3),
+langs AS (SELECT lang, count(*) AS v, CAST(sum(ln) AS BIGINT) AS nl FROM kept GROUP BY 1),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, t, count(*) AS n FROM found JOIN kept USING (lang, t) GROUP BY 1, 2, 3),
+dense AS (SELECT g.lang, g.source, k.t, coalesce(n, 0) AS n, ln FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.t = k.t),
+shares AS (SELECT lang, source, t, n, 1 + 1000000000 * (n + 1) // (CAST(sum(n) OVER (PARTITION BY lang, source) AS BIGINT) + v) AS p, 1 + 1000000000 * (ln + 1) // (nl + v) AS q FROM dense JOIN langs USING (lang)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM shares a JOIN shares b ON b.lang = a.lang AND b.t = a.t AND b.source <> a.source GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM groups a JOIN groups b ON b.lang = a.lang AND b.source <> a.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, t AS item, (p - q) * (p - q) // q AS value FROM shares WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 200
+""")
+def op13(spark, sf_dir):
+    return audit_sources(table(spark, sf_dir, "documents"))
