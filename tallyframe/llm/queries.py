@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from .ann import nearest_neighbours
-from .chat import LEARNED, format_conversations, read_back
+from .chat import format_conversations, read_back
 from .decontam import find_leaks
 from .divergence import audit_sources
 from .exact_dedup import exact_duplicates
@@ -133,7 +133,7 @@ def op8(spark, sf_dir):
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
     told = read_back(*format_conversations(rows.unionByName(extra), CHAT_TOKENIZER))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    learned = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LEARNED), lambda t: t["text"]), "")
+    learned = F.array_join("turns.loss", "")
     return told.select(
         F.col("conv").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
         F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"),

@@ -84,14 +84,19 @@ class WordEncoder:
                 begin = cut
 
 
-def encoder(path: str) -> WordEncoder:
-    """The encoder of this worker process: loaded once, with the words it has seen in earlier tasks."""
+def kept_encoder(path: str, kind: type):
+    """The encoder ``kind(path)`` of this worker process: loaded once, with what it has seen in earlier tasks."""
     kept = sys.modules.setdefault("_kept_encoders", types.ModuleType("_kept_encoders"))
-    if path not in kept.__dict__:
-        kept.__dict__[path] = WordEncoder(path)
-    return kept.__dict__[path]
+    name = f"{kind.__name__} {path}"
+    if name not in kept.__dict__:
+        kept.__dict__[name] = kind(path)
+    return kept.__dict__[name]
+
+
+def encoder(path: str) -> WordEncoder:
+    return kept_encoder(path, WordEncoder)
 
 
 def forget_encoders() -> None:
-    """Free what ``encoder`` keeps: a worker process that turns to other work needs the memory for it."""
+    """Free what ``kept_encoder`` keeps: a worker process that turns to other work needs the memory for it."""
     sys.modules.pop("_kept_encoders", None)
