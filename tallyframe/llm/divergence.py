@@ -1,8 +1,9 @@
 """Which sources of a language differ from one another, and by which terms.
 
-Texts are cut into terms where they lie, and a batch's equal terms are counted there. From then on only 64-bit digests of
-terms are shuffled. The smallest and the largest text behind a digest show whether it stands for several terms; such digests
-are split by the terms themselves. Texts are joined back for the reported terms alone.
+Texts are cut into terms where they lie, and a block's equal terms are counted there. From then on only 64-bit digests of
+terms are shuffled. The text of a term is written once per block; the smallest and the largest text behind a digest show
+whether it stands for several terms, and such digests are split by the terms themselves. Texts are joined back for the
+reported terms alone.
 
 A term is a longest run of ASCII letters and non-ASCII characters, A-Z lower-cased. A language keeps the terms that occur in
 at least ``least`` of its documents (V of them). A group (language, source) or a language gives a kept term of which it has
@@ -21,18 +22,23 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..session import materialize
-from .blocks import row_blocks, text_bytes
+from .blocks import mix, powers, row_blocks, text_bytes
 from .keys import lookup
 
 LEAST = 3
 SHOWN = 200
 UNIT = 1_000_000_000
 BLOCK = 4 << 20
+# Rows of blocks that are merged before they leave a task.
+MERGED = 1 << 20
+BASE = 0x9E6C63D0876A9A47  # odd, so that it has an inverse modulo 2**64
+BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
@@ -65,7 +71,7 @@ def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(change)
 
 
-def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per block of texts, language, source and term: occurrences ``n`` and documents ``docs``."""
     for batch in batches:
         data, starts = text_bytes(batch.column("text"))
@@ -83,12 +89,63 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order, begin = runs(lang[doc], source[doc], term)
             at = order[begin]
             yield pa.RecordBatch.from_arrays([
-                langs.dictionary.take(pa.array(lang[doc[at]])).cast(pa.string()), sources.dictionary.take(pa.array(source[doc[at]])).cast(pa.string()),
-                coded.dictionary.take(pa.array(term[at])).cast(pa.string()), pa.array(np.add.reduceat(n[order], begin), pa.int64()),
-                pa.array(np.diff(np.append(begin, len(order))), pa.int64()),
+                langs.dictionary.take(pa.array(lang[doc[at]])), sources.dictionary.take(pa.array(source[doc[at]])), coded.dictionary.take(pa.array(term[at])),
+                pa.array(np.add.reduceat(n[order], begin), pa.int64()), pa.array(np.diff(np.append(begin, len(order))), pa.int64()),
             ], ["lang", "source", "term", "n", "docs"])
 
 
+def merged_counts(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held, size = [], 0
+
+    def merged() -> pa.Table:
+        table = pa.Table.from_batches(held).group_by(["lang", "source", "term"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+        return table.select(["lang", "source", "term", "n_sum", "docs_sum"]).combine_chunks()
+
+    for block in blocks:
+        held.append(block)
+        size += block.num_rows
+        if size >= MERGED:
+            yield merged()
+            held, size = [], 0
+    if held:
+        yield merged()
+
+
+def term_hashes(terms: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string of an array without nulls."""
+    data, starts = text_bytes(terms)
+    low, high = int(starts[0]), int(starts[-1])
+    starts = starts - low
+    total = np.zeros(high - low + 1, np.uint64)
+    np.cumsum(BYTE_CODES[data[low:high]] * powers(BASE, high - low), out=total[1:])
+    down = powers(pow(BASE, -1, 1 << 64), high - low + 1)
+    return mix((total[starts[1:]] - total[starts[:-1]]) * down[starts[:-1]])
+
+
+def term_counter(digest: Callable[[np.ndarray], np.ndarray], every_term: bool):
+    """Function over Arrow batches of texts: counts per language, source and ``digest``, with the term's text on its first row of
+    each block, or on all of them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in merged_counts(block_counts(batches)):
+            columns = [c.chunk(0) for c in table.columns]
+            coded = columns[2].dictionary_encode()
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            digests = digest(term_hashes(coded.dictionary)).view(np.int64)[codes]
+            first = np.zeros(len(codes), bool)
+            first[np.unique(codes, return_index=True)[1]] = True
+            shown = columns[2].cast(pa.string())
+            if not every_term:
+                shown = pc.if_else(pa.array(first), shown, pa.scalar(None, pa.string()))
+            rows = [columns[0].cast(pa.string()), columns[1].cast(pa.string()), pa.array(digests), shown, columns[3], columns[4]]
+            yield from pa.Table.from_arrays(rows, ["lang", "source", "digest", "term", "n", "docs"]).to_batches(max_chunksize=100_000)
+
+    return count
+
+
+COUNTED = "lang string, source string, digest long, term string, n long, docs long"
+
+
 def share(count: str | Column, size: str) -> Column:
     """1 + floor(10^9 (count + 1) / size), exact."""
     count = F.col(count) if isinstance(count, str) else count
@@ -100,33 +157,33 @@ def gap(p: str, q: str) -> Column:
     return F.expr(f"({p} - {q}) * ({p} - {q}) div {q}")
 
 
-def counted_terms(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+def counted_terms(named: DataFrame, digest: Callable[[np.ndarray], np.ndarray]) -> tuple[DataFrame, DataFrame]:
     """Counts per language, source and term, and the text of each term. A term is ``digest`` and ``twin``, which is '' unless
     the digest stands for several terms: then it is the term itself."""
-    texts = materialize(blocks.groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high")), "texts")
+    blocks = materialize(named.mapInArrow(term_counter(digest, False), COUNTED), "terms")
+    texts = blocks.where("term IS NOT NULL").groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high"))
+    texts = materialize(texts, "texts")
     torn = materialize(texts.where("low <> high").select("digest"), "torn")
     sums = [F.sum("n").alias("n"), F.sum("docs").alias("docs")]
     counts = blocks.groupBy("lang", "source", "digest").agg(*sums).withColumn("twin", F.lit(""))
     texts = texts.select("digest", F.lit("").alias("twin"), F.col("low").alias("term"))
     if (n_torn := torn.count()):
-        again = lookup(blocks, torn, n_torn, "digest", "left_semi")
+        again = materialize(lookup(named.mapInArrow(term_counter(digest, True), COUNTED), torn, n_torn, "digest", "left_semi"), "apart")
         apart = again.groupBy("lang", "source", "digest", F.col("term").alias("twin")).agg(*sums)
-        counts = lookup(counts, torn, n_torn, "digest", "left_anti").unionByName(apart)
+        counts = lookup(counts, torn, n_torn, "digest", "left_anti").select("lang", "source", "digest", "twin", "n", "docs").unionByName(apart)
         texts = lookup(texts, torn, n_torn, "digest", "left_anti").unionByName(again.select("digest", F.col("term").alias("twin"), "term").distinct())
-    return counts, texts
+    return materialize(counts, "counts"), texts
 
 
 def audit_sources(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = LEAST, shown: int = SHOWN,
-    digest: Callable[[Column], Column] = F.xxhash64,
+    digest: Callable[[np.ndarray], np.ndarray] = lambda hashes: hashes,
 ) -> DataFrame:
     """``lang``, ``source``, ``part``, ``item``, ``value``, ``rank``. Part ``pair``: the group's divergence from each other source of
     its language, over all kept terms. Part ``term``: the ``shown`` kept terms that the group has more often than its
     language, by divergence."""
     named = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for n, c in (("lang", lang_col), ("source", source_col), ("text", text_col))])
-    blocks = materialize(named.mapInArrow(count_terms, "lang string, source string, term string, n long, docs long").withColumn("digest", digest(F.col("term"))), "terms")
-    counts, texts = counted_terms(blocks)
-    counts = materialize(counts, "counts")
+    counts, texts = counted_terms(named, digest)
     term = ["digest", "twin"]
     kept = counts.groupBy("lang", *term).agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least).drop("docs")
     cells = materialize(counts.drop("docs").join(kept, ["lang", *term]), "cells")
