@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -11,28 +12,66 @@ from .registry import query, table
 from .standins import EPISODES_SQL
 
 
+# Longer than all the log: repeats are known however far apart they are.
+HORIZON = "3650 days"
+
+
+def second(place: str) -> Column:
+    """Event time of a row of the log: one second per step of its order."""
+    return F.timestamp_seconds(F.col(place) + 1_000_000_000).alias("at")
+
+
 @query("stream_ingest", """SELECT l_orderkey, l_linenumber, count(DISTINCT (l_partkey, l_returnflag)) > 1 AS conflicted FROM lineitem GROUP BY 1, 2""")
 def _(spark, sf):
-    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", second("l_partkey"))
     keys = ["l_orderkey", "l_linenumber"]
-    target, quarantine = scratch_path(spark, "target"), scratch_path(spark, "quarantine")
-    stream = streams.staged_stream(rows, "l_partkey", 3, "ingest")
-    streams.stream_ingest(stream, keys, target, quarantine, scratch_path(spark, "checkpoint"))
-    done = streams.BatchTable(spark, target).read(rows.schema).select(*keys)
-    bad = streams.BatchTable(spark, quarantine).read(rows.schema).select(*keys).distinct().withColumn("_bad", F.lit(True))
+    out = scratch_path(spark, "ingest")
+    # A replay is a row of its own here, with its own time, which is not part of what it says.
+    stream = streams.staged_stream(rows, "l_partkey", 3, "log")
+    streams.stream_ingest(stream, keys, "at", HORIZON, out, scratch_path(spark, "checkpoint"))
+    done = streams.ingested(spark, out, rows.schema).select(*keys)
+    bad = streams.ingested(spark, out, rows.schema, "conflict").select(*keys).distinct().withColumn("_bad", F.lit(True))
     return done.join(bad, keys, "left").select(*keys, F.coalesce("_bad", F.lit(False)).alias("conflicted"))
 
 
+# Arrivals: every row once; rows of orders in tens again, unchanged, and of orders in thirteens changed, one append later. The clock
+# of some parts is a month behind: what comes of them after the first watermark took hold is late, replays included.
+LATE_SQL = """WITH first AS (SELECT l_orderkey, l_linenumber, l_partkey % 3 AS step, l_partkey % 50 = 7 AS behind FROM lineitem
+  QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) = 1)
+SELECT l_orderkey, l_linenumber, NOT (behind AND step = 2) AS appended, l_orderkey % 13 = 0 AND step < 2 AND NOT (behind AND step = 1) AS conflicted,
+  CAST(behind AND step = 2 AS BIGINT) + CAST(behind AND step = 1 AND l_orderkey % 10 = 0 AS BIGINT) + CAST(behind AND step = 1 AND l_orderkey % 13 = 0 AS BIGINT) AS late FROM first"""
+
+
+@query("stream_ingest_late", LATE_SQL)
+def _(spark, sf):
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    first = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")).alias("r"))
+    first = first.selectExpr("l_orderkey", "l_linenumber", "r.l_partkey % 3 AS step", "r.l_partkey % 50 = 7 AS behind", "'as it was' AS said")
+    again = first.where("l_orderkey % 10 = 0 AND step < 2").withColumn("step", F.expr("step + 1"))
+    changed = first.where("l_orderkey % 13 = 0 AND step < 2").withColumns({"step": F.expr("step + 1"), "said": F.lit("changed")})
+    start = "CASE WHEN behind THEN 1000000000 ELSE 1002592000 END"
+    # Replays carry the record time of the row that they repeat.
+    log = first.withColumn("day", F.expr("step")).unionByName(again.withColumn("day", F.expr("step - 1"))).unionByName(changed.withColumn("day", F.expr("step - 1")))
+    log = log.selectExpr("step", "l_orderkey", "l_linenumber", "said", f"timestamp_seconds({start} + 86400 * day + l_orderkey % 80000) AS at")
+    keys, out = ["l_orderkey", "l_linenumber"], scratch_path(spark, "ingest")
+    stream = streams.staged_steps(log, "step", 3, "log")
+    streams.stream_ingest(stream, keys, "at", "3 days", out, scratch_path(spark, "checkpoint"))
+    routes = {route: streams.ingested(spark, out, stream.schema, route).select(*keys, F.lit(route).alias("route")) for route in ("new", "conflict", "late")}
+    rows = routes["new"].unionByName(routes["conflict"]).unionByName(routes["late"])
+    return rows.groupBy(*keys).agg(
+        F.max(F.col("route") == "new").alias("appended"), F.max(F.col("route") == "conflict").alias("conflicted"), F.count_if(F.col("route") == "late").alias("late")
+    )
+
+
 @query("stream_progress", """SELECT l_suppkey, count(DISTINCT l_partkey) AS done, count(DISTINCT l_partkey) = (SELECT count(*) FROM part) // 4 + l_suppkey % 3 AS ready FROM lineitem GROUP BY 1""")
 def _(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey")
     parts = table(spark, sf, "part").count()
     expected = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), (F.lit(parts // 4) + F.col("s_suppkey") % 3).alias("expected"))
-    progress, ready = scratch_path(spark, "progress"), scratch_path(spark, "ready")
-    stream = streams.staged_stream(rows, "l_orderkey", 3, "runs")
-    streams.stream_progress(stream, expected, "l_suppkey", ["l_partkey"], progress, ready, scratch_path(spark, "checkpoint"))
-    schema = "l_suppkey bigint, done bigint, expected bigint"
-    last = streams.BatchTable(spark, progress).read(schema).groupBy("l_suppkey").agg(F.max("done").alias("done"), F.max("expected").alias("expected"))
+    out = scratch_path(spark, "progress")
+    stream = streams.staged_stream(rows.withColumn("at", second("l_orderkey")), "l_orderkey", 3, "runs")
+    streams.stream_progress(stream, expected, "l_suppkey", ["l_partkey"], "at", HORIZON, out, scratch_path(spark, "checkpoint"))
+    last = streams.routed(spark, out, "progress", streams.progress_schema(stream, "l_suppkey")).groupBy("l_suppkey").agg(F.max("done").alias("done"), F.max("expected").alias("expected"))
     return last.select("l_suppkey", "done", (F.col("done") == F.col("expected")).alias("ready"))
 
 
@@ -84,8 +123,8 @@ SELECT model, arm, count(*) AS episodes, count(*) FILTER (termination = 'finishe
   count(*) FILTER (d <> 5 AND verdict IS NOT DISTINCT FROM source_label) AS matches FROM episodes GROUP BY 1, 2""")
 def _(spark, sf):
     eps = standins.episodes(spark, sf).selectExpr("model", "arm", "pk", "termination", "errors", "requests", "verdict", "CASE WHEN d <> 5 THEN source_label END AS source_label")
-    counters = streams.stream_live_counters(streams.staged_stream(eps, "pk", 3, "episodes"), ["model", "arm"])
-    return streams.latest_counters(counters, ["model", "arm"], scratch_path(spark, "counters"), scratch_path(spark, "checkpoint"))
+    stream = streams.staged_stream(eps.withColumn("at", second("pk")), "pk", 3, "episodes")
+    return streams.stream_live_counters(stream, ["model", "arm"], "at", "1 minute", "2 minutes", scratch_path(spark, "counters"), scratch_path(spark, "checkpoint"))
 
 
 @query("import_settled", """WITH s AS (SELECT o_orderkey, o_custkey, o_orderpriority, CASE WHEN o_orderstatus <> 'P' THEN 5::BIGINT END AS charge FROM orders)
