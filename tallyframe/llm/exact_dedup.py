@@ -13,24 +13,15 @@ any other; where all ids of a group are null, ``keep_id`` is null and one row st
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch_path
 from ..sources.writers import _exists
-from .keys import join_groups
-
-STATE_STORE = "spark.sql.streaming.stateStore."
-DISK_STATE = {
-    STATE_STORE + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    STATE_STORE + "rocksdb.changelogCheckpointing.enabled": "true",
-    STATE_STORE + "rocksdb.boundedMemoryUsage": "true",
-    STATE_STORE + "rocksdb.maxMemoryUsageMB": "256",
-    # Otherwise every state partition reserves 4 MB of disk for a log.
-    STATE_STORE + "rocksdb.allowFAllocate": "false",
-}
+from ..streaming.state import disk_state
+from .keys import BROADCAST_ROWS, HOT_GROUPS, join_groups
+
 # Copies of one text that are checked against the same copy of the kept text: a group of any size is spread in such shares.
 SHARE = 64
 
@@ -39,19 +30,6 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-@contextmanager
-def disk_state(spark: SparkSession):
-    """Streams started inside keep their state in RocksDB, with bounded memory per executor."""
-    before = {name: spark.conf.get(name, None) for name in DISK_STATE}
-    try:
-        for name, value in DISK_STATE.items():
-            spark.conf.set(name, value)
-        yield
-    finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
-
-
 def located(rows: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
     """``id``, ``text``, ``spot`` (locator: file and row in it) and ``digest`` of rows read from files, batch or stream."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -82,8 +60,13 @@ def absorb(
 
 
 def differing(rows: DataFrame, groups: DataFrame, total: int) -> DataFrame:
-    """Digests of which some row has other bytes than the row that stays."""
-    hits = join_groups(rows, groups, "digest", F.col("spot"), total).where("size > 1")
+    """Digests of which some row has other bytes than the row that stays. Texts that occur once stay where they are."""
+    large = F.col("size") * HOT_GROUPS > total
+    if groups.count() <= BROADCAST_ROWS:
+        hits = rows.join(F.broadcast(groups), "digest")
+    else:
+        # At most ten thousand groups are that large; all others are small enough to meet by a shuffle.
+        hits = rows.join(F.broadcast(groups.where(large)), "digest").unionByName(rows.join(groups.where(~large), "digest"))
     shares = F.ceil(F.col("size") / SHARE).cast("int")
     stays = F.col("spot") == F.col("keep_spot")
     held = hits.where(stays).select("digest", F.col("text").alias("held"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))

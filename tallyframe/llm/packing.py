@@ -1,14 +1,12 @@
 """Best-fit packing of token sequences by bin completion with branch and bound.
 
-Pieces of equal length are interchangeable, so the search works on the number of pieces of each length, at most one count
-per possible length however many documents there are. A completed bin is a pattern of lengths; it is used as often as its
-scarcest length allows, so every pattern uses one length up and there are at most as many patterns as lengths. Pieces then
-find their place by their rank among the pieces of their length.
+Pieces of equal length are interchangeable, so the search of ``bin_completion`` works on the number of pieces of each length, at
+most one count per possible length however many documents there are. It leaves patterns of lengths with the number of
+sequences that follow each; pieces then find their place by their rank among the pieces of their length.
 """
 
 from __future__ import annotations
 
-import bisect
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -20,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from ..skew import ordered_index
+from .bin_completion import pack
 from .tokens import encoder
 
 CAPACITY = 4096
@@ -61,64 +60,10 @@ def token_pieces(
     return docs.select(F.col(id_col), F.col(text)).mapInArrow(cut, schema)
 
 
-def complete(lengths: list[int], counts: dict[int, int], gap: int, nodes: int) -> list[int]:
-    """The filling of ``gap`` with the least waste: branch and bound over undominated fillings, at most ``nodes`` of them.
-
-    Lengths are tried in descending order, so a filling that a larger length would improve comes after the one it is
-    dominated by. The first descent is best fit; it and each better filling are the incumbent. A branch ends where even a
-    full gap would not beat the incumbent, and the search where nothing is wasted.
-    """
-    best: list[int] = []
-    waste, left = gap, nodes
-    smallest = lengths[0] if lengths else gap + 1
-    chosen: list[int] = []
-    used: Counter = Counter()
-
-    def descend(space: int, limit: int) -> None:
-        nonlocal best, waste, left
-        if space < waste:
-            best, waste = chosen.copy(), space
-        if waste == 0 or space < smallest:
-            return
-        if space <= limit and counts.get(space, 0) > used[space]:
-            best, waste = [*chosen, space], 0
-            return
-        at = bisect.bisect_right(lengths, min(space, limit)) - 1
-        while at >= 0 and waste and left > 0:
-            size = lengths[at]
-            at -= 1
-            # All that follows is at most this size: what is in stock of it and below bounds what the branch can fill.
-            if counts[size] <= used[size]:
-                continue
-            left -= 1
-            chosen.append(size)
-            used[size] += 1
-            descend(space - size, size)
-            used[size] -= 1
-            chosen.pop()
-
-    descend(gap, gap)
-    return best
-
-
-def bin_patterns(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = 3000) -> list[tuple[int, list[int]]]:
-    """``(times, lengths of one bin)`` for all pieces counted in ``histogram``; each bin is built around the largest piece left."""
-    counts = {n: c for n, c in histogram.items() if c > 0}
-    lengths = sorted(counts)
-    patterns = []
-    while lengths:
-        largest = lengths[-1]
-        counts[largest] -= 1
-        filling = complete(lengths if counts[largest] else lengths[:-1], counts, capacity - largest, nodes)
-        counts[largest] += 1
-        need = Counter([largest, *filling])
-        times = min(counts[n] // k for n, k in need.items())
-        for n, k in need.items():
-            counts[n] -= times * k
-            if not counts[n]:
-                lengths.remove(n)
-        patterns.append((times, [largest, *filling]))
-    return patterns
+def bin_patterns(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = 300_000) -> list[tuple[int, list[int]]]:
+    """``(times, lengths of one bin)`` for all pieces counted in ``histogram``; ``steps`` bounds the search for fewer bins than best
+    fit needs."""
+    return [(times, [n for n, copies in pattern for _ in range(copies)]) for times, pattern in pack(histogram, capacity, steps)]
 
 
 def slot_table(patterns: list[tuple[int, list[int]]]) -> dict[str, np.ndarray]:
@@ -158,7 +103,7 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(
     docs: DataFrame, tokenizer: str, text: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY, end_id: int = 1, with_ids: bool = False,
 ) -> DataFrame:
-    """Pack all documents into as few sequences of at most ``capacity`` tokens as the search finds.
+    """Pack all documents into as few sequences of at most ``capacity`` tokens as the search finds: never more than best fit does.
 
     Returns one row per piece: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``, with
     ``with_ids`` also ``ids``. Only documents longer than a sequence are cut. A null text counts as empty and has the end

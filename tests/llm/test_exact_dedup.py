@@ -5,8 +5,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from tallyframe.llm.exact_dedup import DISK_STATE, exact_duplicates
+from tallyframe.llm.exact_dedup import exact_duplicates
 from tallyframe.session import scratch_path
+from tallyframe.streaming.state import DISK_STATE
 
 SCHEMA = "doc_id long, text string, digest string, size long"
 
