@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm.decontam import find_leaks
-from tallyframe.llm.keys import lookup
+from tallyframe.llm.keys import document_key, lookup
 from tallyframe.llm.langid import UNDETERMINED, fit_language_model, language_column
 from tallyframe.llm.line_dedup import with_kept_lines
 from tallyframe.llm.minhash import near_duplicates
@@ -26,9 +26,13 @@ ORACLE_SQL = None
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without a letter go. A missing language label gets the predicted one."""
+    """Documents with a language; null texts and those without a letter go. A missing language label gets the predicted one. Where
+    no document has a label, none is predicted, and all texts with a letter stay."""
     small_batches(spark)
-    found = docs.select(*COLUMNS).withColumn("_lang", language_column(docs, F.col("text"), fit_language_model(docs))["lang_pred"])
+    model = fit_language_model(docs)
+    if not model.languages:
+        return docs.select(*COLUMNS).where(F.col("text").rlike(r"\p{L}"))
+    found = docs.select(*COLUMNS).withColumn("_lang", language_column(docs, F.col("text"), model)["lang_pred"])
     kept = found.where(F.col("_lang") != UNDETERMINED)
     return kept.withColumn("lang", F.coalesce("lang", "_lang")).select(*COLUMNS)
 
@@ -41,17 +45,30 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id."""
+    """One document of each near-duplicate group, the one with the smallest id, and one of rows that repeat id and text.
+
+    A null id is replaced by a negative number from the text's hash while the groups are formed, so such documents take part;
+    they come before others of their group. Rows that share an id are one document in this stage.
+    """
     small_batches(spark)
-    gone = materialize(near_duplicates(docs, percent=NEAR_PERCENT).where("NOT kept").select("doc_id"), "gone")
-    return lookup(docs.select(*COLUMNS), gone, gone.count(), "doc_id", "left_anti")
+    named = F.when(F.col("doc_id").isNull(), -1 - F.shiftrightunsigned(F.xxhash64("text"), 2)).otherwise(F.col("doc_id"))
+    keyed = docs.select(*COLUMNS).withColumn("_id", named).withColumn("_key", document_key("_id", "text"))
+    again = materialize(keyed.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").select("_key"), "repeated")
+    if (n_again := again.count()):
+        once = lookup(keyed, again, n_again, "_key", "left_semi").dropDuplicates(["_key"])
+        keyed = materialize(lookup(keyed, again, n_again, "_key", "left_anti").unionByName(once), "once")
+    keyed = keyed.drop("_key")
+    gone = materialize(near_duplicates(keyed, id_col="_id", percent=NEAR_PERCENT).where("NOT kept").select("_id").distinct(), "gone")
+    return lookup(keyed, gone, gone.count(), "_id", "left_anti").select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item was found."""
+    """Documents in which no benchmark item was found. A document is its id and its text: one with a null id goes for its own hits
+    only, and so does one that shares its id with others."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    gone = materialize(find_leaks(docs, items).select("doc_id").distinct(), "gone")
-    return lookup(docs.select(*COLUMNS), gone, gone.count(), "doc_id", "left_anti")
+    keyed = docs.select(*COLUMNS).withColumn("_key", document_key("doc_id", "text"))
+    gone = materialize(find_leaks(keyed, items, id_col="_key").select("_key").distinct(), "gone")
+    return lookup(keyed, gone, gone.count(), "_key", "left_anti").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

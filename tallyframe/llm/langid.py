@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .shared import share
 from .tokens import forget_encoders
@@ -91,26 +92,29 @@ def suffix_automaton(codes: np.ndarray, width: int) -> np.ndarray:
 
 def fit_language_model(
     labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", sample_chars: int = 16_384,
-    total_chars: int = 1 << 20,
+    total_chars: int = 1 << 20, text_chars: int = 2048,
 ) -> LanguageModel:
     """Fit on at most ``sample_chars`` characters per language and ``total_chars`` over all languages.
 
-    Rows with null text or language teach nothing. The sample follows a hash of the id; of one text at most 2,048
-    characters enter it, so that it draws on many texts. The model's size is bounded by these numbers alone.
+    Rows with null text or language teach nothing. The sample follows a hash of id and text, so null or repeated ids are drawn
+    like others; of one text at most ``text_chars`` characters enter it, so that it draws on many texts, and equal ones enter
+    once. The model's size, and what is gathered for it, is bounded by these numbers and the number of languages alone.
     """
     rows = labelled.select(F.col(id_col).cast("string").alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    rows = rows.where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    space = 1 << 30
+    spot = F.pmod(F.xxhash64("key", "text"), F.lit(space))
+    rows = rows.where("text IS NOT NULL AND lang IS NOT NULL").withColumn("spot", spot)
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("spot").alias("n")).collect()}
     if not sizes:
         return LanguageModel([], np.zeros(0x110000, np.uint8), 2, np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0))
     chars = max(64, min(sample_chars, total_chars // len(sizes)))
     wanted = 4 * -(-chars // 1024)
-    space = 1 << 30
     limit = F.element_at(
-        F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(space, space * wanted // n + 1))]), F.col("lang")
+        F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(space, space * wanted // max(n, 1) + 1))]), F.col("lang")
     )
-    spot = F.pmod(F.xxhash64("key"), F.lit(space))
-    drawn = rows.where(spot < limit).select("lang", spot.alias("spot"), F.substring("text", 1, 2048).alias("text")).collect()
+    drawn = rows.where(F.col("spot") < limit).select("lang", "spot", F.substring("text", 1, text_chars).alias("text")).dropDuplicates(["lang", "text"])
+    first = F.row_number().over(W.partitionBy("lang").orderBy("spot", "text"))
+    drawn = drawn.withColumn("turn", first).where(F.col("turn") <= 4 * wanted).drop("turn").collect()
     drawn.sort(key=lambda r: (r["lang"], r["spot"], r["text"]))
     samples: dict[str, str] = {}
     for row in drawn:
