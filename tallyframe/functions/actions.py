@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import partial
 
 from pyspark.sql import Column
@@ -126,10 +127,15 @@ def _argument_errors(rules: list[str], parsed: Column, keys: Column) -> Column:
     return F.array_sort(F.concat(F.array_compact(F.array(*codes)), extra))
 
 
-def action_price(name: Column) -> Column:
-    """Budget price of an action; finishing is free, an unknown action has no price."""
+def action_price(name: Column, costs: Mapping[str, int] | None = None) -> Column:
+    """Budget price of an action; finishing is free, an unknown action has no price. ``costs`` replaces prices of single actions."""
+    prices = ACTION_COSTS | dict(costs or {})
+    if unknown := set(prices) - set(ACTION_COSTS):
+        raise ValueError(f"no such action: {sorted(unknown)}")
+    if any(cost < 0 for cost in prices.values()):
+        raise ValueError("prices must not be negative")
     price = F.when(name == "finish", 0)
-    for action, cost in ACTION_COSTS.items():
+    for action, cost in prices.items():
         price = price.when(name == action, cost)
     return price
 

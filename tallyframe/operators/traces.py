@@ -6,6 +6,8 @@ distributed ranks, and ordered replays compose finite-state steps.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -14,7 +16,8 @@ from ..functions.actions import action_price
 from ..functions.hashing import row_digest
 from ..functions.text import strict_json
 from ..schemas import PART
-from ..skew import composed_log, multiset_digest, ordered_index, replay_states
+from ..session import materialize
+from ..skew import composed_log, multiset_digest, ordered_index, replay_states, running_total
 
 
 def explode_messages(traces: DataFrame, keys: list[str], messages: str = "messages") -> DataFrame:
@@ -137,29 +140,85 @@ def public_state(log: DataFrame, keys: list[str], order: str, value: str) -> Dat
     return log.groupBy(*keys).agg(F.max_by(value, order).alias("value"), F.max(order).alias("at"))
 
 
-def replay_actions(actions: DataFrame, budget: int, episode: str = "episode", order: str = "pos", name: str = "name") -> DataFrame:
+def replay_actions(
+    actions: DataFrame, budget: int, episode: str = "episode", order: str = "pos", name: str = "name", costs: Mapping[str, int] | None = None,
+    barred: str | None = None,
+) -> DataFrame:
     """Ordered replay of priced actions under a budget; one row per action with its outcome.
 
-    An action that costs more than what is left is rejected and not charged; everything after a finish is rejected.
+    An action that costs more than what is left is rejected and not charged; everything after a finish is rejected. ``barred``
+    names a boolean column of actions that fail for a reason of their own (``unreleased_image``), which are not charged either.
     """
     finished = budget + 1
-    price = action_price(F.col(name))
+    price = action_price(F.col(name), costs)
+    failing = F.col(barred) if barred else F.lit(False)
     states = F.sequence(F.lit(0), F.lit(finished))
 
     def after(s: Column) -> Column:
         paid = F.when((s <= budget) & (price <= s), s - price)
-        return F.when(s == finished, s).when(F.col(name) == "finish", finished).otherwise(F.coalesce(paid, s)).cast("int")
+        return F.when((s == finished) | failing, s).when(F.col(name) == "finish", finished).otherwise(F.coalesce(paid, s)).cast("int")
 
     rows = replay_states(actions, [episode], [order], F.transform(states, after), budget + 2, budget)
     open_ = F.col("state_before") <= budget
-    accepted = open_ & ((F.col(name) == "finish") | (F.coalesce(price, F.lit(finished)) <= F.col("state_before")))
+    affordable = F.coalesce(price, F.lit(finished)) <= F.col("state_before")
     outcome = (
-        F.when(~open_, "episode_finished").when(F.col(name) == "finish", "finished")
-        .when(price.isNull(), "unknown_action").when(accepted, "accepted").otherwise("insufficient_budget")
+        F.when(~open_, "episode_finished").when((F.col(name) == "finish") & ~failing, "finished")
+        .when(price.isNull(), "unknown_action").when(~affordable, "insufficient_budget").when(failing, "unreleased_image").otherwise("accepted")
     )
     return rows.withColumn("price", price).withColumn("outcome", outcome)
 
 
+def replay_releases(
+    actions: DataFrame, evidence: DataFrame, budget: int, episode: str = "episode", order: str = "pos", name: str = "name",
+    key: str = "view", image: str = "image", costs: Mapping[str, int] | None = None,
+) -> DataFrame:
+    """``replay_actions`` with the set of released images: ``given`` and ``is_new`` for accepted requests, ``n_released`` (images out
+    after the action), and outcome ``unreleased_image`` for an action on an image that was not out yet.
+
+    ``actions`` have ``key`` (what a request asks for) and ``image`` (what another action or a finish looks at; null: nothing);
+    ``evidence`` has ``episode``, ``key``, ``image``, ``available`` and ``released``. A request is given the smallest available image
+    of its key that is not out, else the smallest one, else nothing; it is charged all the same.
+
+    Budget and releases depend on each other, and each alone composes: steps of the budget in a tree of segments, the n-th
+    accepted request of a key with the n-th unreleased image. They are replayed in turn until no action changes. A round
+    settles all actions before the first wrong one, so the end is what a replay one by one gives, and no episode is ever in
+    one task.
+    """
+    first = evidence.where("released").select(episode, image).distinct().withColumn("_out", F.lit(True))
+    known = evidence.where("available OR released").select(episode, image).distinct().withColumn("_known", F.lit(True))
+    asks = (F.col(name) == "request_photo").alias("_asks")
+    rows = actions.select(*actions.columns, asks).join(first, [episode, image], "left").join(known, [episode, image], "left")
+    looks = F.col(image).isNotNull() & ~F.coalesce("_asks", F.lit(False)) & F.col("_out").isNull()
+    rows = rows.select(*actions.columns, looks.alias("_looks"), (looks & F.col("_known").isNull()).alias("_barred"))
+    rows = materialize(rows, "actions")
+    stock = evidence.select(episode, key, F.col(image).alias("id"), "available", "released")
+    while True:
+        replayed = materialize(replay_actions(rows, budget, episode, order, name, costs, "_barred"), "replayed")
+        taken = replayed.where((F.col("outcome") == "accepted") & (F.col(name) == "request_photo")).select(episode, key, F.col(order).alias("pos"))
+        given = materialize(resolve_requests(taken, stock, [episode, key]).select(episode, F.col("pos").alias(order), "given", "is_new"), "given")
+        out = given.where("is_new").select(episode, F.col("given").alias(image), F.col(order).alias("_since"))
+        again = replayed.drop("state_before", "state_after", "price", "outcome").join(out, [episode, image], "left")
+        barred = F.col("_looks") & ~F.coalesce(F.col("_since") < F.col(order), F.lit(False))
+        again = materialize(again.withColumn("_was", F.col("_barred")).withColumn("_barred", barred).drop("_since"), "again")
+        if again.where("_was <> _barred").isEmpty():
+            break
+        rows = again.drop("_was")
+    told = replayed.join(given, [episode, order], "left").withColumn("is_new", F.coalesce("is_new", F.lit(False)))
+    counted = running_total(told.withColumn("_one", F.col("is_new").cast("long")), [episode], [order], "_one", "n_released", "_all")
+    start = first.groupBy(episode).agg(F.count("*").alias("_first"))
+    counted = counted.join(start, episode, "left").withColumn("n_released", F.col("n_released") + F.coalesce("_first", F.lit(0)))
+    return counted.select(*actions.columns, "state_before", "state_after", "price", "outcome", "given", "is_new", "n_released")
+
+
+def released_before(replayed: DataFrame, evidence: DataFrame, episode: str = "episode", order: str = "pos", image: str = "image") -> DataFrame:
+    """The image ids that are out before each action of ``replay_releases``, as rows ``(episode, order, image, since)``: ``since`` is null for
+    images that are out from the start. Order them by ``since`` and ``image`` for the released list."""
+    start = evidence.where("released").select(episode, F.col(image), F.lit(None).cast(replayed.schema[order].dataType).alias("since")).distinct()
+    new = replayed.where("is_new").select(episode, F.col("given").alias(image), F.col(order).alias("since"))
+    out = start.unionByName(new)
+    return replayed.select(episode, order).join(out, episode).where(F.col("since").isNull() | (F.col("since") < F.col(order)))
+
+
 def replay_summary(replayed: DataFrame, budget: int, episode: str = "episode", name: str = "name") -> DataFrame:
     """Counters of a replay: calls, requests, costs, rejections and what is left."""
     ok = F.col("outcome") == "accepted"

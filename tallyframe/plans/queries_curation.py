@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.hashing import row_digest, stable_hash
-from ..operators import curation, pairs, splits
+from ..operators import assignment, curation, pairs, splits
 from . import standins
 from .queries_functions import H, frac_sql
 from .registry import query, table
@@ -402,3 +402,25 @@ WHERE NOT EXISTS (SELECT 1 FROM variant_episodes e WHERE e.family_id = chosen.fa
 def _(spark, sf):
     cases, plan, chosen = _cohort_inputs(spark, sf)
     return curation.cohort_problems(cases, plan, chosen, ["Sufficient", "Obtainable"])
+
+
+# Families of two tasks with a source of three neighbours and one of four families far apart: six and eight of at most 60 slots a person.
+DISJOINT_SQL = """WITH n AS (SELECT count(*) AS n FROM part)
+SELECT CASE WHEN t = 0 THEN 'state' ELSE 'identity' END AS task, arm, CAST(p AS INTEGER) AS person, CAST(n // 2 * 2 // 40 AS BIGINT) AS slots, 0::BIGINT AS met_again
+FROM n, (SELECT unnest([0, 1]) AS t), (SELECT unnest(['initial_text', 'full_available_text', 'interactive_agent']) AS arm), (SELECT unnest(range(40)) AS p)"""
+
+
+@query("assign_disjoint", DISJOINT_SQL)
+def _(spark, sf):
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("family"))
+    far = parts.count() // 4
+    families = parts.selectExpr(
+        "family", "CASE WHEN family % 2 = 0 THEN 'state' ELSE 'identity' END AS task", f"array('near' || family div 3, 'far' || family % {far}) AS sources"
+    )
+    arms = ["initial_text", "full_available_text", "interactive_agent"]
+    slots = assignment.assign_disjoint(families, "task", "sources", "family", arms, 2, 40, 5)
+    met = slots.select("task", "arm", "person", F.explode("sources").alias("source"))
+    again = met.groupBy("person", "source").agg(F.count("*").alias("n"), F.min(F.struct("task", "arm")).alias("at")).where("n > 1")
+    again = again.groupBy("at.task", "at.arm", "person").agg(F.count("*").alias("met_again"))
+    counts = slots.groupBy("task", "arm", "person").agg(F.count("*").alias("slots"))
+    return counts.join(again, ["task", "arm", "person"], "left").withColumn("met_again", F.coalesce("met_again", F.lit(0).cast("long")))

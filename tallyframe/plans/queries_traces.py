@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..operators import traces
 from ..schemas import GENERATION
@@ -150,6 +151,41 @@ def _(spark, sf):
     return traces.replay_summary(traces.replay_actions(acts, BUDGET), BUDGET)
 
 
+# Images 0 to 19 of each episode; every tenth is out from the start, a fourth is never available. Everything but a request looks at one.
+RELEASE_SQL = f"""WITH RECURSIVE acts AS (
+  SELECT user_id AS episode, event_id AS pos, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, k % 5 AS view, (k * 7 + event_id) % 20 AS image,
+    CASE WHEN k = 99 THEN 'finish' WHEN k = 98 THEN 'paint' ELSE ['request_photo', 'crop', 'ocr', 'request_photo'][k % 4 + 1] END AS name,
+    CASE WHEN k = 99 THEN 0 WHEN k = 98 THEN NULL ELSE [2, 1, 4, 2][k % 4 + 1] END AS price
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)),
+full_acts AS (SELECT *, list_filter(range(20), lambda i: (i + episode) % 4 > 0 AND i % 5 = view) AS stock FROM acts),
+run AS (
+  SELECT episode, 0::BIGINT AS rn, NULL::BIGINT AS pos, NULL::VARCHAR AS outcome, NULL::BIGINT AS given, false AS is_new, {BUDGET}::BIGINT AS left_, false AS done, [0::BIGINT, 10] AS out_ FROM acts WHERE rn = 1
+  UNION ALL
+  SELECT episode, rn, pos, outcome, CASE WHEN gives THEN coalesce(fresh, stock[1]) END, gives AND fresh IS NOT NULL,
+    CASE WHEN outcome = 'accepted' THEN left_ - price ELSE left_ END, done OR outcome = 'finished', CASE WHEN gives AND fresh IS NOT NULL THEN list_append(out_, fresh) ELSE out_ END
+  FROM (SELECT *, name = 'request_photo' AND outcome = 'accepted' AS gives, list_filter(stock, lambda i: NOT list_contains(out_, i))[1] AS fresh
+    FROM (SELECT a.*, r.left_, r.done, r.out_, CASE WHEN r.done THEN 'episode_finished' WHEN a.name = 'finish' AND list_contains(r.out_, a.image) THEN 'finished'
+        WHEN a.price IS NULL THEN 'unknown_action' WHEN a.price > r.left_ THEN 'insufficient_budget'
+        WHEN a.name <> 'request_photo' AND NOT list_contains(r.out_, a.image) THEN 'unreleased_image' ELSE 'accepted' END AS outcome
+      FROM run r JOIN full_acts a ON a.episode = r.episode AND a.rn = r.rn + 1)))
+SELECT episode, pos, outcome, given, is_new, CAST(len(out_) AS BIGINT) AS n_released, left_ AS remaining FROM run WHERE rn > 0"""
+
+
+@query("replay_releases", RELEASE_SQL)
+def _(spark, sf):
+    k = F.get_json_object("props", "$.k").cast("long")
+    acts = table(spark, sf, "events").withColumn("k", k).selectExpr(
+        "user_id AS episode", "event_id AS pos", "k % 5 AS view", "(k * 7 + event_id) % 20 AS image",
+        "CASE WHEN k = 99 THEN 'finish' WHEN k = 98 THEN 'paint' ELSE array('request_photo', 'crop', 'ocr', 'request_photo')[k % 4] END AS name",
+    )
+    images = table(spark, sf, "events").select(F.col("user_id").alias("episode")).distinct().withColumn("image", F.explode(F.sequence(F.lit(0), F.lit(19)).cast("array<long>")))
+    evidence = images.selectExpr("episode", "image % 5 AS view", "image", "(image + episode) % 4 > 0 AS available", "image % 10 = 0 AS released")
+    replayed = traces.replay_releases(acts, evidence, BUDGET, costs={"request_photo": 2, "ocr": 4})
+    # The last state of a finished episode stands for what was left when it ended.
+    left = F.min(F.when(F.col("state_after") <= BUDGET, F.col("state_after"))).over(W.partitionBy("episode").orderBy("pos"))
+    return replayed.select("episode", "pos", "outcome", "given", "is_new", "n_released", F.coalesce(left, F.lit(BUDGET)).cast("long").alias("remaining"))
+
+
 @query("resolve_request", f"""WITH {MESSAGES_SQL}, ev AS (
   SELECT episode, k % 5 AS view, k AS id, bool_or(value < 60) AS available, k % 10 = 0 AS released FROM messages WHERE role = 'user' GROUP BY episode, k),
 fresh AS (SELECT episode, view, id, row_number() OVER (PARTITION BY episode, view ORDER BY id) AS turn FROM ev WHERE available AND NOT released),
