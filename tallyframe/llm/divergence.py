@@ -36,7 +36,7 @@ SHOWN = 200
 UNIT = 1_000_000_000
 BLOCK = 4 << 20
 # Rows of blocks that are merged before they leave a task.
-MERGED = 1 << 19
+MERGED = 3 << 18
 BASE = 0x9E6C63D0876A9A47  # odd, so that it has an inverse modulo 2**64
 BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
