@@ -213,12 +213,21 @@ def answer_problems(answers: DataFrame, units: DataFrame) -> DataFrame:
     return joined.select("packet_id", "unit_id", rule.alias("rule")).filter("rule IS NOT NULL")
 
 
-def blind_consensus(answers: DataFrame, adjudications: DataFrame) -> DataFrame:
+def blind_consensus(answers: DataFrame, adjudications: DataFrame, units: DataFrame | None = None) -> DataFrame:
     """State of every unit: consensus of two, adjudicated by a third person, queued, or not yet answered twice.
 
+    With ``units`` (see ``answer_problems``) answers that may not count have no vote; a unit with no other one is ``waiting``.
+
     Consensus needs equal, clear and certain answers. An adjudication counts only for a queued unit, by a person who did
     not rate it, when it is clear and certain; the first such record by reviewer counts.
     """
+    if units is not None:
+        refused = answer_problems(answers, units).select(F.struct("packet_id", "unit_id").alias("_key")).distinct()
+        sound = answers.withColumn("_key", F.struct("packet_id", "unit_id")).join(refused, "_key", "left_anti").drop("_key")
+        empty = answers.select("unit_id").distinct().join(sound.select("unit_id"), "unit_id", "left_anti").withColumn("votes", F.lit(0).cast("bigint"))
+        found = blind_consensus(sound, adjudications)
+        none = F.lit(None).cast("string")
+        return found.unionByName(empty.select("unit_id", "votes", F.lit("waiting").alias("state"), none.alias("sufficiency"), none.alias("answer")))
     fields = ("sufficiency", "answer", "claim_clear")
     ends = [e for f in fields for e in (F.min(f).alias(f"_{f}_l"), F.max(f).alias(f"_{f}_h"))]
     units = answers.groupBy("unit_id").agg(F.count("*").alias("votes"), F.min("reviewer_id").alias("_r1"), F.max("reviewer_id").alias("_r2"), *ends)
@@ -326,8 +335,12 @@ def grade_episodes(episodes: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     ``episodes`` has annotation, available (ids), released (ids), images (id, time and source_bbox of each), verdict,
     citations and links. A decision is invalid, not correct, if it cites an image that was not released, another time than
-    the image's, or a box outside of what the image shows, or if both ends of a link lie on one image.
+    the image's, or a box outside of what the image shows, or if both ends of a link lie on one image. Null citations or links
+    are none.
     """
+    empty = {c: F.coalesce(F.col(c), F.array().cast(episodes.schema[c].dataType)) for c in ("citations", "links")}
+    episodes = episodes.withColumns(empty)
+
     def seen(c: Column) -> Column:
         shown = F.exists("images", lambda i: (i["id"] == c["image_id"]) & (i["time"] == c["time"]) & box_inside(i["source_bbox"], c["bbox"]))
         return F.array_contains("released", c["image_id"]) & F.coalesce(shown, F.lit(False))

@@ -94,11 +94,13 @@ def group_advantages(rollouts: DataFrame, group: Sequence[str]) -> DataFrame:
 
     The group statistics are aggregated and joined back, so a large group is not gathered by a window.
     """
-    stats = rollouts.groupBy(*group).agg(
+    # Structs compare equal where fields are null, so rollouts without a group stay.
+    rollouts = rollouts.withColumn("_group", F.struct(*group))
+    stats = rollouts.groupBy("_group").agg(
         F.count("reward").alias("_n"), F.avg("reward").alias("_mean"), (F.max("reward") - F.min("reward")).alias("_range")
     )
     value = F.when(F.col("_n") < 2, None).when(F.col("_range") < 1e-6, 0.0).otherwise(F.col("reward") - F.col("_mean"))
-    return rollouts.join(stats, list(group)).withColumn("advantage", value).drop("_n", "_mean", "_range")
+    return rollouts.join(stats, "_group").withColumn("advantage", value).drop("_group", "_n", "_mean", "_range")
 
 
 def decision_examples(messages: DataFrame, episode: str, pos: str) -> DataFrame:

@@ -105,31 +105,34 @@ def world_views(worlds: DataFrame) -> DataFrame:
     return wide.join(label_masks(worlds), "bank")
 
 
-def _subset_masks(initial: Column, available: Column | None) -> Column:
-    """Array of (size, mask) for every subset of request views; subsets with an unavailable view are left out."""
-    subsets = []
-    for size in range(len(REQUEST_VIEWS) + 1):
-        for views in combinations(REQUEST_VIEWS, size):
-            mask = initial
-            for v in views:
-                mask = mask.bitwiseAND(F.col(v))
-            entry = F.struct(F.lit(size).alias("size"), mask.alias("mask"))
-            if available is None or not views:
-                subsets.append(entry)
-            else:
-                wanted = F.array(*[F.lit(v) for v in views])
-                subsets.append(F.when(F.size(F.array_except(wanted, available)) == 0, entry))
-    return F.array_compact(F.array(*subsets))
-
-
-def min_requests(views: DataFrame, available: Column | None = None) -> DataFrame:
+def _view_bits(views: Column) -> Column:
+    """One bit per request view in an array of views."""
+    bits = F.lit(0)
+    for i, view in enumerate(REQUEST_VIEWS):
+        bits = bits + F.when(F.array_contains(views, view), 1 << i).otherwise(0)
+    return bits
+
+
+def min_requests(views: DataFrame, available: Column | None = None, initial: Column | None = None) -> DataFrame:
     """Smallest number of extra views after which one label is left, per actual world; null when none suffices.
 
-    ``views`` is the output of ``world_views``: the 32 subsets are one array per row.
+    ``views`` is the output of ``world_views``, perhaps with columns for ``available`` (array of request views that exist) and
+    ``initial`` (array of the views a case starts with, which cost no request). A choice of views is a number of five bits.
     """
-    initial = F.col(INITIAL_VIEWS[0]).bitwiseAND(F.col(INITIAL_VIEWS[1]))
-    ready = F.filter(_subset_masks(initial, available), lambda s: verdict_of(s["mask"], F.col("supported")) != UNDECIDED)
-    return views.withColumn("min_requests", F.array_min(F.transform(ready, lambda s: s["size"])))
+    views = views.withColumn("_have", F.lit(31) if available is None else _view_bits(available))
+    views = views.withColumn("_free", F.lit(0) if initial is None else _view_bits(initial))
+    start = F.col(INITIAL_VIEWS[0]).bitwiseAND(F.col(INITIAL_VIEWS[1]))
+    for i, view in enumerate(REQUEST_VIEWS):
+        start = start.bitwiseAND(F.when(F.col("_free").bitwiseAND(F.lit(1 << i)) != 0, F.col(view)).otherwise(F.lit(-1).cast("long")))
+    views, sizes = views.withColumn("_start", start), []
+    for choice in range(1 << len(REQUEST_VIEWS)):
+        mask = F.col("_start")
+        for i, view in enumerate(REQUEST_VIEWS):
+            mask = mask.bitwiseAND(F.col(view)) if choice >> i & 1 else mask
+        extra = F.lit(choice).bitwiseAND(F.bitwise_not("_free"))
+        ready = (extra.bitwiseAND(F.bitwise_not("_have")) == 0) & (verdict_of(mask, F.col("supported")) != UNDECIDED)
+        sizes.append(F.when(ready, F.bit_count(extra)))
+    return views.withColumn("min_requests", F.least(*sizes)).drop("_have", "_free", "_start")
 
 
 def certify_bank(worlds: DataFrame, wide: DataFrame | None = None) -> DataFrame:
@@ -182,8 +185,9 @@ def fixed_view_rate(worlds: DataFrame) -> DataFrame:
     rates = world_views(worlds).select("bank", F.explode(pairs).alias("p")).groupBy("bank", F.col("p.pair").alias("pair")).agg(
         F.avg(F.when(F.col("p.hit"), 1.0).otherwise(0.0)).alias("rate")
     )
-    best = rates.groupBy("bank").agg(F.max("rate").alias("_best"))
-    return rates.join(best, "bank").withColumn("is_best", F.col("rate") == F.col("_best")).drop("_best")
+    rates = rates.withColumn("_bank", F.struct("bank"))
+    best = rates.groupBy("_bank").agg(F.max("rate").alias("_best"))
+    return rates.join(best, "_bank").withColumn("is_best", F.col("rate") == F.col("_best")).drop("_bank", "_best")
 
 
 def paired_world_cases(banks: DataFrame, bank: str, seed: int) -> DataFrame:
@@ -323,30 +327,48 @@ def score_search(episodes: DataFrame, worlds: DataFrame, keys: list[str]) -> Dat
 
     ``episodes`` has the keys, bank, world_id, ``cap`` (requests allowed), ``available_views`` (array of request views that
     exist for the case, null for all), observed (array of view and sig), verdict (null without a finish), citations_valid,
-    links_complete, coverage (share of the diagnostic region) and localized.
+    links_complete, coverage (share of the diagnostic region) and localized. Optional are ``initial_views`` (views that the case starts
+    with, null for the usual ones; they cost no request and must all be observed) and, inside an observation, ``metadata`` with
+    ``metadata_sha256`` (checked), and ``derived`` with ``image_id`` (a derived view shows no new one; the image it comes from must be among the others).
     """
     wide = materialize(world_views(worlds), "world-views")
     broken = certify_bank(worlds, wide).select("bank").distinct().withColumn("_broken", F.lit(True))
-    every = F.array(*[F.lit(v) for v in REQUEST_VIEWS])
-    asked = episodes.withColumn("_available", F.array_sort(F.coalesce("available_views", every)))
-    # Cases of one world with the same views available share their facts.
-    kinds = asked.select("bank", "world_id", "_available").distinct()
-    facts = min_requests(kinds.join(wide, ["bank", "world_id"]), F.col("_available")).join(broken, "bank", "left")
-    joined = asked.join(facts, ["bank", "world_id", "_available"], "left")
-    views = F.array_distinct(F.transform("observed", lambda o: o["view"]))
-    acquired = F.array_except(views, F.array(*[F.lit(v) for v in INITIAL_VIEWS]))
-    initial_seen = F.size(F.array_except(F.array(*[F.lit(v) for v in INITIAL_VIEWS]), views)) == 0
-    true_sigs = F.forall("observed", lambda o: F.coalesce(F.try_element_at("_sigs", o["view"]) == o["sig"], F.lit(False)))
+    every, usual = F.array(*[F.lit(v) for v in REQUEST_VIEWS]), F.array(*[F.lit(v) for v in INITIAL_VIEWS])
+    started = F.coalesce("initial_views", usual) if "initial_views" in episodes.columns else usual
+    asked = episodes.withColumn("_available", F.array_sort(F.coalesce("available_views", every))).withColumn("_initial", F.array_sort(started))
+    # Cases of one world with the same views available and seen at the start share their facts.
+    kind = ["bank", "world_id", "_available", "_initial"]
+    kinds = asked.select(*kind).distinct()
+    facts = min_requests(kinds.join(wide, ["bank", "world_id"]), F.col("_available"), F.col("_initial")).join(broken, "bank", "left")
+    joined = asked.join(facts, kind, "left")
+    fields = episodes.schema["observed"].dataType.elementType.names
+    shown, sound, rooted = F.col("observed"), F.lit(True), F.lit(True)
+    if "metadata_sha256" in fields:
+        sound = F.forall("observed", lambda o: F.coalesce(F.sha2(o["metadata"], 256) == o["metadata_sha256"], F.lit(False)))
+    if "derived" in fields:
+        shown = F.filter("observed", lambda o: ~F.coalesce(o["derived"], F.lit(False)))
+        derived = F.filter("observed", lambda o: F.coalesce(o["derived"], F.lit(False)))
+        rooted = F.size(F.array_except(F.transform(derived, lambda o: o["image_id"]), F.transform(shown, lambda o: o["image_id"]))) == 0
+    joined = joined.withColumn("_shown", shown).withColumn("_views", F.array_distinct(F.transform("_shown", lambda o: o["view"])))
+    views = F.col("_views")
+    acquired = F.array_except(views, "_initial")
+    initial_seen = F.size(F.array_except("_initial", views)) == 0
+    extra = F.array_except("_initial", usual)
+    initial_valid = (F.size(F.array_except(usual, "_initial")) == 0) & (F.size(F.array_except(extra, "_available")) == 0)
+    true_sigs = F.forall("_shown", lambda o: F.coalesce(F.try_element_at("_sigs", o["view"]) == o["sig"], F.lit(False)))
     # What is observed is what the actual world shows, so its own masks say which worlds are left.
-    masks = F.create_map(*[c for v in VIEWS for c in (F.lit(v), F.col(v))])
-    left = F.aggregate(views, F.col("all_worlds"), lambda m, v: m.bitwiseAND(F.coalesce(F.try_element_at(masks, v), F.lit(0).cast("bigint"))))
+    left = F.col("all_worlds")
+    for v in VIEWS:
+        left = left.bitwiseAND(F.when(F.array_contains(views, v), F.coalesce(F.col(v), F.lit(0).cast("long"))).otherwise(F.lit(-1).cast("long")))
     cap = F.col("cap")
     error = (
-        F.when(F.col("label").isNull(), "unknown_world").when(F.col("_broken"), "bank_not_certified").when(~true_sigs, "observation_mismatch")
+        F.when(F.col("label").isNull(), "unknown_world").when(F.col("_broken"), "bank_not_certified").when(~initial_valid, "invalid_initial")
+        .when(~sound, "metadata_checksum").when(~true_sigs, "observation_mismatch")
         .when(F.size(F.array_except(acquired, "_available")) > 0, "unavailable_observation")
-        .when(~initial_seen, "initial_missing").when(F.size(acquired) > cap, "too_many_requests")
+        .when(~initial_seen, "initial_missing").when(~rooted, "derived_without_parent").when(F.size(acquired) > cap, "too_many_requests")
     )
-    base = joined.withColumn("audit_error", error).withColumn("_ok", error.isNull()).withColumn("_current", verdict_of(left, F.col("supported")))
+    base = joined.withColumn("_left", left).withColumn("_acquired", F.size(acquired)).withColumn("audit_error", error)
+    base = base.withColumn("_ok", F.col("audit_error").isNull()).withColumn("_current", verdict_of(F.col("_left"), F.col("supported")))
     base = base.withColumn("_expected", F.when(F.coalesce(F.col("min_requests") <= cap, F.lit(False)), F.col("label")).otherwise(UNDECIDED))
     ok, verdict = F.col("_ok"), F.col("verdict")
     finished = ok & verdict.isNotNull()
@@ -364,6 +386,6 @@ def score_search(episodes: DataFrame, worlds: DataFrame, keys: list[str]) -> Dat
         "unsupported_decision": finished & definite & ~F.coalesce(chain, F.lit(False)),
     }
     return base.select(
-        *keys, "audit_error", F.when(ok, F.bit_count(left)).alias("compatible_worlds"), F.when(ok, F.size(acquired).cast("bigint")).alias("acquired"),
+        *keys, "audit_error", F.when(ok, F.bit_count("_left")).alias("compatible_worlds"), F.when(ok, F.col("_acquired").cast("bigint")).alias("acquired"),
         *[F.coalesce(c, F.lit(False)).alias(n) for n, c in flags.items()],
     )

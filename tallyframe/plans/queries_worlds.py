@@ -213,6 +213,11 @@ SELECT ok, ln, pk, err AS audit_error, CASE WHEN good THEN worlds END AS compati
   coalesce(chain AND v <> 'Need more evidence' AND NOT localized, false) AS unlocalized_definite, coalesce(good AND v <> 'Need more evidence' AND NOT coalesce(chain, false), false) AS unsupported_decision FROM n""")
 def _(spark, sf):
     w = materialize(worlds(spark, sf), "worlds")
+    out = ops.score_search(search_episodes(spark, sf, w), w, ["ok", "ln", "pk"])
+    return out.withColumn("compatible_worlds", F.col("compatible_worlds").cast("bigint"))
+
+
+def search_episodes(spark, sf, w):
     region = F.struct(F.lit("img-a").alias("image_id"), F.col("t").alias("bbox"), F.lit("before").alias("time"))
     cite = F.get("citations", F.lit(0))
     decided = standins.decisions(spark, sf).select(
@@ -226,5 +231,34 @@ def _(spark, sf):
     decided = decided.withColumn("available_views", few).withColumn("cap", F.when(F.col("d") == 7, 1).otherwise(2))
     sigs = w.groupBy("bank", "world_id").agg(F.map_from_entries(F.collect_list(F.struct("view", "sig"))).alias("sigs"))
     observed = F.transform("views", lambda v: F.struct(v.alias("view"), F.when(F.col("d") == 10, "odd").otherwise(F.try_element_at("sigs", v)).alias("sig")))
-    out = ops.score_search(decided.join(sigs, ["bank", "world_id"], "left").withColumn("observed", observed), w, ["ok", "ln", "pk"])
-    return out.withColumn("compatible_worlds", F.col("compatible_worlds").cast("bigint"))
+    return decided.join(sigs, ["bank", "world_id"], "left").withColumn("observed", observed)
+
+
+# Requests needed from another start: cases also start with the front survey, with the left rear view, or with both.
+@query("min_requests_initial", f"""WITH {IDENT_SQL}, starts AS (SELECT unnest([['front_survey'], ['rear_left'], ['front_survey', 'rear_left']]) AS start)
+SELECT bank, world_id, array_to_string(start, '+') AS start, min(CASE WHEN one THEN len(list_filter(vs, lambda v: NOT list_contains(start, v))) END)::INTEGER AS min_requests
+FROM ident, starts WHERE len(list_filter(start, lambda v: NOT list_contains(vs, v))) = 0 GROUP BY bank, world_id, start""")
+def _(spark, sf):
+    start = F.array(*[F.array(*[F.lit(v) for v in x]) for x in (["front_survey"], ["rear_left"], ["front_survey", "rear_left"])])
+    views = ops.world_views(worlds(spark, sf)).withColumn("start", F.explode(start))
+    views = views.withColumn("initial_views", F.concat(F.array(*[F.lit(v) for v in ops.INITIAL_VIEWS]), "start"))
+    out = ops.min_requests(views, initial=F.col("initial_views"))
+    return out.select("bank", "world_id", F.array_join("start", "+").alias("start"), "min_requests")
+
+
+# The same episodes, of which every third starts with the front survey as well.
+START_SQL = SCORE_SQL.replace("mins AS (SELECT bank, world_id, label, min(size) FILTER (one) AS m_all", """mins AS (SELECT bank, world_id, label,
+  min(size - 1) FILTER (one AND list_contains(vs, 'front_survey')) AS f_all, min(size - 1) FILTER (one AND list_contains(vs, 'front_survey') AND NOT list_contains(vs, 'rear_center') AND NOT list_contains(vs, 'rear_right')) AS f_few, min(size) FILTER (one) AS m_all""")
+START_SQL = START_SQL.replace("CASE WHEN q % 6 = 0 THEN m_few ELSE m_all END AS m,", "CASE WHEN pk % 3 = 0 THEN CASE WHEN q % 6 = 0 THEN f_few ELSE f_all END WHEN q % 6 = 0 THEN m_few ELSE m_all END AS m, 2 + CAST(pk % 3 = 0 AS INTEGER) AS base,")
+START_SQL = START_SQL.replace("WHEN len(f.vs) - 2 > CASE", "WHEN pk % 3 = 0 AND d % 2 = 0 THEN 'initial_missing' WHEN len(f.vs) - 2 - CAST(pk % 3 = 0 AS INTEGER) > CASE")
+
+
+@query("score_search_initial", f"""WITH {START_SQL}
+SELECT ok, ln, pk, err AS audit_error, CASE WHEN good THEN worlds END AS compatible_worlds, CASE WHEN good THEN len(vs) - base END AS acquired,
+  coalesce(target, false) AS episode_target_correct, coalesce(chain, false) AS chain_grounded_correct FROM n""")
+def _(spark, sf):
+    w = materialize(worlds(spark, sf), "worlds")
+    usual = F.array(*[F.lit(v) for v in ops.INITIAL_VIEWS])
+    episodes = search_episodes(spark, sf, w).withColumn("initial_views", F.when(F.col("pk") % 3 == 0, F.array_append(usual, F.lit("front_survey"))))
+    out = ops.score_search(episodes, w, ["ok", "ln", "pk"]).withColumn("compatible_worlds", F.col("compatible_worlds").cast("bigint"))
+    return out.select("ok", "ln", "pk", "audit_error", "compatible_worlds", "acquired", "episode_target_correct", "chain_grounded_correct")
