@@ -1,7 +1,9 @@
 """Deterministic bootstraps over statistical units (families, banks).
 
 ``draws`` resamples units with replacement, exactly as a seeded resampling would, through a table of hashed draws; its
-size is replicates times units. ``poisson`` gives every unit an independent Poisson(1) weight per replicate: a single
+size is replicates times units. ``counts`` is the same resampling without a row per draw: how often each distinct pair of
+sums is drawn is multinomial, and a tree of hashed binomials splits the number of units down to the values; its size is
+units plus replicates times distinct values. ``poisson`` gives every unit an independent Poisson(1) weight per replicate: a single
 pass without any join, whose sums combine before the shuffle. It is a different resampling scheme with the same limit,
 and the one to use for many units.
 """
@@ -15,10 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import digest_int
+from ..session import materialize
 from ..skew import ordered_index
 
 # Replicates served by one digest: eight 32-bit fractions.
 PER_DIGEST = 8
+# Levels of the tree of counts planned as one job.
+LEVELS_PER_JOB = 8
 
 
 def poisson_thresholds() -> list[float]:
@@ -75,6 +80,84 @@ def draw_replicates(units: DataFrame, unit: str, iterations: int, seed: int) ->
     return drawn.join(indexed, "_index").groupBy("replicate").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
 
 
+def binomial_draw(df: DataFrame, u: Column, n: str, left: str, right: str, name: str) -> DataFrame:
+    """Adds ``name``: a Binomial(``n``, left / (left + right)) number, read off at ``u`` in [0, 1).
+
+    Outcomes are laid out from the mode outwards, one up and one down in turn, with terms relative to the mode's. Nine
+    standard deviations on are below what 52 bits of ``u`` can tell, so a draw costs about nine square roots of ``n``.
+    """
+    whole, share = F.col(left) + F.col(right), F.col(left) / (F.col(left) + F.col(right))
+    rows = df.withColumn("_n", F.col(n).cast("double")).withColumn("_odds", F.try_divide(F.col(left), F.col(right))).withColumn("_against", F.try_divide(F.col(right), F.col(left)))
+    rows = rows.withColumn("_mode", F.least(F.floor((F.col("_n") + 1) * F.col(left) / whole).cast("double"), F.col("_n")))
+    width = F.ceil(9 * F.sqrt(F.col("_n") * share * (1 - share))).cast("int") + 20
+    rows = rows.withColumn("_steps", F.sequence(F.lit(1), width))
+
+    def terms(acc: Column, j: Column) -> tuple[Column, Column]:
+        up = acc["up"] * (F.col("_n") - F.col("_mode") - j + 1) / (F.col("_mode") + j) * F.col("_odds")
+        return up, acc["down"] * (F.col("_mode") - j + 1) / (F.col("_n") - F.col("_mode") + j) * F.col("_against")
+
+    def add(acc: Column, j: Column) -> Column:
+        up, down = terms(acc, j)
+        return F.struct(up.alias("up"), down.alias("down"), (acc["total"] + up + down).alias("total"))
+
+    def seek(acc: Column, j: Column) -> Column:
+        up, down = terms(acc, j)
+        place = F.when(acc["rest"] < up, F.col("_mode") + j).when(acc["rest"] < up + down, F.col("_mode") - j)
+        return F.struct(
+            up.alias("up"), down.alias("down"), (acc["rest"] - up - down).alias("rest"), F.coalesce(acc["place"], place).alias("place")
+        )
+
+    one = F.lit(1.0)
+    total = F.aggregate("_steps", F.struct(one.alias("up"), one.alias("down"), one.alias("total")), add, lambda acc: acc["total"])
+    rows = rows.withColumn("_rest", u * total - 1)
+    start = F.struct(one.alias("up"), one.alias("down"), F.col("_rest").alias("rest"), F.when(F.col("_rest") < 0, F.col("_mode")).alias("place"))
+    # Rounding may leave a last crumb of ``rest``; it belongs to the tail, and the mode takes it.
+    drawn = F.coalesce(F.aggregate("_steps", start, seek, lambda acc: acc["place"]), F.col("_mode")).cast("long")
+    certain = F.when(F.col(right) == 0, F.col(n)).when(F.col(left) == 0, 0)
+    return rows.withColumn(name, F.coalesce(certain, drawn)).drop("_n", "_odds", "_against", "_mode", "_steps", "_rest")
+
+
+def value_counts(units: DataFrame, iterations: int, seed: int) -> DataFrame:
+    """How often each distinct (``num``, ``den``) is drawn per replicate: ``replicate``, ``num``, ``den``, ``drawn`` > 0.
+
+    Values in their order are the leaves of a binary tree. A node's draws go to its left half by a binomial hashed from seed,
+    replicate and node, the rest to its right half. Copies of a value are drawn as one, so no row stands for a draw.
+    """
+    values = units.groupBy("num", "den").agg(F.count("*").alias("weight"))
+    values = materialize(ordered_index(values, [], ["num", "den"], "_index"), "values")
+    many, n = values.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    depth = max(many - 1, 0).bit_length()
+    leaves = values.withColumn("_leaf", F.col("_index") - 1 + 2**depth)
+    counts = units.sparkSession.range(iterations).select(F.col("id").alias("replicate"), F.lit(1).cast("long").alias("_node"), F.lit(n).cast("long").alias("drawn"))
+    for level in range(depth):
+        up = depth - level
+        first = F.shiftright("_leaf", up - 1) % 2 == 0
+        halves = leaves.groupBy(F.shiftright("_leaf", up).alias("_node")).agg(
+            F.sum(F.when(first, F.col("weight")).otherwise(0)).alias("_left"), F.sum(F.when(first, 0).otherwise(F.col("weight"))).alias("_right")
+        )
+        key = F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("_node").cast("string"))
+        if level:
+            known = counts.join(halves, "_node")
+        else:
+            # The root is one node: its two weights are numbers, not a table to join.
+            known = counts.withColumns({c: F.lit(w) for c, w in halves.select("_left", "_right").first().asDict().items()})
+        split = binomial_draw(known, digest_int(F.sha2(key, 256), 1, 13) / F.lit(float(2**52)), "drawn", "_left", "_right", "_first")
+        sides = F.array(
+            F.struct((F.col("_node") * 2).alias("_node"), F.col("_first").alias("drawn")),
+            F.struct((F.col("_node") * 2 + 1).alias("_node"), (F.col("drawn") - F.col("_first")).alias("drawn")),
+        )
+        counts = split.select("replicate", F.explode(sides).alias("z")).select("replicate", "z.*").filter("drawn > 0")
+        if level % LEVELS_PER_JOB == LEVELS_PER_JOB - 1:
+            counts = materialize(counts, "counts")
+    return counts.join(leaves.withColumnRenamed("_leaf", "_node"), "_node").select("replicate", "num", "den", "drawn")
+
+
+def count_replicates(units: DataFrame, unit: str, iterations: int, seed: int) -> DataFrame:
+    """``num`` and ``den`` of each replicate of exact resampling with replacement, by ``value_counts``."""
+    drawn = value_counts(units, iterations, seed)
+    return drawn.groupBy("replicate").agg(F.sum(F.col("drawn") * F.col("num")).alias("num"), F.sum(F.col("drawn") * F.col("den")).alias("den"))
+
+
 def _interval(replicates: DataFrame, by: Sequence[str]) -> DataFrame:
     value = F.try_divide(F.col("num"), F.col("den"))
     bounds = replicates.withColumn("_v", value).groupBy(*by).agg(
@@ -86,9 +169,9 @@ def _interval(replicates: DataFrame, by: Sequence[str]) -> DataFrame:
 def ratio_interval(units: DataFrame, unit: str, iterations: int, seed: int, method: str) -> DataFrame:
     """Ratio of sums over units with its 95 % percentile interval; ``units`` has ``unit``, ``num`` and ``den``.
 
-    ``method`` is draws or poisson: the interval depends on it, so no size chooses it.
+    ``method`` is draws, counts or poisson: the interval depends on it, so no size chooses it.
     """
-    replicate = {"draws": draw_replicates, "poisson": poisson_replicates}[method]
+    replicate = {"draws": draw_replicates, "counts": count_replicates, "poisson": poisson_replicates}[method]
     point = units.agg(F.count("*").alias("units"), F.try_divide(F.sum("num"), F.sum("den")).alias("estimate"))
     bounds = _interval(replicate(units, unit, iterations, seed), [])
     # Two single rows become one by aggregation; a join of them would have no key.

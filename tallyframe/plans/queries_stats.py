@@ -122,6 +122,20 @@ def _(spark, sf):
     return rounded(bootstrap.bootstrap_ci(table(spark, sf, "labels"), "doc_id", "quality", REPLICATES, 7, "draws"), *CI)
 
 
+def _count_sql(units: str, seed: int) -> str:
+    """SQL of drawn counts over ``units`` with the values 0 and 1: one binomial a replicate, laid out from its mode outwards."""
+    return f"""w AS (SELECT count(*) AS n, count(*) FILTER (num = 0) AS a, count(*) FILTER (num = 1) AS b FROM {units}),
+terms AS (SELECT k, k - least(floor((n + 1.0) * a / n), n)::BIGINT AS off, -lgamma(k + 1) - lgamma(n - k + 1) + k * ln(a) + (n - k) * ln(b) AS l FROM w, unnest(range(n + 1)) AS x(k)),
+laid AS (SELECT k, sum(exp(l - top)) OVER (ORDER BY abs(off), off DESC) / sum(exp(l - top)) OVER () AS upto FROM terms, (SELECT max(l) AS top FROM terms)),
+us AS (SELECT r, ('0x' || substr(sha256('{seed}|' || r || '|1'), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM unnest(range({REPLICATES})) AS y(r)),
+reps AS (SELECT r, (n - arg_min(k, upto)) / n::DOUBLE AS v FROM us JOIN laid ON upto > u, w GROUP BY r, n)"""
+
+
+@query("bootstrap_ci_counts", f"WITH {LABEL_UNITS}, {_count_sql('units', 7)} {_interval_sql('units')}")
+def _(spark, sf):
+    return rounded(bootstrap.bootstrap_ci(table(spark, sf, "labels"), "doc_id", "quality", REPLICATES, 7, "counts"), *CI)
+
+
 @query("bootstrap_ci_poisson", f"WITH {FAMILY_UNITS}, {_poisson_sql('units', 7)} {_interval_sql('units')}")
 def _(spark, sf):
     return rounded(bootstrap.bootstrap_ci(hits(spark, sf), "pk", "hit", REPLICATES, 7, "poisson"), *CI)
