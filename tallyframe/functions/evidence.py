@@ -187,33 +187,93 @@ def required_images(annotation: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(requirements(annotation), requirement_images))))
 
 
-def annotation_image_sets(annotation: Column) -> Column:
-    """Image sets that decide a definite verdict: one alternative per part for support, any part's for refutation."""
-    verdict = annotation["verdict"]
-
+def _part_sets(annotation: Column) -> Column:
+    """Per subclaim the image sets of the alternatives for the annotation's verdict."""
     def part_sets(s: Column) -> Column:
         groups = F.coalesce(
-            F.try_element_at(s["minimal_evidence_sets"], verdict), F.array().cast(f"array<array<{REQ}>>")
+            F.try_element_at(s["minimal_evidence_sets"], annotation["verdict"]), F.array().cast(f"array<array<{REQ}>>")
         )
         return F.transform(
             groups, lambda g: F.array_sort(F.array_distinct(F.flatten(F.transform(g, requirement_images))))
         )
 
-    per_part = F.transform(annotation["subclaims"], part_sets)
-    nothing = F.array().cast("array<array<string>>")
-    product = F.aggregate(
-        per_part, F.array(F.array().cast("array<string>")),
-        lambda acc, sets: F.flatten(F.transform(acc, lambda a: F.transform(sets, lambda s: F.array_union(a, s)))),
-    )
-    sets = (
-        F.when(verdict == SUPPORTED, product).when(verdict == REFUTED, F.flatten(per_part)).otherwise(nothing)
-    )
+    return F.transform(annotation["subclaims"], part_sets)
+
+
+def _by_size(sets: Column) -> Column:
+    """Distinct image sets, smaller ones first."""
     sized = F.array_sort(
         F.transform(sets, lambda s: F.struct(F.size(s).alias("size"), F.array_sort(s).alias("images")))
     )
     return F.transform(F.array_distinct(sized), lambda s: s["images"])
 
 
+NO_SETS = "array<array<string>>"
+
+
+def annotation_image_sets(annotation: Column) -> Column:
+    """Image sets that decide a definite verdict: one alternative per part for support, any part's for refutation.
+
+    Equal unions become one after every part, so the work follows the distinct sets. Where only the cheapest sets count,
+    ``minimal_image_sets`` also drops those that contain another one.
+    """
+    verdict = annotation["verdict"]
+    per_part = _part_sets(annotation)
+    product = F.aggregate(
+        per_part, F.array(F.array().cast("array<string>")),
+        lambda acc, sets: F.array_distinct(
+            F.flatten(F.transform(acc, lambda a: F.transform(sets, lambda s: F.array_sort(F.array_union(a, s)))))
+        ),
+    )
+    return _by_size(
+        F.when(verdict == SUPPORTED, product).when(verdict == REFUTED, F.flatten(per_part)).otherwise(F.array().cast(NO_SETS))
+    )
+
+
+# Images per word of a set's bit mask.
+WORD = 62
+
+
+def minimal_image_sets(annotation: Column) -> Column:
+    """Those of ``annotation_image_sets`` that contain no other one, in the same order.
+
+    A set is a bit mask in words of 62 images. Parts are merged one by one, and what contains another mask is dropped at
+    once: a superset stays one whatever is added, so parts that share images keep the list short.
+    """
+    verdict = annotation["verdict"]
+
+    def bit(position: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), (position % WORD).cast("int"))
+
+    def leanest(masks: Column) -> Column:
+        def inside(y: Column, x: Column) -> Column:
+            return F.forall(F.zip_with(y, x, lambda a, b: a.bitwiseAND(b) == a), lambda ok: ok)
+        return let(F.array_distinct(masks), lambda all_: F.filter(all_, lambda x: ~F.exists(all_, lambda y: (y != x) & inside(y, x))))
+
+    def of_masks(bound: Column) -> Column:
+        images, parts = bound["images"], bound["parts"]
+        words = F.sequence(F.lit(0), F.floor(F.size(images) / WORD).cast("int"))
+
+        def mask(s: Column) -> Column:
+            places = F.transform(s, lambda i: F.array_position(images, i) - 1)
+            return F.transform(words, lambda w: F.aggregate(
+                F.filter(places, lambda p: F.floor(p / WORD) == w), F.lit(0).cast("long"), lambda acc, p: acc.bitwiseOR(bit(p))
+            ))
+
+        def joined(acc: Column, sets: Column) -> Column:
+            both = F.transform(acc, lambda a: F.transform(sets, lambda s: F.zip_with(a, s, lambda x, y: x.bitwiseOR(y))))
+            return leanest(F.flatten(both))
+
+        masked = F.transform(parts, lambda sets: leanest(F.transform(sets, mask)))
+        empty = F.array(F.transform(words, lambda w: F.lit(0).cast("long")))
+        found = F.when(verdict == SUPPORTED, F.aggregate(masked, empty, joined)).otherwise(leanest(F.flatten(masked)))
+        return F.transform(found, lambda m: F.filter(images, lambda _, i: F.get(m, F.floor(i / WORD).cast("int")).bitwiseAND(bit(i)) != 0))
+
+    per_part = _part_sets(annotation)
+    bound = F.struct(F.array_sort(F.array_distinct(F.flatten(F.flatten(per_part)))).alias("images"), per_part.alias("parts"))
+    return _by_size(F.when(verdict.isin(SUPPORTED, REFUTED), let(bound, of_masks)).otherwise(F.array().cast(NO_SETS)))
+
+
 def availability_class(initial: Column, pool: Column, oracle: Column, evidence: Column) -> Column:
     """Class of a case by what its material can decide, in the order of the checks."""
     return (

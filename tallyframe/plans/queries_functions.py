@@ -246,6 +246,15 @@ def _(spark, sf):
     return standins.cases(spark, sf).select("family_id", F.array_join(sets, "|").alias("sets"))
 
 
+@query("minimal_image_sets", f"""WITH {CASES_SQL}
+SELECT family_id, CASE WHEN verdict = 'Supported' THEN 'c+ref|b+d+ref'
+  WHEN verdict = 'Refuted' AND t1 = 'Refuted' AND t2 = 'Refuted' THEN 'c|b+ref|d+ref'
+  WHEN verdict = 'Refuted' AND t1 = 'Refuted' THEN 'b+ref|c+ref' WHEN verdict = 'Refuted' THEN 'c|d+ref' ELSE '' END AS sets FROM cases""")
+def _(spark, sf):
+    sets = F.transform(evidence.minimal_image_sets(F.col("annotation")), lambda s: F.array_join(s, "+"))
+    return standins.cases(spark, sf).select("family_id", F.array_join(sets, "|").alias("sets"))
+
+
 @query("availability_class", f"""WITH {CASES_SQL}, judged AS (
   SELECT *, {pool_sql('b_ok', 'c_ok', 'd_ok')} AS pool, {pool_sql('false', 'c_initial', 'false')} AS initial FROM cases)
 SELECT family_id, CASE WHEN initial <> 'Need more evidence' THEN 'Sufficient' WHEN pool <> 'Need more evidence' THEN 'Obtainable'
