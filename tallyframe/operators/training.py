@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.evidence import UNDECIDED
 from .curation import first_per_group
 from ..functions.hashing import stable_hash
+from ..skew import running_total
 
 # Grounding protocols whose scores are no proxies.
 GROUNDED_PROTOCOLS = ("region-time-v1", "evidence-chain-v1")
@@ -32,7 +33,8 @@ def preference_pairs(branches: DataFrame, origin: str, allow_proxy: bool = False
 
     Order is (grounded, not unsupported, less request cost, less tool cost). Ties, ungrounded winners, equal actions,
     test branches and two abstentions without a failure seen before the fork give no pair. Only the first action is
-    exported, so equal branches of an origin are counted before any two meet: copies multiply counts, not rows.
+    exported, so equal branches of an origin are counted, and branches never meet: for two actions, those of one that beat the
+    other's are counted by a running sum in the order of scores. Work grows with branches times actions of an origin.
     """
     usable = (F.col("termination") == "finished") & ~F.col("official_split").eqNullSafe("test") & F.col("grounded_correct").isNotNull()
     rows = branches.filter(usable if allow_proxy else usable & _trusted())
@@ -41,19 +43,27 @@ def preference_pairs(branches: DataFrame, origin: str, allow_proxy: bool = False
         F.col("grounded_correct"), (~F.col("unsupported_decision")).alias("supported"), (-F.col("request_cost")).alias("request"),
         (-F.col("tool_cost")).alias("tool"),
     )
-    kinds = rows.groupBy(*state, F.col("first_action").alias("action"), "verdict", score.alias("score")).agg(F.count("*").alias("copies"))
-    def side(s: str) -> DataFrame:
-        return kinds.select(*state, *[F.col(c).alias(f"{s}_{c}") for c in ("action", "verdict", "score", "copies")])
-    chosen = side("chosen").filter("chosen_score.grounded_correct")
-    pairs = chosen.join(side("rejected"), state).filter(
-        (F.col("chosen_score") > F.col("rejected_score")) & (F.col("chosen_action") != F.col("rejected_action"))
+    # Unknown verdicts and failures may be abstentions and unseen ones: what may be hindsight gives no pair.
+    abstains = F.coalesce(F.col("verdict") == UNDECIDED, F.lit(True))
+    hindsight = abstains & F.col("grounded_correct") & F.coalesce(~F.col("failure_seen"), F.lit(True))
+    kinds = rows.groupBy(*state, F.col("first_action").alias("action"), abstains.alias("abstains"), hindsight.alias("hindsight"), score.alias("score")).agg(
+        F.count("*").alias("copies")
     )
-    hindsight = (
-        (F.col("chosen_verdict") == UNDECIDED) & (F.col("rejected_verdict") == UNDECIDED) & F.col("rejected_score.grounded_correct") & ~F.col("failure_seen")
-    )
-    return pairs.filter(~hindsight).groupBy(origin, "chosen_action", "rejected_action").agg(
-        F.sum(F.col("chosen_copies") * F.col("rejected_copies")).alias("pairs")
+    winners = kinds.filter("score.grounded_correct").withColumnRenamed("action", "chosen_action")
+    losers = kinds.withColumnRenamed("action", "rejected_action")
+    differ = F.col("chosen_action") != F.col("rejected_action")
+    won = winners.join(losers.select(*state, "rejected_action").distinct(), state).filter(differ).withColumn("better", F.col("copies")).withColumn("worse", F.lit(0).cast("long"))
+    lost = losers.join(winners.select(*state, "chosen_action", F.col("abstains").alias("_abstains")).distinct(), state).filter(differ)
+    lost = lost.withColumn("better", F.lit(0).cast("long")).withColumn("worse", F.when(F.col("_abstains") & F.col("hindsight"), 0).otherwise(F.col("copies")))
+    # Winners come before losers of the same score, so a running sum counts the strictly worse ones.
+    pair = [*state, "chosen_action", "rejected_action", "abstains"]
+    marks = won.select(*pair, "score", F.lit(0).alias("side"), "better", "worse").unionByName(
+        lost.select(*state, "chosen_action", "rejected_action", F.col("_abstains").alias("abstains"), "score", F.lit(1).alias("side"), "better", "worse")
     )
+    marks = marks.groupBy(*pair, "score", "side").agg(F.sum("better").alias("better"), F.sum("worse").alias("worse"))
+    ranked = running_total(marks, pair, ["score", "side"], "worse", "beaten", "losers")
+    counted = ranked.groupBy(origin, "chosen_action", "rejected_action").agg(F.sum(F.col("better") * F.col("beaten")).alias("pairs"))
+    return counted.filter("pairs > 0")
 
 
 def preference_examples(branches: DataFrame, prompts: DataFrame, origin: str, allow_proxy: bool = False) -> DataFrame:
