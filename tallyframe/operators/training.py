@@ -113,21 +113,28 @@ def group_advantages(rollouts: DataFrame, group: Sequence[str]) -> DataFrame:
     return rollouts.join(stats, "_group").withColumn("advantage", value).drop("_group", "_n", "_mean", "_range")
 
 
-def decision_examples(messages: DataFrame, episode: str, pos: str) -> DataFrame:
+def _grouped(df: DataFrame, group: Sequence[str]) -> DataFrame:
+    """The columns that tell which examples belong together as one struct column ``group``."""
+    return df.withColumn("group", F.struct(*group)).drop(*group) if group else df
+
+
+def decision_examples(messages: DataFrame, episode: str, pos: str, group: Sequence[str] = ()) -> DataFrame:
     """One example per assistant turn of nested traces: what came before it and the turn itself.
 
-    ``messages`` is an array column in trace order; the prefix is a slice of the same row.
+    ``messages`` is an array column in trace order; the prefix is a slice of the same row. ``group`` columns (family, variant,
+    sequences, label) become one struct of the example. For long traces ``decision_turns`` names the prefix by its length.
     """
     turns = messages.select("*", F.posexplode("messages").alias(pos, "target")).filter("target.role = 'assistant'")
-    return turns.withColumn("prefix", F.slice("messages", F.lit(1), F.col(pos))).drop("messages")
+    return _grouped(turns.withColumn("prefix", F.slice("messages", F.lit(1), F.col(pos))).drop("messages"), group)
 
 
-def decision_turns(messages: DataFrame, episode: str, pos: str, role: str = "role") -> DataFrame:
+def decision_turns(messages: DataFrame, episode: str, pos: str, role: str = "role", group: Sequence[str] = ()) -> DataFrame:
     """Decision points of long traces: each assistant turn with the number of messages before it.
 
     The prefix of a turn is every message of the episode with a smaller position; it is a range, not a copy.
     """
-    return messages.filter(F.col(role) == "assistant").select(episode, F.col(pos).alias("target_pos"), F.col(pos).alias("prefix_length"))
+    turns = messages.filter(F.col(role) == "assistant").select(episode, *group, F.col(pos).alias("target_pos"), F.col(pos).alias("prefix_length"))
+    return _grouped(turns, group)
 
 
 def training_summary(df: DataFrame, split: str, family: str) -> DataFrame:

@@ -221,19 +221,70 @@ def paired_world_cases(banks: DataFrame, bank: str, seed: int) -> DataFrame:
 REQUEST = "struct<object:string,time:string,view:string>"
 
 
-def request_schedule(cases: DataFrame, policy: str, seed: int, keys: list[str]) -> DataFrame:
+def request_product(views: Column) -> Column:
+    """All requests a case offers, by object, time and view."""
+    options = F.col("request_options")
+    return F.flatten(F.flatten(F.transform(F.array_distinct(options["objects"]), lambda o: F.transform(
+        F.array_distinct(options["times"]),
+        lambda t: F.transform(F.array_distinct(views), lambda v: F.struct(o.alias("object"), t.alias("time"), v.alias("view"))),
+    ))))
+
+
+def guided_calls(targets: Column, budget: Column, price: int, max_turns: int) -> Column:
+    """The shortest public requests that release some target image set, empty where none can be reached or one is held.
+
+    A request releases its smallest image not yet shown, so a set fixes how often each request is needed, and the requests of
+    a set are made in the order in which the case offers them. Of equally short ways the one that is first in that order wins,
+    which is the way a breadth-first search over released sets finds. Row columns: evidence, initial, request_options.
+    """
+    def ways(bound: Column) -> Column:
+        product, released = bound["product"], bound["fresh"]
+
+        def nth(e: Column) -> Column:
+            return F.array_position(product, F.struct(e["object"].alias("object"), e["time"].alias("time"), e["view"].alias("view"))).cast("int")
+
+        placed = F.transform(released, lambda e: F.struct(
+            e["id"].alias("id"), nth(e).alias("nth"), F.size(F.filter(released, lambda o: (nth(o) == nth(e)) & (o["id"] <= e["id"]))).alias("place")
+        ))
+
+        def way(images: Column, rows: Column) -> Column:
+            needed = F.array_except(images, F.col("initial"))
+            hits = F.filter(rows, lambda r: F.array_contains(needed, r["id"]))
+            calls = F.flatten(F.transform(F.array_sort(F.array_distinct(F.transform(hits, lambda r: r["nth"]))), lambda n: F.array_repeat(
+                n, F.array_max(F.transform(F.filter(hits, lambda r: r["nth"] == n), lambda r: r["place"]))
+            )))
+            return F.when(F.size(hits) == F.size(needed), F.struct(F.size(calls).alias("size"), calls.alias("calls")))
+
+        return let(placed, lambda rows: F.transform(
+            F.coalesce(
+                F.array_min(F.filter(F.transform(F.filter(targets, lambda t: F.size(t) > 0), lambda t: way(t, rows)), lambda w: w["size"] <= depth))["calls"],
+                F.array().cast("array<int>"),
+            ), lambda n: F.get(product, n - 1),
+        ))
+
+    depth = F.least(F.floor(budget / price), F.lit(max_turns - 1)).cast("int")
+    options = F.col("request_options")
+    fresh = F.filter(
+        "evidence",
+        lambda e: e["available"] & ~F.array_contains("initial", e["id"]) & F.array_contains(options["objects"], e["object"])
+        & F.array_contains(options["times"], e["time"]) & F.array_contains(options["views"], e["view"]),
+    )
+    return let(F.struct(request_product(options["views"]).alias("product"), fresh.alias("fresh")), ways)
+
+
+def request_schedule(
+    cases: DataFrame, policy: str, seed: int, keys: list[str], targets: Column | None = None, budget: int = 0, price: int = 1, max_turns: int = 1
+) -> DataFrame:
     """Planned requests in order. ``cases`` has request_options, evidence, initial and case_id.
 
     fixed_order is the product of objects, times and views; fixed_original asks for originals only; random_order sorts
     the product by a hash that all variants of a family share; restore_preview asks for the original of every shown
-    image whose display is smaller than its source, or for its camera's view where originals are not offered.
+    image whose display is smaller than its source, or for its camera's view where originals are not offered;
+    annotation_guided is privileged: it knows the image sets that decide the case (``targets``) and takes ``guided_calls``.
     """
     options = F.col("request_options")
     views = options["views"] if policy != "fixed_original" else F.filter(options["views"], lambda v: v == "original")
-    product = F.flatten(F.flatten(F.transform(F.array_distinct(options["objects"]), lambda o: F.transform(
-        F.array_distinct(options["times"]),
-        lambda t: F.transform(F.array_distinct(views), lambda v: F.struct(o.alias("object"), t.alias("time"), v.alias("view"))),
-    ))))
+    product = request_product(views)
     if policy in ("fixed_order", "fixed_original"):
         calls = product
     elif policy == "random_order":
@@ -250,6 +301,8 @@ def request_schedule(cases: DataFrame, policy: str, seed: int, keys: list[str])
         wanted = F.transform(F.filter("evidence", reduced), asked)
         public = F.filter(wanted, lambda c: F.array_contains(options["objects"], c["object"]) & F.array_contains(options["times"], c["time"]) & F.array_contains(options["views"], c["view"]))
         calls = F.array_distinct(public)
+    elif policy == "annotation_guided":
+        calls = guided_calls(targets, F.lit(budget), price, max_turns)
     else:
         raise ValueError(f"unknown policy {policy}")
     return cases.select(*keys, F.posexplode(calls).alias("ordinal", "c")).select(*keys, "ordinal", "c.*")

@@ -347,6 +347,17 @@ def _(spark, sf):
     return out.select("doc_id", "pos", F.col("target.text").alias("target"), prefix.alias("prefix"))
 
 
+@query("decision_groups", """WITH first AS (SELECT conv_id, min(role) FILTER (turn = 0) AS opener, count(*) AS turns FROM conversations GROUP BY 1)
+SELECT opener, turns, count(*) AS examples, sum(turn)::BIGINT AS prefix_messages FROM conversations JOIN first USING (conv_id) WHERE role = 'assistant' GROUP BY 1, 2""")
+def _(spark, sf):
+    messages = table(spark, sf, "conversations").select("conv_id", "turn", "role")
+    whole = messages.groupBy("conv_id").agg(F.min(F.when(F.col("turn") == 0, F.col("role"))).alias("opener"), F.count("*").alias("turns"))
+    turns = training.decision_turns(messages.join(whole, "conv_id"), "conv_id", "turn", group=["opener", "turns"])
+    return turns.groupBy("group").agg(F.count("*").alias("examples"), F.sum("prefix_length").cast("bigint").alias("prefix_messages")).select(
+        "group.opener", "group.turns", "examples", "prefix_messages"
+    )
+
+
 @query("training_summary", f"""WITH {EPISODES_SQL} SELECT arm AS split, task, count(*) AS turns, count(DISTINCT family_id) AS families, count(*) FILTER (verdict = 'Supported') AS supported, count(*) FILTER (verdict = 'Refuted') AS refuted, count(*) FILTER (verdict = 'Need more evidence') AS undecided FROM episodes GROUP BY 1, 2""")
 def _(spark, sf):
     return training.training_summary(standins.episodes(spark, sf).withColumn("split", F.col("arm")), "split", "family_id")

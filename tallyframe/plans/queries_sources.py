@@ -60,6 +60,16 @@ def _(spark, sf):
     return readers.read_shards(spark, path).groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("family_id").alias("families"))
 
 
+@query("read_indexed_shards", f"""WITH {EPISODES_SQL} SELECT 'shard=' || (pk % 4) AS directory, count(*) AS n, count(DISTINCT family_id) AS families, sum(requests)::BIGINT AS requests FROM episodes GROUP BY 1""")
+def _(spark, sf):
+    path = scratch_path(spark, "indexed")
+    rows = standins.episodes(spark, sf).selectExpr(*RESULT_COLUMNS, "pk % 4 AS shard")
+    writers.write_indexed_shards(rows, path, "shard", ["case_id", "verdict", "requests"])
+    return readers.read_indexed_shards(spark, path).groupBy("directory").agg(
+        F.count("*").alias("n"), F.count_distinct("family_id").alias("families"), F.sum("requests").alias("requests")
+    )
+
+
 @query("read_source_csv", "SELECT p_brand AS object, CASE WHEN p_size > 25 THEN 'anomaly' ELSE 'normal' END AS label, count(*) AS n FROM part GROUP BY 1, 2")
 def _(spark, sf):
     path = scratch_path(spark, "csv")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.evidence import annotation_image_sets, links_complete
+from ..functions.evidence import annotation_image_sets, links_complete, minimal_image_sets
 from ..functions.geometry import box_coverage, region_match
 from ..operators import worlds as ops
 from ..session import materialize
@@ -169,6 +169,19 @@ def _(spark, sf):
     return ops.request_schedule(cases, "restore_preview", 0, ["family_id"])
 
 
+# Each letter is an image with a request of its own; b, c and d are offered in this order.
+GUIDED_SQL = CASES_SQL + """, ways AS (SELECT *, unnest(CASE WHEN verdict = 'Supported' THEN ['c', 'bc', 'bd', 'cd'] WHEN verdict = 'Refuted' THEN list_concat(CASE WHEN t1 = 'Refuted' THEN ['b', 'c'] ELSE [] END, CASE WHEN t2 = 'Refuted' THEN ['c', 'd'] ELSE [] END) END) AS s FROM cases),
+open AS (SELECT family_id, CASE WHEN c_initial THEN replace(s, 'c', '') ELSE s END AS p FROM ways WHERE (b_ok OR NOT contains(s, 'b')) AND (c_ok OR c_initial OR NOT contains(s, 'c')) AND (d_ok OR NOT contains(s, 'd'))),
+way AS (SELECT family_id, arg_min(p, (len(p), p)) AS p FROM open GROUP BY 1)"""
+
+
+@query("request_schedule_annotation_guided", f"""WITH {GUIDED_SQL} SELECT family_id, (i - 1)::INTEGER AS ordinal, 'target' AS object, 'before' AS time,
+  CASE p[i] WHEN 'b' THEN 'original' WHEN 'c' THEN 'side' ELSE 'rear' END AS view FROM way, unnest(range(1, len(p) + 1)) AS x(i)""")
+def _(spark, sf):
+    targets = minimal_image_sets(F.col("annotation"))
+    return ops.request_schedule(schedule_cases(spark, sf), "annotation_guided", 0, ["family_id"], targets, budget=30, price=3, max_turns=8)
+
+
 # Requests for each target set, infinite when an image of it is unavailable.
 PATH_SQL = CASES_SQL + """, cost AS (SELECT *, CASE WHEN b_ok THEN 1 END AS b, CASE WHEN c_initial THEN 0 WHEN c_ok THEN 1 END AS c, CASE WHEN d_ok THEN 1 END AS d FROM cases),
 sets AS (SELECT pk, family_id, unnest(CASE WHEN verdict = 'Supported' THEN [c, b + c, b + d, c + d] WHEN verdict = 'Refuted' THEN list_concat(CASE WHEN t1 = 'Refuted' THEN [b, c] ELSE [] END, CASE WHEN t2 = 'Refuted' THEN [c, d] ELSE [] END) END) AS n FROM cost),

@@ -62,6 +62,16 @@ def drop_staged(spark: SparkSession) -> None:
     STAGED.clear()
 
 
+def write_small_file(spark: SparkSession, path: str, text: str) -> None:
+    """One new file of metadata; an existing one is an error."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

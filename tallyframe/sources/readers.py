@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.checks import CheckFailed, check_unique, enforce
 from ..schemas import CASE_DDL, FRAME_DDL, RESULT_DDL, SOURCE_DDL
+from .writers import _exists
 
 
 def _column_struct(ddl: str) -> str:
@@ -59,6 +60,50 @@ def read_shards(spark: SparkSession, root: str, ddl: str = RESULT_DDL, pattern:
     return rows.select("*", F.regexp_extract(file, r"shard-(\d+)", 1).cast("int").alias("shard"), file.alias("source_file"))
 
 
+SHARD_ENTRY = "struct<directory:string,manifest_sha256:string>"
+
+
+def read_indexed_shards(spark: SparkSession, root: str, ddl: str = RESULT_DDL, files: str = "part-*") -> DataFrame:
+    """Rows of the shard folders that ``shard_index.json`` lists, with folder and file as provenance.
+
+    Refused are an index that differs from the ``aggregation.shards`` of ``manifest.json``, a folder that is no direct child
+    of the root, and a shard whose ``manifest.json`` is missing or has another SHA-256 than listed. Only listed folders are
+    read; without an index the root's own files are the rows. The list of shards is metadata and passes the driver.
+    """
+    rows = spark.read.schema(ddl).option("mode", "FAILFAST").option("pathGlobFilter", files)
+    file = F.col("_metadata.file_path")
+
+    def with_source(df: DataFrame) -> DataFrame:
+        return df.select("*", F.regexp_extract(file, r"([^/]+)/[^/]+$", 1).alias("directory"), file.alias("source_file"))
+
+    if not _exists(spark, f"{root}/shard_index.json"):
+        return with_source(rows.json(root))
+
+    def listed(name: str, path: str) -> str | None:
+        text = spark.read.text(f"{root}/{name}", wholetext=True)
+        return text.select(F.to_json(F.try_variant_get(F.parse_json("value"), path, "variant"))).first()[0]
+
+    index = listed("shard_index.json", "$.shards")
+    if index is None or index != listed("manifest.json", "$.aggregation.shards"):
+        raise CheckFailed("shard index differs from the manifest")
+    entries = spark.range(1).select(F.explode(F.from_json(F.lit(index), f"array<{SHARD_ENTRY}>")).alias("e")).select("e.*")
+    direct = F.coalesce(~F.col("directory").contains("/") & ~F.col("directory").isin("", ".", ".."), F.lit(False))
+    enforce(entries.filter(~direct), "shard folder is no direct child")
+    enforce(check_unique(entries, ["directory"]), "shard listed twice")
+    names = [r.directory for r in entries.collect()]
+    if not names:
+        return with_source(rows.json(root)).limit(0)
+    here = [f"{root}/{n}/manifest.json" for n in names if _exists(spark, f"{root}/{n}/manifest.json")]
+    if len(here) < len(names):
+        raise CheckFailed(f"{len(names) - len(here)} listed shards have no manifest")
+    found = spark.read.format("binaryFile").load(here).select(
+        F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("directory"), F.sha2("content", 256).alias("found_sha256")
+    )
+    changed = entries.join(found, "directory", "left").filter(~F.col("manifest_sha256").eqNullSafe(F.col("found_sha256")))
+    enforce(changed, "listed shard manifest changed")
+    return with_source(rows.json([f"{root}/{n}" for n in names]))
+
+
 def read_source_csv(spark: SparkSession, path: str, ddl: str = SOURCE_DDL) -> DataFrame:
     """CSV listing of images with a header."""
     return spark.read.schema(ddl).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.checks import check_unique, enforce, ordered_digest
+from ..session import write_small_file
 
 
 def missing_rows(df: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -69,6 +72,25 @@ def write_dataset(df: DataFrame, out: str, groups: Sequence[str], digest_columns
     return spark.read.parquet(f"{out}/manifest")
 
 
+def write_indexed_shards(df: DataFrame, root: str, shard: str, digest_columns: Sequence[str]) -> None:
+    """One folder of JSON lines per shard with a manifest of its own, and an index that pins the manifests by SHA-256.
+
+    ``readers.read_indexed_shards`` refuses whatever changed since. A manifest holds the shard's rows and content digest as
+    they were written.
+    """
+    spark = df.sparkSession
+    df.write.mode("errorifexists").partitionBy(shard).json(root)
+    stored = spark.read.schema(df.schema).option("mode", "FAILFAST").json(root)
+    entries = []
+    for row in dataset_manifest(stored, [shard], digest_columns).orderBy(shard).collect():
+        name = f"{shard}={row[shard]}"
+        manifest = json.dumps({"rows": row["rows"], "digest": row["digest"]}, sort_keys=True)
+        write_small_file(spark, f"{root}/{name}/manifest.json", manifest)
+        entries.append({"directory": name, "manifest_sha256": hashlib.sha256(manifest.encode()).hexdigest()})
+    write_small_file(spark, f"{root}/manifest.json", json.dumps({"aggregation": {"shards": entries}}))
+    write_small_file(spark, f"{root}/shard_index.json", json.dumps({"shards": entries}))
+
+
 def write_splits(df: DataFrame, out: str, split: str) -> DataFrame:
     """One folder of JSON lines per split; returns the counts read back from the folders."""
     df.write.mode("errorifexists").partitionBy(split).json(out)
