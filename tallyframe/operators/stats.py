@@ -59,7 +59,7 @@ def counter(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def counter_map(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Map answer → count per group; only distinct answers are gathered, already counted."""
+    """Map answer → count per group, for fixed sets of answers; ``counter`` gives free answers as rows."""
     entries = F.array_sort(F.collect_list(F.struct("answer", "n")))
     return counter(df, by, value).groupBy(*by).agg(F.map_from_entries(entries).alias("counts"))
 

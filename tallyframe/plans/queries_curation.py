@@ -91,7 +91,12 @@ def _(spark, sf):
     return curation.evenly_spaced(table(spark, sf, "events").select("user_id", "event_id"), ["user_id"], ["event_id"], 12)
 
 
-@query("evenly_spaced_valid")
+@query("evenly_spaced_valid", """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, value > 20 AS has_mask, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS size FROM events),
+walk AS (SELECT user_id, max(size) AS size, coalesce(list(i ORDER BY i) FILTER (has_mask), []) AS free, 0 AS turn, []::BIGINT[] AS taken FROM e GROUP BY 1
+  UNION ALL SELECT user_id, size, list_filter(free, lambda x: x <> pick), turn + 1, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END
+  FROM (SELECT *, list_sort(list_transform(free, lambda x: {'gap': abs(x - round_even(turn * (size - 1) / 5.0, 0)::BIGINT), 'x': x}))[1].x AS pick FROM walk WHERE turn < 6)),
+chosen AS (SELECT user_id, unnest(taken) AS i FROM walk WHERE turn = 6 AND len(taken) >= 2)
+SELECT user_id, event_id, event_type, has_mask, i AS index FROM e JOIN chosen USING (user_id, i)""")
 def _(spark, sf):
     log = table(spark, sf, "events").select("user_id", "event_id", "event_type", (F.col("value") > 20).alias("has_mask"))
     return curation.evenly_spaced_valid(log, ["user_id"], ["event_id"], 6, "has_mask")

@@ -96,6 +96,13 @@ def _(spark, sf):
     return readers.hash_assets(spark, sf, sf, "*.parquet")
 
 
+@query("hash_assets_written", "SELECT strlen(s_name) + 1 AS bytes, sha256(s_name || chr(10)) AS sha256 FROM supplier")
+def _(spark, sf):
+    path = scratch_path(spark, "assets")
+    table(spark, sf, "supplier").select("s_name").write.option("maxRecordsPerFile", 1).text(path)
+    return readers.hash_assets(spark, path, path, "*.txt").select("bytes", "sha256")
+
+
 @query("append_missing", "SELECT o_orderkey, o_custkey, o_orderstatus = 'F' AS first FROM orders")
 def _(spark, sf):
     path = scratch_path(spark, "append")

@@ -50,6 +50,11 @@ def _(spark, sf):
     return counts.select("model", "arm", F.array_join(text, ",").alias("counts"))
 
 
+@query("counter_rows", f"""WITH {EPISODES_SQL} SELECT model, arm, coalesce(verdict, 'No submitted verdict') AS answer, count(*) AS n FROM episodes GROUP BY ALL""")
+def _(spark, sf):
+    return stats.counter(standins.episodes(spark, sf), ["model", "arm"], "verdict")
+
+
 @query("majority_baseline", """WITH c AS (SELECT lang, quality, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2)
 SELECT lang, sum(n)::BIGINT AS rows, arg_max(quality, (n, quality)) AS majority, round(max(n) / sum(n), 6) AS share FROM c GROUP BY 1""")
 def _(spark, sf):

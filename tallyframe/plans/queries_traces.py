@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import tables
 from ..operators import traces
 from ..schemas import GENERATION
 from . import standins
@@ -20,18 +21,29 @@ def _(spark, sf):
     return traces.explode_messages(docs, ["doc_id"]).withColumnRenamed("message", "line")
 
 
-@query("content_parts", """
-WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+PARTS_SQL = """WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
 SELECT event_id, 0 AS part, 'text' AS type, CASE k % 3 WHEN 0 THEN 'say ' || k WHEN 1 THEN 't' || k ELSE '[{"type": ' || k END AS text, NULL::VARCHAR AS image_ref FROM e
-UNION ALL SELECT event_id, 1, 'image', NULL, 'blobs/' || k FROM e WHERE k % 3 = 1""")
-def _(spark, sf):
+UNION ALL SELECT event_id, 1, 'image', NULL, 'blobs/' || k FROM e WHERE k % 3 = 1"""
+
+
+def contents(spark, sf):
     k = F.get_json_object("props", "$.k").cast("long")
-    df = table(spark, sf, "events").withColumn("k", k).withColumn("content", F.expr(
+    return table(spark, sf, "events").withColumn("k", k).withColumn("content", F.expr(
         """CASE k % 3 WHEN 0 THEN 'say ' || k
         WHEN 1 THEN '[{"type": "text", "text": "t' || k || '"}, {"type": "image", "image_ref": "blobs/' || k || '"}]'
         ELSE '[{"type": ' || k END"""
     ))
-    return traces.content_parts(df, ["event_id"])
+
+
+@query("content_parts", PARTS_SQL)
+def _(spark, sf):
+    return traces.content_parts(contents(spark, sf), ["event_id"])
+
+
+@query("content_parts_lateral", PARTS_SQL)
+def _(spark, sf):
+    tables.register(spark)
+    return spark.sql("SELECT m.event_id, p.* FROM {messages} m, LATERAL content_parts(m.content) p", messages=contents(spark, sf))
 
 
 CALLS_SQL = MESSAGES_SQL + """, calls AS (SELECT episode, call_id, pos, name, arguments FROM messages WHERE role = 'assistant'), answered AS (
