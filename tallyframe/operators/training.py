@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.evidence import UNDECIDED
 from .curation import first_per_group
 from ..functions.hashing import stable_hash
+from ..session import materialize
 from ..skew import running_total
 
 # Grounding protocols whose scores are no proxies.
@@ -28,13 +29,43 @@ def sft_examples(traces: DataFrame, exported: Sequence[str], allow_proxy: bool =
     return traces.filter(good if allow_proxy else good & _trusted()).select(*exported)
 
 
-def preference_pairs(branches: DataFrame, origin: str, allow_proxy: bool = False) -> DataFrame:
+def _beaten_by_join(kinds: DataFrame, state: Sequence[str]) -> DataFrame:
+    """Pairs of kinds of a state, for states with few kinds."""
+    def side(name: str) -> DataFrame:
+        renamed = {c: f"{name}_{c}" for c in ("abstains", "hindsight", "score", "copies")}
+        return kinds.withColumnsRenamed({**renamed, "action": f"{name}_action"})
+    pairs = side("chosen").filter("chosen_score.grounded_correct").join(side("rejected"), list(state)).filter(
+        (F.col("chosen_score") > F.col("rejected_score")) & (F.col("chosen_action") != F.col("rejected_action")) & ~(F.col("chosen_abstains") & F.col("rejected_hindsight"))
+    )
+    return pairs.select(*state, "chosen_action", "rejected_action", (F.col("chosen_copies") * F.col("rejected_copies")).alias("pairs"))
+
+
+def _beaten_by_order(kinds: DataFrame, state: Sequence[str]) -> DataFrame:
+    """The same for states of any size: kinds of two actions in the order of scores, and a running sum of the worse ones."""
+    winners = kinds.filter("score.grounded_correct").withColumnRenamed("action", "chosen_action")
+    losers = kinds.withColumnRenamed("action", "rejected_action")
+    differ = F.col("chosen_action") != F.col("rejected_action")
+    won = winners.join(losers.select(*state, "rejected_action").distinct(), list(state)).filter(differ)
+    lost = losers.join(winners.select(*state, "chosen_action", F.col("abstains").alias("_abstains")).distinct(), list(state)).filter(differ)
+    # Winners come before losers of the same score, so the sum counts the strictly worse ones.
+    pair, kind, none = [*state, "chosen_action", "rejected_action", "abstains"], ["score", "side", "_own", "hindsight"], F.lit(0).cast("long")
+    won = won.select(*pair, "score", F.lit(0).alias("side"), F.col("abstains").alias("_own"), "hindsight", F.col("copies").alias("better"), none.alias("worse"))
+    worse = F.when(F.col("_abstains") & F.col("hindsight"), none).otherwise(F.col("copies"))
+    lost = lost.select(
+        *state, "chosen_action", "rejected_action", F.col("_abstains").alias("abstains"), "score", F.lit(1).alias("side"), F.col("abstains").alias("_own"),
+        "hindsight", none.alias("better"), worse.alias("worse"),
+    )
+    ranked = running_total(won.unionByName(lost), pair, kind, "worse", "beaten", "losers")
+    return ranked.select(*state, "chosen_action", "rejected_action", (F.col("better") * F.col("beaten")).alias("pairs"))
+
+
+def preference_pairs(branches: DataFrame, origin: str, allow_proxy: bool = False, heavy: int = 256) -> DataFrame:
     """Better and worse first actions among branches forked from one state, with how many branch pairs say so.
 
     Order is (grounded, not unsupported, less request cost, less tool cost). Ties, ungrounded winners, equal actions,
     test branches and two abstentions without a failure seen before the fork give no pair. Only the first action is
-    exported, so equal branches of an origin are counted, and branches never meet: for two actions, those of one that beat the
-    other's are counted by a running sum in the order of scores. Work grows with branches times actions of an origin.
+    exported, so equal branches of an origin are counted before any two meet: copies multiply counts, not rows. States with more than
+    ``heavy`` kinds of branches are split off: there no two kinds meet, and work grows with kinds times actions. Both ways count alike.
     """
     usable = (F.col("termination") == "finished") & ~F.col("official_split").eqNullSafe("test") & F.col("grounded_correct").isNotNull()
     rows = branches.filter(usable if allow_proxy else usable & _trusted())
@@ -46,24 +77,17 @@ def preference_pairs(branches: DataFrame, origin: str, allow_proxy: bool = False
     # Unknown verdicts and failures may be abstentions and unseen ones: what may be hindsight gives no pair.
     abstains = F.coalesce(F.col("verdict") == UNDECIDED, F.lit(True))
     hindsight = abstains & F.col("grounded_correct") & F.coalesce(~F.col("failure_seen"), F.lit(True))
-    kinds = rows.groupBy(*state, F.col("first_action").alias("action"), abstains.alias("abstains"), hindsight.alias("hindsight"), score.alias("score")).agg(
-        F.count("*").alias("copies")
-    )
-    winners = kinds.filter("score.grounded_correct").withColumnRenamed("action", "chosen_action")
-    losers = kinds.withColumnRenamed("action", "rejected_action")
-    differ = F.col("chosen_action") != F.col("rejected_action")
-    won = winners.join(losers.select(*state, "rejected_action").distinct(), state).filter(differ).withColumn("better", F.col("copies")).withColumn("worse", F.lit(0).cast("long"))
-    lost = losers.join(winners.select(*state, "chosen_action", F.col("abstains").alias("_abstains")).distinct(), state).filter(differ)
-    lost = lost.withColumn("better", F.lit(0).cast("long")).withColumn("worse", F.when(F.col("_abstains") & F.col("hindsight"), 0).otherwise(F.col("copies")))
-    # Winners come before losers of the same score, so a running sum counts the strictly worse ones.
-    pair = [*state, "chosen_action", "rejected_action", "abstains"]
-    marks = won.select(*pair, "score", F.lit(0).alias("side"), "better", "worse").unionByName(
-        lost.select(*state, "chosen_action", "rejected_action", F.col("_abstains").alias("abstains"), "score", F.lit(1).alias("side"), "better", "worse")
+    kinds = materialize(
+        rows.groupBy(*state, F.col("first_action").alias("action"), abstains.alias("abstains"), hindsight.alias("hindsight"), score.alias("score"))
+        .agg(F.count("*").alias("copies")), "kinds",
     )
-    marks = marks.groupBy(*pair, "score", "side").agg(F.sum("better").alias("better"), F.sum("worse").alias("worse"))
-    ranked = running_total(marks, pair, ["score", "side"], "worse", "beaten", "losers")
-    counted = ranked.groupBy(origin, "chosen_action", "rejected_action").agg(F.sum(F.col("better") * F.col("beaten")).alias("pairs"))
-    return counted.filter("pairs > 0")
+    large = kinds.groupBy(*state).agg(F.count("*").alias("_kinds")).filter(F.col("_kinds") > heavy).drop("_kinds")
+    if large.isEmpty():
+        counted = _beaten_by_join(kinds, state)
+    else:
+        large = materialize(large, "large")
+        counted = _beaten_by_join(kinds.join(large, state, "left_anti"), state).unionByName(_beaten_by_order(kinds.join(large, state, "left_semi"), state))
+    return counted.groupBy(origin, "chosen_action", "rejected_action").agg(F.sum("pairs").alias("pairs")).filter("pairs > 0")
 
 
 def preference_examples(branches: DataFrame, prompts: DataFrame, origin: str, allow_proxy: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.operators import training
@@ -37,19 +38,21 @@ def branch(rng, **fixed):
     }
 
 
-def test_counts_equal_all_pairs(spark):
+@pytest.mark.parametrize("heavy", [0, 60, 256])
+def test_counts_equal_all_pairs(spark, heavy):
     rng = random.Random(9)
     rows = [branch(rng) for _ in range(300)] + [branch(rng, origin=None) for _ in range(5)] + [branch(rng, failure_seen=None) for _ in range(5)]
-    out = training.preference_pairs(spark.createDataFrame(rows, DDL), "origin").collect()
+    out = training.preference_pairs(spark.createDataFrame(rows, DDL), "origin", heavy=heavy).collect()
     got = {(r.origin, r.chosen_action, r.rejected_action): r.pairs for r in out}
     assert len(out) == len(got) and got == dict(all_pairs(rows))
 
 
-def test_unknown_verdicts_give_no_pair_that_may_be_hindsight(spark):
+@pytest.mark.parametrize("heavy", [0, 256])
+def test_unknown_verdicts_give_no_pair_that_may_be_hindsight(spark, heavy):
     rng = random.Random(1)
     better = branch(rng, origin="o", world="w", failure_seen=False, first_action="a", verdict=None, grounded_correct=True, unsupported_decision=False, request_cost=0)
     rows = [better, {**better, "first_action": "b", "verdict": NEED, "request_cost": 3}, {**better, "first_action": "c", "verdict": "Supported", "request_cost": 3}]
-    out = training.preference_pairs(spark.createDataFrame(rows, DDL), "origin").collect()
+    out = training.preference_pairs(spark.createDataFrame(rows, DDL), "origin", heavy=heavy).collect()
     assert [(r.chosen_action, r.rejected_action, r.pairs) for r in out] == [("a", "c", 1)]
 
 
