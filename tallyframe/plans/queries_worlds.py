@@ -59,7 +59,7 @@ kinds AS (SELECT DISTINCT bank, world_id, vs FROM seen), fit AS (SELECT k.bank,
 compat AS (SELECT bank, world_id, vs, count(*) AS worlds, CASE WHEN count(DISTINCT label) = 1 THEN min(label) ELSE 'Need more evidence' END AS verdict FROM fit GROUP BY 1, 2, 3)"""
 
 
-def search_episodes(spark, sf):
+def seen_episodes(spark, sf):
     return table(spark, sf, "lineitem").selectExpr(
         "l_orderkey AS ok", "l_linenumber AS ln", "l_partkey AS pk", "l_suppkey AS bank", "CAST(l_partkey % 48 AS INT) AS world_id", "CAST(l_quantity AS BIGINT) AS q", "CAST(round(l_discount*100) AS BIGINT) AS d"
     ).withColumn("views", F.expr(
@@ -71,7 +71,7 @@ def search_episodes(spark, sf):
 def _(spark, sf):
     w = worlds(spark, sf)
     # Equal histories are one history: what was seen of a world, counted.
-    kinds = search_episodes(spark, sf).withColumn("views", F.array_join("views", ",")).groupBy("bank", "world_id", "views").agg(F.count("*").alias("episodes"))
+    kinds = seen_episodes(spark, sf).withColumn("views", F.array_join("views", ",")).groupBy("bank", "world_id", "views").agg(F.count("*").alias("episodes"))
     history = kinds.withColumn("view", F.explode(F.split("views", ","))).join(w.select("bank", "world_id", "view", "sig"), ["bank", "world_id", "view"])
     out = ops.compatible_worlds(history, w, ["world_id", "views", "episodes"])
     return out.select("bank", "world_id", "views", F.col("worlds").cast("bigint").alias("worlds"), "verdict", "identified", "episodes")
