@@ -25,3 +25,14 @@ def test_facts_of_worlds_are_not_broadcast(spark, name):
     out = entry.queries()[name](spark, SF)
     assert "BroadcastHashJoin" not in plan(out)
     drop_staged(spark)
+
+
+@pytest.mark.parametrize("name", ["access_audit", "check_endpoints", "admit", "merge_votes"])
+def test_cases_and_votes_are_not_broadcast(spark, name):
+    assert "BroadcastHashJoin" not in plan(entry.queries()[name](spark, SF))
+
+
+def test_cases_are_dealt_to_the_tasks_of_a_shuffle(spark):
+    from tallyframe.plans import standins
+
+    assert standins.cases(spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
