@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.evidence import pool_verdict, required_images
 from ..functions.geometry import box_inside, rotation_angle
 from ..functions.hashing import row_digest
-from ..skew import multiset_digest
+from ..skew import multiset_digest, shuffled
 
 
 class CheckFailed(ValueError):
@@ -239,7 +239,7 @@ def check_endpoints(endpoints: DataFrame, evidence: DataFrame, case: str, keys:
 
     ``endpoints`` has the case, image_id, bbox and time; ``evidence`` the case, image_id, available, bounds and taken.
     """
-    joined = endpoints.join(evidence.withColumn("_known", F.lit(True)), [case, "image_id"], "left")
+    joined = endpoints.join(shuffled(evidence.withColumn("_known", F.lit(True))), [case, "image_id"], "left")
     known = F.coalesce(F.col("_known"), F.lit(False))
     return _rules(joined, keys, [
         ("unknown_image", known), ("unavailable", ~known | F.col("available")),
@@ -260,9 +260,13 @@ def access_audit(cases: DataFrame, poses: DataFrame, first: str, second: str, an
     fresh = F.transform(where(lambda e: e["available"] & ~F.array_contains(sources, e["source_id"])), lambda e: e["id"])
     left = poses.select("family_id", F.col("view").alias(first), F.col("rotation").alias("_a"))
     right = poses.select("family_id", F.col("view").alias(second), F.col("rotation").alias("_b"))
-    posed = cases.join(left, ["family_id", first], "left").join(right, ["family_id", second], "left")
+    # Only short results of the nested cases are shuffled.
+    found = cases.select(
+        "family_id", first, second, hidden.alias("hidden"), F.array_sort(visible).alias("source_visible"), F.array_sort(fresh).alias("new_frames"),
+    )
+    posed = found.join(shuffled(left), ["family_id", first], "left").join(shuffled(right), ["family_id", second], "left")
     return posed.select(
-        "family_id", hidden.alias("hidden"), F.array_sort(visible).alias("source_visible"), F.array_sort(fresh).alias("new_frames"),
+        "family_id", "hidden", "source_visible", "new_frames",
         (rotation_angle(F.col("_a"), F.col("_b")) > angle).alias("different_view"),
     )
 
