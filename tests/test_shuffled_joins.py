@@ -36,3 +36,9 @@ def test_cases_are_dealt_to_the_tasks_of_a_shuffle(spark):
     from tallyframe.plans import standins
 
     assert standins.cases(spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_written_assets_lie_in_several_folders(spark):
+    files = entry.queries()["hash_assets_written"](spark, SF).inputFiles()
+    assert len({f.rsplit("/", 1)[0] for f in files}) > 1
+    drop_staged(spark)
