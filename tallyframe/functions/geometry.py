@@ -63,7 +63,10 @@ def _interval(low: Column, high: Column) -> Column:
 
 
 def union_area(required: Column, boxes: Column) -> Column:
-    """Exact area of ``required`` covered by the union of ``boxes``: strips between distinct x edges."""
+    """Exact area of ``required`` covered by the union of ``boxes``.
+
+    Up to two boxes have a closed form, more are summed in strips between distinct x edges.
+    """
     def clip(b: Column) -> Column:
         return F.array(
             F.greatest(required[0], b[0]), F.greatest(required[1], b[1]),
@@ -83,7 +86,16 @@ def union_area(required: Column, boxes: Column) -> Column:
 
         return let(edges, total)
 
-    return let(F.filter(F.transform(boxes, clip), lambda b: (b[0] < b[2]) & (b[1] < b[3])), strips)
+    def covered(clipped: Column) -> Column:
+        first, second = clipped[0], clipped[1]
+        none = F.lit(0).cast("long")
+        return (
+            F.when(F.size(clipped) == 0, none).when(F.size(clipped) == 1, area(first).cast("long"))
+            .when(F.size(clipped) == 2, (area(first) + area(second) - intersection_area(first, second)).cast("long"))
+            .otherwise(strips(clipped))
+        )
+
+    return let(F.filter(F.transform(boxes, clip), lambda b: (b[0] < b[2]) & (b[1] < b[3])), covered)
 
 
 def box_coverage(required: Column, boxes: Column) -> Column:

@@ -113,3 +113,17 @@ def test_microdollars_round_up_and_refuse_negative(spark):
     assert [r[0] for r in df.select(actions.microdollars(F.col("v"))).collect()] == [1, 700000, 0]
     with pytest.raises(Exception, match="non-negative"):
         spark.createDataFrame([(-0.1,)], "v double").select(actions.microdollars(F.col("v"))).collect()
+
+
+def test_union_of_up_to_two_boxes_has_a_closed_form(spark):
+    """Strips are left to three boxes and more; empty, touching, nested and crossing pairs have the areas of counted pixels."""
+    boxes = [[0, 0, 4, 4], [2, 2, 6, 6], [4, 0, 8, 4], [1, 1, 2, 2], [5, 5, 5, 9], [-3, -3, 1, 1], [9, 9, 12, 12]]
+    required = [0, 0, 7, 5]
+    rows = [(i, list(pair)) for i, pair in enumerate([(), *((a,) for a in boxes), *((a, b) for a in boxes for b in boxes)])]
+    df = spark.createDataFrame(rows, "i int, b array<array<bigint>>").withColumn("r", F.array(*[F.lit(v).cast("bigint") for v in required]))
+    got = {r.i: r.area for r in df.select("i", geometry.union_area(F.col("r"), F.col("b")).alias("area")).collect()}
+    def pixels(pair):
+        return sum(any(b[0] <= x < b[2] and b[1] <= y < b[3] for b in pair) for x in range(7) for y in range(5))
+    assert got == {i: pixels(pair) for i, pair in rows}
+    plan = df.select(geometry.union_area(F.col("r"), F.col("b")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "= 2)" in plan
