@@ -71,32 +71,46 @@ class Ledger(StatefulProcessor):
 
     An unresolved reservation blocks new ones, also after its response was kept; a charge above its bound leaves the
     reservation unresolved; a key that was settled before is reused at no cost; a sealed ledger takes no new reservation.
+
+    Every call of the state store is a message to another process, so a ledger's first stages and settled keys, ``inline`` of each,
+    lie in its account, which is read once and written once per batch; further ones have entries of their own.
     """
 
     OUT = "ledger bigint, seq bigint, key string, outcome string, accounted bigint"
 
-    def __init__(self, cap: int, stage_cap: int):
-        self.cap, self.stage_cap = cap, stage_cap
+    def __init__(self, cap: int, stage_cap: int, inline: int = 64):
+        self.cap, self.stage_cap, self.inline = cap, stage_cap, inline
 
     def init(self, handle) -> None:
-        self.account = handle.getValueState("account", "total bigint, key string, bound bigint, stage string, sealed boolean")
+        self.account = handle.getValueState(
+            "account", "total bigint, key string, bound bigint, stage string, sealed boolean, stages array<string>, used array<bigint>, paid array<string>"
+        )
         self.stages = handle.getMapState("stages", "stage string", "used bigint")
         self.paid = handle.getMapState("paid", "key string", "charge bigint")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        total, held_key, held_bound, held_stage, sealed = self.account.get() or (0, None, 0, None, False)
-        used: dict = {}
-        paid: dict = {}
+        total, held_key, held_bound, held_stage, sealed, *lists = self.account.get() or (0, None, 0, None, False, [], [], [])
+        used, paid = dict(zip(lists[0], lists[1])), dict.fromkeys(lists[2])
+        # What is not in the account; the store has some of it only where the account was full before.
+        stages_full, paid_full = len(used) >= self.inline, len(paid) >= self.inline
+        more_used: dict = {}
+        more_paid: dict = {}
+        changed: set = set()
         result = Row("ledger", "seq", "key", "outcome", "accounted")
 
-        def spent(stage) -> int:
-            if stage not in used:
-                name = (f"={stage}" if stage is not None else "~",)
-                used[stage] = self.stages.getValue(name)[0] if self.stages.containsKey(name) else 0
-            return used[stage]
+        def named(stage) -> str:
+            return f"={stage}" if stage is not None else "~"
+
+        def spent(name) -> int:
+            if name in used:
+                return used[name]
+            if name not in more_used:
+                held = self.stages.getValue((name,)) if stages_full else None
+                more_used[name] = held[0] if held else 0
+            return more_used[name]
 
         def known(call) -> bool:
-            return call is not None and (call in paid or self.paid.containsKey((call,)))
+            return call is not None and (call in paid or call in more_paid or (paid_full and self.paid.containsKey((call,))))
 
         for row in sorted(rows, key=lambda r: r.seq):
             call, op, open_ = row.key, row.op, held_stage is not None
@@ -108,10 +122,10 @@ class Ledger(StatefulProcessor):
                     outcome = "ledger_sealed"
                 elif open_:
                     outcome = "blocked"
-                elif total + row.bound > self.cap or spent(row.stage) + row.bound > self.stage_cap:
+                elif total + row.bound > self.cap or spent(named(row.stage)) + row.bound > self.stage_cap:
                     outcome = "over_cap"
                 else:
-                    held_key, held_bound, held_stage, outcome = call, int(row.bound), f"={row.stage}" if row.stage is not None else "~", "reserved"
+                    held_key, held_bound, held_stage, outcome = call, int(row.bound), named(row.stage), "reserved"
             elif op == "seal":
                 sealed, outcome = True, "sealed"
             elif op == "respond":
@@ -119,18 +133,24 @@ class Ledger(StatefulProcessor):
             elif open_ and held_key == call:
                 outcome = "unresolved"
                 if row.charge is not None and row.charge <= held_bound:
-                    stage = held_stage[1:] if held_stage.startswith("=") else None
                     total += row.charge
-                    used[stage] = spent(stage) + row.charge
-                    paid[call] = row.charge
+                    amount = spent(held_stage) + row.charge
+                    if held_stage in used or len(used) < self.inline:
+                        used[held_stage] = amount
+                    else:
+                        more_used[held_stage] = amount
+                        changed.add(held_stage)
+                    if call is not None and len(paid) < self.inline:
+                        paid[call] = None
+                    elif call is not None:
+                        more_paid[call] = row.charge
                     held_key, held_bound, held_stage, outcome = None, 0, None, "settled"
             yield result(row.ledger, row.seq, call, outcome, total + held_bound)
-        self.account.update((total, held_key, held_bound, held_stage, sealed))
-        for stage, amount in used.items():
-            self.stages.updateValue((f"={stage}" if stage is not None else "~",), (amount,))
-        for call, charge in paid.items():
-            if call is not None:
-                self.paid.updateValue((call,), (charge,))
+        self.account.update((total, held_key, held_bound, held_stage, sealed, [*used], [*used.values()], [*paid]))
+        for name in changed:
+            self.stages.updateValue((name,), (more_used[name],))
+        for call, charge in more_paid.items():
+            self.paid.updateValue((call,), (charge,))
 
     def close(self) -> None:
         pass
