@@ -18,13 +18,22 @@ from pyspark.sql.window import Window as W
 
 from ..functions.hashing import stable_hash
 from ..session import materialize
-from ..skew import ordered_index
+from ..skew import ordered_index, shuffled
+
+# Rows from which on a side of a join is shuffled: Spark takes rows with arrays for as small as their files, and would pass them
+# through the driver.
+MANY = 20_000
 
 
 class Infeasible(ValueError):
     """No assignment keeps the quotas and meets every source once."""
 
 
+def joined_by_size(df: DataFrame, rows: int) -> DataFrame:
+    """A join side of about so many rows: shuffled where they are many, else left to Spark."""
+    return shuffled(df) if rows >= MANY else df
+
+
 def group_names(groups: str, key: str) -> Column:
     """The groups of a family, and the family itself: nobody gets a family twice either."""
     named = F.transform(F.coalesce(F.col(groups), F.array().cast("array<string>")), lambda g: F.concat(F.lit("g:"), g))
@@ -46,7 +55,8 @@ def dealt_slots(families: DataFrame, task: str, groups: str, key: str, arms: Seq
     person = (place + F.col("_arm") * (people // len(arms))) % people
     return slots.select(
         *families.columns, arm.alias("arm"), "repeat", F.struct(F.col(task).alias("task"), F.col("_arm").alias("arm")).alias("_class"), place.alias("_place"),
-        F.col("_names").alias("_groups"), person.cast("int").alias("person"),
+        # Ids stand for names. Two groups of one id would be kept apart as if they were one, which breaks no rule.
+        F.array_distinct(F.transform("_names", lambda g: F.xxhash64(g))).alias("_groups"), person.cast("int").alias("person"),
     )
 
 
@@ -61,29 +71,35 @@ def check_feasible(families: DataFrame, task: str, groups: str, key: str, width:
         raise Infeasible(f"{row.group} has {row.n} slots for {people} people")
 
 
-def met_cells(slots: DataFrame) -> DataFrame:
-    """How often each person meets each group."""
-    return slots.select("person", F.explode("_groups").alias("group")).groupBy("person", "group").agg(F.count("*").alias("n"))
+def place_order(seed: int) -> Column:
+    """Order in which slots give way to one another."""
+    return F.struct(F.xxhash64("_class", "_place", F.lit(seed)).alias("h"), "_class", "_place")
+
+
+def met_cells(slots: DataFrame, seed: int) -> DataFrame:
+    """How often each person meets each group, and the slot that may stay where that is more than once."""
+    cells = slots.select("person", F.explode("_groups").alias("group"), place_order(seed).alias("_order"))
+    return cells.groupBy("person", "group").agg(F.count("*").alias("n"), F.min("_order").alias("_keep"))
 
 
-def in_conflict(slots: DataFrame, met: DataFrame, seed: int) -> DataFrame:
+def in_conflict(slots: DataFrame, met: DataFrame, seed: int, rows: int) -> DataFrame:
     """Slots that have to go: of all slots in which a person meets a group, one may stay."""
-    cells = slots.select("_class", "_place", "person", F.explode("_groups").alias("group")).join(met.where("n > 1"), ["person", "group"])
-    order = F.struct(F.xxhash64("_class", "_place", F.lit(seed)), "_class", "_place")
-    keeps = cells.groupBy("person", "group").agg(F.min(order).alias("_keep"))
-    out = cells.join(keeps, ["person", "group"]).where(order != F.col("_keep")).select("_class", "_place").distinct()
-    return slots.join(out, ["_class", "_place"], "left_semi")
+    again = joined_by_size(met.where("n > 1").drop("n"), rows)
+    cells = slots.select("_class", "_place", "person", F.explode("_groups").alias("group")).join(again, ["person", "group"])
+    out = cells.where(place_order(seed) != F.col("_keep")).select("_class", "_place").distinct()
+    return slots.join(joined_by_size(out, rows), ["_class", "_place"], "left_semi")
 
 
-def sound_swaps(movers: DataFrame, slots: DataFrame, met: DataFrame, tries: int, salt: int, both: bool = True) -> DataFrame:
+def sound_swaps(movers: DataFrame, slots: DataFrame, met: DataFrame, tries: int, salt: int, both: bool = True, rows: int = 0) -> DataFrame:
     """Candidate swaps (places ``a``, ``b``, persons ``p``, ``q``, groups and ``rank``, a hash) after which neither person meets a group
-    twice, or with ``both`` unset the one who gets the slot in conflict does not: the conflict then moves on to the other."""
+    twice, or with ``both`` unset the one who gets the slot in conflict does not: the conflict then moves on to the other.
+    About so many ``rows`` of slots in conflict are tried."""
     sizes = slots.groupBy("_class").agg(F.count("*").alias("_size"))
     drawn = movers.join(sizes, "_class").withColumn("_try", F.explode(F.sequence(F.lit(1), F.lit(tries))))
     drawn = drawn.withColumn("_at", F.pmod(F.xxhash64("_class", "_place", "_try", F.lit(salt)), F.col("_size")))
     mine = drawn.select("_class", F.col("_place").alias("a"), F.col("_at").alias("b"), F.col("person").alias("p"), F.col("_groups").alias("mine"))
     theirs = slots.select("_class", F.col("_place").alias("b"), F.col("person").alias("q"), F.col("_groups").alias("theirs"))
-    pairs = mine.join(theirs, ["_class", "b"]).where("p <> q").dropDuplicates(["_class", "a", "b"])
+    pairs = joined_by_size(mine, rows * tries).join(theirs, ["_class", "b"]).where("p <> q").dropDuplicates(["_class", "a", "b"])
     def entering(side: str, other: str, person: str) -> Column:
         return F.transform(side, lambda g: F.struct(F.col(person).alias("person"), g.alias("group"), F.array_contains(F.col(other), g).alias("own")))
 
@@ -91,24 +107,25 @@ def sound_swaps(movers: DataFrame, slots: DataFrame, met: DataFrame, tries: int,
     pairs = materialize(pairs.withColumn("rank", F.xxhash64("_class", "a", "b", F.lit(salt))), "swaps")
     cells = pairs.select("_class", "a", "b", F.inline(F.concat(*enters)))
     # What leaves with the swap does not count.
-    hurt = cells.join(met, ["person", "group"]).where(F.col("n") - F.col("own").cast("int") > 0).select("_class", "a", "b").distinct()
-    return pairs.join(hurt, ["_class", "a", "b"], "left_anti")
+    hurt = joined_by_size(cells, rows * tries).join(met.drop("_keep"), ["person", "group"]).where(F.col("n") - F.col("own").cast("int") > 0)
+    return pairs.join(joined_by_size(hurt.select("_class", "a", "b").distinct(), rows * tries), ["_class", "a", "b"], "left_anti")
 
 
-def compatible_swaps(swaps: DataFrame) -> DataFrame:
+def compatible_swaps(swaps: DataFrame, rows: int = 0) -> DataFrame:
     """One swap per slot in conflict, and of swaps that claim the same slot or (person, group) the one with the smallest rank."""
     best = W.partitionBy("_class", "a").orderBy("rank", "b")
     swaps = materialize(swaps.withColumn("_turn", F.row_number().over(best)).where("_turn = 1").drop("_turn"), "chosen")
     def claims(kind: str, person: str, groups: str) -> Column:
-        return F.transform(groups, lambda g: F.concat_ws("|", F.lit(kind), F.col(person).cast("string"), g))
+        return F.transform(groups, lambda g: F.xxhash64(F.lit(kind), F.col(person), g))
 
-    slots = [F.concat_ws("|", F.lit("s"), F.to_json("_class"), F.col(c).cast("string")) for c in ("a", "b")]
+    # A claim that two swaps share by chance costs one of them this round.
+    slots = [F.xxhash64(F.lit("s"), "_class", c) for c in ("a", "b")]
     claimed = F.concat(F.array(*slots), claims("c", "q", "mine"), claims("c", "p", "theirs"))
-    rows = swaps.select("_class", "a", "b", "rank", F.explode(F.array_distinct(claimed)).alias("claim"))
+    claimants = swaps.select("_class", "a", "b", "rank", F.explode(F.array_distinct(claimed)).alias("claim"))
     order = F.struct("rank", "_class", "a", "b")
-    first = rows.groupBy("claim").agg(F.min(order).alias("_first"))
-    lost = rows.join(first, "claim").where(order != F.col("_first")).select("_class", "a", "b").distinct()
-    return swaps.join(lost, ["_class", "a", "b"], "left_anti")
+    first = claimants.groupBy("claim").agg(F.min(order).alias("_first"))
+    lost = claimants.join(joined_by_size(first, rows), "claim").where(order != F.col("_first")).select("_class", "a", "b").distinct()
+    return swaps.join(joined_by_size(lost, rows), ["_class", "a", "b"], "left_anti")
 
 
 def assign_disjoint(
@@ -122,18 +139,23 @@ def assign_disjoint(
     """
     check_feasible(families, task, groups, key, len(arms) * repeats, repeats, people)
     slots = materialize(dealt_slots(families, task, groups, key, arms, repeats, people, seed), "slots")
+    total = slots.count()
     for number in range(rounds):
-        met = materialize(met_cells(slots), "met")
-        if met.where("n > 1").isEmpty():
+        met = materialize(met_cells(slots, seed + number), "met")
+        rows = met.where("n > 1").agg(F.sum(F.col("n") - 1)).first()[0]
+        if not rows:
             return slots.select(*families.columns, "arm", "repeat", "person")
-        movers = materialize(in_conflict(slots, met, seed + number), "movers")
+        movers = materialize(in_conflict(slots, met, seed + number, rows), "movers")
         # Few conflicts are left at the end: they look at more partners, and where none helps, half of them hand their conflict on.
         both = number % 3 < 2
         if not both:
             movers = movers.where(F.pmod(F.xxhash64("_class", "_place", F.lit(number)), F.lit(2)) == 0)
-        swaps = compatible_swaps(sound_swaps(movers, slots, met, tries << min(number, 6), seed + number, both))
+        # All of them together look at no more than there are slots, or at ``tries`` each.
+        drawn = max(tries, min(tries << min(number, 6), (total + 100_000) // rows))
+        swaps = compatible_swaps(sound_swaps(movers, slots, met, drawn, seed + number, both, rows), rows)
         swaps = materialize(swaps.select("_class", "a", "b", "p", "q"), "done")
         moved = swaps.select("_class", F.col("a").alias("_place"), F.col("q").alias("_new")).unionByName(
             swaps.select("_class", F.col("b").alias("_place"), F.col("p").alias("_new")))
+        moved = joined_by_size(moved, rows)
         slots = materialize(slots.join(moved, ["_class", "_place"], "left").withColumn("person", F.coalesce("_new", "person")).drop("_new"), "slots")
     raise Infeasible(f"no source-disjoint assignment was found in {rounds} rounds")

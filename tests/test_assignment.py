@@ -56,3 +56,25 @@ def test_infeasible_input_is_refused(spark):
     with pytest.raises(Infeasible, match="has 12 slots"):
         # Any two of the families share a source, so a person could take one of their slots, not the three that are due.
         assigned(spark, [(f"f{i}", "t", [f"pair {min(i, j)} {max(i, j)}" for j in range(3) if j != i]) for i in range(3)], people=6, seed=1)
+
+
+def test_many_conflicts_are_joined_by_shuffles(spark, monkeypatch):
+    """Rows with arrays look small as files: where they are many, no round passes them through the driver."""
+    from tallyframe.operators import assignment
+
+    plans = {}
+
+    def seen(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    keep = assignment.materialize
+    monkeypatch.setattr(assignment, "materialize", seen)
+    monkeypatch.setattr(assignment, "MANY", 1)
+    rows = [(f"f{i}", "t", [f"a{i // 3}", f"b{i % 12}"]) for i in range(36)]
+    check(assigned(spark, rows, people=36, seed=2), rows, 36)
+    assert len(plans["done"]) >= 1
+    # Behind the deal itself, the numbers of slots by class alone are broadcast.
+    assert all("BroadcastHashJoin" not in plan for name in ("met", "movers", "chosen", "done") for plan in plans[name])
+    assert all("BroadcastHashJoin" not in plan for plan in plans["slots"][1:])
+    assert all(plan.count("BroadcastHashJoin") <= 1 for plan in plans["swaps"])
