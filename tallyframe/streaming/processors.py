@@ -1,4 +1,4 @@
-"""Keyed state machines on Spark's state store: sessions, ledgers and progress gates.
+"""Keyed state machines on Spark's state store: sessions and ledgers.
 
 State per key lives in RocksDB and is read and written per micro-batch for the keys that occur in it; no batch reads what
 earlier batches wrote. A key's rows of one batch are put in order in the task, so a task holds one key's share of one batch,
@@ -154,35 +154,3 @@ class Ledger(StatefulProcessor):
 
     def close(self) -> None:
         pass
-
-
-class Progress(StatefulProcessor):
-    """Completed keys per run from counts of new ones; ``ready`` once, when the plan is met.
-
-    A run that has met its plan keeps one short state until the watermark is ``keep_ms`` past, so that nothing can make it ready
-    a second time while its rows may still come.
-    """
-
-    def __init__(self, run: str, keep_ms: int):
-        self.run, self.keep_ms = run, keep_ms
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.done = handle.getValueState("done", "done bigint, expected bigint, ready boolean")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        done, expected, ready = self.done.get() or (0, None, False)
-        for row in rows:
-            done, expected = done + row.fresh, row.expected
-        now = not ready and done == expected
-        self.done.update((done, expected, ready or now))
-        if now:
-            self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + self.keep_ms)
-        yield Row(self.run, "done", "expected", "ready")(key[0], done, expected, now)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.done.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
