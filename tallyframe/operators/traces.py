@@ -17,7 +17,7 @@ from ..functions.hashing import row_digest
 from ..functions.text import strict_json
 from ..schemas import PART
 from ..session import materialize
-from ..skew import composed_log, multiset_digest, ordered_index, replay_states, running_total
+from ..skew import composed_log, let, multiset_digest, ordered_index, replay_states, running_total
 
 
 def explode_messages(traces: DataFrame, keys: list[str], messages: str = "messages") -> DataFrame:
@@ -170,7 +170,7 @@ def replay_actions(
 
 def replay_releases(
     actions: DataFrame, evidence: DataFrame, budget: int, episode: str = "episode", order: str = "pos", name: str = "name",
-    key: str = "view", image: str = "image", costs: Mapping[str, int] | None = None,
+    key: str = "view", image: str = "image", costs: Mapping[str, int] | None = None, short: int = 512,
 ) -> DataFrame:
     """``replay_actions`` with the set of released images: ``given`` and ``is_new`` for accepted requests, ``n_released`` (images out
     after the action), and outcome ``unreleased_image`` for an action on an image that was not out yet.
@@ -179,11 +179,94 @@ def replay_releases(
     ``evidence`` has ``episode``, ``key``, ``image``, ``available`` and ``released``. A request is given the smallest available image
     of its key that is not out, else the smallest one, else nothing; it is charged all the same.
 
-    Budget and releases depend on each other, and each alone composes: steps of the budget in a tree of segments, the n-th
-    accepted request of a key with the n-th unreleased image. They are replayed in turn until no action changes. A round
-    settles all actions before the first wrong one, so the end is what a replay one by one gives, and no episode is ever in
-    one task.
+    Episodes of at most ``short`` actions and images are folded action by action, one array each, in one pass over all of them.
+    In longer ones budget and releases depend on each other, and each alone composes: steps of the budget in a tree of segments,
+    the n-th accepted request of a key with the n-th unreleased image. They are replayed in turn until no action changes. A round
+    settles all actions before the first wrong one, so the end is what a replay one by one gives, and no episode of any length
+    is ever in one task.
     """
+    rules = (budget, episode, order, name, key, image, costs)
+    # As a struct, an episode without an id is joined like any other.
+    whole = F.struct(F.col(episode).alias("episode")).alias("_whole")
+    large = [t.groupBy(whole).agg(F.count("*").alias("_n")).where(F.col("_n") > short).select("_whole") for t in (actions, evidence)]
+    large = materialize(large[0].unionByName(large[1]).distinct(), "large")
+    if large.isEmpty():
+        return _folded_releases(actions, evidence, *rules)
+
+    def part(df: DataFrame, how: str) -> DataFrame:
+        return df.select("*", whole).join(large, "_whole", how).select(*df.columns)
+
+    folded = _folded_releases(part(actions, "left_anti"), part(evidence, "left_anti"), *rules)
+    return folded.unionByName(_composed_releases(part(actions, "left_semi"), part(evidence, "left_semi"), *rules))
+
+
+def _folded_releases(
+    actions: DataFrame, evidence: DataFrame, budget: int, episode: str, order: str, name: str, key: str, image: str, costs: Mapping[str, int] | None,
+) -> DataFrame:
+    """``replay_releases`` of episodes that each fit an array."""
+    asks = F.coalesce(F.col(name) == "request_photo", F.lit(False))
+    item = F.struct(
+        F.col(order).alias("_at"), F.col(key).alias("key"), F.col(image).alias("image"), asks.alias("asks"),
+        F.coalesce(F.col(name) == "finish", F.lit(False)).alias("ends"), action_price(F.col(name), costs).alias("price"), F.struct(*actions.columns).alias("row"),
+    )
+    # Rows of an episode have different places, so no later field decides their order.
+    own = actions.select(episode, item.alias("_item")).groupBy(episode).agg(F.collect_list("_item").alias("_items"))
+    own = own.withColumn("_items", F.array_sort("_items", lambda a, b: F.when(a["_at"] < b["_at"], -1).when(a["_at"] > b["_at"], 1).otherwise(0)))
+    offer = F.struct(F.col(key).alias("key"), F.col(image).alias("id"))
+    stock = evidence.groupBy(episode).agg(
+        F.array_sort(F.collect_list(F.when(F.col("available") & ~F.col("released"), offer))).alias("_fresh"),
+        F.array_sort(F.collect_set(F.when(F.col("available"), offer))).alias("_usable"), F.collect_set(F.when(F.col("released"), F.col(image))).alias("_start"),
+    )
+    joined = own.join(stock, episode, "left")
+    joined = joined.withColumns({c: F.coalesce(c, F.array().cast(joined.schema[c].dataType)) for c in ("_fresh", "_usable", "_start")})
+    ids, keys = joined.schema["_start"].dataType.elementType, actions.schema[key].dataType
+    empty = F.struct(
+        F.lit(budget).alias("state"), F.array().cast(f"array<{ids.simpleString()}>").alias("out"), F.array().cast(f"array<{keys.simpleString()}>").alias("asked"),
+        F.array().cast(f"array<struct<state_before:int,state_after:int,outcome:string,given:{ids.simpleString()},is_new:boolean,n_released:bigint>>").alias("log"),
+    )
+
+    def matching(offers: str, wanted: Column) -> Column:
+        return F.filter(offers, lambda o: o["key"] == wanted)
+
+    def step(acc: Column, item: Column) -> Column:
+        held = F.coalesce(F.array_contains("_start", item["image"]) | F.array_contains(acc["out"], item["image"]), F.lit(False))
+        failing = item["image"].isNotNull() & ~item["asks"] & ~held
+        outcome = (
+            F.when(acc["state"] > budget, "episode_finished").when(item["ends"] & ~failing, "finished").when(item["price"].isNull(), "unknown_action")
+            .when(item["price"] > acc["state"], "insufficient_budget").when(failing, "unreleased_image").otherwise("accepted")
+        )
+
+        def taken(outcome: Column) -> Column:
+            gives = item["asks"] & (outcome == "accepted")
+            turn = F.size(F.filter(acc["asked"], lambda k: k == item["key"]))
+            fresh = F.when(gives, F.get(matching("_fresh", item["key"]), turn)["id"])
+            after = F.when(outcome == "finished", budget + 1).when(outcome == "accepted", acc["state"] - item["price"]).otherwise(acc["state"]).cast("int")
+            return let(F.struct(after.alias("after"), gives.alias("gives"), fresh.alias("fresh")), lambda t: moved(outcome, t))
+
+        def moved(outcome: Column, t: Column) -> Column:
+            new = t["fresh"].isNotNull()
+            out = F.when(new, F.array_append(acc["out"], t["fresh"])).otherwise(acc["out"])
+            given = F.when(t["gives"], F.coalesce(t["fresh"], F.get(matching("_usable", item["key"]), F.lit(0))["id"]))
+            line = F.struct(
+                acc["state"].alias("state_before"), t["after"].alias("state_after"), outcome.alias("outcome"), given.alias("given"), new.alias("is_new"),
+                (F.size("_start") + F.size(acc["out"]) + new.cast("int")).cast("bigint").alias("n_released"),
+            )
+            return F.struct(
+                t["after"].alias("state"), out.alias("out"), F.when(t["gives"], F.array_append(acc["asked"], item["key"])).otherwise(acc["asked"]).alias("asked"),
+                F.array_append(acc["log"], line).alias("log"),
+            )
+
+        return let(outcome, taken)
+
+    log = F.aggregate("_items", empty, step, lambda acc: acc["log"])
+    rows = joined.select(F.explode(F.arrays_zip(F.col("_items").alias("item"), log.alias("said"))).alias("z"))
+    return rows.select("z.item.row.*", "z.said.state_before", "z.said.state_after", "z.item.price", "z.said.outcome", "z.said.given", "z.said.is_new", "z.said.n_released")
+
+
+def _composed_releases(
+    actions: DataFrame, evidence: DataFrame, budget: int, episode: str, order: str, name: str, key: str, image: str, costs: Mapping[str, int] | None,
+) -> DataFrame:
+    """``replay_releases`` of episodes of any length."""
     first = evidence.where("released").select(episode, image).distinct().withColumn("_out", F.lit(True))
     known = evidence.where("available OR released").select(episode, image).distinct().withColumn("_known", F.lit(True))
     asks = (F.col(name) == "request_photo").alias("_asks")

@@ -71,3 +71,22 @@ def test_a_chain_of_dependent_actions_in_one_long_episode(spark):
     for i in range(3000):
         actions.append((1, i, "request_photo" if i % 5 == 0 else "crop", "v", (i // 5 + i % 3) % 45))
     check(spark, actions, evidence, 90)
+
+
+def test_folded_and_composed_episodes_give_the_same(spark):
+    rng = random.Random(4)
+    # Episodes above and below the bound by their actions or by their images, one without an id, one without images.
+    evidence = [(e, f"v{i % 3}", i, rng.random() < 0.8, rng.random() < 0.2) for e in range(6) for i in range(9 if e else 30)]
+    actions = []
+    for episode in [*range(7), None]:
+        for pos in range(rng.randrange(30, 40) if episode in (2, 3) else rng.randrange(5, 25)):
+            name = rng.choice(["request_photo", "crop", "ocr", "compare", "paint", None] if rng.random() > 0.04 else ["finish"])
+            actions.append((episode, pos, name, rng.choice(["v0", "v1", "v2", "v9", None]), rng.choice([None, *range(10)])))
+    acts = spark.createDataFrame(actions, "episode int, pos int, name string, view string, image int").repartition(3)
+    images = spark.createDataFrame(evidence, "episode int, view string, image int, available boolean, released boolean")
+    runs = [traces.replay_releases(acts, images, 20, short=short) for short in (1000, 25, 0)]
+    assert len({str(r.dtypes) for r in runs}) == 1
+    rows = [sorted((tuple(r) for r in run.collect()), key=str) for run in runs]
+    assert len(rows[0]) == len(actions) and rows[0] == rows[1] == rows[2]
+    want = brute(actions, evidence, 20)
+    assert {(r.episode, r.pos): (r.outcome, r.given, r.is_new, r.n_released) for r in runs[1].collect()} == {k: v[:4] for k, v in want.items()}
