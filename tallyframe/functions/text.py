@@ -69,28 +69,37 @@ def parse_xml_call(text: Column, known: dict[str, dict[str, str]]) -> Column:
     """
     blank = F.lit(" \t\r\n")
 
+    kinds = F.create_map(*[F.lit(x) for f, own in known.items() for p, kind in own.items() for x in (f"{f} {p}", kind)])
+
+    # A JSON string literal is what to_json writes behind the name of a one-field object.
+    def literal(p: Column) -> Column:
+        quoted = F.to_json(F.struct(p["v"].alias("s")))
+        return F.when(p["kind"] == "string", F.substring(quoted, F.lit(6), F.length(quoted) - 6)).otherwise(p["v"])
+
+    # Each part of the call is cut out once, and only of a call that is sound so far.
     def read(found: Column) -> Column:
         body = F.get(found, F.lit(0))
-        name = F.regexp_extract(body, FUNCTION_PATTERN, 1)
-        inner = F.regexp_extract(body, FUNCTION_PATTERN, 2)
-        keys = F.regexp_extract_all(inner, F.lit(PARAMETER_PATTERN), 1)
-        values = F.transform(F.regexp_extract_all(inner, F.lit(PARAMETER_PATTERN), 2), lambda v: F.btrim(v, blank))
-        stray = F.btrim(F.regexp_replace(inner, PARAMETER_PATTERN, ""), blank)
-        kinds = F.create_map(*[F.lit(x) for f, own in known.items() for p, kind in own.items() for x in (f"{f} {p}", kind)])
+        parts = F.struct(F.regexp_extract(body, FUNCTION_PATTERN, 1).alias("name"), F.regexp_extract(body, FUNCTION_PATTERN, 2).alias("inner"))
+        return F.when(F.size(found) == 1, let(parts, named))
+
+    def named(call: Column) -> Column:
+        stray = F.btrim(F.regexp_replace(call["inner"], PARAMETER_PATTERN, ""), blank)
+        keys = F.regexp_extract_all(call["inner"], F.lit(PARAMETER_PATTERN), 1)
+        return F.when(call["name"].isin(*known) & (stray == ""), let(keys, lambda found: keyed(call, found)))
+
+    def keyed(call: Column, keys: Column) -> Column:
+        values = F.regexp_extract_all(call["inner"], F.lit(PARAMETER_PATTERN), 2)
         pairs = F.transform(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda p: F.struct(
-            p["k"].alias("k"), p["v"].alias("v"), F.try_element_at(kinds, F.concat_ws(" ", name, p["k"])).alias("kind")
+            p["k"].alias("k"), F.btrim(p["v"], blank).alias("v"), F.try_element_at(kinds, F.concat_ws(" ", call["name"], p["k"])).alias("kind")
         ))
-        # A JSON string literal is what to_json writes behind the name of a one-field object.
-        def literal(p: Column) -> Column:
-            quoted = F.to_json(F.struct(p["v"].alias("s")))
-            return F.when(p["kind"] == "string", F.substring(quoted, F.lit(6), F.length(quoted) - 6)).otherwise(p["v"])
+        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), let(pairs, lambda found: typed(call, found)))
 
-        typed = F.forall(pairs, lambda p: p["kind"].isNotNull() & ((p["kind"] == "string") | strict_json(p["v"]).isNotNull()))
-        sound = (F.size(found) == 1) & name.isin(*known) & (stray == "") & (F.size(F.array_distinct(keys)) == F.size(keys)) & typed
+    def typed(call: Column, pairs: Column) -> Column:
+        sound = F.forall(pairs, lambda p: p["kind"].isNotNull() & ((p["kind"] == "string") | strict_json(p["v"]).isNotNull()))
         fields = F.array_join(F.transform(pairs, lambda p: F.concat(F.lit('"'), p["k"], F.lit('": '), literal(p))), ", ")
         around = F.btrim(F.regexp_replace(text, CALL_PATTERN, ""), blank)
-        call = F.struct(name.alias("name"), F.concat(F.lit("{"), fields, F.lit("}")).alias("arguments"), around.alias("content"))
-        return F.when(F.coalesce(sound, F.lit(False)), call)
+        out = F.struct(call["name"].alias("name"), F.concat(F.lit("{"), fields, F.lit("}")).alias("arguments"), around.alias("content"))
+        return F.when(sound, out)
 
     return let(F.regexp_extract_all(text, F.lit(CALL_PATTERN), 1), read)
 

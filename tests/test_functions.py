@@ -127,3 +127,17 @@ def test_union_of_up_to_two_boxes_has_a_closed_form(spark):
     assert got == {i: pixels(pair) for i, pair in rows}
     plan = df.select(geometry.union_area(F.col("r"), F.col("b")))._jdf.queryExecution().optimizedPlan().toString()
     assert "= 2)" in plan
+
+
+def test_an_xml_call_is_cut_up_once(spark):
+    known = {"f": {"a": "string", "n": "number"}}
+    texts = [
+        "x <tool_call><function=f><parameter=a> q\"</parameter><parameter=n>2</parameter></function></tool_call>", "<tool_call><function=f></function></tool_call>",
+        "<tool_call><function=f><parameter=n>2 3</parameter></function></tool_call>", "<tool_call><function=g></function></tool_call>", "none", None,
+        "<tool_call><function=f></function></tool_call><tool_call><function=f></function></tool_call>",
+    ]
+    out = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", text.parse_xml_call(F.col("t"), known).alias("c"))
+    got = {r.i: r.c and tuple(r.c) for r in out.collect()}
+    assert got == {0: ("f", '{"a": "q\\"", "n": 2}', "x"), 1: ("f", "{}", ""), **dict.fromkeys(range(2, 7))}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<function=(") == 2 and plan.count("<parameter=(") == 3
