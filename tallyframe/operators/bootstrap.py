@@ -36,12 +36,19 @@ def poisson_thresholds() -> list[float]:
     return out
 
 
-def _weight(digest: Column, slot: int) -> Column:
-    u = digest_int(digest, 1 + 8 * slot, 8) / F.lit(float(2**32))
-    weight = F.lit(0)
-    for limit in poisson_thresholds():
-        weight = weight + F.when(u >= limit, 1).otherwise(0)
-    return weight
+def poisson_edges() -> list[str]:
+    """``poisson_thresholds`` as eight hex digits: a 32-bit fraction is below a threshold exactly if its digits come before these."""
+    edges = [math.ceil(limit * 2**32) for limit in poisson_thresholds()]
+    return [f"{edge:08x}" for edge in edges if edge < 2**32]
+
+
+def _weight(word: Column) -> Column:
+    """Poisson number of a 32-bit fraction given as eight hex digits, which are compared as they are."""
+    edges = poisson_edges()
+    weight = F.when(word < edges[0], 0)
+    for k, edge in enumerate(edges[1:], 1):
+        weight = weight.when(word < edge, k)
+    return weight.otherwise(len(edges))
 
 
 def unit_sums(df: DataFrame, unit: str, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -54,8 +61,9 @@ def poisson_replicates(units: DataFrame, unit: str, iterations: int, seed: int,
     blocks = -(-iterations // PER_DIGEST)
     key = F.concat_ws("|", F.lit(str(seed)), F.col("_block").cast("string"), F.col(unit).cast("string"))
     rows = units.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_d", F.sha2(key, 256))
-    for s in range(PER_DIGEST):
-        rows = rows.withColumn(f"_w{s}", _weight(F.col("_d"), s))
+    # Each word is cut out once and then compared with about two edges.
+    rows = rows.withColumns({f"_h{s}": F.substring("_d", 1 + 8 * s, 8) for s in range(PER_DIGEST)})
+    rows = rows.withColumns({f"_w{s}": _weight(F.col(f"_h{s}")) for s in range(PER_DIGEST)})
     sums = [F.sum(F.col(f"_w{s}") * F.col(c)).alias(f"{c}{s}") for s in range(PER_DIGEST) for c in ("num", "den")]
     slots = F.array(*[
         F.struct((F.col("_block") * PER_DIGEST + s).alias("replicate"), F.col(f"num{s}").alias("num"), F.col(f"den{s}").alias("den"))

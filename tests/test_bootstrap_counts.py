@@ -74,3 +74,11 @@ def test_three_million_units_need_no_row_per_draw(spark):
     width = 1.96 * math.sqrt(0.4 * 0.6 / 3e6)
     assert row.estimate == 0.4 and row.replicates == 200
     assert abs((row.high - row.low) / 2 - width) < 0.2 * width
+
+
+def test_poisson_weights_read_off_hex_words(spark):
+    edges = bootstrap.poisson_edges()
+    numbers = sorted({0, 2**32 - 1, *[min(max(int(e, 16) + d, 0), 2**32 - 1) for e in edges for d in (-1, 0, 1)], *range(0, 2**32, 2**32 // 997)})
+    df = spark.createDataFrame([(n, f"{n:08x}") for n in numbers], "n bigint, word string")
+    got = {r.n: r.w for r in df.select("n", bootstrap._weight(F.col("word")).alias("w")).collect()}
+    assert got == {n: sum(n / 2**32 >= limit for limit in bootstrap.poisson_thresholds()) for n in numbers}
