@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..skew import spread
 from ..sources import readers, writers
 from . import standins
@@ -136,7 +136,8 @@ def _(spark, sf):
 
 @query("merge_shards", f"WITH {EPISODES_SQL} SELECT family_id, model, arm, verdict FROM episodes")
 def _(spark, sf):
-    eps = standins.episodes(spark, sf).select("family_id", "model", "arm", "verdict", "pk")
+    # Shards and grid are stored tables.
+    eps = materialize(standins.episodes(spark, sf).select("family_id", "model", "arm", "verdict", "pk"), "episodes")
     shards = [eps.filter(F.col("pk") % 3 == i).drop("pk") for i in range(3)]
     keys = ["model", "family_id", "arm"]
     return readers.merge_shards(shards, keys, eps.select(*keys), ["model", "family_id", "arm"])

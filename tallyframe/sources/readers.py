@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.checks import CheckFailed, check_unique, enforce
 from ..schemas import CASE_DDL, FRAME_DDL, RESULT_DDL, SOURCE_DDL
+from ..session import materialize
 from .writers import _exists
 
 
@@ -130,12 +131,16 @@ def hash_assets(spark: SparkSession, path: str | Sequence[str], root: str, glob:
 
 
 def merge_shards(shards: Sequence[DataFrame], keys: Sequence[str], grid: DataFrame, order: Sequence[str], check: bool = True) -> DataFrame:
-    """Disjoint complete shards of one model as one ordered table."""
+    """Disjoint complete shards of one model as one ordered table.
+
+    The checks and the order's ranges read the rows several times, so they are written once.
+    """
     from ..operators.checks import check_complete
 
     merged = shards[0]
     for shard in shards[1:]:
         merged = merged.unionByName(shard)
+    merged = materialize(merged, "merged")
     if check:
         enforce(check_unique(merged, keys), "overlapping shards")
         enforce(check_complete(merged, grid, keys), "incomplete shards")

@@ -101,3 +101,14 @@ def test_ledger_keeps_responses_and_seals(spark):
         streams.stream_ledger(streams.staged_stream(calls, "seq", steps, "calls", "ledger"), 1000, 1000, out, scratch_path(spark, "c"))
         got = [r.outcome for r in streams.ledger_outcomes(spark, out).orderBy("seq").collect()]
         assert got == ["reserved", "responded", "blocked", "no_reservation", "settled", "sealed", "reused", "ledger_sealed"]
+
+
+def test_merged_shards_are_computed_once(spark):
+    rows = spark.range(20).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    shards = [rows.filter(F.col("k") % 2 == i) for i in range(2)]
+    out = readers.merge_shards(shards, ["k"], rows.select("k"), ["k"])
+    assert [tuple(r) for r in out.collect()] == [(k, 2 * k) for k in range(20)]
+    assert out.inputFiles() and all("/merged-" in f for f in out.inputFiles())
+    for wrong, message in [([*shards, rows.limit(1)], "overlapping"), (shards[:1], "incomplete")]:
+        with pytest.raises(CheckFailed, match=message):
+            readers.merge_shards(wrong, ["k"], rows.select("k"), ["k"])
