@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..skew import let
+from ..skew import let, let_both
 
 # Thresholds of region matches by kind.
 REGION_THRESHOLDS = {
@@ -40,10 +40,10 @@ def intersection_area(a: Column, b: Column) -> Column:
 
 
 def iou(a: Column, b: Column) -> Column:
-    """Intersection over union, 0 when the union is empty."""
-    def ratio(shared: Column) -> Column:
-        return F.coalesce(F.try_divide(shared, area(a) + area(b) - shared), F.lit(0.0))
-    return let(intersection_area(a, b), ratio)
+    """Intersection over union, 0 when the union is empty. Both boxes are taken out of their records once."""
+    def ratio(p: Column, q: Column) -> Column:
+        return let(intersection_area(p, q), lambda shared: F.coalesce(F.try_divide(shared, area(p) + area(q) - shared), F.lit(0.0)))
+    return let_both(a, b, ratio)
 
 
 def union_length(intervals: Column) -> Column:
@@ -104,7 +104,17 @@ def box_coverage(required: Column, boxes: Column) -> Column:
 
 
 def covers(required: Column, boxes: Column) -> Column:
-    return union_area(required, boxes) >= area(required)
+    """Whether the union of ``boxes`` covers ``required``.
+
+    One box that holds all of it settles that, and so does a first or last pixel that no box has; only the rest is measured.
+    """
+    def decide(r: Column, bs: Column) -> Column:
+        sound = (r[0] < r[2]) & (r[1] < r[3])
+        whole = F.exists(bs, lambda b: (b[0] <= r[0]) & (b[1] <= r[1]) & (r[2] <= b[2]) & (r[3] <= b[3]))
+        first = F.exists(bs, lambda b: (b[0] <= r[0]) & (b[1] <= r[1]) & (r[0] < b[2]) & (r[1] < b[3]))
+        last = F.exists(bs, lambda b: (b[0] < r[2]) & (b[1] < r[3]) & (r[2] <= b[2]) & (r[3] <= b[3]))
+        return F.when(sound & whole, True).when(sound & ~(first & last), False).otherwise(union_area(r, bs) >= area(r))
+    return let_both(required, boxes, decide)
 
 
 def mask_pixels(runs: Column) -> Column:

@@ -163,10 +163,10 @@ SELECT ok, ln, region_ok OR (has_link AND link_ok AND region_ok) AS any_met, reg
   false AS none_met FROM decisions""")
 def _(spark, sf):
     def met(alternatives: str):
-        return evidence.alternatives_met(F.expr(alternatives).cast(f"array<array<{standins.REQ}>>"), F.col("citations"), F.col("links"))
+        return evidence.alternatives_met(F.expr(alternatives), F.col("citations"), F.col("links"))
     return standins.decisions(spark, sf).select(
         "ok", "ln", met("array(array(region_req), array(link_req, region_req))").alias("any_met"),
-        met("array(array(region_req, link_req))").alias("both_met"), met("array(array())").alias("none_met"),
+        met("array(array(region_req, link_req))").alias("both_met"), met(f"CAST(array(array()) AS array<array<{standins.REQ}>>)").alias("none_met"),
     )
 
 

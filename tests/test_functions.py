@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tallyframe.functions import actions, evidence, geometry, text
-from tallyframe.schemas import ANNOTATION, BOX, CITATION, EVIDENCE, LINK
+from tallyframe.schemas import ANNOTATION, BOX, CITATION, EVIDENCE, LINK, REQ
 
 
 def pixels(boxes, required):
@@ -141,3 +141,51 @@ def test_an_xml_call_is_cut_up_once(spark):
     assert got == {0: ("f", '{"a": "q\\"", "n": 2}', "x"), 1: ("f", "{}", ""), **dict.fromkeys(range(2, 7))}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("<function=(") == 2 and plan.count("<parameter=(") == 3
+
+
+def test_covering_is_decided_like_the_area(spark):
+    rng = random.Random(5)
+    cases = [(random_box(rng), [random_box(rng) for _ in range(rng.randrange(5))]) for _ in range(300)]
+    cases += [([2, 2, 6, 6], [[0, 0, 9, 9]]), ([2, 2, 6, 6], [[0, 0, 4, 9], [4, 0, 9, 9]]), ([2, 2, 6, 6], [[2, 2, 6, 3], [2, 5, 6, 6]])]
+    # Reversed and null coordinates keep what the areas say.
+    cases += [([6, 2, 2, 6], []), ([6, 6, 2, 2], [[0, 0, 9, 9]]), ([2, 2, 2, 6], []), ([2, 2, 6, 6], [[None, 0, 9, 9]]), ([2, 2, 6, 6], [[3, None, 9, 9]]), ([2, 2, 6, 6], None)]
+    df = spark.createDataFrame([(i, r, b) for i, (r, b) in enumerate(cases)], f"i int, r {BOX}, b array<{BOX}>")
+    area = geometry.union_area(F.col("r"), F.col("b")) >= geometry.area(F.col("r"))
+    got = df.select(geometry.covers(F.col("r"), F.col("b")).alias("got"), area.alias("want")).collect()
+    assert all(row.got == row.want for row in got) and {row.want for row in got} == {True, False, None}
+
+
+def test_alternatives_of_any_number_agree(spark):
+    def region(box):
+        return ("a", box, "before", None, None, None, None)
+    link = (None, None, None, "same_object", end("a", [0, 0, 8, 8]), end("b", [0, 0, 8, 8]), 0.5)
+    plain = ("a", None, None, None, None, None, None)
+    held, missed = region([0, 0, 4, 4]), region([0, 0, 20, 20])
+    rng = random.Random(3)
+    pool, met = [held, missed, link, plain, ("z", *plain[1:])], [True, False, True, True, False]
+    rows = []
+    for i in range(120):
+        picks = [[rng.randrange(5) for _ in range(rng.randrange(5))] for _ in range(rng.randrange(5))]
+        rows.append((i, [[pool[k] for k in g] for g in picks], any(g and all(met[k] for k in g) for g in picks)))
+    rows.append((120, None, False))
+    df = spark.createDataFrame(rows, f"i int, a array<array<{REQ}>>, want boolean").withColumns({
+        "c": F.expr("array(named_struct('image_id', 'a', 'bbox', array(0L, 0L, 8L, 8L), 'time', 'before'))").cast(f"array<{CITATION}>"),
+        "l": F.expr("array(named_struct('relation', 'same_object', 'left', named_struct('image_id', 'b', 'bbox', array(0L, 0L, 8L, 8L), 'time', 'before'), "
+                    "'right', named_struct('image_id', 'a', 'bbox', array(0L, 0L, 8L, 8L), 'time', 'before'), 'min_iou', CAST(null AS DOUBLE)))").cast(f"array<{LINK}>"),
+    })
+    got = df.select("i", "want", evidence.alternatives_met(F.col("a"), F.col("c"), F.col("l")).alias("got")).collect()
+    assert [row.i for row in got if row.got is not row.want] == []
+
+
+def test_written_out_alternatives_leave_no_lambda_over_groups(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["alternatives_met"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "exists(array(" not in plan and "forall(" not in plan and "cast(named_struct" not in plan
+
+
+def test_pools_are_searched_without_array_contains(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["grade_episodes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains" not in plan
