@@ -112,3 +112,11 @@ def test_decision_examples_carry_their_group(spark):
     assert [(r.pos, len(r.prefix), r.target.text, r.group.family_id, r.group.label) for r in out] == [(1, 1, "a", "f1", True), (3, 3, "b", "f1", True)]
     flat = df.select("episode", "family_id", F.posexplode("messages").alias("pos", "m")).select("episode", "family_id", "pos", "m.role")
     assert [(r.target_pos, r.group.family_id) for r in training.decision_turns(flat, "episode", "pos", group=["family_id"]).collect()] == [(1, "f1"), (3, "f1")]
+
+
+def test_schedules_search_ids_without_array_contains_and_once_for_all_budgets(spark):
+    import __spark_entry__ as entry
+
+    for name in ("schedule_audit", "request_schedule_annotation_guided"):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "array_contains" not in plan and plan.count("array_min(") == 1
