@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import re
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.checks import CheckFailed, check_unique, enforce
@@ -115,8 +117,81 @@ def read_frames(spark: SparkSession, path: str, ddl: str = FRAME_DDL, lines: boo
     return spark.read.schema(ddl).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
 
 
-def hash_assets(spark: SparkSession, path: str | Sequence[str], root: str, glob: str | None = None) -> DataFrame:
-    """Path relative to ``root``, byte length and SHA-256 of every file; a path outside the root is an error."""
+# Files from this many bytes on are read in pieces: a row that holds a file takes several times its size in a task, and 2 GB at most.
+PIECES = 32 * 2**20
+# The setting of file names' endings that need no codec, as Hadoop and as its client for Spark call it.
+PASSED_ENDING = ("io.compress.passthrough.extension", "org.apache.hadoop.shaded.io.compress.passthrough.extension")
+# A byte order mark at the head of a file, which the text reader leaves out.
+MARK = b"\xef\xbb\xbf"
+
+
+def _line_digests(batches: Iterator) -> Iterator:
+    """SHA-256 of files from their lines, which come in order; a task holds one batch of lines."""
+    import pyarrow as pa
+
+    file = None
+    for batch in batches:
+        ids, sizes, lines = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
+        start = 0
+        while start < len(ids):
+            end = len(ids) if ids[-1] == ids[start] else next(i for i in range(start, len(ids)) if ids[i] != ids[start])
+            if ids[start] != file:
+                if file is not None:
+                    yield pa.RecordBatch.from_pydict({"id": [file], "sha256": [_closed(plain, marked, size - done)]})
+                file, size, done = ids[start], sizes[start].as_py(), -1
+                plain, marked = hashlib.sha256(), hashlib.sha256(MARK)
+            piece = b"\n".join([*([b""] if done >= 0 else []), *lines.slice(start, end - start).to_pylist()])
+            plain.update(piece)
+            marked.update(piece)
+            done, start = max(done, 0) + len(piece), end
+    if file is not None:
+        yield pa.RecordBatch.from_pydict({"id": [file], "sha256": [_closed(plain, marked, size - done)]})
+
+
+def _closed(plain, marked, left: int) -> str:
+    """The digest of a file of whose bytes so many did not come as lines: a last line feed and a mark at its head."""
+    if left not in (0, 1, len(MARK), len(MARK) + 1):
+        raise ValueError(f"a file was not read whole: {left} bytes differ")
+    digest = marked if left >= len(MARK) else plain
+    digest.update(b"\n" * (left % len(MARK)))
+    return digest.hexdigest()
+
+
+def hash_large(files: DataFrame) -> DataFrame:
+    """``id`` (of the path) and SHA-256 of files of any size, from Spark's listing of them as binary files.
+
+    A digest runs through a file in order, so one task reads it, line by line. Spark's text reader would split files and unpack
+    those with the ending of a codec; a codec that changes nothing, set for the files' endings, keeps them whole and as they are.
+    Files without an ending are split, and their lines sorted. A line, the bytes up to a line feed, has to fit a row (2 GB).
+    """
+    spark = files.sparkSession
+    endings: dict[str, list[str]] = {}
+    for (path,) in files.select("path").collect():
+        _, dot, ending = path.rsplit("/", 1)[1].rpartition(".")
+        # The reader takes patterns.
+        endings.setdefault(dot + ending if dot else "", []).append(re.sub(r"([\\*?\[\]{}])", r"\\\1", path))
+    id_, size, start = F.xxhash64("_metadata.file_path"), F.col("_metadata.file_size"), F.col("_metadata.file_block_start")
+    split = F.raise_error(F.lit("a file was split")).cast("long")
+    out = spark.createDataFrame([], "id bigint, sha256 string")
+    for ending, paths in endings.items():
+        reader = spark.read.option("lineSep", "\n")
+        if ending:
+            reader = reader.option("io.compression.codecs", "org.apache.hadoop.io.compress.PassthroughCodec")
+            for key in PASSED_ENDING:
+                reader = reader.option(key, ending)
+        at = F.when(F.col("_metadata.file_block_length") == size, start).otherwise(split) if ending else start
+        lines = reader.text(paths).select(id_.alias("id"), size.alias("size"), F.col("value").cast("binary").alias("line"), at.alias("start"))
+        if not ending:
+            lines = lines.withColumn("place", F.monotonically_increasing_id()).repartition("id").sortWithinPartitions("id", "start", "place")
+        out = out.unionByName(lines.mapInArrow(_line_digests, out.schema))
+    return out
+
+
+def hash_assets(spark: SparkSession, path: str | Sequence[str], root: str, glob: str | None = None, pieces: int = PIECES) -> DataFrame:
+    """Path relative to ``root``, byte length and SHA-256 of every file; a path outside the root is an error.
+
+    Files from ``pieces`` bytes on are not held whole, see ``hash_large``. Spark lists no empty files.
+    """
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -127,7 +202,18 @@ def hash_assets(spark: SparkSession, path: str | Sequence[str], root: str, glob:
     relative = F.when(inside, F.substring(full, F.lit(len(prefix) + 1), F.length(full))).otherwise(
         F.raise_error(F.concat(F.lit("asset outside the root: "), full)).cast("string")
     )
-    return files.select(relative.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+    def found(df: DataFrame, digest: Column) -> DataFrame:
+        return df.select(relative.alias("path"), F.col("length").alias("bytes"), digest.alias("sha256"))
+
+    size = F.col("_metadata.file_size")
+    large = files.where(size >= pieces)
+    whole = found(files.where(size < pieces), F.sha2("content", 256))
+    if large.select("path").isEmpty():
+        return whole
+    digest = F.coalesce("sha256", F.raise_error(F.concat(F.lit("not read: "), "path")))
+    named = large.withColumn("id", F.xxhash64("_metadata.file_path")).select("path", "length", "id")
+    return whole.unionByName(found(named.join(hash_large(large), "id", "left"), digest))
 
 
 def merge_shards(shards: Sequence[DataFrame], keys: Sequence[str], grid: DataFrame, order: Sequence[str], check: bool = True) -> DataFrame:
