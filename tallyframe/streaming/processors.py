@@ -7,8 +7,9 @@ which the trigger bounds.
 
 from __future__ import annotations
 
+import json
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor
@@ -72,8 +73,9 @@ class Ledger(StatefulProcessor):
     An unresolved reservation blocks new ones, also after its response was kept; a charge above its bound leaves the
     reservation unresolved; a key that was settled before is reused at no cost; a sealed ledger takes no new reservation.
 
-    Every call of the state store is a message to another process, so a ledger's first stages and settled keys, ``inline`` of each,
-    lie in its account, which is read once and written once per batch; further ones have entries of their own.
+    Every call of the state store is a message to another process, and so is every key. A key therefore stands for several ledgers,
+    whose accounts are one JSON text, read once and written once per batch. A ledger's first stages and settled keys, ``inline`` of
+    each, lie in its account; further ones have entries of their own.
     """
 
     OUT = "ledger bigint, seq bigint, key string, outcome string, accounted bigint"
@@ -82,21 +84,37 @@ class Ledger(StatefulProcessor):
         self.cap, self.stage_cap, self.inline = cap, stage_cap, inline
 
     def init(self, handle) -> None:
-        self.account = handle.getValueState(
-            "account", "total bigint, key string, bound bigint, stage string, sealed boolean, stages array<string>, used array<bigint>, paid array<string>"
-        )
-        self.stages = handle.getMapState("stages", "stage string", "used bigint")
-        self.paid = handle.getMapState("paid", "key string", "charge bigint")
+        self.accounts = handle.getValueState("accounts", "accounts string")
+        self.stages = handle.getMapState("stages", "ledger bigint, stage string", "used bigint")
+        self.paid = handle.getMapState("paid", "ledger bigint, key string", "charge bigint")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        total, held_key, held_bound, held_stage, sealed, *lists = self.account.get() or (0, None, 0, None, False, [], [], [])
+        row = Row("ledger", "seq", "key", "outcome", "accounted")
+        for outcome in self.outcomes(r.asDict() for r in rows):
+            yield row(*outcome)
+
+    def outcomes(self, operations: Iterable[dict]) -> Iterator[tuple]:
+        """Outcomes of operations in any order, ledger by ledger."""
+        held = self.accounts.get()
+        accounts = {account[0]: account for account in (json.loads(held[0]) if held else ())}
+        by_ledger: dict = {}
+        for operation in operations:
+            by_ledger.setdefault(operation.get("ledger"), []).append(operation)
+        for ledger, own in by_ledger.items():
+            own.sort(key=lambda o: o["seq"])
+            account = accounts.get(ledger) or (ledger, 0, None, 0, None, False, [], [], [])
+            accounts[ledger] = yield from self.run(account, own)
+        self.accounts.update((json.dumps([*accounts.values()]),))
+
+    def run(self, account: Sequence, operations: list[dict]):
+        """The outcomes of a ledger's operations, and its account after them."""
+        ledger, total, held_key, held_bound, held_stage, sealed, *lists = account
         used, paid = dict(zip(lists[0], lists[1])), dict.fromkeys(lists[2])
         # What is not in the account; the store has some of it only where the account was full before.
         stages_full, paid_full = len(used) >= self.inline, len(paid) >= self.inline
         more_used: dict = {}
         more_paid: dict = {}
         changed: set = set()
-        result = Row("ledger", "seq", "key", "outcome", "accounted")
 
         def named(stage) -> str:
             return f"={stage}" if stage is not None else "~"
@@ -105,16 +123,16 @@ class Ledger(StatefulProcessor):
             if name in used:
                 return used[name]
             if name not in more_used:
-                held = self.stages.getValue((name,)) if stages_full else None
+                held = self.stages.getValue((ledger, name)) if stages_full else None
                 more_used[name] = held[0] if held else 0
             return more_used[name]
 
         def known(call) -> bool:
-            return call is not None and (call in paid or call in more_paid or (paid_full and self.paid.containsKey((call,))))
+            return call is not None and (call in paid or call in more_paid or (paid_full and self.paid.containsKey((ledger, call))))
 
-        for row in sorted(rows, key=lambda r: r.seq):
-            call, op, open_ = row.key, row.op, held_stage is not None
-            outcome = "no_reservation"
+        for operation in operations:
+            op, call, bound, charge = (operation.get(name) for name in ("op", "key", "bound", "charge"))
+            open_, outcome = held_stage is not None, "no_reservation"
             if op == "reserve":
                 if known(call):
                     outcome = "reused"
@@ -122,19 +140,19 @@ class Ledger(StatefulProcessor):
                     outcome = "ledger_sealed"
                 elif open_:
                     outcome = "blocked"
-                elif total + row.bound > self.cap or spent(named(row.stage)) + row.bound > self.stage_cap:
+                elif total + bound > self.cap or spent(named(operation.get("stage"))) + bound > self.stage_cap:
                     outcome = "over_cap"
                 else:
-                    held_key, held_bound, held_stage, outcome = call, int(row.bound), named(row.stage), "reserved"
+                    held_key, held_bound, held_stage, outcome = call, int(bound), named(operation.get("stage")), "reserved"
             elif op == "seal":
                 sealed, outcome = True, "sealed"
             elif op == "respond":
                 outcome = "responded" if open_ and held_key == call else "no_reservation"
             elif open_ and held_key == call:
                 outcome = "unresolved"
-                if row.charge is not None and row.charge <= held_bound:
-                    total += row.charge
-                    amount = spent(held_stage) + row.charge
+                if charge is not None and charge <= held_bound:
+                    total += charge
+                    amount = spent(held_stage) + charge
                     if held_stage in used or len(used) < self.inline:
                         used[held_stage] = amount
                     else:
@@ -143,14 +161,29 @@ class Ledger(StatefulProcessor):
                     if call is not None and len(paid) < self.inline:
                         paid[call] = None
                     elif call is not None:
-                        more_paid[call] = row.charge
+                        more_paid[call] = charge
                     held_key, held_bound, held_stage, outcome = None, 0, None, "settled"
-            yield result(row.ledger, row.seq, call, outcome, total + held_bound)
-        self.account.update((total, held_key, held_bound, held_stage, sealed, [*used], [*used.values()], [*paid]))
+            yield ledger, operation["seq"], call, outcome, total + held_bound
         for name in changed:
-            self.stages.updateValue((name,), (more_used[name],))
+            self.stages.updateValue((ledger, name), (more_used[name],))
         for call, charge in more_paid.items():
-            self.paid.updateValue((call,), (charge,))
+            self.paid.updateValue((ledger, call), (charge,))
+        return ledger, total, held_key, held_bound, held_stage, sealed, [*used], [*used.values()], [*paid]
 
     def close(self) -> None:
         pass
+
+
+class PackedLedgers(Ledger):
+    """Ledgers whose operations come as JSON texts in the second column; a key gives its outcomes as one row of lists.
+
+    Rows and their cells pass between Spark and Python one by one, which takes longer than the operations themselves.
+    """
+
+    PACKED = "ledger array<bigint>, seq array<bigint>, key array<string>, outcome array<string>, accounted array<bigint>"
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        operations = json.loads("[" + ",".join([row[1] for row in rows]) + "]")
+        lists = [*map(list, zip(*self.outcomes(operations)))]
+        if lists:
+            yield Row("ledger", "seq", "key", "outcome", "accounted")(*lists)
