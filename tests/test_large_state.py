@@ -11,13 +11,14 @@ from tallyframe.streaming.state import DISK_STATE, STATE_STORE, large_state
 
 def test_ingest_leaves_no_log_of_changes(spark):
     path, out, checkpoint = scratch_path(spark, "log"), scratch_path(spark, "o"), scratch_path(spark, "c")
-    before = {name: spark.conf.get(name, None) for name in DISK_STATE}
+    names = {*DISK_STATE, *large_state(spark)}
+    before = {name: spark.conf.get(name, None) for name in names}
     # Replays and changed rows of a second run meet what the first one wrote.
     for low, high, said in [(0, 60, "x"), (30, 90, "y")]:
         rows = spark.range(low, high).select(F.col("id").alias("k"), F.lit(said).alias("v"), F.timestamp_seconds(F.col("id") + 1000).alias("at"))
         rows.coalesce(1).write.mode("append").parquet(path)
         streams.stream_ingest(streams.file_stream(spark, path, rows.schema), ["k"], "at", "1 hour", out, checkpoint)
-    assert {name: spark.conf.get(name, None) for name in DISK_STATE} == before
+    assert {name: spark.conf.get(name, None) for name in names} == before
     got = {route: sorted(r.k for r in streams.ingested(spark, out, rows.schema, route).collect()) for route in ("new", "conflict", "late")}
     assert got == {"new": [*range(90)], "conflict": [*range(30, 60)], "late": []}
     kinds = {os.path.splitext(name)[1] for operator in "01" for name in os.listdir(f"{checkpoint}/state/{operator}/0") if not name.startswith((".", "_"))}
